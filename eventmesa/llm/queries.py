@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packed, secrets, winnowing
+from . import chosen_path, langid, packed, secrets, warc, winnowing
 from .common import crc_mod, new_path, table
 
 
@@ -26,6 +26,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, base), F.sha2(text(F.filter("found", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"), text(F.col("found")).alias("spans"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(langid.teaching(docs))
@@ -39,10 +43,18 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.read_tokens(spark, path)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_captures(table(spark, sf_dir, "pages"), path)
+    found = warc.transactions(warc.read_records(spark, path))
+    about = F.col("metadata")
+    return found.select(about["pageId"].cast("long").alias("page_id"), about["payloadBytes"].cast("long").alias("payload_bytes"), F.col("capture.payload_digest"), F.col("capture.type").alias("record_type"), about["refersToPageId"].cast("long").alias("refers_to"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_language_id, op5_token_output, op9_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op4_language_id, op5_token_output, op8_warc, op9_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
