@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, langid, packed, secrets, warc, winnowing
+from . import chosen_path, langid, minhash, mixing, packed, secrets, warc, winnowing
 from .common import crc_mod, new_path, table
 
 
@@ -30,6 +30,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(langid.teaching(docs))
@@ -43,6 +47,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.read_tokens(spark, path)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.with_edited(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_captures(table(spark, sf_dir, "pages"), path)
@@ -55,6 +63,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op4_language_id, op5_token_output, op8_warc, op9_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_mixing, op4_language_id, op5_token_output, op6_fingerprints, op8_warc, op9_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
