@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, langid, minhash, mixing, packed, secrets, warc, winnowing
+from . import chosen_path, classlm, langid, minhash, mixing, packed, pii, secrets, warc, winnowing
 from .common import crc_mod, new_path, table
 
 
@@ -51,6 +51,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.with_edited(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), key="production").select("doc_id", *(f"n_{k}" for k in pii.KINDS), "text")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_captures(table(spark, sf_dir, "pages"), path)
@@ -63,6 +67,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_mixing, op4_language_id, op5_token_output, op6_fingerprints, op8_warc, op9_decontamination)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, rare = classlm.fit(classlm.teaching(docs).select("text"))
+    held = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
+    return classlm.score(docs, model, rare).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_mixing, op4_language_id, op5_token_output, op6_fingerprints, op7_pii, op8_warc, op9_decontamination, op10_lm_scoring)}
 
 ORACLE_SQL: dict[str, str] = {}
