@@ -1,8 +1,48 @@
-"""The corpus pipeline: each stage takes the documents that the stage before it kept."""
+"""The corpus pipeline: each stage takes the documents that the stage before it kept.
 
+Language ID drops documents whose language is rejected; near-dedup keeps the least id of each group of near copies;
+decontamination drops documents with benchmark passages; mixing repeats or drops documents to meet the sources' targets;
+token output writes ids and returns what its files hold.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from eventmesa.llm import chosen_path, langid, mixing, packed, queries, winnowing
+from eventmesa.llm.common import new_path, saved, table
+
+#: SQL can't express the language model or the tokenizer.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_known(docs, langid.fit(langid.teaching(docs)))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return chosen_path.deduplicated(docs, shingle=5)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return winnowing.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    packed.write_tokens(docs, path, queries.tokenizer_path(), end_id=2)
+    return packed.read_tokens(spark, path)
+
+
+STAGES = [("language_id", known_language), ("near_dedup", near_dedup), ("decontamination", decontaminated), ("mixing", mix), ("token_output", tokens)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
