@@ -30,6 +30,11 @@ ANY = f"{PATTERNS['email']}|{NUMBERS}"
 DAYS, DAY_RANGES = 73_049, (271, 270)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once and standing once in the plan."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def keyed(key: str, kind: str, turn: Column, part: Column, limits: Column) -> Column:
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), limits, part.cast("string")), 256)
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
@@ -79,34 +84,38 @@ def padded(x: Column, n: Column | int) -> Column:
 
 
 def card(value: Column, key: str) -> Column:
-    digits = digits_of(value)
-    n = F.length(digits) - 1
-    left = F.floor(n / 2).cast("int")
-    right = n - left
-    pair = permuted(F.substring(digits, F.lit(1), left).cast("long"), F.substring(digits, left + 1, right).cast("long"), power(left), power(right), key, "card")
-    body = F.concat(padded(pair["x"], left), padded(pair["y"], right))
-    return refilled(value, F.concat(body, F.pmod(-luhn(body, True), F.lit(10)).cast("string")))
+    def of(digits: Column) -> Column:
+        n = F.length(digits) - 1
+        left = F.floor(n / 2).cast("int")
+        pair = permuted(F.substring(digits, F.lit(1), left).cast("long"), F.substring(digits, left + 1, n - left).cast("long"), power(left), power(n - left), key, "card")
+        body = let(pair, lambda p: F.concat(padded(p["x"], left), padded(p["y"], n - left)))
+        return let(body, lambda b: F.concat(b, F.pmod(-luhn(b, True), F.lit(10)).cast("string")))
+
+    return let(let(digits_of(value), of), lambda digits: refilled(value, digits))
 
 
 def phone(value: Column, key: str) -> Column:
     """A country code stays; the ten digits after it are permuted."""
-    digits = digits_of(value)
-    part = lambda i: F.substring(digits, F.length(digits) - i, F.lit(5))
-    pair = permuted(part(9).cast("long"), part(4).cast("long"), F.lit(100_000), F.lit(100_000), key, "phone")
-    return refilled(value, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), padded(pair["x"], 5), padded(pair["y"], 5)))
+
+    def of(digits: Column) -> Column:
+        part = lambda i: F.substring(digits, F.length(digits) - i, F.lit(5)).cast("long")
+        pair = permuted(part(9), part(4), F.lit(100_000), F.lit(100_000), key, "phone")
+        return let(pair, lambda p: F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), padded(p["x"], 5), padded(p["y"], 5)))
+
+    return let(let(digits_of(value), of), lambda digits: refilled(value, digits))
 
 
 def ssn(value: Column, key: str) -> Column:
     area, group, serial = (F.substring(value, i, n).cast("long") for i, n in ((1, 3), (5, 2), (8, 4)))
     pair = permuted(F.when(area > 666, area - 2).otherwise(area - 1), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "ssn")
-    area = F.when(pair["x"] >= 665, pair["x"] + 2).otherwise(pair["x"] + 1)
-    return F.concat_ws("-", padded(area, 3), padded(F.floor(pair["y"] / 9999) + 1, 2), padded(pair["y"] % 9999 + 1, 4))
+    back = lambda x: F.when(x >= 665, x + 2).otherwise(x + 1)
+    return let(pair, lambda p: F.concat_ws("-", padded(back(p["x"]), 3), padded(F.floor(p["y"] / 9999) + 1, 2), padded(p["y"] % 9999 + 1, 4)))
 
 
 def ip(value: Column, key: str) -> Column:
     part = lambda i: F.element_at(F.split(value, r"\."), i).cast("long")
     pair = permuted(part(1) * 256 + part(2), part(3) * 256 + part(4), F.lit(65536), F.lit(65536), key, "ip")
-    return F.concat_ws(".", *(x.cast("string") for p in ("x", "y") for x in (F.floor(pair[p] / 256), pair[p] % 256)))
+    return let(pair, lambda p: F.concat_ws(".", *(x.cast("string") for n in ("x", "y") for x in (F.floor(p[n] / 256), p[n] % 256))))
 
 
 def day_of(value: Column) -> Column:
@@ -117,12 +126,12 @@ def day_of(value: Column) -> Column:
 
 def date(value: Column, key: str) -> Column:
     a, b = map(F.lit, DAY_RANGES)
-    step = lambda d: permuted(F.floor(d / b), d % b, a, b, key, "date")
-    number = lambda pair: pair["x"] * b + pair["y"]
+    step = lambda d: let(permuted(F.floor(d / b), d % b, a, b, key, "date"), lambda p: p["x"] * b + p["y"])
     # Days beyond the range are permuted again until they fall into it.
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(24)), F.lit(-1).cast("long"), lambda d, i: F.when((i > 1) & (d < DAYS), d).otherwise(number(step(F.when(i == 1, day_of(value).cast("long")).otherwise(d)))))
+    walk = lambda first: F.aggregate(F.sequence(F.lit(1), F.lit(24)), first + DAYS, lambda d, i: F.when((i > 1) & (d < DAYS), d).otherwise(step(F.when(i == 1, d - DAYS).otherwise(d))))
+    walked = let(day_of(value).cast("long"), walk)
     day = F.date_add(F.lit("1900-01-01").cast("date"), walked.cast("int"))
-    return F.when(value.contains("/"), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    return let(day, lambda d: F.when(value.contains("/"), F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "yyyy-MM-dd")))
 
 
 def email(value: Column, key: str) -> Column:
