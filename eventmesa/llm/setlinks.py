@@ -26,9 +26,35 @@ MINIMA, SMALL, FEW = 64, 24, 256
 AGREE = 37
 
 
+#: Hash values of ids by which texts are told apart before they are joined; this many numbers are broadcast at most.
+ID_BUCKETS = 1 << 20
+
+
+def digest(items: np.ndarray) -> int:
+    """A set's 64-bit name, signed."""
+    return xxhash.xxh3_64_intdigest(items.tobytes()) - (1 << 63)
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> tuple[list[int], bool]:
+    """Positions of the pairs (i, j) that join the most alike nodes into trees; whether other pairs are left."""
+    part, kept = list(range(n)), []
+
+    def top(x: int) -> int:
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for at in np.lexsort((j, i, -weight)).tolist():
+        a, b = top(int(i[at])), top(int(j[at]))
+        if a != b:
+            part[a] = b
+            kept.append(at)
+    return kept, len(kept) < len(i)
+
+
 def nodes_of(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
     """Each document row's id, n_shingles, node (digest of its shingle set; null without words) and signature."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string("n_shingles long, node binary, sig array<int>").fields])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string("n_shingles long, node long, sig array<int>").fields])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, hasher = WordHash(), MinHasher(MINIMA, seed)
@@ -37,13 +63,40 @@ def nodes_of(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: st
             for text in utf8(batch, "text"):
                 own = shingle_set(cache.of(text.lower().split()), shingle)
                 sizes.append(len(own))
-                nodes.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+                nodes.append(digest(own) if len(own) else None)
                 sigs.append(hasher.of(own).view(np.int32) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "node", "sig"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, schema)
 
 
+def may_link(percent: int, n1, s1, n2, s2) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs given by sizes and signatures: whether they can be links, and how many minima agree."""
+    agree = (s1 == s2).sum(axis=-1)
+    return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (agree >= AGREE), agree
+
+
+def pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+class Lists:
+    """A batch of groups, each a list of structs with node, n, sig and more."""
+
+    def __init__(self, column: pa.ListArray):
+        self.ends, flat = np.asarray(column.offsets), column.values
+        self.flat = flat
+        self.node, self.n = np.asarray(flat.field("node")), np.asarray(flat.field("n"))
+        self.sig = np.asarray(flat.field("sig").flatten()).reshape(-1, MINIMA)
+
+    def field(self, name: str) -> np.ndarray:
+        return self.flat.field(name).to_numpy(zero_copy_only=False)
+
+    def __iter__(self) -> Iterator[tuple[int, int]]:
+        return zip(self.ends[:-1].tolist(), self.ends[1:].tolist(), strict=True)
+
+
 @dataclass
 class Links:
     """docs: doc_id, text. rows: nodes_of(docs), saved. Links mean 100 * intersection >= percent * union."""
@@ -55,78 +108,87 @@ class Links:
 
     def __post_init__(self):
         self.reps = saved(self.rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
-        self.links: DataFrame | None = None
         self.sets: DataFrame | None = None
-        self.tried: DataFrame | None = None
+        self.roots: DataFrame | None = None
 
     def grouped(self, members: DataFrame) -> DataFrame:
         """members: path, node. Adds the group's size and drops groups of one."""
         sizes = members.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         return members.join(sizes, "path")
 
-    def similar(self, percent: int):
-        least = AGREE
-
-        def alike(n1, s1, n2, s2) -> np.ndarray:
-            """Pairs that may be linked: sizes allow it and signatures agree well enough."""
-            return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((s1 == s2).sum(axis=-1) >= least)
+    def listed(self, members: DataFrame, by: list[str], *more: str) -> DataFrame:
+        return members.join(self.reps.select("node", "n", "sig"), "node").groupBy(*by).agg(F.collect_list(F.struct("node", "n", "sig", *more)).alias("all"))
 
-        return alike
+    def in_small(self, grouped: DataFrame) -> DataFrame:
+        """Of groups of at most SMALL nodes, all compared: the pairs (a, b) of a forest over those that can be links;
+        with b null, a is the path of a group that has further such pairs."""
+        percent = self.percent
 
-    def within_small(self, grouped: DataFrame) -> DataFrame:
-        """Pairs (a, b) of groups of at most SMALL nodes."""
-        alike = self.similar(self.percent)
-        lists = grouped.where(F.col("size") <= SMALL).join(self.reps.select("node", "n", "sig"), "node").groupBy("path").agg(F.collect_list(F.struct("node", "n", "sig")).alias("all"))
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                lists, found, more = Lists(batch.column(1)), set(), []
+                for path, (x, y) in zip(batch.column(0).to_pylist(), lists, strict=True):
+                    i, j = np.triu_indices(y - x, 1)
+                    ok, agree = may_link(percent, lists.n[x + i], lists.sig[x + i], lists.n[x + j], lists.sig[x + j])
+                    i, j = i[ok], j[ok]
+                    kept, left = forest(y - x, i, j, agree[ok])
+                    found.update(tuple(sorted((int(lists.node[x + i[k]]), int(lists.node[x + j[k]])))) for k in kept)
+                    more += [path] * left
+                if found or more:
+                    a, b = [p[0] for p in found] + more, [p[1] for p in found] + [None] * len(more)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        return self.listed(grouped.where(F.col("size") <= SMALL), ["path"]).select("path", "all").mapInArrow(each, "a long, b long")
+
+    def across_small(self, members: DataFrame) -> DataFrame:
+        """Of small groups (path, node, root), the pairs of different roots that can be links."""
+        percent = self.percent
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):
-                lists = batch.column(0)
-                ends, flat = np.asarray(lists.offsets), lists.values
-                nodes, sizes = flat.field("node").to_pylist(), np.asarray(flat.field("n"))
-                sigs = np.asarray(flat.field("sig").flatten()).reshape(-1, MINIMA)
-                found = set()
-                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    i, j = np.triu_indices(b - a, 1)
-                    ok = alike(sizes[a + i], sigs[a + i], sizes[a + j], sigs[a + j])
-                    found.update(tuple(sorted((nodes[a + x], nodes[a + y]))) for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True))
+                lists, found = Lists(batch.column(0)), set()
+                root = lists.field("root")
+                for x, y in lists:
+                    i, j = np.triu_indices(y - x, 1)
+                    i, j = x + i, x + j
+                    ok = may_link(percent, lists.n[i], lists.sig[i], lists.n[j], lists.sig[j])[0] & (root[i] != root[j])
+                    found.update(tuple(sorted((int(a), int(b)))) for a, b in zip(lists.node[i[ok]], lists.node[j[ok]], strict=True))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
+                    yield pair_batch(found)
 
-        return lists.select("all").mapInArrow(each, "a binary, b binary")
+        several = members.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("path")
+        return self.listed(members.join(several, "path"), ["path"], "root").select("all").mapInArrow(each, "a long, b long")
 
     def with_pivots(self, large: DataFrame) -> DataFrame:
-        """Pairs of each node of a larger group and the group's least and greatest node."""
-        pivots = large.groupBy("path").agg(F.array(F.min("node"), F.max("node")).alias("pivots"))
-        pairs = large.join(pivots, "path").select("node", F.explode("pivots").alias("pivot")).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        return self.likely(pairs)
-
-    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of each node and the least and greatest node of the largest group that it is in."""
+        own = large.groupBy("node").agg(F.max(F.struct("size", "path"))["path"].alias("path"))
+        pivots = large.groupBy("path").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        pairs = own.join(pivots, "path").select("node", F.explode(F.array("low", "high")).alias("pivot")).where("node <> pivot")
+        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         side = lambda x: self.reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
         agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
         return pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & (agree >= AGREE)).select("a", "b")
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Adds the pairs that are links on their full shingle sets."""
-        pairs = pairs.distinct()
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        """Checks pairs on their full shingle sets and contracts what the links join."""
+        pairs = saved(pairs.distinct(), "pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets, "node", "left_anti")
-        wanted = wanted.join(self.reps.select("node", "doc_id"), "node")
+        wanted = saved(wanted.join(self.reps.select("node", "doc_id"), "node").select("doc_id"), "wanted")
         shingle, percent = self.shingle, self.percent
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache = WordHash()
             for batch in sliced(batches):
-                own = [shingle_set(cache.of(t.lower().split()), shingle).tobytes() for t in utf8(batch, "text")]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in own], pa.binary()), pa.array(own, pa.binary())], ["node", "items"])
+                own = [shingle_set(cache.of(t.lower().split()), shingle) for t in utf8(batch, "text")]
+                yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "items"])
 
-        texts = self.docs.join(wanted.select("doc_id"), "doc_id", "left_semi").select("text")
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
+        buckets = wanted.select(bucket).distinct()  # at most ID_BUCKETS numbers; the exact join follows
+        texts = self.docs.withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi").join(wanted, "doc_id", "left_semi").select("text")
         # Rows of one id can have several texts: the digest tells which node a text is; equal ones count once.
-        fresh = saved(texts.mapInArrow(sets, "node binary, items binary").dropDuplicates(["node"]), "sets")
+        fresh = saved(texts.mapInArrow(sets, "node long, items binary").dropDuplicates(["node"]), "sets")
         self.sets = fresh if self.sets is None else self.sets.union(fresh)
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,43 +200,46 @@ class Links:
                 yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
         side = lambda x: self.sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
-        links = saved(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(check, "a binary, b binary"), "links")
-        self.links = links if self.links is None else self.links.union(links)
+        links = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(check, "a long, b long")
+        if self.roots is None:
+            self.roots = saved(components(links), "roots")
+        else:  # earlier components count as one node each
+            over = components(self.rooted(self.rooted(links, "a"), "b"))
+            self.roots = saved(self.rooted(over.select("node").union(self.roots.select("node")).distinct().withColumn("at", F.col("node")), "at").join(over.select(F.col("node").alias("at"), "root"), "at", "left").select("node", F.coalesce("root", "at").alias("root")), "roots")
+
+    def rooted(self, rows: DataFrame, column: str) -> DataFrame:
+        """The rows with a node column replaced by its component's root."""
+        roots = self.roots.select(F.col("node").alias(column), F.col("root").alias("root_of"))
+        return rows.join(roots, column, "left").withColumn(column, F.coalesce("root_of", column)).drop("root_of")
 
     def unresolved(self, large: DataFrame) -> DataFrame:
-        """Members of larger groups that the links so far leave in several parts: path, node, size, rest (whether it is
-        outside the group's largest part), n_rest."""
-        roots = components(self.links)
-        named = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        """Members of larger groups whose nodes have several roots: path, node, root, size, rest (whether it is outside
+        the group's largest part), n_rest."""
+        named = self.rooted(large.withColumn("root", F.col("node")), "root")
         parts = named.groupBy("path", "root").agg(F.count("*").alias("part"))
         best = parts.groupBy("path").agg(F.max(F.struct("part", "root")).alias("best"), F.sum("part").alias("size")).where("best.part < size")
-        return named.drop("size").join(best, "path").select("path", "node", "size", (F.col("root") != F.col("best.root")).alias("rest"), (F.col("size") - F.col("best.part")).alias("n_rest"))
+        return named.drop("size").join(best, "path").select("path", "node", "root", "size", (F.col("root") != F.col("best.root")).alias("rest"), (F.col("size") - F.col("best.part")).alias("n_rest"))
 
     def rest_with_all(self, members: DataFrame) -> DataFrame:
-        """Pairs of the rest with all of its group, compared in blocks of at most about FEW by FEW nodes."""
-        alike = self.similar(self.percent)
-        members = members.join(self.reps.select("node", "n", "sig"), "node")
+        """Pairs of different roots that can be links, of the rest with all of its group, in blocks of about FEW by FEW."""
+        percent = self.percent
         block = lambda n: F.ceil(F.col(n) / FEW).cast("int")
-        every = members.select("path", "node", "n", "sig", F.lit(False).alias("rest"), F.pmod(F.xxhash64("node", F.lit(1)), block("size")).alias("y"), F.explode(F.sequence(F.lit(0), block("n_rest") - 1)).alias("x"))
-        rest = members.where("rest").select("path", "node", "n", "sig", F.lit(True).alias("rest"), F.explode(F.sequence(F.lit(0), block("size") - 1)).alias("y"), F.pmod(F.xxhash64("node", F.lit(2)), block("n_rest")).alias("x"))
-        lists = every.unionByName(rest).groupBy("path", "x", "y").agg(F.collect_list(F.struct("node", "n", "sig", "rest")).alias("all"))
+        every = members.select("path", "node", "root", F.lit(False).alias("rest"), F.pmod(F.xxhash64("node", F.lit(1)), block("size")).alias("y"), F.explode(F.sequence(F.lit(0), block("n_rest") - 1)).alias("x"))
+        rest = members.where("rest").select("path", "node", "root", F.lit(True).alias("rest"), F.explode(F.sequence(F.lit(0), block("size") - 1)).alias("y"), F.pmod(F.xxhash64("node", F.lit(2)), block("n_rest")).alias("x"))
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, 16):
-                lists = batch.column(0)
-                ends, flat = np.asarray(lists.offsets), lists.values
-                nodes, sizes, is_rest = flat.field("node").to_pylist(), np.asarray(flat.field("n")), flat.field("rest").to_numpy(zero_copy_only=False).astype(bool)
-                sigs = np.asarray(flat.field("sig").flatten()).reshape(-1, MINIMA)
-                found = set()
-                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    own, others = a + np.flatnonzero(is_rest[a:b]), a + np.flatnonzero(~is_rest[a:b])
-                    for i in own.tolist():
-                        ok = others[alike(sizes[i], sigs[i], sizes[others], sigs[others])]
-                        found.update(tuple(sorted((nodes[i], nodes[j]))) for j in ok.tolist() if nodes[i] != nodes[j])
+                lists, found = Lists(batch.column(0)), set()
+                root, is_rest = lists.field("root"), lists.field("rest").astype(bool)
+                for x, y in lists:
+                    others = x + np.flatnonzero(~is_rest[x:y])
+                    for i in (x + np.flatnonzero(is_rest[x:y])).tolist():
+                        ok = others[may_link(percent, lists.n[i], lists.sig[i], lists.n[others], lists.sig[others])[0] & (root[others] != root[i])]
+                        found.update(tuple(sorted((int(lists.node[i]), int(lists.node[j])))) for j in ok.tolist())
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
+                    yield pair_batch(found)
 
-        return lists.select("all").mapInArrow(each, "a binary, b binary")
+        return self.listed(every.unionByName(rest), ["path", "x", "y"], "root", "rest").select("all").mapInArrow(each, "a long, b long")
 
     def search(self, members: DataFrame, branch=None) -> None:
         """Finds the links inside the groups of `members` (path, node). `branch`: makes the members of smaller groups of
@@ -183,20 +248,25 @@ class Links:
             grouped = saved(self.grouped(members), "groups")
             large = grouped.where(F.col("size") > SMALL)
             any_large = not large.isEmpty()
-            self.confirm(self.within_small(grouped).union(self.with_pivots(large)) if any_large else self.within_small(grouped))
+            small = saved(self.in_small(grouped), "small")
+            pairs = small.where("b is not null")
+            self.confirm(pairs.union(self.with_pivots(large)) if any_large else pairs)
+            open_small = grouped.join(small.where("b is null").select(F.col("a").alias("path")), "path", "left_semi")
+            across = self.across_small(self.rooted(open_small.withColumn("root", F.col("node")), "root"))
             members = None
             if any_large:
                 left = saved(self.unresolved(large), "unresolved")
                 if not left.isEmpty():
-                    here = left.where(F.col("n_rest") <= FEW) if branch else left
-                    self.confirm(self.rest_with_all(here))
-                    if branch:
-                        members, branch = branch(left.where(F.col("n_rest") > FEW))
+                    across = across.union(self.rest_with_all(left.where(F.col("n_rest") <= FEW) if branch else left))
+                    if branch and not (wide := left.where(F.col("n_rest") > FEW)).isEmpty():
+                        members, branch = branch(wide)
+            across = saved(across, "across")
+            if not across.isEmpty():
+                self.confirm(across)
 
     def labelled(self) -> DataFrame:
         """Each document row: doc_id, n_shingles, component_id (least id of its component), kept."""
-        roots = components(self.links)
-        named = self.reps.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = self.rooted(self.reps.select("node", "doc_id").withColumn("root", F.col("node")), "root")
         least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         labels = named.join(least, "root").select("node", "component_id")
         own = F.coalesce("component_id", "doc_id")
