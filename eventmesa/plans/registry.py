@@ -1,7 +1,7 @@
 """Every registered query of the library with the SQL that checks it."""
 
-from . import equities, options, validation
+from . import equities, features, options, validation
 
-_PARTS = (equities, options, validation)
+_PARTS = (equities, features, options, validation)
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL = {k: s for part in _PARTS for k, s in part.ORACLE_SQL.items()}

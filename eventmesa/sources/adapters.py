@@ -72,5 +72,5 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly fundamentals of each nation: gvkey, datadate, rdq and amounts."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     start = F.to_date(F.date_trunc("quarter", "o_orderdate"))
-    rows = orders.groupBy(F.lpad(F.col("c_nationkey").cast("string"), 6, "0").alias("gvkey"), F.date_sub(F.add_months(start, 3), 1).alias("datadate")).agg(F.round(F.sum("o_totalprice") / 1000, 4).alias("atq"), F.round(F.avg("o_totalprice") / 1000, 6).alias("niq"), F.count("*").alias("n"))
-    return rows.withColumn("rdq", F.date_add("datadate", 20)).withColumn("revtq", F.round(F.col("atq") * 0.6, 4)).withColumn("cogsq", F.round(F.col("atq") * 0.24, 4)).withColumn("dlttq", F.when(F.quarter("datadate") != 2, F.round(F.col("atq") * 0.2, 4)))
+    rows = orders.groupBy(F.lpad(F.col("c_nationkey").cast("string"), 6, "0").alias("gvkey"), F.date_sub(F.add_months(start, 3), 1).alias("datadate")).agg(F.round(F.sum("o_totalprice") / 1000, 6).alias("atq"), F.round(F.avg("o_totalprice") / 1000, 6).alias("niq"), F.count("*").alias("n"))
+    return rows.withColumn("rdq", F.date_add("datadate", 20)).withColumn("revtq", F.round(F.col("atq") * 0.6, 6)).withColumn("cogsq", F.round(F.col("atq") * 0.24, 6)).withColumn("dlttq", F.when(F.quarter("datadate") != 2, F.round(F.col("atq") * 0.2, 6)))
