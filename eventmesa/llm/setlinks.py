@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,11 @@ from .components import components
 
 #: Minima in a signature; nodes that a group compares at once; nodes left beyond pivots that needn't branch further.
 MINIMA, SMALL, FEW = 64, 24, 256
-#: Pairs whose signatures agree in fewer minima aren't confirmed: at similarity 0.8 one of 64 in 100,000 pairs has so few.
-AGREE = 37
+#: Minima of which a set's screen keeps the low byte. Pairs whose screens agree in fewer bytes aren't confirmed: at
+#: similarity 0.8 about 5 in a million pairs have so few.
+SCREEN, AGREE = 256, 177
+#: The same for the finer screens of texts that stay apart inside large groups.
+FINE, AGREE_FINE = 1024, 762
 
 
 #: Hash values of ids by which texts are told apart before they are joined; this many numbers are broadcast at most.
@@ -53,27 +57,29 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> tuple[li
 
 
 def nodes_of(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """Each document row's id, n_shingles, node (digest of its shingle set; null without words) and signature."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string("n_shingles long, node long, sig array<int>").fields])
+    """Each document row's id, n_shingles, node (digest of its shingle set; null without words), signature and screen."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string("n_shingles long, node long, sig array<int>, screen binary").fields])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, hasher = WordHash(), MinHasher(MINIMA, seed)
+        cache, hasher = WordHash(), MinHasher(SCREEN, seed)
         for batch in sliced(batches):
-            sizes, nodes, sigs = [], [], []
+            sizes, nodes, sigs, screens = [], [], [], []
             for text in utf8(batch, "text"):
                 own = shingle_set(cache.of(text.lower().split()), shingle)
                 sizes.append(len(own))
                 nodes.append(digest(own) if len(own) else None)
-                sigs.append(hasher.of(own).view(np.int32) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "node", "sig"])
+                minima = hasher.of(own) if len(own) else None
+                sigs.append(None if minima is None else minima[:MINIMA].view(np.int32))
+                screens.append(None if minima is None else minima.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int32())), pa.array(screens, pa.binary())], ["doc_id", "n_shingles", "node", "sig", "screen"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, schema)
 
 
-def may_link(percent: int, n1, s1, n2, s2) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs given by sizes and signatures: whether they can be links, and how many minima agree."""
-    agree = (s1 == s2).sum(axis=-1)
-    return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (agree >= AGREE), agree
+def may_link(percent: int, n1, s1, n2, s2, least: int = AGREE) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs given by sizes and screens: whether they can be links, and how many bytes agree."""
+    agree = np.count_nonzero(s1 == s2, axis=-1)
+    return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (agree >= least), agree
 
 
 def pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -81,14 +87,20 @@ def pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def screens_of(column: pa.BinaryArray, width: int = SCREEN) -> np.ndarray:
+    """One row of bytes a screen, without copying."""
+    first = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset] if len(column) else 0
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[first : first + len(column) * width].reshape(-1, width)
+
+
 class Lists:
-    """A batch of groups, each a list of structs with node, n, sig and more."""
+    """A batch of groups, each a list of structs with node, n, screen and more."""
 
-    def __init__(self, column: pa.ListArray):
+    def __init__(self, column: pa.ListArray, width: int = SCREEN):
         self.ends, flat = np.asarray(column.offsets), column.values
         self.flat = flat
         self.node, self.n = np.asarray(flat.field("node")), np.asarray(flat.field("n"))
-        self.sig = np.asarray(flat.field("sig").flatten()).reshape(-1, MINIMA)
+        self.screen = screens_of(flat.field("screen"), width)
 
     def field(self, name: str) -> np.ndarray:
         return self.flat.field(name).to_numpy(zero_copy_only=False)
@@ -99,7 +111,9 @@ class Lists:
 
 @dataclass
 class Links:
-    """docs: doc_id, text. rows: nodes_of(docs), saved. Links mean 100 * intersection >= percent * union."""
+    """docs: doc_id, text. rows: nodes_of(docs), saved. Links mean 100 * intersection >= percent * union.
+
+    checked: the pairs that were confirmed or refused, so that none is looked at twice."""
 
     docs: DataFrame
     rows: DataFrame
@@ -107,8 +121,9 @@ class Links:
     percent: int
 
     def __post_init__(self):
-        self.reps = saved(self.rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
+        self.reps = saved(self.rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("screen").alias("screen")), "nodes")
         self.sets: DataFrame | None = None
+        self.checked: DataFrame | None = None
         self.roots: DataFrame | None = None
 
     def grouped(self, members: DataFrame) -> DataFrame:
@@ -116,8 +131,8 @@ class Links:
         sizes = members.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         return members.join(sizes, "path")
 
-    def listed(self, members: DataFrame, by: list[str], *more: str) -> DataFrame:
-        return members.join(self.reps.select("node", "n", "sig"), "node").groupBy(*by).agg(F.collect_list(F.struct("node", "n", "sig", *more)).alias("all"))
+    def listed(self, members: DataFrame, by: list[str], *more: str, screens: DataFrame | None = None) -> DataFrame:
+        return members.join((self.reps if screens is None else screens).select("node", "n", "screen"), "node").groupBy(*by).agg(F.collect_list(F.struct("node", "n", "screen", *more)).alias("all"))
 
     def in_small(self, grouped: DataFrame) -> DataFrame:
         """Of groups of at most SMALL nodes, all compared: the pairs (a, b) of a forest over those that can be links;
@@ -129,7 +144,7 @@ class Links:
                 lists, found, more = Lists(batch.column(1)), set(), []
                 for path, (x, y) in zip(batch.column(0).to_pylist(), lists, strict=True):
                     i, j = np.triu_indices(y - x, 1)
-                    ok, agree = may_link(percent, lists.n[x + i], lists.sig[x + i], lists.n[x + j], lists.sig[x + j])
+                    ok, agree = may_link(percent, lists.n[x + i], lists.screen[x + i], lists.n[x + j], lists.screen[x + j])
                     i, j = i[ok], j[ok]
                     kept, left = forest(y - x, i, j, agree[ok])
                     found.update(tuple(sorted((int(lists.node[x + i[k]]), int(lists.node[x + j[k]])))) for k in kept)
@@ -151,7 +166,7 @@ class Links:
                 for x, y in lists:
                     i, j = np.triu_indices(y - x, 1)
                     i, j = x + i, x + j
-                    ok = may_link(percent, lists.n[i], lists.sig[i], lists.n[j], lists.sig[j])[0] & (root[i] != root[j])
+                    ok = may_link(percent, lists.n[i], lists.screen[i], lists.n[j], lists.screen[j])[0] & (root[i] != root[j])
                     found.update(tuple(sorted((int(a), int(b)))) for a, b in zip(lists.node[i[ok]], lists.node[j[ok]], strict=True))
                 if found:
                     yield pair_batch(found)
@@ -165,18 +180,23 @@ class Links:
         pivots = large.groupBy("path").agg(F.min("node").alias("low"), F.max("node").alias("high"))
         pairs = own.join(pivots, "path").select("node", F.explode(F.array("low", "high")).alias("pivot")).where("node <> pivot")
         pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        side = lambda x: self.reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-        agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
-        return pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & (agree >= AGREE)).select("a", "b")
+        side = lambda x: self.reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("screen").alias(f"screen_{x}"))
+        percent = self.percent
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Checks pairs on their full shingle sets and contracts what the links join."""
-        pairs = saved(pairs.distinct(), "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ok, _ = may_link(percent, np.asarray(batch.column(2)), screens_of(batch.column(3)), np.asarray(batch.column(4)), screens_of(batch.column(5)))
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "screen_a", "n_b", "screen_b").mapInArrow(each, "a long, b long")
+
+    def gather(self, nodes: DataFrame) -> None:
+        """Adds the full shingle sets of the nodes to `sets`."""
+        wanted = nodes.distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets, "node", "left_anti")
         wanted = saved(wanted.join(self.reps.select("node", "doc_id"), "node").select("doc_id"), "wanted")
-        shingle, percent = self.shingle, self.percent
+        shingle = self.shingle
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache = WordHash()
@@ -191,6 +211,16 @@ class Links:
         fresh = saved(texts.mapInArrow(sets, "node long, items binary").dropDuplicates(["node"]), "sets")
         self.sets = fresh if self.sets is None else self.sets.union(fresh)
 
+    def confirm(self, pairs: DataFrame) -> None:
+        """Checks pairs on their full shingle sets and contracts what the links join."""
+        pairs = pairs.distinct()
+        if self.checked is not None:
+            pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
+        pairs = saved(pairs, "pairs")
+        self.checked = pairs if self.checked is None else self.checked.union(pairs)
+        self.gather(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+        percent = self.percent
+
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):
                 kept = []
@@ -220,49 +250,76 @@ class Links:
         best = parts.groupBy("path").agg(F.max(F.struct("part", "root")).alias("best"), F.sum("part").alias("size")).where("best.part < size")
         return named.drop("size").join(best, "path").select("path", "node", "root", "size", (F.col("root") != F.col("best.root")).alias("rest"), (F.col("size") - F.col("best.part")).alias("n_rest"))
 
-    def rest_with_all(self, members: DataFrame) -> DataFrame:
-        """Pairs of different roots that can be links, of the rest with all of its group, in blocks of about FEW by FEW."""
-        percent = self.percent
+    def finer(self, members: DataFrame) -> DataFrame:
+        """node, n and a finer screen of the members."""
+        nodes = members.select("node").distinct()
+        self.gather(nodes)
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hasher = MinHasher(FINE, FINE)
+            for batch in sliced(batches):
+                sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+                screens = [hasher.of(x).astype(np.uint8).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(screens, pa.binary())], ["node", "n", "screen"])
+
+        return saved(self.sets.join(nodes, "node", "left_semi").select("node", "items").mapInArrow(each, "node long, n long, screen binary"), "finer")
+
+    def rest_with_all(self, members: DataFrame, *, best: bool) -> DataFrame:
+        """Pairs of different roots that can be links, of the rest with all of its group, in blocks of about FEW by FEW.
+        `best`: of each node and block only the pair that is most alike; else finer screens are compared."""
+        percent, screens = self.percent, None if best else self.finer(members)
+        width, least = (SCREEN, AGREE) if best else (FINE, AGREE_FINE)
         block = lambda n: F.ceil(F.col(n) / FEW).cast("int")
         every = members.select("path", "node", "root", F.lit(False).alias("rest"), F.pmod(F.xxhash64("node", F.lit(1)), block("size")).alias("y"), F.explode(F.sequence(F.lit(0), block("n_rest") - 1)).alias("x"))
         rest = members.where("rest").select("path", "node", "root", F.lit(True).alias("rest"), F.explode(F.sequence(F.lit(0), block("size") - 1)).alias("y"), F.pmod(F.xxhash64("node", F.lit(2)), block("n_rest")).alias("x"))
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, 16):
-                lists, found = Lists(batch.column(0)), set()
+                lists, found = Lists(batch.column(0), width), set()
                 root, is_rest = lists.field("root"), lists.field("rest").astype(bool)
                 for x, y in lists:
                     others = x + np.flatnonzero(~is_rest[x:y])
                     for i in (x + np.flatnonzero(is_rest[x:y])).tolist():
-                        ok = others[may_link(percent, lists.n[i], lists.sig[i], lists.n[others], lists.sig[others])[0] & (root[others] != root[i])]
-                        found.update(tuple(sorted((int(lists.node[i]), int(lists.node[j])))) for j in ok.tolist())
+                        ok, agree = may_link(percent, lists.n[i], lists.screen[i], lists.n[others], lists.screen[others], least)
+                        ok &= root[others] != root[i]
+                        chosen = others[ok][[agree[ok].argmax()]] if best and ok.any() else others[ok]
+                        found.update(tuple(sorted((int(lists.node[i]), int(lists.node[j])))) for j in chosen.tolist())
                 if found:
                     yield pair_batch(found)
 
-        return self.listed(every.unionByName(rest), ["path", "x", "y"], "root", "rest").select("all").mapInArrow(each, "a long, b long")
+        return self.listed(every.unionByName(rest), ["path", "x", "y"], "root", "rest", screens=screens).select("all").mapInArrow(each, "a long, b long")
 
     def search(self, members: DataFrame, branch=None) -> None:
         """Finds the links inside the groups of `members` (path, node). `branch`: makes the members of smaller groups of
-        those that are neither small nor nearly resolved; without it these are compared whole."""
+        those that are neither small nor nearly resolved; without it these are compared whole.
+
+        Every level first confirms the likeliest pairs, which join most texts that belong together. What stays apart in
+        groups that don't branch on is compared in full at the end, when the parts of all levels are known."""
+        small_left, large_left, likely = [], [], []
         while members is not None:
             grouped = saved(self.grouped(members), "groups")
             large = grouped.where(F.col("size") > SMALL)
             any_large = not large.isEmpty()
             small = saved(self.in_small(grouped), "small")
-            pairs = small.where("b is not null")
-            self.confirm(pairs.union(self.with_pivots(large)) if any_large else pairs)
-            open_small = grouped.join(small.where("b is null").select(F.col("a").alias("path")), "path", "left_semi")
-            across = self.across_small(self.rooted(open_small.withColumn("root", F.col("node")), "root"))
-            members = None
+            self.confirm(reduce(DataFrame.union, likely + ([self.with_pivots(large)] if any_large else []), small.where("b is not null")))
+            small_left.append(grouped.join(small.where("b is null").select(F.col("a").alias("path")), "path", "left_semi").select("path", "node"))
+            members, likely = None, []
             if any_large:
                 left = saved(self.unresolved(large), "unresolved")
                 if not left.isEmpty():
-                    across = across.union(self.rest_with_all(left.where(F.col("n_rest") <= FEW) if branch else left))
+                    narrow = left.where(F.col("n_rest") <= FEW) if branch else left
+                    likely = [self.rest_with_all(narrow, best=True)]
+                    large_left.append(narrow.select("path", "node"))
                     if branch and not (wide := left.where(F.col("n_rest") > FEW)).isEmpty():
                         members, branch = branch(wide)
-            across = saved(across, "across")
-            if not across.isEmpty():
-                self.confirm(across)
+        if likely:
+            self.confirm(likely[0])
+        across = self.across_small(self.rooted(reduce(DataFrame.union, small_left).withColumn("root", F.col("node")), "root"))
+        if large_left:
+            across = across.union(self.rest_with_all(saved(self.unresolved(reduce(DataFrame.union, large_left)), "unresolved"), best=False))
+        across = saved(across, "across")
+        if not across.isEmpty():
+            self.confirm(across)
 
     def labelled(self) -> DataFrame:
         """Each document row: doc_id, n_shingles, component_id (least id of its component), kept."""
