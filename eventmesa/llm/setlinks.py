@@ -195,7 +195,7 @@ class Links:
         wanted = nodes.distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets, "node", "left_anti")
-        wanted = saved(wanted.join(self.reps.select("node", "doc_id"), "node").select("doc_id"), "wanted")
+        wanted = saved(wanted.join(self.reps.select("node", "doc_id"), "node").select("node", "doc_id"), "wanted")
         shingle = self.shingle
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,9 +206,9 @@ class Links:
 
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
         buckets = wanted.select(bucket).distinct()  # at most ID_BUCKETS numbers; the exact join follows
-        texts = self.docs.withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi").join(wanted, "doc_id", "left_semi").select("text")
-        # Rows of one id can have several texts: the digest tells which node a text is; equal ones count once.
-        fresh = saved(texts.mapInArrow(sets, "node long, items binary").dropDuplicates(["node"]), "sets")
+        texts = self.docs.withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi").select("text")
+        # The digest tells which node a text is, so texts needn't be shuffled by id; equal sets count once, in the join's partitions.
+        fresh = saved(texts.mapInArrow(sets, "node long, items binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
         self.sets = fresh if self.sets is None else self.sets.union(fresh)
 
     def confirm(self, pairs: DataFrame) -> None:
