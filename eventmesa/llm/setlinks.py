@@ -24,7 +24,7 @@ from .components import components
 #: Minima in a signature; nodes that a group compares at once; nodes left beyond pivots that needn't branch further.
 MINIMA, SMALL, FEW = 64, 24, 256
 #: Minima of which a set's screen keeps the low byte. Pairs whose screens agree in fewer bytes aren't confirmed: at
-#: similarity 0.8 about 5 in a million pairs have so few.
+#: similarity 0.8 about 14 in a million pairs have so few.
 SCREEN, AGREE = 256, 177
 #: The same for the finer screens of texts that stay apart inside large groups.
 FINE, AGREE_FINE = 1024, 762
