@@ -15,15 +15,17 @@ def components(links: DataFrame) -> DataFrame:
     Links to oneself or with a null end are dropped; no links give no rows.
     """
     now = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
-    while True:
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    while not stars(now):
+        least = now.union(now.select("b", "a")).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+        large = now.join(least, "b").select("a", F.col("m").alias("b"))  # every greater neighbour of a node moves to the node's least one
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
         now = saved(small.distinct(), "links")
-        after = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if after == state:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        state = after
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def stars(links: DataFrame) -> bool:
+    """Whether every node either has one link to a lesser node or none: then the roots are the components' least nodes."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("down")).union(links.select("b", F.lit(0)))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.count("*").alias("n"))
+    return nodes.where("down > 1 or (down = 1 and n > 1)").isEmpty()

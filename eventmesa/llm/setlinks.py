@@ -179,7 +179,7 @@ class Links:
         own = large.groupBy("node").agg(F.max(F.struct("size", "path"))["path"].alias("path"))
         pivots = large.groupBy("path").agg(F.min("node").alias("low"), F.max("node").alias("high"))
         pairs = own.join(pivots, "path").select("node", F.explode(F.array("low", "high")).alias("pivot")).where("node <> pivot")
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))  # at most twice; confirm() drops repeats
         side = lambda x: self.reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("screen").alias(f"screen_{x}"))
         percent = self.percent
 
