@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, classlm, langid, minhash, mixing, packed, pii, secrets, warc, winnowing
+from . import chosen_path, classlm, langid, minhash, mixing, oracle, packed, pii, secrets, warc, winnowing
 from .common import crc_mod, new_path, table
 
 
@@ -76,4 +76,4 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_mixing, op4_language_id, op5_token_output, op6_fingerprints, op7_pii, op8_warc, op9_decontamination, op10_lm_scoring)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
