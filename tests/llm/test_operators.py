@@ -252,3 +252,19 @@ def test_class_model_scores(spark):
             assert r.base_score == pytest.approx(sum(np.log10((counts[t] + 1) / (n + v + 1)) for t in tokens))
     model, rare = classlm.fit(frame(spark, []).select("text"))
     assert classlm.score(docs, model, rare).where("n_known > 0").count() == 0
+
+
+def test_class_model_exchanges_words_beyond_a_fixed_head(spark):
+    """Two kinds of rare words of one shape, told apart by their neighbours only, behind more frequent ones than were exchanged."""
+    r, texts = random.Random(6), []
+    texts += [" ".join(f"h{i:04d}" for i in r.sample(range(2300), 2300)) for _ in range(9)]
+    kinds = [[f"{'qz'[k]}{i:04d}" for i in range(60)] for k in (0, 1)]
+    for _ in range(8):
+        for k, words in enumerate(kinds):
+            texts += [f"{'left over'.split()[k]}{r.randrange(2)} {w} {'this that'.split()[k]}{r.randrange(2)}" for w in words]
+    model, _ = classlm.fit(frame(spark, list(enumerate(texts))).select("text"))
+    place = lambda w: model.place.get(classlm.signed(classlm.WordHash()[w.encode()]))
+    found = [Counter(int(model.class_of[place(w)]) for w in words) for words in kinds]
+    assert model.exchanged == 2300 + 120 + 8 and all(c < model.learnt for f in found for c in f)
+    assert sum((found[0] & found[1]).values()) <= 6
+    assert classlm.classes_for(200_000) > classlm.classes_for(20_000) > classlm.CLASSES and classlm.least_count(10**6) < classlm.least_count(10**9)
