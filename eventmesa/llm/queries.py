@@ -48,7 +48,7 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.with_edited(table(spark, sf_dir, "documents"))
+    return minhash.fingerprinted(table(spark, sf_dir, "documents"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

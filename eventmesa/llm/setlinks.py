@@ -321,10 +321,10 @@ class Links:
         if not across.isEmpty():
             self.confirm(across)
 
-    def labelled(self) -> DataFrame:
-        """Each document row: doc_id, n_shingles, component_id (least id of its component), kept."""
+    def labelled(self, *more: str) -> DataFrame:
+        """Each document row: doc_id, n_shingles, component_id (least id of its component), kept, and `more` columns of `rows`."""
         named = self.rooted(self.reps.select("node", "doc_id").withColumn("root", F.col("node")), "root")
         least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         labels = named.join(least, "root").select("node", "component_id")
         own = F.coalesce("component_id", "doc_id")
-        return self.rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+        return self.rows.select("doc_id", "n_shingles", "node", *more).join(labels, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), *more)

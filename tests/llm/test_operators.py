@@ -268,3 +268,14 @@ def test_class_model_exchanges_words_beyond_a_fixed_head(spark):
     assert model.exchanged == 2300 + 120 + 8 and all(c < model.learnt for f in found for c in f)
     assert sum((found[0] & found[1]).values()) <= 6
     assert classlm.classes_for(200_000) > classlm.classes_for(20_000) > classlm.CLASSES and classlm.least_count(10**6) < classlm.least_count(10**9)
+
+
+def test_fingerprints_query_links_near_copies(spark):
+    texts = families()
+    path = new_path(spark, "fingerprints")
+    frame(spark, texts).write.parquet(f"{path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op6_fingerprints(spark, path).collect()}
+    expected = {r.doc_id: r for r in minhash.with_edited(frame(spark, texts)).collect()}
+    assert {i: (r.n_shingles, r.component_id) for i, r in rows.items()} == brute_components(texts, minhash.SHINGLE, 80)
+    assert all(r.kept == (r.component_id == i) for i, r in rows.items())
+    assert all(rows[i][c] == r[c] for i, r in expected.items() for c in r.__fields__)
