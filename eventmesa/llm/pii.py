@@ -17,12 +17,13 @@ KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)",
-    "date": r"(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\w/-])",
+    "date": r"(?<![\w/-])(?:\d{4}-\d{2}-\d{2}(?=T\d{2}:\d{2})|(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\w/-]))",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w(])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!\w)",
     "card": r"(?<![\w-])(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![\w-])",
 }
-WHOLE = {kind: f"^(?:{p[p.index(')') + 1 :] if p.startswith('(?<!') else p})$" for kind, p in PATTERNS.items()}
+# A value stands alone when its kind is told: what must follow a date isn't part of it.
+WHOLE = {kind: f"^(?:{p[p.index(')') + 1 :] if p.startswith('(?<!') else p})$" for kind, p in PATTERNS.items()} | {"date": r"^(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$"}
 #: Candidates other than e-mail addresses begin with a digit, a plus or a bracket.
 NUMBERS = r"(?=[0-9+(])(?:" + "|".join(p for k, p in PATTERNS.items() if k != "email") + ")"
 ANY = f"{PATTERNS['email']}|{NUMBERS}"
@@ -118,10 +119,15 @@ def ip(value: Column, key: str) -> Column:
     return let(pair, lambda p: F.concat_ws(".", *(x.cast("string") for n in ("x", "y") for x in (F.floor(p[n] / 256), p[n] % 256))))
 
 
+def day_first(value: Column) -> Column:
+    return F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2)).try_cast("date")
+
+
 def day_of(value: Column) -> Column:
-    """Days since 1900-01-01 of a date in either format (day first where slashes stand), null if there is none."""
-    iso = F.when(value.contains("/"), F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2))).otherwise(value)
-    return F.date_diff(iso.try_cast("date"), F.lit("1900-01-01").cast("date"))
+    """Days since 1900-01-01 of a date in any format (with slashes day first, or else month first), null if there is none."""
+    month_first = F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 1, 2), F.substring(value, 4, 2)).try_cast("date")
+    own = F.when(value.contains("/"), F.coalesce(day_first(value), month_first)).otherwise(value.try_cast("date"))
+    return F.date_diff(own, F.lit("1900-01-01").cast("date"))
 
 
 def date(value: Column, key: str) -> Column:
@@ -131,7 +137,7 @@ def date(value: Column, key: str) -> Column:
     walk = lambda first: F.aggregate(F.sequence(F.lit(1), F.lit(24)), first + DAYS, lambda d, i: F.when((i > 1) & (d < DAYS), d).otherwise(step(F.when(i == 1, d - DAYS).otherwise(d))))
     walked = let(day_of(value).cast("long"), walk)
     day = F.date_add(F.lit("1900-01-01").cast("date"), walked.cast("int"))
-    return let(day, lambda d: F.when(value.contains("/"), F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "yyyy-MM-dd")))
+    return let(day, lambda d: F.when(value.contains("/"), F.when(day_first(value).isNotNull(), F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy"))).otherwise(F.date_format(d, "yyyy-MM-dd")))
 
 
 def email(value: Column, key: str) -> Column:

@@ -279,3 +279,13 @@ def test_fingerprints_query_links_near_copies(spark):
     assert {i: (r.n_shingles, r.component_id) for i, r in rows.items()} == brute_components(texts, minhash.SHINGLE, 80)
     assert all(r.kept == (r.component_id == i) for i, r in rows.items())
     assert all(rows[i][c] == r[c] for i, r in expected.items() for c in r.__fields__)
+
+
+def test_pseudonyms_of_date_times_and_month_first_dates(spark):
+    docs = frame(spark, [(1, "1980-05-01T12:00:00Z 1980-05-01"), (2, "12/25/1980"), (3, "13/13/1980 1980-13-01T12:00 1980-05-01Tx 1980-05-01-2"), (4, "25/12/1980")])
+    rows = {r.doc_id: r for r in pii.pseudonymised(docs, key="k").collect()}
+    first, second = rows[1].text.split()
+    assert first == second + "T12:00:00Z" and second != "1980-05-01" and [rows[i].n_date for i in (1, 2, 3, 4)] == [2, 1, 0, 1]
+    (m, d, y), (d4, m4, y4) = rows[2].text.split("/"), rows[4].text.split("/")
+    assert (d, m, y) == (d4, m4, y4) and int(m) <= 12 and rows[2].text != "12/25/1980"
+    assert rows[3].text == "13/13/1980 1980-13-01T12:00 1980-05-01Tx 1980-05-01-2"
