@@ -94,22 +94,41 @@ class WordScores(dict):
         return sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.model.bias, sums[:, -1]
 
 
-def trained(counts: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, languages: list[str], *, epochs: int = 12, batch: int = 32, rate: float = 4.0, seed: int = 11) -> Model:
-    """counts: of each row its buckets and how often they occur. Every fifth row calibrates and isn't learnt from."""
+@dataclass(frozen=True)
+class Counts:
+    """The bucket counts of training rows, as flat arrays: row i has the entries from starts[i] to starts[i + 1]."""
+
+    starts: np.ndarray
+    at: np.ndarray  # int16, a bucket
+    share: np.ndarray  # float32, of the row's subwords
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.starts[i], self.starts[i + 1]
+        return self.at[a:b], self.share[a:b]
+
+    def some(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place among `rows`, bucket, share) of all their entries."""
+        parts = [self.row(i) for i in rows]
+        return np.repeat(np.arange(len(rows)), [len(x) for x, _ in parts]), np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+
+
+def trained(counts: Counts, targets: np.ndarray, languages: list[str], *, epochs: int = 12, batch: int = 32, rate: float = 4.0, seed: int = 11) -> Model:
+    """Every fifth row calibrates and isn't learnt from."""
     rng = np.random.default_rng(seed)
     n, k = len(counts), len(languages)
     table, layer, bias = rng.normal(0, 0.1, (BUCKETS, WIDTH)), np.zeros((WIDTH, k)), np.zeros(k)
     held = np.arange(n) % 5 == 4 if n >= 20 else np.zeros(n, bool)
     learn = np.flatnonzero(~held)
     steps, step = max(1, epochs * -(-len(learn) // batch)), 0
-    shares = [c / c.sum() if len(c) else c for _, c in counts]
     for _ in range(epochs):
         order = rng.permutation(learn)
         for i in range(0, len(order), batch):
             some, lr = order[i : i + batch], rate * (1 - step / steps)
             step += 1
-            rows = np.repeat(np.arange(len(some)), [len(counts[j][0]) for j in some])
-            at, share = np.concatenate([counts[j][0] for j in some]), np.concatenate([shares[j] for j in some])
+            rows, at, share = counts.some(some)
             used, inverse = np.unique(at, return_inverse=True)
             dense = np.zeros((len(some), len(used)))
             dense[rows, inverse] = share
@@ -126,20 +145,22 @@ def trained(counts: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, la
     scores = table @ layer
     model = Model(languages, scores, bias, 1.0, 0.0)
     check = np.flatnonzero(held) if held.any() else np.arange(n)
-    logits = np.array([(shares[j] @ scores[counts[j][0]] if len(shares[j]) else np.zeros(k)) + bias for j in check]).reshape(-1, k)
-    loss = {t: -np.log(np.maximum(Model(languages, scores, bias, t, 0).probabilities(logits)[np.arange(len(check)), targets[check]], 1e-12)).mean() for t in np.geomspace(0.05, 8, 40)} if len(check) else {1.0: 0}
+    logits = np.array([share @ scores[at] + bias for at, share in map(counts.row, check)]).reshape(-1, k)
+    # Sharpening past the likelihood that training fitted (below 1) would make every text look sure.
+    loss = {t: -np.log(np.maximum(Model(languages, scores, bias, t, 0).probabilities(logits)[np.arange(len(check)), targets[check]], 1e-12)).mean() for t in np.geomspace(1, 8, 24)} if len(check) else {1.0: 0}
     temperature = float(min(loss, key=loss.get))
     best = Model(languages, scores, bias, temperature, 0).probabilities(logits)
     right = np.sort(best.max(axis=1)[best.argmax(axis=1) == targets[check]]) if len(check) else np.zeros(0)
-    # A text is rejected when it is less sure than all but one in a thousand of the right answers, and never above one half.
-    least = float(right[len(right) // 1000]) * 0.9 if len(right) else 0.0
-    return Model(model.languages, scores, bias, temperature, min(0.5, least))
+    # A text is rejected when it is less sure, by a tenth, than all but one in two hundred of the right answers.
+    least = float(right[len(right) // 200]) * 0.9 if len(right) else 0.0
+    return Model(model.languages, scores, bias, temperature, least)
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the languages in `lang_col`, from about `sample_rows` rows chosen by a hash of their ids, whole texts.
 
-    Rows with null text or language teach nothing. With no labelled row there is no language, and all texts are unknown.
+    Rows with null text or language teach nothing; repeated rows each teach. With no labelled row there is no language,
+    and all texts are unknown. The driver holds at most BUCKETS entries of 6 bytes for each sampled row.
     """
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).na.drop(subset=["text", "lang"])
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
@@ -154,12 +175,19 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
             found = []
             for text in utf8(batch, "text"):
                 forms = [f for f in map(letters, text.split()) if f]
-                found.append(np.unique(subwords(forms)[0], return_counts=True) if forms else (np.zeros(0, int), np.zeros(0, int)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (0, 1))], ["key", "lang", "at", "n"])
+                at, n = np.unique(subwords(forms)[0], return_counts=True) if forms else (np.zeros(0, int), np.zeros(0, int))
+                found.append((at.astype(np.int16), (n / max(1, n.sum())).astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x for x, _ in found], pa.list_(pa.int16())), pa.array([x for _, x in found], pa.list_(pa.float32()))], ["key", "lang", "at", "share"])
 
-    rows = labelled.where(draw < share[F.col("lang")]).select(F.xxhash64("doc_id").alias("key"), "text", "lang").mapInArrow(count, "key long, lang string, at array<int>, n array<int>").toArrow().sort_by("key")
-    counts = [(np.array(a, np.int64), np.array(c, np.float64)) for a, c in zip(rows["at"].to_pylist(), rows["n"].to_pylist(), strict=True)]
-    return trained(counts, np.array([languages.index(x) for x in rows["lang"].to_pylist()], np.int64), languages)
+    rows = labelled.where(draw < share[F.col("lang")]).select(F.xxhash64("doc_id", "text").alias("key"), "text", "lang").mapInArrow(count, "key long, lang string, at array<short>, share array<float>").toArrow()
+    order = np.argsort(rows["key"].to_numpy(), kind="stable")  # a sample reads alike however Spark cut it into tasks
+    targets = np.array([languages.index(x) for x in rows["lang"].to_pylist()], np.int64)[order]
+    sizes_of = rows["at"].combine_chunks().value_lengths().to_numpy() if rows.num_rows else np.zeros(0, np.int64)
+    at, shares = (np.concatenate([c.flatten().to_numpy() for c in rows[name].chunks] or [np.zeros(0, kind)]) for name, kind in (("at", np.int16), ("share", np.float32)))
+    del rows
+    ends = np.cumsum(sizes_of)
+    places = np.concatenate([np.arange(ends[i] - sizes_of[i], ends[i], dtype=np.int32) for i in order] or [np.zeros(0, np.int32)])
+    return trained(Counts(np.concatenate([[0], np.cumsum(sizes_of[order])]), at[places], shares[places]), targets, languages)
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +217,9 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, whose language isn't rejected."""
+    """The documents, with all their columns, whose language isn't rejected. A null text or one without a letter is
+    rejected; repeated rows share a verdict; other columns don't matter, whatever their names. A model without languages
+    keeps nothing, and an empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

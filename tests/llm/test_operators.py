@@ -289,3 +289,19 @@ def test_pseudonyms_of_date_times_and_month_first_dates(spark):
     (m, d, y), (d4, m4, y4) = rows[2].text.split("/"), rows[4].text.split("/")
     assert (d, m, y) == (d4, m4, y4) and int(m) <= 12 and rows[2].text != "12/25/1980"
     assert rows[3].text == "13/13/1980 1980-13-01T12:00 1980-05-01Tx 1980-05-01-2"
+
+
+def test_language_id_rejects_a_language_that_it_did_not_learn(spark):
+    r = random.Random(12)
+    alphabet = {"aa": "eintrsdhul", "bb": "aoqécuèmpg", "cc": "kwyzjvxbfå"}
+    lexicon = {lang: ["".join(r.choices(letters, k=r.randint(3, 7))) for _ in range(60)] for lang, letters in alphabet.items()}
+    lang = {i: ["aa", "bb", "cc"][i % 3] for i in range(900)}
+    docs = frame(spark, [(i, " ".join(r.choices(lexicon[x], k=12))) for i, x in lang.items()], lang=lang)
+    model = langid.fit(langid.teaching(docs).where("lang <> 'cc'"))
+    got = {(x.lang, x.rejected): x.n for x in langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "rejected").agg(F.count("*").alias("n")).collect()}
+    assert got.get(("cc", True), 0) >= 270 and all(got.get((x, False), 0) >= 290 for x in ("aa", "bb"))
+    kept = langid.keep_known(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(n for (_, rejected), n in got.items() if not rejected)
+    assert langid.keep_known(frame(spark, []), model).count() == 0
+    flat = langid.Counts(np.array([0, 2, 2, 3]), np.array([4, 5, 6], np.int16), np.array([0.5, 0.5, 1], np.float32))
+    assert [x.tolist() for x in flat.some(np.array([2, 0]))] == [[0, 1, 1], [6, 4, 5], [1, 0.5, 0.5]] and len(flat) == 3
