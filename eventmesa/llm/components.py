@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import dropped, saved
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,8 +20,11 @@ def components(links: DataFrame) -> DataFrame:
         large = now.join(least, "b").select("a", F.col("m").alias("b"))  # every greater neighbour of a node moves to the node's least one
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
-        now = saved(small.distinct(), "links")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        last, now = now, saved(small.distinct(), "links")
+        dropped(last)
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out.saved_at = now.saved_at
+    return out
 
 
 def stars(links: DataFrame) -> bool:

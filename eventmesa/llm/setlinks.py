@@ -1,8 +1,10 @@
 """Finding and confirming links between similar sets inside groups of candidates.
 
 Texts with equal shingle sets form one node. A group (`path`) holds nodes that a similarity join put together. Small
-groups are compared exhaustively. In a larger one every node is compared with two pivots first; what those links don't
-connect is then compared with the whole group, in blocks, so no group is gathered and no link is lost.
+groups are compared exhaustively. A larger one is cut into blocks that are compared exhaustively, and share a few anchors
+that tie the blocks together. What those links don't connect branches on, into smaller groups; a rest that is small, or
+that branching doesn't make small, is compared with its whole group, block by block, so no group is gathered and no link
+is lost.
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MinHasher, WordHash, saved, shingle_set, sliced, utf8
+from .common import MinHasher, WordHash, dropped, saved, shingle_set, sliced, utf8
 from .components import components
 
-#: Minima in a signature; nodes that a group compares at once; nodes left beyond pivots that needn't branch further.
-MINIMA, SMALL, FEW = 64, 24, 256
+#: Minima in a signature; nodes of a block, which are compared at once; anchors that a larger group's blocks share.
+MINIMA, BLOCK, ANCHORS = 64, 128, 8
+#: Nodes outside a group's largest part up to which the group doesn't branch on: each of its nodes is then compared with so
+#: many at most, so the work grows with the group's size. They are compared in blocks of FEW by FEW.
+WIDE, FEW = 2048, 512
 #: Minima of which a set's screen keeps the low byte. Pairs whose screens agree in fewer bytes aren't confirmed: at
 #: similarity 0.8 about 14 in a million pairs have so few.
 SCREEN, AGREE = 256, 177
@@ -125,6 +130,12 @@ class Links:
         self.sets: DataFrame | None = None
         self.checked: DataFrame | None = None
         self.roots: DataFrame | None = None
+        self.scratch: list[DataFrame] = []
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that goes when the search ends."""
+        self.scratch.append(saved(df, name))
+        return self.scratch[-1]
 
     def grouped(self, members: DataFrame) -> DataFrame:
         """members: path, node. Adds the group's size and drops groups of one."""
@@ -134,33 +145,44 @@ class Links:
     def listed(self, members: DataFrame, by: list[str], *more: str, screens: DataFrame | None = None) -> DataFrame:
         return members.join((self.reps if screens is None else screens).select("node", "n", "screen"), "node").groupBy(*by).agg(F.collect_list(F.struct("node", "n", "screen", *more)).alias("all"))
 
-    def in_small(self, grouped: DataFrame) -> DataFrame:
-        """Of groups of at most SMALL nodes, all compared: the pairs (a, b) of a forest over those that can be links;
-        with b null, a is the path of a group that has further such pairs."""
+    def in_blocks(self, grouped: DataFrame) -> DataFrame:
+        """Of the blocks of all groups, compared exhaustively: the pairs (a, b) of a forest over those that can be links;
+        with b null, a is the path of a small group that has further such pairs.
+
+        A group of at most BLOCK nodes is one block. A larger one has a power of two of them, by a hash of the node, so
+        groups that share most of their nodes share their blocks; each anchor, the least node of its hash, is in all."""
         percent = self.percent
+        blocks = F.pow(F.lit(2), F.greatest(F.ceil(F.log2(F.col("size") / BLOCK)), F.lit(0))).cast("int")
+        own = grouped.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+        large = own.where(F.col("size") > BLOCK)
+        least = [F.min(F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(ANCHORS)) == i, F.struct("node", "block"))) for i in range(ANCHORS)]
+        anchors = large.groupBy("path", "blocks").agg(F.array_compact(F.array(*least)).alias("anchors")).select("path", "blocks", F.explode("anchors").alias("anchor"))
+        shared = anchors.select("path", "anchor", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("block <> anchor.block")
+        every = own.select("path", "block", "node", (F.col("blocks") == 1).alias("whole")).union(shared.select("path", F.col("block").cast("int"), "anchor.node", F.lit(False)))
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches):
+            for batch in sliced(batches, 64):
                 lists, found, more = Lists(batch.column(1)), set(), []
+                whole = lists.field("whole").astype(bool)
                 for path, (x, y) in zip(batch.column(0).to_pylist(), lists, strict=True):
                     i, j = np.triu_indices(y - x, 1)
                     ok, agree = may_link(percent, lists.n[x + i], lists.screen[x + i], lists.n[x + j], lists.screen[x + j])
                     i, j = i[ok], j[ok]
                     kept, left = forest(y - x, i, j, agree[ok])
                     found.update(tuple(sorted((int(lists.node[x + i[k]]), int(lists.node[x + j[k]])))) for k in kept)
-                    more += [path] * left
+                    more += [path] * (left and bool(whole[x]))
                 if found or more:
                     a, b = [p[0] for p in found] + more, [p[1] for p in found] + [None] * len(more)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        return self.listed(grouped.where(F.col("size") <= SMALL), ["path"]).select("path", "all").mapInArrow(each, "a long, b long")
+        return self.listed(every, ["path", "block"], "whole").select("path", "all").mapInArrow(each, "a long, b long")
 
     def across_small(self, members: DataFrame) -> DataFrame:
         """Of small groups (path, node, root), the pairs of different roots that can be links."""
         percent = self.percent
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches):
+            for batch in sliced(batches, 64):
                 lists, found = Lists(batch.column(0)), set()
                 root = lists.field("root")
                 for x, y in lists:
@@ -174,28 +196,14 @@ class Links:
         several = members.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("path")
         return self.listed(members.join(several, "path"), ["path"], "root").select("all").mapInArrow(each, "a long, b long")
 
-    def with_pivots(self, large: DataFrame) -> DataFrame:
-        """Pairs of each node and the least and greatest node of the largest group that it is in."""
-        own = large.groupBy("node").agg(F.max(F.struct("size", "path"))["path"].alias("path"))
-        pivots = large.groupBy("path").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        pairs = own.join(pivots, "path").select("node", F.explode(F.array("low", "high")).alias("pivot")).where("node <> pivot")
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))  # at most twice; confirm() drops repeats
-        side = lambda x: self.reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("screen").alias(f"screen_{x}"))
-        percent = self.percent
-
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok, _ = may_link(percent, np.asarray(batch.column(2)), screens_of(batch.column(3)), np.asarray(batch.column(4)), screens_of(batch.column(5)))
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "screen_a", "n_b", "screen_b").mapInArrow(each, "a long, b long")
-
     def gather(self, nodes: DataFrame) -> None:
         """Adds the full shingle sets of the nodes to `sets`."""
         wanted = nodes.distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets, "node", "left_anti")
-        wanted = saved(wanted.join(self.reps.select("node", "doc_id"), "node").select("node", "doc_id"), "wanted")
+        wanted = self.saved(wanted.join(self.reps.select("node", "doc_id"), "node").select("node", "doc_id"), "wanted")
+        if wanted.isEmpty():
+            return
         shingle = self.shingle
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +216,7 @@ class Links:
         buckets = wanted.select(bucket).distinct()  # at most ID_BUCKETS numbers; the exact join follows
         texts = self.docs.withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi").select("text")
         # The digest tells which node a text is, so texts needn't be shuffled by id; equal sets count once, in the join's partitions.
-        fresh = saved(texts.mapInArrow(sets, "node long, items binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+        fresh = self.saved(texts.mapInArrow(sets, "node long, items binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
         self.sets = fresh if self.sets is None else self.sets.union(fresh)
 
     def confirm(self, pairs: DataFrame) -> None:
@@ -216,9 +224,14 @@ class Links:
         pairs = pairs.distinct()
         if self.checked is not None:
             pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
+        pairs = self.saved(pairs, "pairs")
+        if self.roots is not None and pairs.isEmpty():
+            return
         self.checked = pairs if self.checked is None else self.checked.union(pairs)
         self.gather(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+        if self.sets is None:
+            self.roots = components(pairs)
+            return
         percent = self.percent
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,10 +245,12 @@ class Links:
         side = lambda x: self.sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
         links = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(check, "a long, b long")
         if self.roots is None:
-            self.roots = saved(components(links), "roots")
+            over = components(links)
+            self.roots = self.saved(over, "roots")
         else:  # earlier components count as one node each
             over = components(self.rooted(self.rooted(links, "a"), "b"))
-            self.roots = saved(self.rooted(over.select("node").union(self.roots.select("node")).distinct().withColumn("at", F.col("node")), "at").join(over.select(F.col("node").alias("at"), "root"), "at", "left").select("node", F.coalesce("root", "at").alias("root")), "roots")
+            self.roots = self.saved(self.rooted(over.select("node").union(self.roots.select("node")).distinct().withColumn("at", F.col("node")), "at").join(over.select(F.col("node").alias("at"), "root"), "at", "left").select("node", F.coalesce("root", "at").alias("root")), "roots")
+        dropped(over)
 
     def rooted(self, rows: DataFrame, column: str) -> DataFrame:
         """The rows with a node column replaced by its component's root."""
@@ -262,32 +277,34 @@ class Links:
                 screens = [hasher.of(x).astype(np.uint8).tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(screens, pa.binary())], ["node", "n", "screen"])
 
-        return saved(self.sets.join(nodes, "node", "left_semi").select("node", "items").mapInArrow(each, "node long, n long, screen binary"), "finer")
+        return self.saved(self.sets.join(nodes, "node", "left_semi").select("node", "items").mapInArrow(each, "node long, n long, screen binary"), "finer")
 
     def rest_with_all(self, members: DataFrame, *, best: bool) -> DataFrame:
-        """Pairs of different roots that can be links, of the rest with all of its group, in blocks of about FEW by FEW.
+        """Pairs of different roots that can be links, of the rest with all of its group: blocks of FEW nodes are put
+        together once, and each block of the rest then meets each of the group.
         `best`: of each node and block only the pair that is most alike; else finer screens are compared."""
         percent, screens = self.percent, None if best else self.finer(members)
         width, least = (SCREEN, AGREE) if best else (FINE, AGREE_FINE)
-        block = lambda n: F.ceil(F.col(n) / FEW).cast("int")
-        every = members.select("path", "node", "root", F.lit(False).alias("rest"), F.pmod(F.xxhash64("node", F.lit(1)), block("size")).alias("y"), F.explode(F.sequence(F.lit(0), block("n_rest") - 1)).alias("x"))
-        rest = members.where("rest").select("path", "node", "root", F.lit(True).alias("rest"), F.explode(F.sequence(F.lit(0), block("size") - 1)).alias("y"), F.pmod(F.xxhash64("node", F.lit(2)), block("n_rest")).alias("x"))
+        members = members.withColumn("ys", F.ceil(F.col("size") / FEW).cast("int")).withColumn("xs", F.ceil(F.col("n_rest") / FEW).cast("int"))
+        put = lambda rows, name, n, seed: self.listed(rows.withColumn(name, F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")), ["path", name, "xs", "ys"], "root", screens=screens)
+        every = put(members, "y", "ys", 1).select("path", "y", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), "all")
+        rest = put(members.where("rest"), "x", "xs", 2).select("path", "x", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), F.col("all").alias("rest"))
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches, 16):
-                lists, found = Lists(batch.column(0), width), set()
-                root, is_rest = lists.field("root"), lists.field("rest").astype(bool)
-                for x, y in lists:
-                    others = x + np.flatnonzero(~is_rest[x:y])
-                    for i in (x + np.flatnonzero(is_rest[x:y])).tolist():
-                        ok, agree = may_link(percent, lists.n[i], lists.screen[i], lists.n[others], lists.screen[others], least)
-                        ok &= root[others] != root[i]
-                        chosen = others[ok][[agree[ok].argmax()]] if best and ok.any() else others[ok]
-                        found.update(tuple(sorted((int(lists.node[i]), int(lists.node[j])))) for j in chosen.tolist())
+            for batch in sliced(batches, 8):
+                rest, every, found = Lists(batch.column(0), width), Lists(batch.column(1), width), set()
+                rest_root, root = rest.field("root"), every.field("root")
+                for (a, b), (x, y) in zip(rest, every, strict=True):
+                    for i in range(a, b):
+                        ok, agree = may_link(percent, rest.n[i], rest.screen[i], every.n[x:y], every.screen[x:y], least)
+                        at = np.flatnonzero(ok & (root[x:y] != rest_root[i]))
+                        if best and len(at):
+                            at = at[[agree[at].argmax()]]
+                        found.update(tuple(sorted((int(rest.node[i]), int(n)))) for n in every.node[x + at])
                 if found:
                     yield pair_batch(found)
 
-        return self.listed(every.unionByName(rest), ["path", "x", "y"], "root", "rest", screens=screens).select("all").mapInArrow(each, "a long, b long")
+        return every.join(rest, ["path", "x", "y"]).select("rest", "all").mapInArrow(each, "a long, b long")
 
     def search(self, members: DataFrame, branch=None) -> None:
         """Finds the links inside the groups of `members` (path, node). `branch`: makes the members of smaller groups of
@@ -297,29 +314,28 @@ class Links:
         groups that don't branch on is compared in full at the end, when the parts of all levels are known."""
         small_left, large_left, likely = [], [], []
         while members is not None:
-            grouped = saved(self.grouped(members), "groups")
-            large = grouped.where(F.col("size") > SMALL)
-            any_large = not large.isEmpty()
-            small = saved(self.in_small(grouped), "small")
-            self.confirm(reduce(DataFrame.union, likely + ([self.with_pivots(large)] if any_large else []), small.where("b is not null")))
-            small_left.append(grouped.join(small.where("b is null").select(F.col("a").alias("path")), "path", "left_semi").select("path", "node"))
+            grouped = self.saved(self.grouped(members), "groups")
+            pairs = self.saved(self.in_blocks(grouped), "blocks")
+            self.confirm(reduce(DataFrame.union, likely, pairs.where("b is not null")))
+            small_left.append(grouped.join(pairs.where("b is null").select(F.col("a").alias("path")), "path", "left_semi").select("path", "node"))
             members, likely = None, []
-            if any_large:
-                left = saved(self.unresolved(large), "unresolved")
-                if not left.isEmpty():
-                    narrow = left.where(F.col("n_rest") <= FEW) if branch else left
-                    likely = [self.rest_with_all(narrow, best=True)]
-                    large_left.append(narrow.select("path", "node"))
-                    if branch and not (wide := left.where(F.col("n_rest") > FEW)).isEmpty():
-                        members, branch = branch(wide)
+            left = self.saved(self.unresolved(grouped.where(F.col("size") > BLOCK)), "unresolved")
+            if not left.isEmpty():
+                narrow = left.where(F.col("n_rest") <= WIDE) if branch else left
+                likely = [self.rest_with_all(narrow, best=True)]
+                large_left.append(narrow.select("path", "node"))
+                if branch and not (wide := left.where(F.col("n_rest") > WIDE)).isEmpty():
+                    members, branch = branch(wide)
         if likely:
             self.confirm(likely[0])
         across = self.across_small(self.rooted(reduce(DataFrame.union, small_left).withColumn("root", F.col("node")), "root"))
         if large_left:
-            across = across.union(self.rest_with_all(saved(self.unresolved(reduce(DataFrame.union, large_left)), "unresolved"), best=False))
-        across = saved(across, "across")
-        if not across.isEmpty():
-            self.confirm(across)
+            across = across.union(self.rest_with_all(self.saved(self.unresolved(reduce(DataFrame.union, large_left)), "unresolved"), best=False))
+        self.confirm(across)
+        kept = self.roots
+        for old in self.scratch:
+            if old is not kept:
+                dropped(old)
 
     def labelled(self, *more: str) -> DataFrame:
         """Each document row: doc_id, n_shingles, component_id (least id of its component), kept, and `more` columns of `rows`."""
