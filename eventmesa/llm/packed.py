@@ -7,19 +7,19 @@ rest stand in an exception list. Segments are written by Spark as rows of a Parq
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache as once
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced
+from .common import sliced, sliced_bytes
 
 #: Fixed values of the format: mark, ids in a block, lanes of a packed block, per cent of a block's ids that its width must fit.
 MAGIC, BLOCK, LANES, FIT = b"PFB1", 256, 8, 92
@@ -28,7 +28,13 @@ ROWS = BLOCK // LANES
 SEGMENT_IDS = 1 << 19
 #: Encoded pieces of text that a Python worker keeps, twice: the newer ones and those before.
 CACHE_PIECES = 500_000
-SPACES = re.compile(r"\s\s")
+#: Bytes of text that are encoded at once (at least one text).
+SLICE_BYTES = 6_000_000
+#: Of a text that is encoded whole: white space at an end or next to other, or what may be a special token.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+#: A letter and a mark after it, which a byte-level pre-tokenizer parts.
+MARKED = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,])"
+WHOLE = rf"^{SPACE}|{SPACE}{SPACE}|{SPACE}$|\x00|<\|"
 
 
 def bit_length(x: np.ndarray) -> np.ndarray:
@@ -127,9 +133,10 @@ def tokenizer_at(path: str):
 class Pieces:
     """Encodes texts, keeping the ids of pieces met before as little-endian 32-bit bytes.
 
-    A byte-level pre-tokenizer cuts before a lone space and around a lone line end, so such pieces can be encoded one by
-    one. New pieces are encoded together, a line end between them. A text with other white space next to each other or
-    at its ends, or with what may be a special token, is encoded whole, as all texts are with other tokenizers.
+    A byte-level pre-tokenizer cuts before a lone space, around a lone line end and between a letter and a mark, so such
+    pieces can be encoded one by one. Arrow cuts a batch and finds its distinct pieces; those not known are encoded together, a line end between them,
+    and all ids are then gathered by offsets. A text with other white space next to each other or at its ends, or with
+    what may be a special token, is encoded whole, as all texts are with other tokenizers.
     """
 
     def __init__(self, path: str):
@@ -137,40 +144,60 @@ class Pieces:
         self.cuts = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.line_end = self.encoded("\n") if self.cuts else []
+        self.line_end = self.encoded(["\n"])[0] if self.cuts else []
         self.cuts = len(self.line_end) == 1
 
-    def encoded(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.encoded(text), "<u4").tobytes()
-
-    def plain(self, text: str) -> bool:
-        return self.cuts and not ("\0" in text or "<|" in text or text[:1].isspace() or text[-1:].isspace() or SPACES.search(text))
-
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: list[str]) -> None:
         if len(self.known) > CACHE_PIECES:
             self.older, self.known = self.known, {}
         fresh = []
-        for piece in pieces - self.known.keys():
+        for piece in pieces:
+            if piece in self.known:
+                continue
             if (ids := self.older.get(piece)) is not None:
                 self.known[piece] = ids
             elif piece in ("", "\n"):
-                self.known[piece] = self.whole(piece)
+                self.known[piece] = np.array(self.encoded([piece])[0], "<u4").tobytes()
             else:
                 fresh.append(piece)
         if fresh:
-            ids = np.array(self.encoded("\n".join(fresh)), "<u4")
+            ids = np.array(self.encoded(["\n".join(fresh)])[0], "<u4")
             cuts = np.flatnonzero(ids == self.line_end[0]).tolist()
             raw = ids.tobytes()
             self.known.update((x, raw[4 * a + 4 : 4 * b]) for x, a, b in zip(fresh, [-1, *cuts], [*cuts, len(ids)], strict=True))
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if self.plain(t) else None for t in texts]
-        self.learn(set().union(*(x for x in split if x)))
-        get = self.known.__getitem__
-        return [self.whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split, strict=True)]
+    def of(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, `end_id` after each, and how many each has."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        plain = ~np.asarray(pc.match_substring_regex(texts, WHOLE)) if self.cuts else np.zeros(len(texts), bool)
+        marked = pc.replace_substring_regex(texts.filter(pa.array(plain)), MARKED, "\\1\0\\2")
+        marked = pc.replace_substring(pc.replace_substring(marked, " ", "\0 "), "\n", "\0\n\0")
+        split = pc.split_pattern(marked, "\0")
+        coded = split.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        self.learn(pieces)
+        found = [*map(self.known.__getitem__, pieces)]
+        found += [np.array(x, "<u4").tobytes() for x in self.encoded(texts.filter(pa.array(~plain)).to_pylist())]
+        found.append(np.array([end_id], "<u4").tobytes())
+        # Of each text the codes of its pieces (one for a text encoded whole), then that of the end.
+        counts = np.ones(len(texts), np.int64)
+        counts[plain] = split.value_lengths().to_numpy()
+        ends = np.cumsum(counts + 1)
+        codes = np.empty(ends[-1] if len(ends) else 0, np.int64)
+        is_plain = np.repeat(plain, counts + 1)
+        is_end = np.zeros(len(codes), bool)
+        is_end[ends - 1] = True
+        codes[is_end] = len(found) - 1
+        codes[is_plain & ~is_end] = coded.indices.to_numpy()
+        codes[~is_plain & ~is_end] = len(pieces) + np.arange(int((~plain).sum()))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        own = sizes[codes]
+        shift = (np.cumsum(sizes) - sizes)[codes] - (np.cumsum(own) - own)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(shift, own) + np.arange(int(own.sum()))]
+        return ids, np.add.reduceat(own, ends - counts - 1) if len(ends) else np.zeros(0, np.int64)
 
 
 @once
@@ -187,28 +214,29 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
     """
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_ids", T.ArrayType(id_type)), *T._parse_datatype_string("shard int, part int, n_ids long, payload binary").fields])
-    end = np.array([end_id], "<u4").tobytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, shard, part = pieces_for(tokenizer_path), TaskContext.get().partitionId(), 0
-        names, found, held = [], [], 0
+        names, found, sizes, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in found], np.int64)
-            payload = pack(np.frombuffer(b"".join(found), "<u4"), lengths)
-            columns = [pa.array([names], pa.list_(kind)), pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), pa.array([payload], pa.binary())]
+            own, lengths = pa.concat_arrays(names), np.concatenate(sizes)
+            payload = pack(np.concatenate(found), lengths)
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), pa.array([payload], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["doc_ids", "shard", "part", "n_ids", "payload"])
 
-        for batch in sliced(batches):
-            kind = batch.schema.field(0).type
-            encoded = pieces.of([t or "" for t in batch.column(1).to_pylist()])
-            for name, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                names.append(name)
-                found.append(ids + end)
-                held += len(found[-1]) // 4
+        for batch in sliced_bytes(batches, 1, SLICE_BYTES):
+            ids, lengths = pieces.of(batch.column(1), end_id)
+            ends, row, at = np.cumsum(lengths), 0, 0
+            while row < len(lengths):
+                to = min(int(np.searchsorted(ends, at + SEGMENT_IDS - held)) + 1, len(lengths))  # the document that fills the segment
+                names.append(batch.column(0).slice(row, to - row))
+                found.append(ids[at : ends[to - 1]])
+                sizes.append(lengths[row:to])
+                held, row, at = held + len(found[-1]), to, int(ends[to - 1])
                 if held >= SEGMENT_IDS:
                     yield flush()
-                    names, found, held, part = [], [], 0, part + 1
+                    names, found, sizes, held, part = [], [], [], 0, part + 1
         if names:
             yield flush()
 
