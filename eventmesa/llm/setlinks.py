@@ -2,9 +2,9 @@
 
 Texts with equal shingle sets form one node. A group (`path`) holds nodes that a similarity join put together. Small
 groups are compared exhaustively. A larger one is cut into blocks that are compared exhaustively, and share a few anchors
-that tie the blocks together. What those links don't connect branches on, into smaller groups; a rest that is small, or
-that branching doesn't make small, is compared with its whole group, block by block, so no group is gathered and no link
-is lost.
+that tie the blocks together. Groups that those links don't connect branch on while the rest, outside their largest part,
+is wide; a rest that isn't, or that branching doesn't narrow, is compared on full sets with its whole group, block by
+block. So no group is gathered and no link is lost.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +26,35 @@ from .components import components
 #: Minima in a signature; nodes of a block, which are compared at once; anchors that a larger group's blocks share.
 MINIMA, BLOCK, ANCHORS = 64, 128, 8
 #: Nodes outside a group's largest part up to which the group doesn't branch on: each of its nodes is then compared with so
-#: many at most, so the work grows with the group's size. They are compared in blocks of FEW by FEW.
-WIDE, FEW = 2048, 512
-#: Minima of which a set's screen keeps the low byte. Pairs whose screens agree in fewer bytes aren't confirmed: at
-#: similarity 0.8 about 14 in a million pairs have so few.
-SCREEN, AGREE = 256, 177
-#: The same for the finer screens of texts that stay apart inside large groups.
-FINE, AGREE_FINE = 1024, 762
+#: many at most, so the work grows with the group's size. Blocks hold FEW nodes or BLOCK_ITEMS shingles at most, or one node.
+WIDE, FEW, BLOCK_ITEMS = 1024, 512, 1 << 18
+#: Roots in which a rest's node is compared with all: each has a pair of similarity 0.8 together with chance 0.8, so of
+#: 3,000 such pairs one is in none of them.
+TURNS = 5
 
 
+@dataclass(frozen=True)
+class Screen:
+    """A set's minima, cut to `kind`. Pairs that agree in fewer than `least` of them aren't confirmed."""
+
+    width: int
+    kind: str
+    least: int
+    first: int = 0  # so many minima are looked at first, and pairs that agree in fewer than `few` of them go no further
+    few: int = 0
+
+    def of(self, minima: np.ndarray) -> bytes:
+        return minima[: self.width].astype(self.kind).tobytes()
+
+    def rows(self, column: pa.BinaryArray) -> np.ndarray:
+        """One row a screen, without copying."""
+        first = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset] if len(column) else 0
+        return np.frombuffer(column.buffers()[2] or b"", np.uint8)[first:][: len(column) * self.width * np.dtype(self.kind).itemsize].view(self.kind).reshape(-1, self.width)
+
+
+#: At similarity 0.8 about 14 in a million pairs agree in fewer minima.
+COARSE = Screen(256, "u1", 177, 64, 36)
+
 #: Hash values of ids by which texts are told apart before they are joined; this many numbers are broadcast at most.
 ID_BUCKETS = 1 << 20
 
@@ -62,11 +82,12 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> tuple[li
 
 
 def nodes_of(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """Each document row's id, n_shingles, node (digest of its shingle set; null without words), signature and screen."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string("n_shingles long, node long, sig array<int>, screen binary").fields])
+    """Each document row's id, key (hash of its text), n_shingles, node (digest of its shingle set; null without words),
+    signature and screen."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T._parse_datatype_string("key long, n_shingles long, node long, sig array<int>, screen binary").fields])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, hasher = WordHash(), MinHasher(SCREEN, seed)
+        cache, hasher = WordHash(), MinHasher(COARSE.width, seed)
         for batch in sliced(batches):
             sizes, nodes, sigs, screens = [], [], [], []
             for text in utf8(batch, "text"):
@@ -75,37 +96,42 @@ def nodes_of(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: st
                 nodes.append(digest(own) if len(own) else None)
                 minima = hasher.of(own) if len(own) else None
                 sigs.append(None if minima is None else minima[:MINIMA].view(np.int32))
-                screens.append(None if minima is None else minima.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int32())), pa.array(screens, pa.binary())], ["doc_id", "n_shingles", "node", "sig", "screen"])
+                screens.append(None if minima is None else COARSE.of(minima))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int32())), pa.array(screens, pa.binary())], ["doc_id", "key", "n_shingles", "node", "sig", "screen"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).mapInArrow(each, schema)
 
 
-def may_link(percent: int, n1, s1, n2, s2, least: int = AGREE) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs given by sizes and screens: whether they can be links, and how many bytes agree."""
+def may_link(percent: int, least: int, n1, s1, n2, s2) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs given by sizes and screens: whether they can be links, and how many minima agree."""
     agree = np.count_nonzero(s1 == s2, axis=-1)
     return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (agree >= least), agree
 
 
+def overlaps(percent: int, own: bytes, others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set of items and others, in order: how much each has in common, and whether it may be a link. Two items of
+    difference are granted for hashes that are equal in their upper half."""
+    mine, flat = np.frombuffer(own, "<u4"), np.frombuffer(b"".join(others), "<u4")
+    sizes = np.fromiter(map(len, others), np.int64, len(others)) // 4
+    at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+    both = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+    union = len(mine) + sizes - both
+    return both / np.maximum(union, 1), 100 * (both + 2) >= percent * (union - 2)
+
+
 def pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*pairs, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def screens_of(column: pa.BinaryArray, width: int = SCREEN) -> np.ndarray:
-    """One row of bytes a screen, without copying."""
-    first = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset] if len(column) else 0
-    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[first : first + len(column) * width].reshape(-1, width)
-
-
 class Lists:
     """A batch of groups, each a list of structs with node, n, screen and more."""
 
-    def __init__(self, column: pa.ListArray, width: int = SCREEN):
+    def __init__(self, column: pa.ListArray, screen: Screen):
         self.ends, flat = np.asarray(column.offsets), column.values
         self.flat = flat
         self.node, self.n = np.asarray(flat.field("node")), np.asarray(flat.field("n"))
-        self.screen = screens_of(flat.field("screen"), width)
+        self.screen = screen.rows(flat.field("screen"))
 
     def field(self, name: str) -> np.ndarray:
         return self.flat.field(name).to_numpy(zero_copy_only=False)
@@ -116,7 +142,8 @@ class Lists:
 
 @dataclass
 class Links:
-    """docs: doc_id, text. rows: nodes_of(docs), saved. Links mean 100 * intersection >= percent * union.
+    """docs: doc_id, text. rows: doc_id, n_shingles, node, screen (and sig), saved. Links mean 100 * intersection >=
+    percent * union.
 
     checked: the pairs that were confirmed or refused, so that none is looked at twice."""
 
@@ -124,9 +151,10 @@ class Links:
     rows: DataFrame
     shingle: int
     percent: int
+    screen: Screen = COARSE
 
     def __post_init__(self):
-        self.reps = saved(self.rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("screen").alias("screen")), "nodes")
+        self.reps = saved(self.rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("sig", "screen") if c in self.rows.columns)), "nodes")
         self.sets: DataFrame | None = None
         self.checked: DataFrame | None = None
         self.roots: DataFrame | None = None
@@ -151,7 +179,7 @@ class Links:
 
         A group of at most BLOCK nodes is one block. A larger one has a power of two of them, by a hash of the node, so
         groups that share most of their nodes share their blocks; each anchor, the least node of its hash, is in all."""
-        percent = self.percent
+        percent, screen = self.percent, self.screen
         blocks = F.pow(F.lit(2), F.greatest(F.ceil(F.log2(F.col("size") / BLOCK)), F.lit(0))).cast("int")
         own = grouped.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
         large = own.where(F.col("size") > BLOCK)
@@ -162,11 +190,11 @@ class Links:
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, 64):
-                lists, found, more = Lists(batch.column(1)), set(), []
+                lists, found, more = Lists(batch.column(1), screen), set(), []
                 whole = lists.field("whole").astype(bool)
                 for path, (x, y) in zip(batch.column(0).to_pylist(), lists, strict=True):
                     i, j = np.triu_indices(y - x, 1)
-                    ok, agree = may_link(percent, lists.n[x + i], lists.screen[x + i], lists.n[x + j], lists.screen[x + j])
+                    ok, agree = may_link(percent, screen.least, lists.n[x + i], lists.screen[x + i], lists.n[x + j], lists.screen[x + j])
                     i, j = i[ok], j[ok]
                     kept, left = forest(y - x, i, j, agree[ok])
                     found.update(tuple(sorted((int(lists.node[x + i[k]]), int(lists.node[x + j[k]])))) for k in kept)
@@ -179,16 +207,16 @@ class Links:
 
     def across_small(self, members: DataFrame) -> DataFrame:
         """Of small groups (path, node, root), the pairs of different roots that can be links."""
-        percent = self.percent
+        percent, screen = self.percent, self.screen
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, 64):
-                lists, found = Lists(batch.column(0)), set()
+                lists, found = Lists(batch.column(0), screen), set()
                 root = lists.field("root")
                 for x, y in lists:
                     i, j = np.triu_indices(y - x, 1)
                     i, j = x + i, x + j
-                    ok = may_link(percent, lists.n[i], lists.screen[i], lists.n[j], lists.screen[j])[0] & (root[i] != root[j])
+                    ok = may_link(percent, screen.least, lists.n[i], lists.screen[i], lists.n[j], lists.screen[j])[0] & (root[i] != root[j])
                     found.update(tuple(sorted((int(a), int(b)))) for a, b in zip(lists.node[i[ok]], lists.node[j[ok]], strict=True))
                 if found:
                     yield pair_batch(found)
@@ -265,42 +293,54 @@ class Links:
         best = parts.groupBy("path").agg(F.max(F.struct("part", "root")).alias("best"), F.sum("part").alias("size")).where("best.part < size")
         return named.drop("size").join(best, "path").select("path", "node", "root", "size", (F.col("root") != F.col("best.root")).alias("rest"), (F.col("size") - F.col("best.part")).alias("n_rest"))
 
-    def finer(self, members: DataFrame) -> DataFrame:
-        """node, n and a finer screen of the members."""
-        nodes = members.select("node").distinct()
+    def packs(self, nodes: DataFrame) -> DataFrame:
+        """node, n, screen and items (upper halves of the shingles' hashes, in order) of the nodes."""
         self.gather(nodes)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher = MinHasher(FINE, FINE)
             for batch in sliced(batches):
-                sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-                screens = [hasher.of(x).astype(np.uint8).tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(screens, pa.binary())], ["node", "n", "screen"])
-
-        return self.saved(self.sets.join(nodes, "node", "left_semi").select("node", "items").mapInArrow(each, "node long, n long, screen binary"), "finer")
-
-    def rest_with_all(self, members: DataFrame, *, best: bool) -> DataFrame:
-        """Pairs of different roots that can be links, of the rest with all of its group: blocks of FEW nodes are put
-        together once, and each block of the rest then meets each of the group.
-        `best`: of each node and block only the pair that is most alike; else finer screens are compared."""
-        percent, screens = self.percent, None if best else self.finer(members)
-        width, least = (SCREEN, AGREE) if best else (FINE, AGREE_FINE)
-        members = members.withColumn("ys", F.ceil(F.col("size") / FEW).cast("int")).withColumn("xs", F.ceil(F.col("n_rest") / FEW).cast("int"))
-        put = lambda rows, name, n, seed: self.listed(rows.withColumn(name, F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")), ["path", name, "xs", "ys"], "root", screens=screens)
+                items = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for x in batch.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(items, pa.binary())], ["node", "n", "screen", "items"])
+
+        rows = self.reps.select("node", "n", "screen").join(nodes, "node", "left_semi").join(self.sets, "node").select("node", "n", "screen", "items")
+        return self.saved(rows.mapInArrow(each, "node long, n long, screen binary, items binary"), "packs")
+
+    def rest_with_all(self, members: DataFrame) -> DataFrame:
+        """The links of the rest with all of its group that join parts: blocks of nodes are put together once, each block of
+        the rest meets each of the group, and screened pairs are compared on their items. Of a pair of blocks a forest of
+        such links is kept; confirm() checks it on full hashes."""
+        percent, screen = self.percent, self.screen
+        packs = self.packs(members.select("node").distinct())
+        members = members.join(packs.select("node", F.col("n").alias("items_n")), "node")
+        cut = lambda n, items: F.greatest(F.ceil(n / FEW), F.ceil(items / BLOCK_ITEMS), F.lit(1)).cast("int")
+        own = F.when(F.col("rest"), F.col("items_n")).otherwise(0)
+        sizes = members.groupBy("path").agg(cut(F.count("*"), F.sum("items_n")).alias("ys"), cut(F.sum(F.col("rest").cast("int")), F.sum(own)).alias("xs"))
+        members = members.join(sizes, "path")
+        fields = F.struct("node", "n", "screen", "items", "root")
+        put = lambda rows, name, n, seed: rows.join(packs, "node").withColumn(name, F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")).groupBy("path", name, "xs", "ys").agg(F.collect_list(fields).alias("all"))
         every = put(members, "y", "ys", 1).select("path", "y", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), "all")
         rest = put(members.where("rest"), "x", "xs", 2).select("path", "x", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), F.col("all").alias("rest"))
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches, 8):
-                rest, every, found = Lists(batch.column(0), width), Lists(batch.column(1), width), set()
+            for batch in sliced(batches, 4):
+                rest, every, found = Lists(batch.column(0), screen), Lists(batch.column(1), screen), set()
                 rest_root, root = rest.field("root"), every.field("root")
+                rest_items, items = rest.flat.field("items").to_pylist(), every.flat.field("items").to_pylist()
                 for (a, b), (x, y) in zip(rest, every, strict=True):
+                    front = np.ascontiguousarray(every.screen[x:y, : screen.first])
+                    of, to, alike = [], [], []
                     for i in range(a, b):
-                        ok, agree = may_link(percent, rest.n[i], rest.screen[i], every.n[x:y], every.screen[x:y], least)
-                        at = np.flatnonzero(ok & (root[x:y] != rest_root[i]))
-                        if best and len(at):
-                            at = at[[agree[at].argmax()]]
-                        found.update(tuple(sorted((int(rest.node[i]), int(n)))) for n in every.node[x + at])
+                        likely = np.count_nonzero(front == rest.screen[i, : screen.first], axis=1) >= screen.few
+                        near = x + np.flatnonzero(likely & (root[x:y] != rest_root[i]))
+                        near = near[may_link(percent, screen.least, rest.n[i], rest.screen[i], every.n[near], every.screen[near])[0]]
+                        if len(near):
+                            share, ok = overlaps(percent, rest_items[i], [items[j] for j in near.tolist()])
+                            of += [i - a] * int(ok.sum())
+                            to += (near[ok] - x).tolist()
+                            alike.append(share[ok])
+                    if of:
+                        kept = forest(b - a + y - x, np.array(of), b - a + np.array(to), np.concatenate(alike))[0]
+                        found.update(tuple(sorted((int(rest.node[a + of[k]]), int(every.node[x + to[k]])))) for k in kept)
                 if found:
                     yield pair_batch(found)
 
@@ -310,33 +350,47 @@ class Links:
         """Finds the links inside the groups of `members` (path, node). `branch`: makes the members of smaller groups of
         those that are neither small nor nearly resolved; without it these are compared whole.
 
-        Every level first confirms the likeliest pairs, which join most texts that belong together. What stays apart in
-        groups that don't branch on is compared in full at the end, when the parts of all levels are known."""
-        small_left, large_left, likely = [], [], []
-        while members is not None:
+        Three rounds are confirmed, however deep groups branch: the likeliest pairs, which join most texts that belong
+        together; what narrow rests and the small groups below wide ones have; and what stays apart in small groups."""
+        grouped = self.saved(self.grouped(members), "groups")
+        pairs = self.saved(self.in_blocks(grouped), "blocks")
+        self.confirm(pairs.where("b is not null"))
+        marked = lambda groups, pairs: groups.join(pairs.where("b is null").select(F.col("a").alias("path")), "path", "left_semi").select("path", "node")
+        small, narrow, below = [marked(grouped, pairs)], [], []
+        left = self.saved(self.unresolved(grouped.where(F.col("size") > BLOCK)), "unresolved")
+        while not left.isEmpty():
+            near = left.where(F.col("n_rest") <= WIDE) if branch else left
+            narrow.append(self.turns(near) if branch and not narrow else near)
+            if not branch or (wide := left.where(F.col("n_rest") > WIDE)).isEmpty():
+                break
+            members, branch = branch(wide)
             grouped = self.saved(self.grouped(members), "groups")
-            pairs = self.saved(self.in_blocks(grouped), "blocks")
-            self.confirm(reduce(DataFrame.union, likely, pairs.where("b is not null")))
-            small_left.append(grouped.join(pairs.where("b is null").select(F.col("a").alias("path")), "path", "left_semi").select("path", "node"))
-            members, likely = None, []
+            below.append(grouped.where(F.col("size") <= BLOCK))
             left = self.saved(self.unresolved(grouped.where(F.col("size") > BLOCK)), "unresolved")
-            if not left.isEmpty():
-                narrow = left.where(F.col("n_rest") <= WIDE) if branch else left
-                likely = [self.rest_with_all(narrow, best=True)]
-                large_left.append(narrow.select("path", "node"))
-                if branch and not (wide := left.where(F.col("n_rest") > WIDE)).isEmpty():
-                    members, branch = branch(wide)
-        if likely:
-            self.confirm(likely[0])
-        across = self.across_small(self.rooted(reduce(DataFrame.union, small_left).withColumn("root", F.col("node")), "root"))
-        if large_left:
-            across = across.union(self.rest_with_all(self.saved(self.unresolved(reduce(DataFrame.union, large_left)), "unresolved"), best=False))
-        self.confirm(across)
+        second = []
+        if narrow:
+            second.append(self.rest_with_all(self.saved(self.turns(reduce(DataFrame.union, narrow)), "narrow")))
+        if below:
+            grouped = reduce(DataFrame.union, below)
+            pairs = self.saved(self.in_blocks(grouped), "blocks")
+            second.append(pairs.where("b is not null"))
+            small.append(marked(grouped, pairs))
+        if second:
+            self.confirm(reduce(DataFrame.union, second))
+        self.confirm(self.across_small(self.rooted(reduce(DataFrame.union, small).withColumn("root", F.col("node")), "root")))
         kept = self.roots
         for old in self.scratch:
             if old is not kept:
                 dropped(old)
 
+    def turns(self, members: DataFrame) -> DataFrame:
+        """unresolved() rows of roots in which each node of a rest has the TURNS largest groups at most; the groups that no
+        rest is left in go."""
+        w = Window.partitionBy("node").orderBy(F.col("size").desc(), "path")
+        turn = members.where("rest").withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= TURNS).select("path", "node", F.lit(True).alias("own"))
+        still = turn.select("path").distinct()
+        return members.join(still, "path", "left_semi").join(turn, ["path", "node"], "left").withColumn("rest", F.coalesce("own", F.lit(False))).drop("own")
+
     def labelled(self, *more: str) -> DataFrame:
         """Each document row: doc_id, n_shingles, component_id (least id of its component), kept, and `more` columns of `rows`."""
         named = self.rooted(self.reps.select("node", "doc_id").withColumn("root", F.col("node")), "root")
