@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chosen_path, classlm, langid, minhash, mixing, oracle, packed, pii, secrets, warc, winnowing
-from .common import crc_mod, new_path, table
+from .common import crc_mod, new_path, saved, table
 
 
 def tokenizer_path() -> str:
@@ -52,15 +52,18 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents"), key="production").select("doc_id", *(f"n_{k}" for k in pii.KINDS), "text")
+    key = spark.conf.get("spark.eventmesa.pii.key", "unset")
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), key=key).select("doc_id", *(f"n_{k}" for k in pii.KINDS), "text")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_captures(table(spark, sf_dir, "pages"), path)
-    found = warc.transactions(warc.read_records(spark, path))
-    about = F.col("metadata")
-    return found.select(about["pageId"].cast("long").alias("page_id"), about["payloadBytes"].cast("long").alias("payload_bytes"), F.col("capture.payload_digest"), F.col("capture.type").alias("record_type"), about["refersToPageId"].cast("long").alias("refers_to"))
+    found = saved(warc.transactions(warc.read_records(spark, path).drop("payload")), "captures")
+    number = lambda of, name: F.col(of)[name].cast("long")
+    return warc.resolved(found).select(
+        number("metadata", "pageId").alias("page_id"), number("metadata", "payloadBytes").alias("payload_bytes"), F.col("capture.payload_digest"), F.col("capture.type").alias("record_type"), number("original", "pageId").alias("refers_to")
+    )
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import saved, sliced
 
 #: Fixed values of the format: version line, line end, end of a record, alphabet of base32.
 VERSION, LINE, END, BASE32 = "WARC/1.1", "\r\n", "\r\n\r\n", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -23,11 +23,11 @@ ARCHIVE_BYTES = 16_000_000
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, payload_digest string, fields map<string,string>, payload binary"
 
 
-def base32_sha1(text: Column) -> Column:
-    """The SHA-1 of a text's UTF-8 bytes in base32: 5 hex digits make 4 letters."""
-    digest = F.sha1(text.cast("binary"))
-    parts = [F.conv(F.substring(digest, 1 + 5 * i, 5), 16, 10).cast("int") for i in range(8)]
-    return F.concat(*(F.substring(F.lit(BASE32), F.shiftright(p, 15 - 5 * j).bitwiseAND(31) + 1, F.lit(1)) for p in parts for j in range(4)))
+def base32(digest: Column) -> Column:
+    """A hexadecimal SHA-1 in base32: 10 digits make 8 letters."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.conv(F.substring(digest, 1 + 10 * i, F.lit(10)), 16, 10).cast("long"))
+    letter = lambda part, j: F.substring(F.lit(BASE32), F.shiftright(part, 35 - 5 * j).bitwiseAND(31).cast("int") + 1, F.lit(1))
+    return F.array_join(F.transform(parts, lambda part: F.concat(*(letter(part, j) for j in range(8)))), "")
 
 
 def urn(text: Column) -> Column:
@@ -44,11 +44,15 @@ def write_captures(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     responses. Rows that share the largest id are all responses. A null id counts as less than any other, a null url is
     empty. An empty table gives a folder without records. Other columns aren't written.
     """
-    rows = pages.select(F.col(id_col).cast("string").alias("page"), F.col(id_col).alias("key"), F.coalesce(F.regexp_replace(url_col, r"[\r\n]", ""), F.lit("")).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("bytes", F.octet_length("html"))
-    first = rows.groupBy("digest").agg(F.max("key").alias("first"))
-    rows = rows.join(first, "digest")
-    identity = lambda kind, key: urn(F.concat_ws("|", F.lit(kind), F.coalesce(key.cast("string"), F.lit("null")), F.col("digest")))
+    key, sha1 = F.col(id_col), F.sha1(F.coalesce(html_col, F.lit("")).cast("binary"))
+    page = F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
+    # What is equal is found among ids and digests; the html then travels once, by page, so equal payloads don't meet.
+    narrow = saved(pages.select(key.alias("key"), page.alias("page"), sha1.alias("sha1"), F.octet_length(F.coalesce(html_col, F.lit(""))).alias("bytes")), "pages")
+    first = narrow.groupBy("sha1").agg(F.max("key").alias("first"))
+    marks = narrow.select("page", "key", "sha1").distinct().join(first, "sha1").drop("key")
+    rows = pages.select(page.alias("page"), key.alias("key"), F.coalesce(F.regexp_replace(url_col, r"[\r\n]", ""), F.lit("")).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"), sha1.alias("sha1"))
+    rows = rows.join(marks, ["page", "sha1"]).withColumn("bytes", F.octet_length("html"))
+    identity = lambda kind, key: urn(F.concat_ws("|", F.lit(kind), F.coalesce(key.cast("string"), F.lit("null")), F.col("sha1")))
     revisit = (F.col("bytes") >= least_bytes) & ~F.col("key").eqNullSafe(F.col("first"))
     own = F.when(revisit, identity("revisit", F.col("key"))).otherwise(identity("response", F.col("key")))
 
@@ -59,7 +63,7 @@ def write_captures(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
         head += [F.lit(f"Content-Type: {mime}"), F.concat(F.lit("Content-Length: "), F.octet_length(block))]
         return F.concat(F.concat_ws(LINE, *head), F.lit(END), block)
 
-    digest, uri = F.concat(F.lit("sha1:"), "digest"), F.col("url")
+    digest, uri = F.concat(F.lit("sha1:"), base32(F.col("sha1"))), F.col("url")
     reply = F.concat(F.lit(f"HTTP/1.1 200 OK{LINE}Content-Type: text/html; charset=utf-8{LINE}Content-Length: "), "bytes", F.lit(END), F.when(revisit, F.lit("")).otherwise(F.col("html")))
     response = record(
         F.when(revisit, "revisit").otherwise("response"), own,
@@ -67,10 +71,10 @@ def write_captures(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
         "application/http; msgtype=response", reply,
     )
     request = record(F.lit("request"), identity("request", F.col("key")), [("WARC-Target-URI", uri), ("WARC-Concurrent-To", own)], "application/http; msgtype=request", F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{END}")))
-    about = F.concat_ws(LINE, F.concat(F.lit("pageId: "), "page"), F.concat(F.lit("payloadBytes: "), "bytes"), F.concat(F.lit("refersToPageId: "), F.when(revisit, F.col("first").cast("string"))))
+    about = F.concat_ws(LINE, F.concat(F.lit("pageId: "), F.col("key").cast("string")), F.concat(F.lit("payloadBytes: "), "bytes"))
     metadata = record(F.lit("metadata"), identity("metadata", F.col("key")), [("WARC-Target-URI", uri), ("WARC-Concurrent-To", own)], "application/warc-fields", about)
     records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    size = narrow.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
     per_file = max(3, 3 * size["n"] * ARCHIVE_BYTES // max(1, size["bytes"]))
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
@@ -118,6 +122,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def transactions(records: DataFrame) -> DataFrame:
     """One nested row per response or revisit record: capture(record_id, uri, payload_digest, payload, ...), request, metadata.
+    The payload may be left out of `records`.
 
     A request or metadata record belongs to the capture that it names; a capture without one has null there, and one that
     names no capture is dropped. Of several requests (or metadata records) for one capture the least record id counts.
@@ -126,6 +131,13 @@ def transactions(records: DataFrame) -> DataFrame:
     side = lambda kind, value: records.where(F.col("type") == kind).groupBy("concurrent_to").agg(F.min_by(value, "record_id").alias(kind))
     request = side("request", F.struct("record_id", "uri"))
     metadata = side("metadata", F.col("fields"))
-    capture = F.struct("record_id", "type", "refers_to", "uri", "payload_digest", "payload").alias("capture")
+    capture = F.struct(*(c for c in ("record_id", "type", "refers_to", "uri", "payload_digest", "payload") if c in records.columns)).alias("capture")
     joined = captures.select(F.col("record_id").alias("concurrent_to"), capture).join(request, "concurrent_to", "left").join(metadata, "concurrent_to", "left")
     return joined.select("capture", "request", "metadata")
+
+
+def resolved(found: DataFrame) -> DataFrame:
+    """transactions() with `original`: the metadata of the capture that a revisit refers to, null for others and where
+    there is none. Identifiers and metadata alone are joined, the captures to them once."""
+    known = found.select(F.col("capture.record_id").alias("original_id"), F.col("metadata").alias("original")).where("original_id is not null").dropDuplicates(["original_id"])
+    return found.join(known, F.col("capture.refers_to") == F.col("original_id"), "left").drop("original_id")
