@@ -167,8 +167,9 @@ def pseudonymised(docs: DataFrame, *, key: str, text_col: str = "text") -> DataF
     """The documents with their columns, the text's personal data replaced, and n_<kind>: how many of each kind were.
 
     Card numbers must pass the check digit (and pass it afterwards), dates and addresses must exist, social security
-    numbers must be assignable, phone numbers are told by their format; other numbers stay. Dates move among 1900 to 2099. A null text stays null and has
-    no counts but 0. Columns of the input named like a count are replaced. Equal values get equal pseudonyms under one key.
+    numbers must be assignable, phone numbers are told by their North American format; other numbers and IPv6 addresses
+    stay. Dates move among 1900 to 2099. A null text stays null and has no counts but 0. Columns of the input named like a
+    count are replaced, all others stay. Equal values get equal pseudonyms under one key; repeated rows give a row each.
     """
     text = F.col(text_col)
     named, numbered = text.contains("@"), text.rlike("[0-9][0-9/.) -]*[0-9]")
@@ -189,13 +190,11 @@ def pseudonymised(docs: DataFrame, *, key: str, text_col: str = "text") -> DataF
             out = out.when(x["kind"] == k, make(x["value"], key))
         return out.otherwise(x["value"])
 
-    marked = docs.withColumn("__found", F.transform(values, found))
-    news = F.transform("__found", replaced)
-    pieces = by_kind(lambda p: F.split(text, p, -1))
-    whole = F.array_join(F.flatten(F.zip_with(pieces, news, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-
-    def number(kind: str) -> Column:
-        return F.size(F.filter("__found", lambda x: x["kind"] == kind)).cast("long")
-
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    marked = docs.select(row.alias("row"), F.transform(values, found).alias("found"), text.alias("text"), by_kind(lambda p: F.split(text, p, -1)).alias("pieces"))
+    whole = F.array_join(F.flatten(F.zip_with("pieces", F.transform("found", replaced), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    out = F.when(F.exists("found", lambda x: x["kind"].isNotNull()), whole).otherwise(F.col("text"))
+    number = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
     counts = {f"n_{k}": number(k) for k in KINDS}
-    return marked.withColumn("__text", F.when(F.exists("__found", lambda x: x["kind"].isNotNull()), whole).otherwise(text)).withColumns(counts).withColumn(text_col, F.col("__text")).drop("__found", "__text")
+    kept = [out.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in counts]
+    return marked.select(*kept, *(n.alias(c) for c, n in counts.items()))

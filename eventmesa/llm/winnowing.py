@@ -118,28 +118,45 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     words hit. Other columns of either table don't matter. With an empty benchmark nothing is hit.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    benchmark = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).na.drop(subset=["text"])
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    benchmark, small = _items(benchmark, item_col, item_text_col, broadcast_bytes)
     id_type = docs.schema["doc_id"].dataType
-    return _sent(docs, benchmark, id_type, window) if size <= broadcast_bytes else _joined(docs, benchmark, id_type, window)
+    return _sent(docs, benchmark, id_type, window) if small else _joined(docs, benchmark, id_type, window)
 
 
-def _sent(docs: DataFrame, benchmark: DataFrame, id_type: T.DataType, window: int) -> DataFrame:
+def _items(benchmark: DataFrame, item_col: str, text_col: str, broadcast_bytes: int) -> tuple[DataFrame, bool]:
+    """item_id, text; and whether they may be sent."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).na.drop(subset=["text"])
+    return items, items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0] <= broadcast_bytes
+
+
+def _sender(benchmark: DataFrame, window: int):
+    """A function that tasks call once, for one that judges a text: n_words, n_hit, item ids."""
     rows = benchmark.collect()  # at most BROADCAST_BYTES
-    sent = docs.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.text.encode() for r in rows]))
+    sent = benchmark.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.text.encode() for r in rows]))
+
+    def judge():
+        (names, texts), cache = sent.value, WordHash()
+        items = Items(texts, window)
+
+        def of(text: bytes) -> tuple[int, int, list[str]]:
+            words = cache.of(split_words(text))
+            return len(words), *_found(words, items, names)
+
+        return of
+
+    return judge
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, texts = sent.value
-        items, cache = Items(texts, window), WordHash()
+
+def _sent(docs: DataFrame, benchmark: DataFrame, id_type: T.DataType, window: int) -> DataFrame:
+    judge = _sender(benchmark, window)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = judge()
         for batch in sliced(batches):
-            out = []
-            for text in utf8(batch, "text"):
-                words = cache.of(split_words(text))
-                n_hit, seen = _found(words, items, names)
-                out.append((len(words), n_hit, len(seen), digest_of(seen), judged(len(words), n_hit)))
+            out = [(n, n_hit, len(seen), digest_of(seen), judged(n, n_hit)) for n, n_hit, seen in map(of, utf8(batch, "text"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*out, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return docs.mapInArrow(judge, T.StructType([T.StructField("doc_id", id_type), *T._parse_datatype_string(RESULT).fields]))
+    return docs.mapInArrow(each, T.StructType([T.StructField("doc_id", id_type), *T._parse_datatype_string(RESULT).fields]))
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, id_type: T.DataType, window: int) -> DataFrame:
@@ -200,7 +217,21 @@ def _joined(docs: DataFrame, benchmark: DataFrame, id_type: T.DataType, window:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns. Rows of one id share the verdict of any of them."""
-    bad = contamination(docs, benchmark, id_col=id_col, **options).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["doc_id"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns, whatever their names. Each row is judged by its own
+    text, so rows that share an id don't share a verdict; null and empty texts stay."""
+    items, small = _items(benchmark, item_col, item_text_col, broadcast_bytes)
+    if not small:
+        rows = saved(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("row_id")), "decontaminate-rows")
+        bad = contamination(rows.select("row_id", F.col("row")[text_col].alias("text")), items, id_col="row_id", item_text_col="text", item_col="item_id", window=window, broadcast_bytes=broadcast_bytes)
+        bad = bad.where("contaminated").select("doc_id")
+        return rows.join(bad, F.col("row_id") == F.col("doc_id"), "left_anti").select("row.*")
+    judge, at = _sender(items, window), docs.columns.index(text_col)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = judge()
+        for batch in sliced(batches):
+            verdicts = [judged(*of(x or b"")[:2]) for x in batch.column(at).cast(pa.large_binary()).to_pylist()]
+            yield batch.filter(pa.array([not x for x in verdicts], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)
