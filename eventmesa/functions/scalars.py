@@ -65,7 +65,7 @@ def ff12(sic: Column) -> Column:
     return out.otherwise("Other")
 
 
-def pinball(y: Column, prediction: Column, alpha: float) -> Column:
+def pinball(y: Column, prediction: Column, alpha: Column | float) -> Column:
     d = y - prediction
     return F.greatest(alpha * d, (alpha - 1) * d)
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import written
+
 
 def keep_last(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """One row per key: the last in this order."""
@@ -24,48 +29,101 @@ def bin_of(rank: Column, n: Column, bins: int) -> Column:
     return F.when(n > 1, F.greatest(ceil, F.lit(1)))
 
 
+def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """All columns, and for each of `sums` its total over the rows before this one in the order (`<name>_before`) and over
+    all rows (`<name>_all`).
+
+    Spark's range partitioning cuts the rows by all of `order`, so equal leading values don't meet in one task; rows are
+    added up inside each range, and what the ranges before hold (one row a range) is added to that. Rows that are equal in
+    `order` stand in any order."""
+    df = df.withColumns({f"__add_{name}": F.coalesce(value, F.lit(0)) for name, value in sums.items()})
+    cut = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    cut = written(cut.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    parts = cut.groupBy("__part").agg(*(F.sum(f"__add_{name}").alias(f"{name}_in") for name in sums))
+    every, before = Window.partitionBy(F.lit(0)), Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = parts.select("__part", *(F.coalesce(F.sum(f"{name}_in").over(before), F.lit(0)).alias(f"{name}_start") for name in sums), *(F.sum(f"{name}_in").over(every).alias(f"{name}_all") for name in sums))
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.join(F.broadcast(starts), "__part")
+    placed = placed.withColumns({f"{name}_before": F.col(f"{name}_start") + F.coalesce(F.sum(f"__add_{name}").over(inside), F.lit(0)) for name in sums})
+    return placed.drop("__part", "__at", *(f"__add_{name}" for name in sums), *(f"{name}_start" for name in sums))
+
+
+def global_rank(df: DataFrame, value: str, ties: list[str], name: str) -> DataFrame:
+    """Rank from 0 over all rows that have a value, in the order of value and ties; others are dropped. `name`_n holds the
+    number of ranked rows."""
+    placed = prefix_sums(df.where(F.col(value).isNotNull()), [value, *ties], {name: F.lit(1)})
+    return placed.withColumnsRenamed({f"{name}_before": name, f"{name}_all": f"{name}_n"})
+
+
+def rank_within(df: DataFrame, by: list[str], value: str, ties: list[str], name: str) -> DataFrame:
+    """The same inside the groups of `by`, which are few (quarters, buckets): no group is gathered."""
+    placed = prefix_sums(df.where(F.col(value).isNotNull()), [*by, value, *ties], {name: F.lit(1)}).drop(f"{name}_all")
+    groups = placed.groupBy(*by).agg(F.min(f"{name}_before").alias("__first"), F.count("*").alias(f"{name}_n"))
+    same = groups.withColumnsRenamed({b: f"__{b}" for b in by})
+    on = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]
+    return placed.join(same, on).withColumn(name, F.col(f"{name}_before") - F.col("__first")).drop("__first", f"{name}_before", *(f"__{b}" for b in by))
+
+
 def binned_within(df: DataFrame, by: list[str], value: str, ties: list[str], bins: int, name: str) -> DataFrame:
     """Rank-first equal-frequency bins inside each group; rows without a value get none."""
-    w = Window.partitionBy(*by, F.col(value).isNull()).orderBy(value, *ties)
-    every = Window.partitionBy(*by, F.col(value).isNull())
-    return df.withColumn(name, F.when(F.col(value).isNotNull(), bin_of(F.row_number().over(w) - 1, F.count("*").over(every), bins)))
+    ranked = rank_within(df, by, value, ties, "__rank").withColumn(name, bin_of(F.col("__rank"), F.col("__rank_n"), bins)).drop("__rank", "__rank_n")
+    return ranked.unionByName(df.where(F.col(value).isNull()).withColumn(name, F.lit(None).cast("long")))
 
 
-def global_rank(df: DataFrame, value: str, ties: list[str], name: str, parts: int = 64) -> DataFrame:
-    """Rank from 0 over all rows without one task seeing them all: rows are cut into ranges of the value, numbered inside
-    each, and shifted by the rows of the ranges before. `name`_n holds the number of rows."""
-    cuts = sorted(set(df.approxQuantile(value, [i / parts for i in range(1, parts)], 0.005)))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value))) if cuts else F.lit(0)
-    df = df.withColumn("__part", part)
-    sizes = df.groupBy("__part").agg(F.count("*").alias("__size"))
-    order = Window.orderBy("__part")  # one row a range
-    starts = sizes.select("__part", (F.sum("__size").over(order) - F.col("__size")).alias("__start"), F.sum("__size").over(Window.partitionBy(F.lit(0))).alias(f"{name}_n"))
-    w = Window.partitionBy("__part").orderBy(value, *ties)
-    return df.withColumn("__at", F.row_number().over(w) - 1).join(F.broadcast(starts), "__part").withColumn(name, F.col("__at") + F.col("__start")).drop("__part", "__at", "__start")
+def quantiles_within(df: DataFrame, by: list[str], value: str, shares: list[float], names: list[str]) -> DataFrame:
+    """One row a group with exact linear quantiles of a value: of ranked rows, only the two around each quantile are kept."""
+    rows = rank_within(df.select(*by, value), by, value, [], "at")
+    ends = []
+    for share, name in zip(shares, names, strict=True):
+        place = F.lit(share) * (F.col("at_n") - 1)
+        low, high = F.max(F.when(F.col("at") == F.floor(place), F.col(value))), F.max(F.when(F.col("at") == F.ceil(place), F.col(value)))
+        ends.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    near = reduce(or_, (F.col("at") == f(F.lit(s) * (F.col("at_n") - 1)) for s in shares for f in (F.floor, F.ceil)))
+    return rows.where(near).groupBy(*by).agg(*ends)
 
 
 def winsorised(df: DataFrame, value: str, share: float, name: str) -> DataFrame:
     """The value held between its exact linear quantiles at `share` and 1 - `share`."""
-    ends = df.agg(F.percentile(value, F.array(F.lit(share), F.lit(1 - share))).alias("__ends"))
-    held = F.least(F.greatest(value, F.col("__ends")[0]), F.col("__ends")[1])
-    return df.join(F.broadcast(ends)).withColumn(name, F.when(F.col(value).isNotNull(), held)).drop("__ends")
+    ends = quantiles_within(df.select(value).withColumn("__all", F.lit(0)), ["__all"], value, [share, 1 - share], ["__low", "__high"]).drop("__all")
+    held = F.least(F.greatest(value, F.col("__low")), F.col("__high"))
+    return df.join(F.broadcast(ends), how="left").withColumn(name, F.when(F.col(value).isNotNull(), held)).drop("__low", "__high")  # one row
+
+
+def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Rank from 1 with ties averaged inside groups, by counts of distinct values; rows without a value get none."""
+    values = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    placed = prefix_sums(values, [*by, value], {"rows": F.col("__n")})
+    if by:
+        first = placed.groupBy(*by).agg(F.min("rows_before").alias("__first"))
+        placed = placed.join(first, by)
+    else:
+        placed = placed.withColumn("__first", F.lit(0))
+    ranks = placed.select(*by, value, (F.col("rows_before") - F.col("__first") + (F.col("__n") + 1) / 2).alias(name))
+    return df.join(ranks, [*by, value], "left")
 
 
 def asof_backward(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str], *, strict: bool = False, ties: str | None = None) -> DataFrame:
     """Each left row with the latest right row of its key at or before (strict: before) its time; nulls if there is none.
+    Of right rows of one key and time the last by `ties`, and then by their values, counts.
 
-    Both sides are stacked and sorted by key and time, so each row meets only its key's window; nothing is multiplied.
-    """
-    mark, at = "__right", "__time"
+    Keys are cut into spans of time (months, or 64 numbers), so one key's rows spread over many tasks. Inside a span both
+    sides are stacked and sorted; what stands last in earlier spans is carried forward among one row a key and span."""
+    at = F.col(left_time)
+    span_of = (lambda c: F.year(c) * 12 + F.month(c)) if left.schema[left_time].dataType.typeName() in ("date", "timestamp", "timestamp_ntz") else (lambda c: F.floor(c / 64))
     side = 0 if strict else 1
-    stacked = left.withColumn(at, F.col(left_time)).withColumn("__side", F.lit(side))
-    payload = F.struct(right_time, *values)
-    rows = right.where(F.col(right_time).isNotNull()).select(F.col(by), F.col(right_time).alias(at), F.lit(1 - side).alias("__side"), payload.alias(mark), *([F.col(ties).alias("__tie")] if ties else []))
-    every = stacked.unionByName(rows, allowMissingColumns=True)
-    order = [at, "__side"] + (["__tie"] if ties else [])
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = every.withColumn("__found", F.last(mark, ignorenulls=True).over(w)).where(F.col(mark).isNull())
-    return found.select(*left.columns, F.col(f"__found.{right_time}").alias(right_time), *(F.col(f"__found.{v}").alias(v) for v in values))
+    rows = left.select(F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("row"), F.col(by).alias("key"), at.alias("time"), span_of(at).alias("span"))
+    payload = F.struct(F.col(right_time).alias("at"), *(F.col(v).alias(f"v{i}") for i, v in enumerate(values)))
+    tie = F.struct(*([F.col(ties).alias("t")] if ties else []), *(F.col(v).alias(f"t{i}") for i, v in enumerate(values)))
+    seen = right.where(F.col(right_time).isNotNull() & F.col(by).isNotNull()).select(F.col(by).alias("key"), F.col(right_time).alias("time"), span_of(F.col(right_time)).alias("span"), payload.alias("seen"), tie.alias("tie"))
+    stacked = rows.withColumn("side", F.lit(side)).unionByName(seen.withColumn("side", F.lit(1 - side)), allowMissingColumns=True)
+    inside = Window.partitionBy("key", "span").orderBy("time", "side", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = stacked.withColumn("found", F.last("seen", ignorenulls=True).over(inside)).where(F.col("row").isNotNull())
+    lasts = seen.groupBy("key", "span").agg(F.max_by("seen", F.struct("time", "tie")).alias("last"))
+    spans = rows.where("key is not null").select("key", "span").distinct().join(lasts, ["key", "span"], "full")
+    earlier = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select("key", "span", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    out = found.join(carried, ["key", "span"], "left").withColumn("got", F.coalesce("found", "carried"))
+    return out.select("row.*", F.col("got.at").alias(right_time), *(F.col(f"got.v{i}").alias(v) for i, v in enumerate(values)))
 
 
 def range_join(left: DataFrame, right: DataFrame, key: str, time: str, low: str, high: str) -> DataFrame:
@@ -100,8 +158,3 @@ def locate(events: DataFrame, calendar: DataFrame, anchor: str) -> DataFrame:
     dense = days.join(calendar, "date", "left").select(F.col("date").alias(anchor), F.first("pos", ignorenulls=True).over(ahead).alias("__pos"))
     found = events.join(F.broadcast(dense), anchor, "left").join(F.broadcast(ends))
     return found.withColumn("pos0", F.when(F.col(anchor) <= F.col("a"), 0).when(F.col(anchor) > F.col("b"), F.col("n")).otherwise(F.col("__pos"))).withColumn("n_days", F.col("n")).drop("__pos", "a", "b", "n")
-
-
-def average_rank(value: Column, by: list) -> Column:
-    """Rank from 1 with ties averaged, inside groups."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import core as O
 from ..sources import adapters as A
+from ..sources.staging import kept
 
-PRE, POST, BUCKETS = 5, 20, 5
+#: The study's defaults: sessions before and after, buckets, and estimates that a consensus needs.
+PRE, POST, BUCKETS, LEAST = 5, 60, 10, 1
 
-CTE = """
-WITH trades AS (SELECT l.*, upper(n_name) tic, CAST(l_shipdate AS DATE) date FROM lineitem l JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+CTE = f"""
+WITH trades AS (SELECT l.*, s_nationkey, upper(n_name) tic, CAST(l_shipdate AS DATE) date FROM lineitem l JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
 prices AS (SELECT tic, date, round(100 * (1 + avg(l_discount)), 8) price FROM trades GROUP BY ALL
   UNION ALL SELECT 'SPY', CAST(l_shipdate AS DATE), round(100 * (1 + avg(l_discount)), 8) FROM lineitem GROUP BY 2),
 base AS (SELECT o_orderkey event_id, upper(n_name) oftic, CAST(o_orderdate AS DATE) anndats, lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':30:00' anntims, o_totalprice / 1000 actual,
@@ -20,33 +22,33 @@ base AS (SELECT o_orderkey event_id, upper(n_name) oftic, CAST(o_orderdate AS DA
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 snaps AS (SELECT base.*, anndats - 30 fpedats, numest % 5 numup, numest % 3 numdown, anndats + days statpers, round(mean * factor, 9) meanest FROM base, (VALUES (-20, CAST(0.9 AS DOUBLE)), (-10, 1.0), (5, 1.1)) s(days, factor)),
-ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY statpers DESC) rn FROM snaps WHERE statpers < anndats) WHERE rn = 1 AND numest >= 2),
+ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY statpers DESC) rn FROM snaps WHERE statpers < anndats) WHERE rn = 1 AND numest >= {LEAST}),
 anchored AS (SELECT *, CASE WHEN CAST(split_part(anntims, ':', 1) AS INT) >= 16 THEN anndats + 1 ELSE anndats END anchor FROM ev),
 cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 pos FROM (SELECT DISTINCT date FROM prices WHERE tic = 'SPY')),
 r0 AS (SELECT tic, pos, date, price, CASE WHEN lag(pos) OVER w = pos - 1 THEN round(price / lag(price) OVER w - 1, 10) END ret FROM prices JOIN cal USING (date) WINDOW w AS (PARTITION BY tic ORDER BY pos)),
 panel AS (SELECT r.tic, r.pos, r.date, r.price, r.ret, coalesce(b.ret, 0) bench_ret, round(r.ret - coalesce(b.ret, 0), 10) ar FROM r0 r JOIN r0 b ON b.tic = 'SPY' AND b.pos = r.pos),
 located AS (SELECT a.*, (SELECT count(*) FROM cal) n_days, (SELECT count(*) FROM cal WHERE cal.date < a.anchor) pos0 FROM anchored a),
-fit AS (SELECT * FROM located WHERE pos0 - 5 >= 1 AND pos0 + 20 < n_days AND oftic IN (SELECT tic FROM prices)),
+fit AS (SELECT * FROM located WHERE pos0 - {PRE} >= 1 AND pos0 + {POST} < n_days AND oftic IN (SELECT tic FROM prices)),
 priced AS (SELECT f.*, p.price pre_price FROM fit f LEFT JOIN panel p ON p.tic = f.oftic AND p.pos = f.pos0 - 1),
 sue AS (SELECT *, round(CASE WHEN stdev > 1e-6 THEN (actual - meanest) / stdev END, 8) sue_std, round(CASE WHEN pre_price > 0 THEN (actual - meanest) / pre_price END, 8) sue_price, round(actual - meanest, 8) surprise_raw,
   year(anndats) || 'Q' || quarter(anndats) cal_q FROM priced),
 wins AS (SELECT *, CASE WHEN sue_std IS NOT NULL THEN round(least(greatest(sue_std, lo), hi), 8) END sue_w FROM sue, (SELECT quantile_cont(sue_std, 0.01) lo, quantile_cont(sue_std, 0.99) hi FROM sue)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY cal_q ORDER BY sue_w, event_id) - 1 r, count(*) OVER (PARTITION BY cal_q) n FROM wins WHERE sue_w IS NOT NULL),
-bucketed AS (SELECT *, CASE WHEN n > 1 THEN greatest((r * 5 + n - 2) // (n - 1), 1) END bucket FROM ranked),
-ars AS (SELECT event_id, bucket, anndats, t.k off, p.ar FROM bucketed b CROSS JOIN range(-5, 21) t(k) LEFT JOIN panel p ON p.tic = b.oftic AND p.pos = b.pos0 + t.k WHERE bucket IS NOT NULL),
+bucketed AS (SELECT *, CASE WHEN n > 1 THEN greatest((r * {BUCKETS} + n - 2) // (n - 1), 1) END bucket FROM ranked),
+ars AS (SELECT event_id, bucket, anndats, t.k off, p.ar FROM bucketed b CROSS JOIN range(-{PRE}, {POST} + 1) t(k) LEFT JOIN panel p ON p.tic = b.oftic AND p.pos = b.pos0 + t.k WHERE bucket IS NOT NULL),
 paths AS (SELECT bucket, off, n, round(mean_ar, 10) mean_ar, round(sum(mean_ar) OVER (PARTITION BY bucket ORDER BY off), 8) car FROM (SELECT bucket, off, count(ar) n, coalesce(avg(ar), 0) mean_ar FROM ars GROUP BY ALL)),
 ecar AS (SELECT event_id, bucket, anndats, round(sum(coalesce(ar, 0)), 10) car FROM ars GROUP BY ALL)
 """
 
 
-def consensus(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
+def consensus(spark: SparkSession, sf_dir: str, least: int = LEAST) -> DataFrame:
     """Latest snapshot strictly before each announcement, with enough estimates."""
     seen = A.snapshots(spark, sf_dir).where("statpers < anndats")
     return O.keep_last(seen, ["event_id"], "statpers").where(F.coalesce("numest", F.lit(0)) >= least)
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.panel(A.prices(spark, sf_dir), A.BENCHMARK)
+    return kept(spark, sf_dir, "panel", lambda spark, sf_dir: O.panel(A.prices(spark, sf_dir), A.BENCHMARK))
 
 
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,34 +56,38 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.locate(events, O.calendar_of(A.prices(spark, sf_dir), A.BENCHMARK), "anchor")
 
 
-def fitting(spark: SparkSession, sf_dir: str, pre: int = PRE, post: int = POST) -> DataFrame:
-    """Events whose window lies on the calendar and whose ticker trades."""
-    tickers = A.prices(spark, sf_dir).select(F.col("tic").alias("oftic")).distinct()
-    return located(spark, sf_dir).where((F.col("pos0") - pre >= 1) & (F.col("pos0") + post < F.col("n_days"))).join(tickers, "oftic", "left_semi")
+def fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose window lies on the calendar and whose ticker trades, with their surprises."""
+    return kept(spark, sf_dir, "fitting", lambda spark, sf_dir: surprises_of(located(spark, sf_dir), spark, sf_dir, PRE, POST))
 
 
-def surprises(spark: SparkSession, sf_dir: str) -> DataFrame:
+def surprises_of(events: DataFrame, spark: SparkSession, sf_dir: str, pre: int, post: int) -> DataFrame:
+    tickers = A.prices(spark, sf_dir).select(F.col("tic").alias("oftic")).distinct()
+    events = events.where((F.col("pos0") - pre >= 1) & (F.col("pos0") + post < F.col("n_days"))).join(tickers, "oftic", "left_semi")
     before = panel(spark, sf_dir).select(F.col("tic").alias("oftic"), (F.col("pos") + 1).alias("pos0"), F.col("price").alias("pre_price"))
-    events = fitting(spark, sf_dir).join(before, ["oftic", "pos0"], "left")
     error = F.col("actual") - F.col("meanest")
-    return events.select(
+    return events.join(before, ["oftic", "pos0"], "left").select(
         "*", F.round(F.when(F.col("stdev") > 1e-6, error / F.col("stdev")), 8).alias("sue_std"), F.round(F.when(F.col("pre_price") > 0, error / F.col("pre_price")), 8).alias("sue_price"),
         F.round(error, 8).alias("surprise_raw"), S.quarter_label(F.col("anndats")).alias("cal_q"),
     )
 
 
+def surprises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fitting(spark, sf_dir)
+
+
 def winsorised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.winsorised(surprises(spark, sf_dir), "sue_std", 0.01, "sue_w").withColumn("sue_w", F.round("sue_w", 8))
 
 
 def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.binned_within(winsorised(spark, sf_dir).where("sue_w is not null"), ["cal_q"], "sue_w", ["event_id"], BUCKETS, "bucket")
+    return kept(spark, sf_dir, "bucketed", lambda spark, sf_dir: O.binned_within(winsorised(spark, sf_dir).where("sue_w is not null"), ["cal_q"], "sue_w", ["event_id"], BUCKETS, "bucket"))
 
 
 def ar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event and offset; the return is null where the firm or its day before has no price."""
-    events = bucketed(spark, sf_dir).where("bucket is not null").select("event_id", "bucket", "anndats", F.col("oftic").alias("tic"), "pos0", F.explode(F.sequence(F.lit(-PRE), F.lit(POST))).alias("off"))
-    return events.withColumn("pos", F.col("pos0") + F.col("off")).join(panel(spark, sf_dir).select("tic", "pos", "ar"), ["tic", "pos"], "left").select("event_id", "bucket", "anndats", "off", "ar")
+    events = bucketed(spark, sf_dir).where("bucket is not null").select("event_id", "bucket", "sue_w", "anndats", F.col("oftic").alias("tic"), "pos0", F.explode(F.sequence(F.lit(-PRE), F.lit(POST))).alias("off"))
+    return events.withColumn("pos", F.col("pos0") + F.col("off")).join(panel(spark, sf_dir).select("tic", "pos", "ar"), ["tic", "pos"], "left").select("event_id", "bucket", "sue_w", "anndats", "off", "ar")
 
 
 def bucket_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +133,7 @@ def surprise_buckets(spark, sf_dir):
 
 
 def ar_paths(spark, sf_dir):
-    return ar_rows(spark, sf_dir).drop("anndats")
+    return ar_rows(spark, sf_dir).drop("anndats", "sue_w")
 
 
 def bucket_car(spark, sf_dir):
@@ -144,12 +150,12 @@ def event_car(spark, sf_dir):
 
 
 def bucket_summary(spark, sf_dir):
-    rows = ar_rows(spark, sf_dir)
+    """Per bucket: events, mean surprise, cumulative abnormal return to the day itself, to 20 sessions and to the end."""
     upto = lambda last: F.sum(F.when(F.col("off") <= last, F.coalesce("ar", F.lit(0.0))).otherwise(0.0))
-    events = rows.groupBy("event_id", "bucket").agg(upto(0).alias("c0"), upto(POST).alias("cp"))
-    sues = bucketed(spark, sf_dir).select("event_id", "sue_w")
+    events = ar_rows(spark, sf_dir).groupBy("event_id", "bucket", "sue_w").agg(upto(0).alias("c0"), upto(min(20, POST)).alias("c20"), upto(POST).alias("cp"))
     t = F.avg("cp") / F.nullif(F.stddev_pop("cp") / F.sqrt(F.count("*")), F.lit(0.0))
-    return events.join(sues, "event_id").groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.avg("sue_w"), 6).alias("mean_sue"), F.round(100 * F.avg("c0"), 6).alias("car0"), F.round(100 * F.avg("cp"), 6).alias("car_post"), F.round(t, 5).alias("t"))
+    percent = lambda c, name: F.round(100 * F.avg(c), 6).alias(name)
+    return events.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.avg("sue_w"), 6).alias("mean_sue"), percent("c0", "car0"), percent("c20", "car20"), percent("cp", "car_post"), F.round(t, 5).alias("t"))
 
 
 def ls_tstat(spark, sf_dir):
@@ -194,14 +200,14 @@ SQL = {
     "bucket_car": "SELECT * FROM paths",
     "long_short_path": "SELECT off, round(max_by(car, bucket) - min_by(car, bucket), 8) AS long_short FROM paths GROUP BY off",
     "event_car": "SELECT event_id, bucket, car FROM ecar",
-    "bucket_summary": """SELECT bucket, count(*) AS n, round(avg(sue_w), 6) AS mean_sue, round(100 * avg(c0), 6) AS car0, round(100 * avg(cp), 6) AS car_post, round(avg(cp) / nullif(stddev_pop(cp) / sqrt(count(*)), 0), 5) AS t
-        FROM (SELECT event_id, a.bucket, any_value(sue_w) sue_w, sum(CASE WHEN off <= 0 THEN coalesce(ar, 0) ELSE 0 END) c0, sum(coalesce(ar, 0)) cp FROM ars a JOIN bucketed USING (event_id) GROUP BY ALL) GROUP BY bucket""",
+    "bucket_summary": """SELECT bucket, count(*) AS n, round(avg(sue_w), 6) AS mean_sue, round(100 * avg(c0), 6) AS car0, round(100 * avg(c20), 6) AS car20, round(100 * avg(cp), 6) AS car_post, round(avg(cp) / nullif(stddev_pop(cp) / sqrt(count(*)), 0), 5) AS t
+        FROM (SELECT event_id, a.bucket, any_value(sue_w) sue_w, sum(CASE WHEN off <= 0 THEN coalesce(ar, 0) ELSE 0 END) c0, sum(CASE WHEN off <= 20 THEN coalesce(ar, 0) ELSE 0 END) c20, sum(coalesce(ar, 0)) cp FROM ars a JOIN bucketed USING (event_id) GROUP BY ALL) GROUP BY bucket""",
     "ls_tstat": """SELECT round(h.m - l.m, 8) AS spread, round((h.m - l.m) / nullif(sqrt(h.v / h.n + l.v / l.n), 0), 5) AS t FROM
         (SELECT avg(car) m, var_pop(car) v, count(*) n FROM ecar WHERE bucket = (SELECT max(bucket) FROM ecar)) h, (SELECT avg(car) m, var_pop(car) v, count(*) n FROM ecar WHERE bucket = (SELECT min(bucket) FROM ecar)) l""",
-    "annual_stability": "SELECT * FROM (SELECT year(anndats) AS year, round(avg(car) FILTER (bucket = 5) - avg(car) FILTER (bucket = 1), 8) AS spread FROM ecar GROUP BY 1) WHERE spread IS NOT NULL",
+    "annual_stability": f"SELECT * FROM (SELECT year(anndats) AS year, round(avg(car) FILTER (bucket = {BUCKETS}) - avg(car) FILTER (bucket = 1), 8) AS spread FROM ecar GROUP BY 1) WHERE spread IS NOT NULL",
     "surprise_hist": "SELECT least(floor((sue_w - a) / ((b - a) / 80)), 79) AS bin, count(*) AS n FROM wins, (SELECT min(sue_w) a, max(sue_w) b FROM wins) WHERE sue_w IS NOT NULL GROUP BY 1",
     "bucket_counts": "SELECT bucket, count(*) AS n, round(avg(sue_w), 6) AS mean_sue, count(DISTINCT oftic) AS firms FROM bucketed GROUP BY bucket",
-    "announcement_zoom": "SELECT bucket, off, car FROM paths WHERE off BETWEEN -5 AND 10 AND bucket IN (1, 3, 5)",
+    "announcement_zoom": f"SELECT bucket, off, car FROM paths WHERE off BETWEEN -{PRE} AND 10 AND bucket IN (1, {1 + BUCKETS // 2}, {BUCKETS})",
 }
 QUERIES = {name: globals()[name] for name in SQL}
 ORACLE_SQL = {name: CTE + sql for name, sql in SQL.items()}

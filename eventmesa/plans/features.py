@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,38 +11,59 @@ from ..functions import scalars as S
 from ..operators import core as O
 from ..sources import adapters as A
 from ..sources import incremental as I
+from ..sources import links as L
+from ..sources.staging import kept
 from . import equities as E
 
-HORIZON = 20
+#: Sessions over which drift is labelled, the first being the study's own, and classes of a label.
+HORIZONS, DECILES = (60, 20, 5), 10
+HORIZON = HORIZONS[0]
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ticker on every trading day, so frames of rows count trading days; missing returns stay null."""
-    rows = E.panel(spark, sf_dir)
-    days = rows.select("pos").distinct()
-    tickers = rows.select("tic").distinct()
-    grid = days.join(F.broadcast(tickers))  # tickers times days: the size of the panel, not of events
-    return grid.join(rows, ["tic", "pos"], "left").withColumn("ar0", F.coalesce("ar", F.lit(0.0))).withColumn("ret0", F.coalesce("ret", F.lit(0.0)))
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = E.panel(spark, sf_dir)
+        last = rows.agg(F.max("pos").alias("last"))  # one row
+        grid = rows.select("tic").distinct().join(F.broadcast(last)).select("tic", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("pos"))
+        return grid.join(rows, ["tic", "pos"], "left").withColumn("ar0", F.coalesce("ar", F.lit(0.0))).withColumn("ret0", F.coalesce("ret", F.lit(0.0)))
+
+    return kept(spark, sf_dir, "dense", build)
 
 
 def frame(low: int, high: int):
     return Window.partitionBy("tic").orderBy("pos").rowsBetween(low, high)
 
 
+def grown(low: int, high: int, least: int):
+    """Compound return over rows low to high, missing days flat; null before row `least`."""
+    return F.when(F.col("pos") >= least, F.round(F.exp(F.sum(F.log1p("ret0")).over(frame(low, high))) - 1, 6) + 0.0)
+
+
 def at_events(spark: SparkSession, sf_dir: str, rows: DataFrame, *columns) -> DataFrame:
-    events = E.fitting(spark, sf_dir).select("event_id", F.col("oftic").alias("tic"), F.col("pos0").alias("pos"), "anndats")
+    events = E.fitting(spark, sf_dir).select("event_id", F.col("oftic").alias("tic"), F.col("pos0").alias("pos"), "anndats", "cal_q")
     return events.join(rows, ["tic", "pos"]).select("event_id", *columns)
 
 
 def drift_labels(spark, sf_dir) -> DataFrame:
-    """drift_raw: sum of abnormal returns over the next HORIZON days, missing ones flat; z and decile within the quarter."""
-    rows = dense(spark, sf_dir).withColumn("drift_raw", F.round(F.sum("ar0").over(frame(1, HORIZON)), 9)).select("tic", "pos", "drift_raw")
-    rows = at_events(spark, sf_dir, rows, S.quarter_label(F.col("anndats")).alias("cal_q"), "drift_raw")
-    every = Window.partitionBy("cal_q")
-    z = (F.col("drift_raw") - F.avg("drift_raw").over(every)) / F.nullif(F.stddev_pop("drift_raw").over(every), F.lit(0.0))
-    binned = O.binned_within(rows.withColumn("z", F.round(z, 6)), ["cal_q"], "drift_raw", ["event_id"], 5, "decile")
-    distinct = F.size(F.collect_set("drift_raw").over(every))
-    return binned.withColumn("decile", F.when(distinct >= 5, F.col("decile"))).withColumn("drift_class", F.when(F.col("decile") == 5, 1).when(F.col("decile") == 1, 0))
+    """For each horizon: drift_raw, the sum of abnormal returns over the next sessions, missing ones flat; within the quarter
+    its z, its decile (where there are as many values) and its class: the top one is 1, the bottom one 0."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        raw = {h: F.round(F.sum("ar0").over(frame(1, h)), 9).alias(f"drift_raw_h{h}") for h in HORIZONS}
+        rows = at_events(spark, sf_dir, dense(spark, sf_dir).select("tic", "pos", *raw.values()), "cal_q", *(f"drift_raw_h{h}" for h in HORIZONS))
+        stats = rows.groupBy("cal_q").agg(*(f(F.col(f"drift_raw_h{h}")).alias(f"{n}{h}") for h in HORIZONS for n, f in (("mean", F.avg), ("sd", F.stddev_pop), ("values", F.count_distinct))))
+        rows = rows.join(F.broadcast(stats), "cal_q")  # one row a quarter
+        for h in HORIZONS:
+            raw_h = F.col(f"drift_raw_h{h}")
+            rows = rows.withColumn(f"drift_z_h{h}", F.round((raw_h - F.col(f"mean{h}")) / F.nullif(F.col(f"sd{h}"), F.lit(0.0)), 6))
+            rows = O.binned_within(rows, ["cal_q"], f"drift_raw_h{h}", ["event_id"], DECILES, "bin")
+            rows = rows.withColumn(f"drift_decile_h{h}", F.when(F.col(f"values{h}") >= DECILES, F.col("bin"))).drop("bin", f"mean{h}", f"sd{h}", f"values{h}")
+            rows = rows.withColumn(f"drift_class_h{h}", F.when(F.col(f"drift_decile_h{h}") == DECILES, 1).when(F.col(f"drift_decile_h{h}") == 1, 0))
+        return rows
+
+    return kept(spark, sf_dir, "labels", build)
 
 
 def labels(spark, sf_dir):
@@ -49,76 +72,116 @@ def labels(spark, sf_dir):
 
 def feat_price_risk(spark, sf_dir):
     rows = dense(spark, sf_dir)
-    grown = lambda low, high, least: F.when(F.col("pos") >= least, F.round(F.exp(F.sum(F.log1p("ret0")).over(frame(low, high))) - 1, 6) + 0.0)
     pair = F.col("ret").isNotNull()
     x, y = F.when(pair, F.col("bench_ret")), F.col("ret")
     w = frame(-252, -1)
-    beta = F.covar_pop(y, x).over(w) / F.nullif(F.var_pop(x).over(w), F.lit(0.0))
+    rows = rows.withColumn("pairs", F.count("ret").over(w)).withColumn("vx", F.var_pop(x).over(w)).withColumn("vy", F.var_pop(y).over(w)).withColumn("cxy", F.covar_pop(y, x).over(w))
+    enough = (F.col("pos") >= 252) & (F.col("pairs") >= 2) & (F.col("vx") > 0)
     rows = rows.select(
         "tic", "pos", grown(-21, -1, 21).alias("mom_1m"), grown(-5, -1, 5).alias("reversal_1w"), grown(-252, -21, 252).alias("mom_12_1"),
-        F.when(F.col("pos") >= 60, F.round(F.stddev_pop("ret").over(frame(-60, -1)), 6)).alias("rvol_60"), F.when(F.col("pos") >= 252, F.round(beta, 6)).alias("beta_252"),
+        F.when(F.col("pos") >= 60, F.round(F.stddev_pop("ret").over(frame(-60, -1)), 6)).alias("rvol_60"), F.when(enough, F.round(F.col("cxy") / F.col("vx"), 6)).alias("beta_252"),
+        F.when(enough, F.round(F.sqrt(F.greatest(F.col("vy") - F.col("cxy") ** 2 / F.col("vx"), F.lit(0.0))), 6)).alias("ivol"),
         F.when(F.col("pos") >= 252, F.round(F.col("price") / F.max("price").over(frame(-252, 0)), 8)).alias("high52_prox"), (F.round(F.coalesce(F.sum("ar").over(frame(-5, -1)), F.lit(0.0)), 6) + 0.0).alias("pre_run"), F.col("ar").alias("ear"), F.round(S.safe_log(F.col("price")), 8).alias("price_level"),
     )
     return at_events(spark, sf_dir, rows, *rows.columns[2:])
 
 
 def industries(spark, sf_dir) -> DataFrame:
-    return A.table(spark, sf_dir, "nation").select(F.upper("n_name").alias("tic"), S.ff12(100 + (F.col("n_nationkey") * 397) % 8900).alias("ff12"))
+    return A.companies(spark, sf_dir).join(L.ticker_to_company(spark, sf_dir), "gvkey").select(F.col("ticker").alias("tic"), "gsector", S.ff12(F.col("sic")).alias("ff12"))
 
 
 def ff12_industry(spark, sf_dir):
-    return industries(spark, sf_dir)
+    return industries(spark, sf_dir).select("tic", "ff12")
+
+
+def feat_sector(spark, sf_dir):
+    """Sector and industry of the firm that the last link names, and whether it belongs to a group (here: the first region)."""
+    members = A.table(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.upper("n_name").alias("member"))
+    rows = industries(spark, sf_dir).join(members, F.col("tic") == F.col("member"), "left").select(F.col("tic").alias("oftic"), F.col("gsector").cast("string").alias("gics_sector"), "ff12", F.col("member").isNotNull().cast("int").alias("idx_member"))
+    return E.fitting(spark, sf_dir).select("event_id", "oftic").join(rows, "oftic", "left").drop("oftic")
 
 
 def industry_mom(spark, sf_dir):
     """Mean trailing 21-day return of the other firms in the industry on the day."""
-    rows = dense(spark, sf_dir).withColumn("leg", F.when(F.col("pos") >= 21, F.exp(F.sum(F.log1p("ret0")).over(frame(-21, -1))) - 1)).join(F.broadcast(industries(spark, sf_dir)), "tic")
-    peers = Window.partitionBy("ff12", "pos")
-    others = (F.sum("leg").over(peers) - F.col("leg")) / F.nullif(F.count("leg").over(peers) - 1, F.lit(0))
-    rows = rows.select("tic", "pos", (F.round(others, 6) + 0.0).alias("industry_mom"))
+    rows = dense(spark, sf_dir).withColumn("leg", F.when(F.col("pos") >= 21, F.exp(F.sum(F.log1p("ret0")).over(frame(-21, -1))) - 1)).join(industries(spark, sf_dir), "tic")
+    sums = rows.groupBy("ff12", "pos").agg(F.sum("leg").alias("s"), F.count("leg").alias("n"))
+    others = (F.col("s") - F.col("leg")) / F.nullif(F.col("n") - 1, F.lit(0))
+    rows = rows.join(sums, ["ff12", "pos"]).select("tic", "pos", (F.round(others, 6) + 0.0).alias("industry_mom"))
     return at_events(spark, sf_dir, rows, "industry_mom")
 
 
 def industry_drift_base(spark, sf_dir):
     """Mean drift of earlier events in the industry that had closed by the event's day: sums by industry and closing day,
     added up over days, then looked up as of the day."""
-    rows = dense(spark, sf_dir).withColumn("drift", F.round(F.sum("ar0").over(frame(1, HORIZON)), 9)).select("tic", "pos", "drift")
-    events = at_events(spark, sf_dir, rows, "tic", "pos", "drift").join(F.broadcast(industries(spark, sf_dir)), "tic")
+    drifts = drift_labels(spark, sf_dir).select("event_id", F.col(f"drift_raw_h{HORIZON}").alias("drift"))
+    events = E.fitting(spark, sf_dir).select("event_id", F.col("oftic").alias("tic"), F.col("pos0").alias("pos")).join(drifts, "event_id").join(industries(spark, sf_dir), "tic")
     closed = events.groupBy("ff12", (F.col("pos") + HORIZON).alias("close_pos")).agg(F.sum("drift").alias("s"), F.count("*").alias("n"))
-    w = Window.partitionBy("ff12").orderBy("close_pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("ff12").orderBy("close_pos").rowsBetween(Window.unboundedPreceding, 0)  # a row an industry and day
     base = closed.select("ff12", "close_pos", F.sum("s").over(w).alias("s"), F.sum("n").over(w).alias("n"))
     found = O.asof_backward(events, base, "ff12", "pos", "close_pos", ["s", "n"])
     return found.select("event_id", F.round(F.col("s") / F.col("n"), 8).alias("industry_drift_base"))
 
 
+LIQUIDITY = ["mktcap", "dollar_vol", "turnover", "amihud", "prc", "shrout"]
+
+
 def daily_liquidity(spark, sf_dir) -> DataFrame:
-    rows = A.trades(spark, sf_dir).groupBy("tic", "date").agg(F.round(100 * (1 + F.avg("l_discount")), 8).alias("prc"), F.sum("l_quantity").alias("vol"))
-    w = Window.partitionBy("tic").orderBy("date").rowsBetween(-59, 0)
-    return rows.select("tic", "date", F.round(F.log(F.avg(F.col("prc") * F.col("vol")).over(w)), 6).alias("dollar_vol"), F.round(F.avg("vol").over(w), 6).alias("mean_vol"))
+    w = Window.partitionBy("permno").orderBy("date").rowsBetween(-59, 0)
+    traded = F.abs("prc") * F.col("vol")
+    amihud = F.avg(F.abs("ret") / F.nullif(traded, F.lit(0.0))).over(w)
+    rows = A.daily(spark, sf_dir).select(
+        "permno", "date", "prc", "shrout", F.round(S.safe_log(F.abs("prc") * F.col("shrout")), 8).alias("mktcap"), F.round(S.safe_log(F.avg(traded).over(w)), 6).alias("dollar_vol"),
+        F.round(F.avg(F.when(F.col("shrout") > 0, F.col("vol") / F.col("shrout"))).over(w), 8).alias("turnover"), (F.round(amihud * 1e6, 5) + 0.0).alias("amihud"),
+    )
+    return rows.join(L.ticker_to_permno(spark, sf_dir), "permno")
 
 
 def feat_liquidity(spark, sf_dir):
-    """Means of the last 60 trading rows at or before the announcement (inclusive as-of)."""
-    events = E.fitting(spark, sf_dir).select("event_id", F.col("oftic").alias("tic"), "anndats")
-    return O.asof_backward(events, daily_liquidity(spark, sf_dir), "tic", "anndats", "date", ["dollar_vol", "mean_vol"]).select("event_id", "dollar_vol", "mean_vol")
+    """The last trading row at or before the announcement (inclusive as-of), and means of the 60 that end there; amihud in
+    millionths."""
+    events = E.fitting(spark, sf_dir).select("event_id", F.col("oftic").alias("ticker"), "anndats")
+    return O.asof_backward(events, daily_liquidity(spark, sf_dir), "ticker", "anndats", "date", LIQUIDITY).select("event_id", *LIQUIDITY[:4])
 
 
 def asof_backward(spark, sf_dir):
+    """Each order with the same customer's latest order by that day, itself included: the last of the day counts."""
     events = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("key"), F.to_date("o_orderdate").alias("t"))
-    right = events.where("event_id % 3 = 0").groupBy("key", F.col("t").alias("rt")).agg(F.max("event_id").alias("val"))
-    return O.asof_backward(events, right, "key", "t", "rt", ["val"]).select("event_id", "rt", "val")
+    right = events.select("key", F.col("t").alias("rt"), F.col("event_id").alias("val"))
+    return O.asof_backward(events, right, "key", "t", "rt", ["val"], ties="val").select("event_id", "rt", "val")
 
 
-def feat_fundamentals(spark, sf_dir):
-    """Ratios of the latest report strictly before the announcement; growth is over the report four before."""
+RATIOS = ["roa", "gross_margin", "leverage", "rd_intensity", "n_employees", "asset_growth", "sales_growth", "accruals", "earn_vol"]
+
+
+def reports(spark, sf_dir) -> DataFrame:
+    """Ratios of each quarterly report; what compares looks at the report four before."""
     w = Window.partitionBy("gvkey").orderBy("rdq", "datadate")
-    reports = A.filings(spark, sf_dir).select(
-        "gvkey", "rdq", F.round(F.col("niq") / F.nullif("atq", F.lit(0)), 8).alias("roa"), F.round((F.col("revtq") - F.col("cogsq")) / F.nullif("revtq", F.lit(0)), 6).alias("gross_margin"),
-        F.round(F.col("dlttq") / F.nullif("atq", F.lit(0)), 6).alias("leverage"), F.round(F.col("atq") / F.nullif(F.lag("atq", 4).over(w), F.lit(0)) - 1, 4).alias("asset_growth"),
+    ago = lambda c: F.lag(c, 4).over(w)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)) - F.coalesce(ago(c), F.lit(0.0))
+    over = lambda a, b, digits: F.round(a / F.nullif(b, F.lit(0.0)), digits)
+    c, sales = F.col, F.coalesce("saleq", "revtq")
+    debt = F.when(c("dlttq").isNotNull() | c("dlcq").isNotNull(), F.coalesce("dlttq", F.lit(0.0)) + F.coalesce("dlcq", F.lit(0.0)))
+    working = (c("actq") - ago("actq") - zero("cheq")) - (c("lctq") - ago("lctq") - zero("dlcq") - zero("txpq"))
+    spent = F.coalesce(F.sum("dpq").over(w.rowsBetween(-3, 0)), F.lit(0.0))
+    # The deviation of the last eight incomes that are known: over those alone, then carried to reports without one.
+    known = Window.partitionBy("gvkey", c("niq").isNull()).orderBy("rdq", "datadate").rowsBetween(-7, 0)
+    deviation = F.when(c("niq").isNotNull() & (F.count("niq").over(known) >= 2), F.stddev_samp("niq").over(known))
+    rows = A.filings(spark, sf_dir).withColumn("sales", sales).withColumn("deviation", deviation)
+    return rows.select(
+        "gvkey", "rdq", "datadate", "ceqq", over(c("niq"), c("atq"), 8).alias("roa"), over(c("revtq") - c("cogsq"), c("revtq"), 6).alias("gross_margin"), over(debt, c("atq"), 6).alias("leverage"), over(c("xrdq"), c("sales"), 6).alias("rd_intensity"),
+        F.round(S.safe_log(c("emp")), 8).alias("n_employees"), F.round(c("atq") / F.nullif(ago("atq"), F.lit(0.0)) - 1, 4).alias("asset_growth"), F.round(c("sales") / F.nullif(ago("saleq"), F.lit(0.0)) - 1, 4).alias("sales_growth"),
+        over(working - spent, (c("atq") + ago("atq")) / 2, 6).alias("accruals"), F.round(F.last("deviation", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("earn_vol"),
     )
-    keys = A.table(spark, sf_dir, "nation").select(F.upper("n_name").alias("oftic"), F.lpad(F.col("n_nationkey").cast("string"), 6, "0").alias("gvkey"))
-    events = E.fitting(spark, sf_dir).join(F.broadcast(keys), "oftic").select("event_id", "gvkey", "anndats")
-    return O.asof_backward(events, reports, "gvkey", "anndats", "rdq", ["roa", "gross_margin", "leverage", "asset_growth"], strict=True).select("event_id", "roa", "gross_margin", "leverage", "asset_growth")
+
+
+def feat_fundamentals(spark, sf_dir):
+    """Ratios of the latest report strictly before the announcement; book to market with the last price by then."""
+    keys = L.ticker_to_company(spark, sf_dir).withColumnRenamed("ticker", "oftic")
+    events = E.fitting(spark, sf_dir).select("event_id", "oftic", "anndats").join(keys, "oftic", "left")
+    found = O.asof_backward(events, reports(spark, sf_dir), "gvkey", "anndats", "rdq", ["ceqq", *RATIOS], strict=True, ties="datadate")
+    prices = O.asof_backward(events.select("event_id", F.col("oftic").alias("ticker"), "anndats"), daily_liquidity(spark, sf_dir), "ticker", "anndats", "date", ["prc", "shrout"])
+    cap = F.abs("prc") * F.col("shrout")
+    return found.join(prices.select("event_id", "prc", "shrout"), "event_id").select("event_id", *RATIOS, F.round(F.when(cap > 0, F.col("ceqq") / cap), 6).alias("book_to_market"))
 
 
 def feat_earnings(spark, sf_dir):
@@ -128,7 +191,22 @@ def feat_earnings(spark, sf_dir):
 
 def feat_calendar(spark, sf_dir):
     hour = S.hour_of(F.col("anntims"))
-    return E.fitting(spark, sf_dir).select("event_id", F.quarter("anndats").alias("fiscal_q"), F.when(hour.isNull() | (hour >= 16), "AMC").otherwise("BMO").alias("report_time"))
+    bench = dense(spark, sf_dir).where(F.col("tic") == A.BENCHMARK).select("pos", grown(-21, -1, 21).alias("mkt_ret_pre"))
+    events = E.fitting(spark, sf_dir).join(F.broadcast(bench), F.col("pos0") == F.col("pos"), "left")  # one row a trading day
+    return events.select("event_id", F.quarter("anndats").alias("fiscal_q"), F.when(hour.isNull() | (hour >= 16), "AMC").otherwise("BMO").alias("report_time"), "mkt_ret_pre", F.lit(None).cast("double").alias("vix_level"))
+
+
+PARTS = [feat_price_risk, feat_liquidity, feat_sector, industry_mom, industry_drift_base, feat_fundamentals, feat_earnings, feat_calendar, drift_labels]
+
+
+def event_features(spark, sf_dir) -> DataFrame:
+    """All features and labels, one row an event: every part has one row an event, and all are joined by its id."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = E.surprises(spark, sf_dir).select("event_id", "oftic", "anndats", "pos0", "sue_std", "sue_price", "surprise_raw")
+        return reduce(lambda left, part: left.join(part(spark, sf_dir), "event_id", "left"), PARTS, base)
+
+    return kept(spark, sf_dir, "event_features", build)
 
 
 def dedupe_keep_last(spark, sf_dir):
@@ -137,8 +215,9 @@ def dedupe_keep_last(spark, sf_dir):
 
 
 def incremental_keys(spark, sf_dir):
+    """Customers that an earlier load of urgent orders lacks."""
     requested = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
-    cached = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
+    cached = A.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("key"))
     return I.missing_keys(requested, cached, "key")
 
 
@@ -169,32 +248,63 @@ def expand_universe(spark, sf_dir):
 
 PANEL = E.CTE + """,
 dense AS (SELECT t.tic, d.pos, p.price, p.ret, p.bench_ret, p.ar, coalesce(p.ar, 0) ar0, coalesce(p.ret, 0) ret0 FROM (SELECT DISTINCT tic FROM panel) t CROSS JOIN (SELECT DISTINCT pos FROM panel) d LEFT JOIN panel p ON p.tic = t.tic AND p.pos = d.pos),
-drifts AS (SELECT tic, pos, round(sum(ar0) OVER (PARTITION BY tic ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING), 9) drift FROM dense),
-lab AS (SELECT event_id, oftic, pos0, year(anndats) || 'Q' || quarter(anndats) cal_q, drift drift_raw FROM fit JOIN drifts ON tic = oftic AND pos = pos0),
 sic AS (SELECT upper(n_name) tic, 100 + (n_nationkey * 397) % 8900 sic FROM nation)"""
 FF = "CASE " + " ".join(f"WHEN {' OR '.join(f'sic BETWEEN {a} AND {b}' for a, b in ranges)} THEN '{label}'" for label, ranges in S.FF12) + " ELSE 'Other' END"
 frames = lambda e, a, b: f"{e} OVER (PARTITION BY tic ORDER BY pos ROWS BETWEEN {a} AND {b})"
 back = lambda e, a, b: frames(e, f"{a} PRECEDING", f"{b} PRECEDING")
-ORACLE_SQL = {
-    "labels": PANEL + """SELECT event_id, cal_q, drift_raw, round((drift_raw - avg(drift_raw) OVER q) / nullif(stddev_pop(drift_raw) OVER q, 0), 6) AS z, decile, CASE decile WHEN 5 THEN 1 WHEN 1 THEN 0 END AS drift_class
-        FROM (SELECT *, CASE WHEN n > 1 AND dv >= 5 THEN greatest((r * 5 + n - 2) // (n - 1), 1) END decile FROM (SELECT *, row_number() OVER (PARTITION BY cal_q ORDER BY drift_raw, event_id) - 1 r, count(*) OVER (PARTITION BY cal_q) n, count(DISTINCT drift_raw) OVER (PARTITION BY cal_q) dv FROM lab)) WINDOW q AS (PARTITION BY cal_q)""",
-    "feat_price_risk": PANEL + f"""SELECT event_id, mom_1m, reversal_1w, mom_12_1, rvol_60, beta_252, high52_prox, pre_run, ear, price_level FROM fit JOIN (SELECT tic, pos,
+
+
+def _labels_sql() -> str:
+    raw = ", ".join(f"round({frames('sum(ar0)', '1 FOLLOWING', f'{h} FOLLOWING')}, 9) d{h}" for h in HORIZONS)
+    ranks = ", ".join(f"row_number() OVER (PARTITION BY cal_q ORDER BY d{h}, event_id) - 1 r{h}, count(d{h}) OVER q n{h}, count(DISTINCT d{h}) OVER q v{h}, round((d{h} - avg(d{h}) OVER q) / nullif(stddev_pop(d{h}) OVER q, 0), 6) z{h}" for h in HORIZONS)
+    bins = ", ".join(f"CASE WHEN n{h} > 1 AND v{h} >= {DECILES} THEN greatest((r{h} * {DECILES} + n{h} - 2) // (n{h} - 1), 1) END b{h}" for h in HORIZONS)
+    out = ", ".join(f"d{h} AS drift_raw_h{h}, z{h} AS drift_z_h{h}, b{h} AS drift_decile_h{h}, CASE b{h} WHEN {DECILES} THEN 1 WHEN 1 THEN 0 END AS drift_class_h{h}" for h in HORIZONS)
+    return f"""dr AS (SELECT tic, pos, {raw} FROM dense), la AS (SELECT event_id, oftic, pos0, year(anndats) || 'Q' || quarter(anndats) cal_q, dr.* FROM fit JOIN dr ON tic = oftic AND pos = pos0),
+        lb AS (SELECT event_id, cal_q, {out} FROM (SELECT *, {bins} FROM (SELECT *, {ranks} FROM la WINDOW q AS (PARTITION BY cal_q))))"""
+
+
+#: The parts as CTEs: what each needs before it, its name, and its SELECT of one row an event.
+DRIFTS = _labels_sql()
+LIQ = A.DAILY_SQL + """, liq AS (SELECT upper(n_name) tic, date, prc, shrout, round(ln(prc * shrout), 8) mktcap, round(ln(avg(prc * vol) OVER w), 6) dollar_vol, round(avg(vol / shrout) OVER w, 8) turnover, round(avg(abs(ret) / nullif(prc * vol, 0)) OVER w * 1e6, 5) + 0.0 amihud
+        FROM daily JOIN nation ON permno = 10000 + n_nationkey WINDOW w AS (PARTITION BY permno ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"""
+_ago = lambda c: f"lag({c}, 4) OVER g"
+_d = lambda c: f"(coalesce({c}, 0) - coalesce({_ago(c)}, 0))"
+REP = A.FILINGS_SQL + f""", rep AS (SELECT gvkey, rdq, ceqq, round(niq / nullif(atq, 0), 8) roa, round((revtq - cogsq) / nullif(revtq, 0), 6) gross_margin, round(CASE WHEN dlttq IS NOT NULL OR dlcq IS NOT NULL THEN coalesce(dlttq, 0) + coalesce(dlcq, 0) END / nullif(atq, 0), 6) leverage,
+        round(xrdq / nullif(coalesce(saleq, revtq), 0), 6) rd_intensity, round(ln(emp), 8) n_employees, round(atq / nullif({_ago('atq')}, 0) - 1, 4) asset_growth, round(coalesce(saleq, revtq) / nullif({_ago('saleq')}, 0) - 1, 4) sales_growth,
+        round((((actq - {_ago('actq')} - {_d('cheq')}) - (lctq - {_ago('lctq')} - {_d('dlcq')} - {_d('txpq')})) - sum(dpq) OVER (PARTITION BY gvkey ORDER BY datadate ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) / ((atq + {_ago('atq')}) / 2), 6) accruals,
+        round(CASE WHEN count(niq) OVER e >= 2 THEN stddev_samp(niq) OVER e END, 6) earn_vol FROM fq WINDOW g AS (PARTITION BY gvkey ORDER BY datadate), e AS (PARTITION BY gvkey ORDER BY datadate ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))"""
+PRICE_RISK = f"""SELECT event_id, mom_1m, reversal_1w, mom_12_1, rvol_60, beta_252, ivol, high52_prox, pre_run, ear, price_level FROM fit JOIN (SELECT tic, pos,
         CASE WHEN pos >= 21 THEN round(exp({back('sum(ln(1 + ret0))', 21, 1)}) - 1, 6) + 0.0 END AS mom_1m, CASE WHEN pos >= 5 THEN round(exp({back('sum(ln(1 + ret0))', 5, 1)}) - 1, 6) + 0.0 END AS reversal_1w, CASE WHEN pos >= 252 THEN round(exp({back('sum(ln(1 + ret0))', 252, 21)}) - 1, 6) + 0.0 END AS mom_12_1,
-        CASE WHEN pos >= 60 THEN round({back('stddev_pop(ret)', 60, 1)}, 6) END AS rvol_60, CASE WHEN pos >= 252 THEN round({back('covar_pop(ret, bench_ret)', 252, 1)} / nullif({back('var_pop(CASE WHEN ret IS NOT NULL THEN bench_ret END)', 252, 1)}, 0), 6) END AS beta_252,
-        CASE WHEN pos >= 252 THEN round(price / {frames('max(price)', '252 PRECEDING', 'CURRENT ROW')}, 8) END AS high52_prox, round(coalesce({back('sum(ar)', 5, 1)}, 0), 6) + 0.0 AS pre_run, ar AS ear, round(ln(price), 8) AS price_level FROM dense) ON tic = oftic AND pos = pos0""",
+        CASE WHEN pos >= 60 THEN round({back('stddev_pop(ret)', 60, 1)}, 6) END AS rvol_60, CASE WHEN pos >= 252 AND pairs >= 2 AND vx > 0 THEN round(cxy / vx, 6) END AS beta_252, CASE WHEN pos >= 252 AND pairs >= 2 AND vx > 0 THEN round(sqrt(greatest(vy - cxy * cxy / vx, 0)), 6) END AS ivol,
+        CASE WHEN pos >= 252 THEN round(price / {frames('max(price)', '252 PRECEDING', 'CURRENT ROW')}, 8) END AS high52_prox, round(coalesce({back('sum(ar)', 5, 1)}, 0), 6) + 0.0 AS pre_run, ar AS ear, round(ln(price), 8) AS price_level
+        FROM (SELECT *, {back('count(ret)', 252, 1)} pairs, {back('var_pop(CASE WHEN ret IS NOT NULL THEN bench_ret END)', 252, 1)} vx, {back('var_pop(ret)', 252, 1)} vy, {back('covar_pop(ret, bench_ret)', 252, 1)} cxy FROM dense)) ON tic = oftic AND pos = pos0"""
+INDUSTRY_MOM = f"SELECT event_id, industry_mom FROM fit JOIN (SELECT tic, pos, round((sum(leg) OVER g - leg) / nullif(count(leg) OVER g - 1, 0), 6) + 0.0 AS industry_mom FROM (SELECT d.*, {FF} ff FROM (SELECT tic, pos, CASE WHEN pos >= 21 THEN exp({back('sum(ln(1 + ret0))', 21, 1)}) - 1 END leg FROM dense) d JOIN sic USING (tic)) WINDOW g AS (PARTITION BY ff, pos)) x ON x.tic = oftic AND x.pos = pos0"
+IEV = f"iev AS (SELECT la.*, {FF} ff FROM la JOIN sic ON sic.tic = oftic)"
+INDUSTRY_DRIFT = f"SELECT a.event_id, round(avg(b.d{HORIZON}), 8) AS industry_drift_base FROM iev a LEFT JOIN iev b ON a.ff = b.ff AND b.pos0 + {HORIZON} <= a.pos0 GROUP BY a.event_id"
+SECTOR = f"SELECT event_id, CAST(10 + 5 * n_regionkey AS VARCHAR) AS gics_sector, {FF} AS ff12, CAST(n_regionkey = 0 AS INT) AS idx_member FROM fit JOIN sic ON tic = oftic JOIN nation ON upper(n_name) = oftic"
+LIQUID = "SELECT event_id, mktcap, dollar_vol, turnover, amihud FROM fit ASOF LEFT JOIN liq ON tic = oftic AND anndats >= date"
+FUNDAMENTALS = f"""SELECT event_id, {', '.join(RATIOS)}, round(CASE WHEN prc * shrout > 0 THEN ceqq / (prc * shrout) END, 6) AS book_to_market FROM (SELECT x.*, {', '.join(f'rep.{c}' for c in ['ceqq', *RATIOS])} FROM (SELECT f.*, lpad(CAST(n_nationkey AS VARCHAR), 6, '0') gv FROM fit f JOIN nation ON upper(n_name) = oftic) x ASOF LEFT JOIN rep ON rep.gvkey = x.gv AND x.anndats > rep.rdq)
+        ASOF LEFT JOIN (SELECT tic, date, prc, shrout FROM liq) l ON l.tic = oftic AND anndats >= l.date"""
+EARNINGS = "SELECT event_id, round(stdev / nullif(abs(meanest), 0), 6) AS analyst_disp, numest AS n_analysts, round(CASE WHEN numest > 0 THEN (numup - numdown) / numest END, 8) AS revision_net, anndats - statpers AS staleness, CAST(sign(surprise_raw) AS INT) AS beat_flag FROM sue"
+CALENDAR = f"SELECT event_id, quarter(anndats) AS fiscal_q, CASE WHEN CAST(split_part(anntims, ':', 1) AS INT) >= 16 THEN 'AMC' ELSE 'BMO' END AS report_time, m.mkt_ret_pre, CAST(NULL AS DOUBLE) AS vix_level FROM fit LEFT JOIN (SELECT pos, CASE WHEN pos >= 21 THEN round(exp({back('sum(ln(1 + ret0))', 21, 1)}) - 1, 6) + 0.0 END mkt_ret_pre FROM dense WHERE tic = 'SPY') m ON m.pos = pos0"
+PARTS_SQL = {"f1": PRICE_RISK, "f2": LIQUID, "f3": SECTOR, "f4": INDUSTRY_MOM, "f5": INDUSTRY_DRIFT, "f6": FUNDAMENTALS, "f7": EARNINGS, "f8": CALENDAR, "f9": "SELECT * FROM lb"}
+FEATURES = f"{PANEL}, {DRIFTS}, {IEV}, {LIQ}, {REP}, " + ", ".join(f"{n} AS ({sql})" for n, sql in PARTS_SQL.items())
+FEATURES += ", ef AS (SELECT s.event_id, s.oftic, s.anndats, s.pos0, s.sue_std, s.sue_price, s.surprise_raw, " + ", ".join(f"{n}.* EXCLUDE (event_id)" for n in PARTS_SQL) + " FROM sue s " + " ".join(f"LEFT JOIN {n} ON {n}.event_id = s.event_id" for n in PARTS_SQL) + ")"
+ORACLE_SQL = {
+    "labels": f"{PANEL}, {DRIFTS} SELECT * FROM lb",
+    "feat_price_risk": PANEL + " " + PRICE_RISK,
     "ff12_industry": f"SELECT tic, {FF} AS ff12 FROM (SELECT upper(n_name) tic, 100 + (n_nationkey * 397) % 8900 sic FROM nation)",
-    "industry_mom": PANEL + f"""SELECT event_id, industry_mom FROM fit JOIN (SELECT tic, pos, round((sum(leg) OVER g - leg) / nullif(count(leg) OVER g - 1, 0), 6) + 0.0 AS industry_mom FROM (SELECT d.*, {FF} ff FROM (SELECT tic, pos, CASE WHEN pos >= 21 THEN exp({back('sum(ln(1 + ret0))', 21, 1)}) - 1 END leg FROM dense) d JOIN sic USING (tic)) WINDOW g AS (PARTITION BY ff, pos)) x ON x.tic = oftic AND x.pos = pos0""",
-    "industry_drift_base": PANEL + f""", iev AS (SELECT lab.*, {FF} ff FROM lab JOIN sic ON tic = oftic) SELECT a.event_id, round(avg(b.drift_raw), 8) AS industry_drift_base FROM iev a LEFT JOIN iev b ON a.ff = b.ff AND b.pos0 + 20 <= a.pos0 GROUP BY a.event_id""",
-    "feat_liquidity": E.CTE + """, liq AS (SELECT tic, date, round(ln(avg(prc * vol) OVER w), 6) dollar_vol, round(avg(vol) OVER w, 6) mean_vol FROM (SELECT tic, date, round(100 * (1 + avg(l_discount)), 8) prc, sum(l_quantity) vol FROM trades GROUP BY ALL) WINDOW w AS (PARTITION BY tic ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
-        SELECT event_id, dollar_vol, mean_vol FROM fit ASOF LEFT JOIN liq ON tic = oftic AND anndats >= date""",
-    "asof_backward": "SELECT a.o_orderkey AS event_id, r.rt, r.val FROM orders a ASOF LEFT JOIN (SELECT o_custkey, CAST(o_orderdate AS DATE) rt, max(o_orderkey) val FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL) r ON a.o_custkey = r.o_custkey AND CAST(a.o_orderdate AS DATE) >= r.rt",
-    "feat_fundamentals": E.CTE + """, fq AS (SELECT lpad(CAST(c_nationkey AS VARCHAR), 6, '0') gvkey, CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH AS DATE) - 1 datadate, round(sum(o_totalprice) / 1000, 6) atq, round(avg(o_totalprice) / 1000, 6) niq FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
-        rep AS (SELECT gvkey, datadate + 20 rdq, round(niq / nullif(atq, 0), 8) roa, round((round(atq * 0.6, 6) - round(atq * 0.24, 6)) / nullif(round(atq * 0.6, 6), 0), 6) gross_margin, CASE WHEN quarter(datadate) <> 2 THEN round(round(atq * 0.2, 6) / nullif(atq, 0), 6) END leverage, round(atq / nullif(lag(atq, 4) OVER (PARTITION BY gvkey ORDER BY datadate), 0) - 1, 4) asset_growth FROM fq)
-        SELECT event_id, roa, gross_margin, leverage, asset_growth FROM (SELECT f.*, lpad(CAST(n_nationkey AS VARCHAR), 6, '0') gv FROM fit f JOIN nation ON upper(n_name) = oftic) x ASOF LEFT JOIN rep ON rep.gvkey = x.gv AND x.anndats > rep.rdq""",
-    "feat_earnings": E.CTE + "SELECT event_id, round(stdev / nullif(abs(meanest), 0), 6) AS analyst_disp, numest AS n_analysts, round(CASE WHEN numest > 0 THEN (numup - numdown) / numest END, 8) AS revision_net, anndats - statpers AS staleness, CAST(sign(surprise_raw) AS INT) AS beat_flag FROM sue",
-    "feat_calendar": E.CTE + "SELECT event_id, quarter(anndats) AS fiscal_q, CASE WHEN CAST(split_part(anntims, ':', 1) AS INT) >= 16 THEN 'AMC' ELSE 'BMO' END AS report_time FROM fit",
+    "feat_sector": PANEL + " " + SECTOR,
+    "industry_mom": PANEL + " " + INDUSTRY_MOM,
+    "industry_drift_base": f"{PANEL}, {DRIFTS}, {IEV} {INDUSTRY_DRIFT}",
+    "feat_liquidity": f"{E.CTE}, {LIQ} {LIQUID}",
+    "asof_backward": "SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS rt, max(o_orderkey) OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE)) AS val FROM orders",
+    "feat_fundamentals": f"{E.CTE}, {LIQ}, {REP} {FUNDAMENTALS}",
+    "feat_earnings": E.CTE + EARNINGS,
+    "feat_calendar": PANEL + " " + CALENDAR,
+    "event_features": FEATURES + " SELECT * FROM ef",
     "dedupe_keep_last": "SELECT o_custkey AS ticker, CAST(o_orderdate AS DATE) AS ann_date, max(o_orderkey) AS seq FROM orders GROUP BY 1, 2",
-    "incremental_keys": "SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "incremental_keys": "SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "stale_keys": "SELECT o_custkey AS key, max(CAST(o_orderdate AS DATE)) + 1 AS pull_from FROM orders GROUP BY 1 HAVING max(CAST(o_orderdate AS DATE)) < DATE '2001-06-25'",
     "upsert_keep_last": "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN round(-o_totalprice, 2) ELSE o_totalprice END AS value FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 3 = 0",
     "merge_inputs": E.CTE + "SELECT o_orderkey AS event_id, o_totalprice AS actual, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN round(o_totalprice / 2000, 6) END, meanest) AS meanest, numest FROM orders LEFT JOIN ev ON event_id = o_orderkey",

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from ..operators import core as O
 from ..sources import adapters as A
+from ..sources.staging import kept
 
-BEFORE, AFTER, BUCKETS = 5, 60, 5
+BEFORE, AFTER, BUCKETS = 5, 60, 10
 
 CTE = """
 WITH quotes AS (SELECT l_suppkey secid, CAST(l_shipdate AS DATE) date, year(l_shipdate) AS year, CASE l_returnflag WHEN 'A' THEN 'C' WHEN 'N' THEN 'c' ELSE 'P' END cp_flag, l_discount * 10 delta,
   CASE WHEN l_linenumber <> 7 THEN round(0.2 + l_tax, 6) END impl_volatility, l_quantity volume, l_extendedprice * 1000 strike_price FROM lineitem),
-oev AS (SELECT o_orderkey event_id, o_custkey % (SELECT count(*) FROM supplier) secid, CAST(o_orderdate AS DATE) ann_date, round((o_totalprice - 100000) / 1000, 6) surprise FROM orders WHERE o_orderkey % 10 = 0),
+oev AS (SELECT o_orderkey event_id, o_custkey % (SELECT count(*) FROM supplier) secid, CAST(o_orderdate AS DATE) ann_date, round((o_totalprice - 100000) / 1000, 6) surprise FROM orders),
 opanel AS (SELECT q.*, event_id, ann_date, surprise, round(strike_price / 1000, 4) strike, date - ann_date rel_day FROM quotes q JOIN oev e ON q.secid = e.secid AND date BETWEEN ann_date - 5 AND ann_date + 60),
 feats AS (SELECT event_id, secid, ann_date, surprise, round(avg(impl_volatility) FILTER (atm AND rel_day < 0), 8) iv_pre, round(avg(impl_volatility) FILTER (atm AND rel_day > 0), 8) iv_post,
-  count(*) FILTER (atm AND rel_day < 0) n_pre, count(*) FILTER (atm AND rel_day > 0) n_post, sum(volume) total_volume FROM (SELECT *, upper(cp_flag) = 'C' AND abs(abs(delta) - 0.5) <= 0.1 + 1e-9 atm FROM opanel) GROUP BY ALL),
+  count(*) FILTER (atm AND rel_day < 0) n_pre, count(*) FILTER (atm AND rel_day > 0) n_post, sum(volume) total_volume FROM (SELECT *, upper(cp_flag) = 'C' AND round(abs(abs(delta) - 0.5), 9) <= 0.1 atm FROM opanel) GROUP BY ALL),
 drifts AS (SELECT *, round(iv_post - iv_pre, 8) iv_drift FROM feats WHERE iv_pre IS NOT NULL AND iv_post IS NOT NULL),
-ob AS (SELECT *, CASE WHEN n > 1 THEN greatest((r * 5 + n - 2) // (n - 1), 1) END bucket FROM (SELECT *, row_number() OVER (ORDER BY surprise, event_id) - 1 r, count(*) OVER () n FROM drifts)),
+ob AS (SELECT *, CASE WHEN n > 1 THEN greatest((r * 10 + n - 2) // (n - 1), 1) END bucket FROM (SELECT *, row_number() OVER (ORDER BY surprise, event_id) - 1 r, count(*) OVER () n FROM drifts)),
 osum AS (SELECT bucket, count(*) AS n, round(avg(surprise), 5) AS mean_surprise, round(avg(iv_drift), 6) AS mean_drift, round(median(iv_drift), 6) AS median_drift, round(avg(total_volume), 5) AS mean_volume FROM ob GROUP BY bucket)
 """
 
@@ -31,22 +32,27 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One aggregate over the panel; day 0 belongs to neither side, volume counts every quote."""
-    atm = (F.upper("cp_flag") == "C") & (F.abs(F.abs("delta") - 0.5) <= 0.1 + 1e-9)
+    atm = (F.upper("cp_flag") == "C") & (F.round(F.abs(F.abs("delta") - 0.5), 9) <= 0.1)  # decimal distances: 0.6 - 0.5 is no more than 0.1
     pre, post = atm & (F.col("rel_day") < 0), atm & (F.col("rel_day") > 0)
     iv = lambda side: F.round(F.avg(F.when(side, F.col("impl_volatility"))), 8)
     return panel(spark, sf_dir).groupBy("event_id", "secid", "ann_date", "surprise").agg(iv(pre).alias("iv_pre"), iv(post).alias("iv_post"), F.count_if(pre).alias("n_pre"), F.count_if(post).alias("n_post"), F.sum("volume").alias("total_volume"))
 
 
 def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drifts = features(spark, sf_dir).where("iv_pre is not null and iv_post is not null").withColumn("iv_drift", F.round(F.col("iv_post") - F.col("iv_pre"), 8))
-    ranked = O.global_rank(drifts, "surprise", ["event_id"], "at")
-    return ranked.withColumn("bucket", O.bin_of(F.col("at"), F.col("at_n"), BUCKETS))
+    """Events with both sides, in buckets of the surprise; those without a surprise are in none."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        drifts = features(spark, sf_dir).where("iv_pre is not null and iv_post is not null").withColumn("iv_drift", F.round(F.col("iv_post") - F.col("iv_pre"), 8))
+        return O.global_rank(drifts, "surprise", ["event_id"], "at").withColumn("bucket", O.bin_of(F.col("at"), F.col("at_n"), BUCKETS)).drop("at", "at_n")
+
+    return kept(spark, sf_dir, "option_buckets", build)
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bucketed(spark, sf_dir).groupBy("bucket").agg(
-        F.count("*").alias("n"), F.round(F.avg("surprise"), 5).alias("mean_surprise"), F.round(F.avg("iv_drift"), 6).alias("mean_drift"), F.round(F.median("iv_drift"), 6).alias("median_drift"), F.round(F.avg("total_volume"), 5).alias("mean_volume")
-    )
+    rows = bucketed(spark, sf_dir)
+    medians = O.quantiles_within(rows, ["bucket"], "iv_drift", [0.5], ["median_drift"])
+    means = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.avg("surprise"), 5).alias("mean_surprise"), F.round(F.avg("iv_drift"), 6).alias("mean_drift"), F.round(F.avg("total_volume"), 5).alias("mean_volume"))
+    return means.join(F.broadcast(medians), "bucket").withColumn("median_drift", F.round("median_drift", 6))  # one row a bucket
 
 
 def option_panel(spark, sf_dir):

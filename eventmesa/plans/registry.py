@@ -5,3 +5,4 @@ from . import equities, features, options, serving, validation
 _PARTS = (equities, features, options, validation, serving)
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL = {k: s for part in _PARTS for k, s in part.ORACLE_SQL.items()}
+ORACLE_SQL["fama_macbeth"] = f"{features.FEATURES}, {validation.fama_sql()}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import core as O
 from ..sources import adapters as A
 from . import validation as V
@@ -35,8 +36,8 @@ def industry_drift_from_history(spark, sf_dir):
 def sorted_quantiles(spark, sf_dir):
     """Quantile heads fitted apart may cross; a row's predictions are put in order."""
     raw = [F.col("pred_q10") + (F.col("event_id") % 3) * 0.04, *map(F.col, QUANTILES[1:])]
-    ordered = A.backtest(spark, sf_dir).select("event_id", F.sort_array(F.array(*raw)).alias("q"))
-    return ordered.select("event_id", *(F.round(F.col("q")[i], 8).alias(name) for i, name in enumerate(QUANTILES)))
+    heads = A.backtest(spark, sf_dir).select("event_id", *(c.alias(name) for c, name in zip(raw, QUANTILES, strict=True)))
+    return heads.select("event_id", *S.non_crossing(*QUANTILES)).select("event_id", *(F.round(name, 8).alias(name) for name in QUANTILES))
 
 
 def pooled_oos(spark, sf_dir):

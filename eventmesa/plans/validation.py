@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import core as O
 from ..sources import adapters as A
+from ..sources.staging import kept
 
 CTE = """
 WITH bt0 AS (SELECT o_orderkey event_id, o_custkey, o_orderdate, round((o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey)) / 1e6, 9) drift_raw FROM orders),
@@ -17,7 +20,7 @@ ranks AS (SELECT *, rank() OVER (PARTITION BY cal_q ORDER BY drift_raw) + (count
 qs AS (SELECT cal_q, row_number() OVER (ORDER BY cal_q) - 1 k FROM (SELECT DISTINCT cal_q FROM bt)),
 imp AS (SELECT cal_q fold, o_orderpriority feature, avg(abs(drift_raw)) imp, avg(drift_raw) signed FROM bt JOIN orders ON event_id = o_orderkey GROUP BY ALL)
 """
-HORIZON, EMBARGO_MONTHS, LEAST_QUARTERS = 60, 3, 4
+HORIZON, EMBARGO_MONTHS, LEAST_QUARTERS = 60, 3, 8
 GAP = max(1, -(-HORIZON // 63)) + -(-EMBARGO_MONTHS // 3)
 
 
@@ -55,65 +58,67 @@ def holdout(spark, sf_dir):
 
 
 def train_standardize(spark, sf_dir):
-    """Each fold's test rows in units of its training rows."""
+    """Each fold's test rows in units of its training rows. Quarters' counts, means and squared deviations are merged, so
+    large means don't cancel."""
     rows = A.backtest(spark, sf_dir).select("event_id", "cal_q", F.col("pred_q50").alias("x"))
-    sums = rows.groupBy("cal_q").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-    stats = folds(spark, sf_dir).join(sums, F.col("train_q") == F.col("cal_q")).groupBy("fold", "test_q").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-    sd = F.sqrt(F.col("ss") / F.col("n") - (F.col("s") / F.col("n")) ** 2)
-    stats = stats.select("fold", "test_q", (F.col("s") / F.col("n")).alias("mean"), F.when(sd > 0, sd).otherwise(1.0).alias("sd"))
-    return rows.join(F.broadcast(stats), F.col("cal_q") == F.col("test_q")).select("fold", "event_id", F.round((F.col("x") - F.col("mean")) / F.col("sd"), 6).alias("z"))
+    stats = rows.groupBy("cal_q").agg(F.count("x").alias("n"), F.avg("x").alias("m"), (F.var_pop("x") * F.count("x")).alias("m2"))
+    w = Window.partitionBy("fold")
+    train = folds(spark, sf_dir).join(stats, F.col("train_q") == F.col("cal_q")).withColumn("mean", F.sum(F.col("n") * F.col("m")).over(w) / F.sum("n").over(w))
+    merged = train.groupBy("fold", "test_q", "mean").agg(F.sqrt(F.sum(F.col("m2") + F.col("n") * (F.col("m") - F.col("mean")) ** 2) / F.sum("n")).alias("sd"))
+    merged = merged.withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
+    return rows.join(F.broadcast(merged), F.col("cal_q") == F.col("test_q")).select("fold", "event_id", F.round((F.col("x") - F.col("mean")) / F.col("sd"), 6).alias("z"))  # one row a fold
 
 
-def ic_by_quarter(spark, sf_dir):
-    rows = A.backtest(spark, sf_dir).withColumn("ry", O.average_rank(F.col("drift_raw"), ["cal_q"])).withColumn("rp", O.average_rank(F.col("pred_q50"), ["cal_q"]))
-    return rows.groupBy("cal_q").agg(F.count("*").alias("n"), F.round(F.corr("ry", "rp"), 6).alias("ic"))
+def finite(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows in which all of the columns are numbers."""
+    for c in columns:
+        rows = rows.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    return rows
 
 
-def ranked_all(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Average rank over all rows, by counts of values and their running sum in ranges."""
-    values = rows.groupBy(value).agg(F.count("*").alias(f"{name}_c"))
-    placed = O.global_rank(values, value, [], "at")
-    part = F.floor(F.col("at") / 4096)
-    placed = placed.withColumn("part", part)
-    sums = placed.groupBy("part").agg(F.sum(f"{name}_c").alias("c"))
-    starts = sums.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("start"))
-    w = Window.partitionBy("part").orderBy("at")
-    ranks = placed.join(F.broadcast(starts), "part").select(value, (F.col("start") + F.sum(f"{name}_c").over(w) - (F.col(f"{name}_c") - 1) / 2).alias(name))
-    return rows.join(ranks, value)
+def ic_by_quarter(spark, sf_dir):
+    rows = O.average_ranks(O.average_ranks(finite(A.backtest(spark, sf_dir).select("cal_q", "drift_raw", "pred_q50"), "drift_raw", "pred_q50"), ["cal_q"], "drift_raw", "ry"), ["cal_q"], "pred_q50", "rp")
+    return rows.groupBy("cal_q").agg(F.count("*").alias("n"), F.round(F.corr("ry", "rp"), 6).alias("ic"))
 
 
 def spearman_ic(spark, sf_dir):
-    rows = ranked_all(ranked_all(A.backtest(spark, sf_dir).select("drift_raw", "pred_q50"), "drift_raw", "ry"), "pred_q50", "rp")
-    return rows.agg(F.count("*").alias("n"), F.round(F.corr("ry", "rp"), 6).alias("ic"))
+    """Null for fewer than three rows."""
+    rows = O.average_ranks(O.average_ranks(finite(A.backtest(spark, sf_dir).select("drift_raw", "pred_q50"), "drift_raw", "pred_q50"), [], "drift_raw", "ry"), [], "pred_q50", "rp")
+    return rows.agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.round(F.corr("ry", "rp"), 6)).alias("ic"))
 
 
 def decile_rows(spark, sf_dir, value: str) -> DataFrame:
-    return O.global_rank(A.backtest(spark, sf_dir), value, ["event_id"], "at").withColumn("bin", O.bin_of(F.col("at"), F.col("at_n"), 10))
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return O.global_rank(A.backtest(spark, sf_dir), value, ["event_id"], "at").withColumn("bin", O.bin_of(F.col("at"), F.col("at_n"), 10)).drop("at")
+
+    return kept(spark, sf_dir, f"deciles_{value}", build)
 
 
 def r2_spread(spark, sf_dir):
-    rows = decile_rows(spark, sf_dir, "pred_q50")
-    y, p = F.col("drift_raw"), F.col("pred_q50")
-    r2 = 1 - F.sum((y - p) ** 2) / (F.sum(y * y) - F.sum(y) ** 2 / F.count("*"))
-    spread = F.avg(F.when(F.col("bin") == 10, y)) - F.avg(F.when(F.col("bin") == 1, y))
+    rows = finite(decile_rows(spark, sf_dir, "pred_q50"), "drift_raw", "pred_q50")
+    y, p, enough = F.col("drift_raw"), F.col("pred_q50"), F.count("*") >= 3
+    total = F.var_pop(y) * F.count("*")
+    r2 = F.when(enough & (total > 0), 1 - F.sum((y - p) ** 2) / total)
+    spread = F.when(F.count("*") >= 10, F.avg(F.when(F.col("bin") == 10, y)) - F.avg(F.when(F.col("bin") == 1, y)))
     cover = F.avg(F.when(y.between(F.col("pred_q10"), F.col("pred_q90")), 1.0).otherwise(0.0))
     return rows.agg(F.round(r2, 6).alias("r2"), F.round(spread, 8).alias("spread"), F.round(cover, 6).alias("coverage"))
 
 
+def auc_of(rows: DataFrame, outcome: str, score: str) -> DataFrame:
+    """n, roc_auc (rank sums, ties averaged) and pr_auc (average precision) of a 0/1 outcome, from counts by distinct score;
+    null unless there are three rows and both outcomes."""
+    counts = finite(rows, outcome, score).groupBy(score).agg(F.sum(outcome).alias("pos"), F.count("*").alias("n"))
+    placed = O.prefix_sums(counts, [score], {"p": F.col("pos"), "c": F.col("n")})
+    negatives = F.col("c_before") - F.col("p_before") + (F.col("n") - F.col("pos")) / 2
+    precision = (F.col("p_all") - F.col("p_before")) / (F.col("c_all") - F.col("c_before"))
+    positive, every = F.sum("pos"), F.sum("n")
+    both = (every >= 3) & (positive > 0) & (positive < every)
+    return placed.agg(every.alias("n"), F.when(both, F.round(F.sum(F.col("pos") * negatives) / positive / (every - positive), 6)).alias("roc_auc"), F.when(both, F.round(F.sum(F.col("pos") * precision) / positive, 6)).alias("pr_auc"))
+
+
 def roc_pr_auc(spark, sf_dir):
-    """From counts by distinct score: AUC by rank sums with ties averaged, average precision by cumulative counts."""
-    up = (F.col("drift_raw") > 0).cast("int")
-    scores = A.backtest(spark, sf_dir).groupBy("prob_up").agg(F.sum(up).alias("pos"), F.count("*").alias("n"))
-    placed = O.global_rank(scores, "prob_up", [], "at").withColumn("part", F.floor(F.col("at") / 4096))
-    sums = placed.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("n").alias("c"))
-    w = Window.orderBy("part")
-    starts = sums.select("part", (F.sum("p").over(w) - F.col("p")).alias("p0"), (F.sum("c").over(w) - F.col("c")).alias("n0"), F.sum("p").over(Window.partitionBy(F.lit(0))).alias("all_p"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("all_n"))
-    inner = Window.partitionBy("part").orderBy("at")
-    rows = placed.join(F.broadcast(starts), "part").withColumn("p_before", F.col("p0") + F.sum("pos").over(inner) - F.col("pos")).withColumn("n_before", F.col("n0") + F.sum("n").over(inner) - F.col("n"))
-    negatives = F.col("n_before") - F.col("p_before") + (F.col("n") - F.col("pos")) / 2
-    precision = (F.col("all_p") - F.col("p_before")) / (F.col("all_n") - F.col("n_before"))
-    some = F.first("all_p") * (F.first("all_n") - F.first("all_p"))
-    return rows.agg(F.round(F.sum(F.col("pos") * negatives) / some, 6).alias("roc_auc"), F.round(F.sum(F.col("pos") * precision) / F.first("all_p"), 6).alias("pr_auc"))
+    rows = A.backtest(spark, sf_dir).select((F.col("drift_raw") > 0).cast("int").alias("up"), "prob_up")
+    return auc_of(rows, "up", "prob_up").drop("n")
 
 
 QUANTILES = (("pred_q10", 0.1), ("pred_q25", 0.25), ("pred_q50", 0.5), ("pred_q75", 0.75), ("pred_q90", 0.9))
@@ -125,9 +130,7 @@ def unpivoted(spark, sf_dir) -> DataFrame:
 
 
 def pinball(spark, sf_dir):
-    d = F.col("drift_raw") - F.col("p")
-    loss = F.greatest(F.col("alpha") * d, (F.col("alpha") - 1) * d)
-    return unpivoted(spark, sf_dir).groupBy("alpha").agg(F.round(F.avg(loss), 8).alias("loss"))
+    return finite(unpivoted(spark, sf_dir), "drift_raw", "p").groupBy("alpha").agg(F.round(F.avg(S.pinball(F.col("drift_raw"), F.col("p"), F.col("alpha"))), 8).alias("loss"))
 
 
 def quantile_calibration(spark, sf_dir):
@@ -142,22 +145,60 @@ def reliability(spark, sf_dir):
     return decile_rows(spark, sf_dir, "prob_up").groupBy("bin").agg(F.round(F.avg("prob_up"), 8).alias("predicted"), F.round(F.avg((F.col("drift_raw") > 0).cast("int")), 6).alias("realised"), F.count("*").alias("n"))
 
 
+FACTORS, LAGS = ["sue_std", "analyst_disp", "revision_net"], 4
+
+
+def slopes(rows: DataFrame, features: list[str], target: str, quarter: str) -> DataFrame:
+    """quarter, feature, b: least squares of the target on all features, in each quarter with max(10, k + 2) rows or more.
+
+    Features are standardised within the quarter; those that don't vary are left out of it, missing values become 0. Spark
+    adds up the products of each quarter; only its k by k table is solved in Python."""
+    rows = rows.where(F.col(target).isNotNull()).select(quarter, F.col(target).cast("double").alias("y"), *features)
+    stats = rows.groupBy(quarter).agg(F.count("*").alias("n"), *(f(c).alias(f"{n}_{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).where(F.col("n") >= max(10, len(features) + 2))
+    z = [F.coalesce((F.col(c) - F.col(f"m_{i}")) / F.when(F.col(f"s_{i}") > 0, F.col(f"s_{i}")), F.lit(0.0)).alias(f"z{i}") for i, c in enumerate(features)]
+    scaled = rows.join(F.broadcast(stats), quarter).select(quarter, "y", *z)  # one row a quarter
+    k = len(features)
+    products = [F.sum(F.col(f"z{i}") * F.col(f"z{j}")) for i in range(k) for j in range(k)]
+    sums = scaled.groupBy(quarter).agg(F.array(*products).alias("xx"), F.array(*(F.sum(F.col(f"z{i}") * F.col("y")) for i in range(k))).alias("xy"))
+
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for q, xx, xy in zip(batch[quarter], batch["xx"], batch["xy"], strict=True):
+                table, right = np.array(xx).reshape(k, k), np.array(xy)
+                alive = np.flatnonzero(table.diagonal() > 0)
+                b = np.linalg.lstsq(table[np.ix_(alive, alive)], right[alive], rcond=None)[0]
+                out += [(q, features[i], float(x)) for i, x in zip(alive, b, strict=True)]
+            yield pd.DataFrame(out, columns=["quarter", "feature", "b"])
+
+    return sums.mapInPandas(solve, "quarter string, feature string, b double")
+
+
+def mean_with_t(series: DataFrame, by: list[str], order: str, value: str, lags: int = LAGS) -> DataFrame:
+    """Per series: mean, n, share of positive values and the t of the mean by Newey and West, with Bartlett weights over
+    min(lags, n - 1) lags. Null for fewer than two values; where the variance isn't positive the t is null."""
+    every, ordered = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(order)
+    rows = series.withColumn("mean", F.avg(value).over(every)).withColumn("n", F.count(value).over(every)).withColumn("e", F.col(value) - F.col("mean"))
+    rows = rows.select(*by, value, "mean", "n", "e", *(F.lag("e", k).over(ordered).alias(f"e{k}") for k in range(1, lags + 1)))
+    most, var = F.least(F.max("n") - 1, F.lit(lags)), F.sum(F.col("e") ** 2)
+    for k in range(1, lags + 1):
+        var = var + F.when(most >= k, 2 * (1 - k / (most + 1)) * F.sum(F.col("e") * F.col(f"e{k}"))).otherwise(0.0)
+    t = F.when((F.max("n") >= 2) & (var > 0), F.max("mean") * F.max("n") / F.sqrt(var))
+    return rows.groupBy(*by).agg(F.max("mean").alias("mean"), t.alias("t"), F.max("n").alias("n"), F.avg((F.col(value) > 0).cast("int")).alias("frac_positive"))
+
+
 def fama_macbeth(spark, sf_dir):
-    """Per quarter, the slope of the outcome on one standardised feature; its mean, plain t and share of positive signs."""
-    slope = F.covar_pop("drift_raw", "pred_q50") / F.nullif(F.stddev_pop("pred_q50"), F.lit(0.0))
-    per = A.backtest(spark, sf_dir).groupBy("cal_q").agg(F.count("*").alias("n"), slope.alias("b")).where("n >= 10")
-    return per.agg(F.round(F.avg("b"), 9).alias("coef"), F.round(F.avg("b") / (F.stddev_samp("b") / F.sqrt(F.count("*"))), 4).alias("t"), F.count("*").alias("n_quarters"), F.round(F.avg((F.col("b") > 0).cast("int")), 6).alias("frac_positive"))
+    """Each feature's slope, averaged over quarters, with its t and how often it is positive."""
+    from . import features as X
+
+    per = slopes(X.event_features(spark, sf_dir), FACTORS, f"drift_z_h{HORIZON}", "cal_q")
+    return mean_with_t(per, ["feature"], "quarter", "b").select("feature", F.round("mean", 6).alias("coef"), F.round("t", 3).alias("t"), F.col("n").alias("n_quarters"), F.round("frac_positive", 6).alias("frac_positive"))
 
 
 def newey_west(spark, sf_dir):
-    """t of the mean of a quarterly series with Bartlett weights; the series has one row a quarter."""
-    series = A.backtest(spark, sf_dir).groupBy("cal_q").agg(F.avg("drift_raw").alias("b0"), F.avg("pred_q50").alias("b"))
-    e = series.withColumn("e", F.col("b") - F.avg("b").over(Window.partitionBy(F.lit(0)))).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0)))).withColumn("mean", F.avg("b").over(Window.partitionBy(F.lit(0))))
-    lags = e.select("n", "mean", "e", *(F.lag("e", k).over(Window.orderBy("cal_q")).alias(f"e{k}") for k in range(1, 5)))
-    var = F.sum(F.col("e") ** 2)
-    for k in range(1, 5):
-        var = var + 2 * (1 - k / 5) * F.coalesce(F.sum(F.col("e") * F.col(f"e{k}")), F.lit(0.0))
-    return lags.agg(F.round(F.first("mean"), 9).alias("mean"), F.round(F.first("mean") / F.sqrt(var / F.first("n") / F.first("n")), 4).alias("t"))
+    """t of the mean of a quarterly series; the series has one row a quarter."""
+    series = A.backtest(spark, sf_dir).groupBy("cal_q").agg(F.avg("pred_q50").alias("b")).withColumn("one", F.lit(1))
+    return mean_with_t(series, ["one"], "cal_q", "b").select(F.round("mean", 9).alias("mean"), F.round("t", 4).alias("t"))
 
 
 def importance_pool(spark, sf_dir):
@@ -186,10 +227,10 @@ def top_drivers(spark, sf_dir):
 
 
 def size_terciles(spark, sf_dir):
-    customer = A.table(spark, sf_dir, "customer")
-    cuts = customer.agg(F.percentile("c_acctbal", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("cuts"))
-    size = F.when(F.col("c_acctbal") <= F.col("cuts")[0], "small").when(F.col("c_acctbal") <= F.col("cuts")[1], "mid").otherwise("large")
-    return customer.join(F.broadcast(cuts)).select("c_custkey", size.alias("size"))
+    customer = A.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    cuts = O.quantiles_within(customer.withColumn("all", F.lit(0)), ["all"], "c_acctbal", [1 / 3, 2 / 3], ["low", "high"])
+    size = F.when(F.col("c_acctbal") <= F.col("low"), "small").when(F.col("c_acctbal") <= F.col("high"), "mid").otherwise("large")
+    return customer.join(F.broadcast(cuts)).select("c_custkey", size.alias("size"))  # one row
 
 
 def descriptive_contrast(spark, sf_dir):
@@ -202,7 +243,9 @@ def descriptive_contrast(spark, sf_dir):
 
 def feature_summary(spark, sf_dir):
     cells = A.backtest(spark, sf_dir).select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in ("drift_raw", "pred_q50", "prob_up")))).alias("cell")).select("cell.*")
-    return cells.groupBy("feature").agg(F.count("x").alias("n_present"), F.round(100 * F.count("x") / F.count("*"), 1).alias("pct"), F.round(F.avg("x"), 7).alias("mean"), F.round(F.stddev_samp("x"), 7).alias("std"), F.round(F.min("x"), 7).alias("min"), F.round(F.median("x"), 7).alias("median"), F.round(F.max("x"), 7).alias("max"))
+    middle = O.quantiles_within(cells, ["feature"], "x", [0.5], ["middle"]).withColumnRenamed("feature", "of")
+    rows = cells.groupBy("feature").agg(F.count("x").alias("n_present"), F.round(100 * F.count("x") / F.count("*"), 1).alias("pct"), F.round(F.avg("x"), 7).alias("mean"), F.round(F.stddev_samp("x"), 7).alias("std"), F.round(F.min("x"), 7).alias("min"), F.round(F.max("x"), 7).alias("max"))
+    return rows.join(F.broadcast(middle), F.col("feature") == F.col("of"), "left").withColumn("median", F.round("middle", 7)).drop("of", "middle")  # one row a feature
 
 
 def closed_window_cutoff(spark, sf_dir):
@@ -217,6 +260,26 @@ CELLS = "(SELECT drift_raw, unnest([0.1, 0.25, 0.5, 0.75, 0.9]::DOUBLE[]) alpha,
 FOLDS = f"(SELECT a.k AS fold, a.cal_q AS test_q, b.cal_q AS train_q FROM qs a JOIN qs b ON b.k <= a.k - 1 - {GAP} WHERE a.k - {GAP} >= {LEAST_QUARTERS})"
 POOL = "(SELECT feature, round(avg(imp), 8) AS imp, round(stddev_samp(imp), 8) AS imp_std, round(avg(signed), 8) AS signed, count(*) AS n_folds, avg(signed) / nullif(stddev_samp(signed) / sqrt(count(*)), 0) t FROM imp GROUP BY feature)"
 STABLE = "(SELECT feature, round(avg(r), 6) AS mean_rank, round(stddev_pop(r), 6) AS rank_std, round(sum((r <= 2)::INT) / (SELECT count(DISTINCT fold) FROM imp), 6) AS hit_rate FROM (SELECT *, rank() OVER (PARTITION BY fold ORDER BY round(imp, 10) DESC) r FROM imp) GROUP BY feature)"
+def newey_sql(series: str) -> str:
+    """feature, mean, t, n, frac_positive of a series (cal_q, feature, b)."""
+    lags = ", ".join(f"lag(e, {k}) OVER w e{k}" for k in range(1, LAGS + 1))
+    var = "sum(e * e) + " + " + ".join(f"CASE WHEN least({LAGS}, max(n) - 1) >= {k} THEN 2 * (1 - {k} / (least({LAGS}, max(n) - 1) + 1)) * sum(e * e{k}) ELSE 0 END" for k in range(1, LAGS + 1))
+    return f"""SELECT feature, max(m) AS mean, max(m) * max(n) / sqrt({var}) AS t, max(n) AS n, avg((b > 0)::INT) AS frac_positive FROM (SELECT feature, b, m, n, e, {lags} FROM
+        (SELECT *, b - avg(b) OVER f e, avg(b) OVER f m, count(*) OVER f n FROM {series} WINDOW f AS (PARTITION BY feature)) WINDOW w AS (PARTITION BY feature ORDER BY cal_q)) GROUP BY feature"""
+
+
+def fama_sql() -> str:
+    """Over event_features (ef): three features, solved by determinants."""
+    z = ", ".join(f"coalesce(({c} - avg({c}) OVER q) / nullif(stddev_pop({c}) OVER q, 0), 0) z{i}" for i, c in enumerate(FACTORS))
+    sums = ", ".join([f"sum(z{i} * z{j}) a{i}{j}" for i in range(3) for j in range(3)] + [f"sum(z{i} * y) r{i}" for i in range(3)])
+    det = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+    table = [[f"a{i}{j}" for j in range(3)] for i in range(3)]
+    put = lambda c: [[f"r{i}" if j == c else table[i][j] for j in range(3)] for i in range(3)]
+    solved = " UNION ALL ".join(f"SELECT cal_q, '{name}' AS feature, {det(put(c))} / {det(table)} AS b FROM gram" for c, name in enumerate(FACTORS))
+    return f"""gram AS (SELECT cal_q, {sums} FROM (SELECT cal_q, drift_z_h{HORIZON} y, {z} FROM ef WHERE drift_z_h{HORIZON} IS NOT NULL WINDOW q AS (PARTITION BY cal_q)) GROUP BY cal_q HAVING count(*) >= 10), slopes AS ({solved})
+        SELECT feature, round(mean, 6) AS coef, round(t, 3) AS t, n AS n_quarters, round(frac_positive, 6) AS frac_positive FROM ({newey_sql('slopes')})"""
+
+
 SQL = {
     "walk_forward_folds": f"SELECT * FROM {FOLDS}",
     "tuning_test_split": "SELECT cal_q, CASE WHEN k >= n - least(greatest(CAST(round_even(n * 0.25, 0) AS INT), 1), n - 1) THEN 'test' ELSE 'tune' END AS part FROM qs, (SELECT count(*) n FROM qs)",
@@ -231,9 +294,7 @@ SQL = {
     "quantile_calibration": f"SELECT alpha, round(avg((drift_raw <= p)::INT), 6) AS share FROM {CELLS} GROUP BY alpha",
     "calibration": f"SELECT bin, round(avg(pred_q50), 8) AS predicted, round(avg(drift_raw), 8) AS realised, count(*) AS n FROM {binned('pred_q50')} GROUP BY bin",
     "reliability": f"SELECT bin, round(avg(prob_up), 8) AS predicted, round(avg((drift_raw > 0)::INT), 6) AS realised, count(*) AS n FROM {binned('prob_up')} GROUP BY bin",
-    "fama_macbeth": "SELECT round(avg(b), 9) AS coef, round(avg(b) / (stddev_samp(b) / sqrt(count(*))), 4) AS t, count(*) AS n_quarters, round(avg((b > 0)::INT), 6) AS frac_positive FROM (SELECT covar_pop(drift_raw, pred_q50) / nullif(stddev_pop(pred_q50), 0) b FROM bt GROUP BY cal_q HAVING count(*) >= 10)",
-    "newey_west": """SELECT round(max(m), 9) AS mean, round(max(m) / sqrt((sum(e * e) + 2 * (0.8 * coalesce(sum(e * e1), 0) + 0.6 * coalesce(sum(e * e2), 0) + 0.4 * coalesce(sum(e * e3), 0) + 0.2 * coalesce(sum(e * e4), 0))) / count(*) / count(*)), 4) AS t
-        FROM (SELECT m, e, lag(e, 1) OVER w e1, lag(e, 2) OVER w e2, lag(e, 3) OVER w e3, lag(e, 4) OVER w e4 FROM (SELECT cal_q, b - avg(b) OVER () e, avg(b) OVER () m FROM (SELECT cal_q, avg(pred_q50) b FROM bt GROUP BY 1)) WINDOW w AS (ORDER BY cal_q))""",
+    "newey_west": f"SELECT round(mean, 9) AS mean, round(t, 4) AS t FROM ({newey_sql('(SELECT cal_q, 1 AS feature, avg(pred_q50) b FROM bt GROUP BY 1)')})",
     "importance_pool": f"SELECT * EXCLUDE (t) FROM {POOL}",
     "rank_stability": f"SELECT * FROM {STABLE}",
     "consistency_table": f"SELECT feature, imp, mean_rank, hit_rate, round(least(greatest(0.5 * hit_rate + 0.3 * (1 - rank_std / (SELECT max(rank_std) FROM {STABLE})) + 0.2 * least(abs(t) / 2, 1), 0), 1), 5) AS score FROM {POOL} LEFT JOIN {STABLE} USING (feature)",
@@ -243,5 +304,5 @@ SQL = {
     "feature_summary": "SELECT feature, count(x) AS n_present, round(100 * count(x) / count(*), 1) AS pct, round(avg(x), 7) AS mean, round(stddev_samp(x), 7) AS std, round(min(x), 7) AS min, round(median(x), 7) AS median, round(max(x), 7) AS max FROM (SELECT unnest(['drift_raw', 'pred_q50', 'prob_up']) feature, unnest([drift_raw, pred_q50, prob_up]) x FROM bt) GROUP BY feature",
     "closed_window_cutoff": "SELECT event_id, CAST(o_orderdate AS DATE) AS anndats FROM bt, (SELECT max(CAST(o_orderdate AS DATE)) - 365 c FROM bt) WHERE CAST(o_orderdate AS DATE) <= c AND CAST(o_orderdate AS DATE) + 84 <= c",
 }
-QUERIES = {name: globals()[name] for name in SQL}
+QUERIES = {name: globals()[name] for name in [*SQL, "fama_macbeth"]}
 ORACLE_SQL = {name: CTE + sql for name, sql in SQL.items()}

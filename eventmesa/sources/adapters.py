@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .staging import kept
+
 BENCHMARK = "SPY"
 
 
@@ -12,19 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trades(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
     """lineitem with its supplier's nation as ticker."""
     nation = table(spark, sf_dir, "nation").select(F.upper("n_name").alias("tic"), "n_nationkey")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    return table(spark, sf_dir, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).withColumn("date", F.to_date("l_shipdate"))
+    return table(spark, sf_dir, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), how).withColumn("date", F.to_date("l_shipdate"))
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tic, date, price: a nation's average discount as its price level, and the benchmark over all rows."""
-    price = F.round(100 * (1 + F.avg("l_discount")), 8).alias("price")
-    own = trades(spark, sf_dir).groupBy("tic", "date").agg(price)
-    every = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(price)
-    return own.unionByName(every.withColumn("tic", F.lit(BENCHMARK)))
+    """tic, date, price: a nation's average discount as its price level, and the benchmark over all rows. One pass."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sums = trades(spark, sf_dir, "left").groupBy("tic", "date").agg(F.sum("l_discount").alias("s"), F.count("l_discount").alias("n"))
+        price = F.round(100 * (1 + F.sum("s") / F.sum("n")), 8).alias("price")
+        return sums.where("tic is not null").groupBy("tic", "date").agg(price).unionByName(sums.groupBy("date").agg(price).withColumn("tic", F.lit(BENCHMARK)))
+
+    return kept(spark, sf_dir, "prices", build)
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +58,16 @@ def option_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def option_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").join(F.broadcast(suppliers))  # one row
+    orders = table(spark, sf_dir, "orders").join(F.broadcast(suppliers))  # one row
     return orders.select(F.col("o_orderkey").alias("event_id"), (F.col("o_custkey") % F.col("n")).alias("secid"), F.to_date("o_orderdate").alias("ann_date"), F.round((F.col("o_totalprice") - 100_000) / 1000, 6).alias("surprise"))
 
 
 def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions and outcomes in the shape of a walk-forward backtest."""
+    """Predictions and outcomes in the shape of a walk-forward backtest, derived from orders alone."""
+    return kept(spark, sf_dir, "backtest", _backtest)
+
+
+def _backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = F.avg("o_totalprice").over(Window.partitionBy("o_custkey"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.round((F.col("o_totalprice") - mean) / 1e6, 9).alias("drift_raw"))
     rows = rows.withColumn("pred_q50", F.round(F.col("drift_raw") * 0.5 + (F.col("o_orderkey") % 97 - 48) / 1e4, 9))
@@ -69,8 +78,56 @@ def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quarterly fundamentals of each nation: gvkey, datadate, rdq and amounts."""
+    """Quarterly fundamentals of each nation: gvkey, datadate, rdq and amounts, some of them missing in some quarters."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     start = F.to_date(F.date_trunc("quarter", "o_orderdate"))
     rows = orders.groupBy(F.lpad(F.col("c_nationkey").cast("string"), 6, "0").alias("gvkey"), F.date_sub(F.add_months(start, 3), 1).alias("datadate")).agg(F.round(F.sum("o_totalprice") / 1000, 6).alias("atq"), F.round(F.avg("o_totalprice") / 1000, 6).alias("niq"), F.count("*").alias("n"))
-    return rows.withColumn("rdq", F.date_add("datadate", 20)).withColumn("revtq", F.round(F.col("atq") * 0.6, 6)).withColumn("cogsq", F.round(F.col("atq") * 0.24, 6)).withColumn("dlttq", F.when(F.quarter("datadate") != 2, F.round(F.col("atq") * 0.2, 6)))
+    q, odd, share = F.quarter("datadate"), F.year("datadate") % 2 == 1, lambda x: F.round(F.col("atq") * x, 6)
+    more = lambda x, per: F.round(F.col("atq") * x + F.col("n") * per, 6)
+    amounts = {
+        "revtq": share(0.6), "saleq": F.when(q != 3, share(0.62)), "cogsq": share(0.24), "dlttq": F.when(q != 2, share(0.2)), "dlcq": F.when((q != 1) & ((q != 2) | odd), share(0.05)), "ceqq": share(0.4), "xrdq": more(0.01, 0.01),
+        "emp": F.col("n"), "actq": F.when((q != 4) | odd, more(0.5, 1.0)), "lctq": more(0.3, 2.0), "cheq": F.when(q != 1, share(0.1)), "txpq": F.round(F.col("n") / 10, 6), "dpq": share(0.02),
+    }
+    return rows.withColumn("rdq", F.date_add("datadate", 20)).withColumns(amounts)
+
+
+#: SQL of the same, as a CTE named fq.
+FILINGS_SQL = """fq AS (SELECT *, datadate + 20 rdq, round(atq * 0.6, 6) revtq, CASE WHEN quarter(datadate) <> 3 THEN round(atq * 0.62, 6) END saleq, round(atq * 0.24, 6) cogsq, CASE WHEN quarter(datadate) <> 2 THEN round(atq * 0.2, 6) END dlttq,
+  CASE WHEN quarter(datadate) <> 1 AND (quarter(datadate) <> 2 OR year(datadate) % 2 = 1) THEN round(atq * 0.05, 6) END dlcq, round(atq * 0.4, 6) ceqq, round(atq * 0.01 + n * 0.01, 6) xrdq, n emp, CASE WHEN quarter(datadate) <> 4 OR year(datadate) % 2 = 1 THEN round(atq * 0.5 + n * 1.0, 6) END actq,
+  round(atq * 0.3 + n * 2.0, 6) lctq, CASE WHEN quarter(datadate) <> 1 THEN round(atq * 0.1, 6) END cheq, round(n / 10, 6) txpq, round(atq * 0.02, 6) dpq
+  FROM (SELECT lpad(CAST(c_nationkey AS VARCHAR), 6, '0') gvkey, CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH AS DATE) - 1 datadate, round(sum(o_totalprice) / 1000, 6) atq, round(avg(o_totalprice) / 1000, 6) niq, count(*) n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL))"""
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticker to security with validity: two ranges a firm, of which the later has no end."""
+    nation = table(spark, sf_dir, "nation").select(F.upper("n_name").alias("ticker"), F.col("n_nationkey").alias("k"))
+    ranges = F.explode(F.array(F.struct(F.lit("1990-01-01").alias("sdate"), F.lit("1995-12-31").alias("edate"), F.lit(20000).alias("base")), F.struct(F.lit("1996-01-01").alias("sdate"), F.lit(None).cast("string").alias("edate"), F.lit(10000).alias("base")))).alias("r")
+    return nation.select("ticker", "k", ranges).select("ticker", (F.col("r.base") + F.col("k")).alias("permno"), "r.sdate", "r.edate")
+
+
+def company_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Security to company: link types and primary flags as a vendor has them, the key sometimes written as a number."""
+    k = F.col("n_nationkey")
+    key = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.concat(k.cast("string"), F.lit(".0"))).otherwise(F.lpad(k.cast("string"), 6, "0"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(t).alias("linktype"), F.lit(p).alias("linkprim")) for t, p in (("LC", "P"), ("LX", "P"), ("LU", "J"))))).alias("kind")
+    return table(spark, sf_dir, "nation").select((10000 + k).alias("permno"), key.alias("gvkey"), kinds, F.lit(None).cast("string").alias("linkenddt")).select("permno", "gvkey", "kind.*", "linkenddt")
+
+
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    return nation.select(F.lpad(F.col("n_nationkey").cast("string"), 6, "0").alias("gvkey"), (10 + 5 * F.col("n_regionkey")).alias("gsector"), (100 + (F.col("n_nationkey") * 397) % 8900).alias("sic"))
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """permno, date, ret, prc, vol, shrout: one row a security and trading day."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = trades(spark, sf_dir).groupBy(F.col("s_nationkey").alias("k"), "date").agg(F.round(100 * (1 + F.avg("l_discount")), 8).alias("prc"), F.sum("l_quantity").alias("vol"))
+        w = Window.partitionBy("k").orderBy("date")
+        return rows.select((10000 + F.col("k")).alias("permno"), "date", F.round(F.col("prc") / F.lag("prc").over(w) - 1, 10).alias("ret"), "prc", F.when(F.col("vol") != 17, F.col("vol")).otherwise(0.0).alias("vol"), (1000 + 100 * F.col("k")).alias("shrout"))
+
+    return kept(spark, sf_dir, "daily", build)
+
+
+DAILY_SQL = """daily AS (SELECT permno, date, round(prc / lag(prc) OVER (PARTITION BY permno ORDER BY date) - 1, 10) ret, prc, CASE WHEN vol <> 17 THEN vol ELSE 0 END vol, shrout
+  FROM (SELECT 10000 + s_nationkey permno, date, round(100 * (1 + avg(l_discount)), 8) prc, sum(l_quantity) vol, any_value(1000 + 100 * s_nationkey) shrout FROM trades GROUP BY ALL))"""

@@ -23,8 +23,11 @@ def stale(cached: DataFrame, key: str, time: str, target, days: int = 5) -> Data
     return newest.where(F.col("newest") < F.date_sub(target, days)).select(key, F.date_add("newest", 1).alias("pull_from"))
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Both, of each key the row loaded last."""
-    both = old.withColumn("__load", F.lit(0)).unionByName(new.withColumn("__load", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col("__load").desc())
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], sequence: str | None = None) -> DataFrame:
+    """Both, of each key the row loaded last; within a load that with the highest `sequence`, then the greatest row, so
+    reruns agree."""
+    row = lambda df, load: df.select("*", F.lit(load).alias("__load"))
+    both = row(old, 0).unionByName(row(new, 1), allowMissingColumns=True)
+    values = [c for c in both.columns if c != "__load"]
+    w = Window.partitionBy(*keys).orderBy(F.col("__load").desc(), *([F.col(sequence).desc()] if sequence else []), *(F.col(c).desc() for c in values))
     return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__load")
