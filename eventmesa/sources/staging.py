@@ -26,16 +26,20 @@ def forget() -> None:
         _KEPT.popitem()[1].unpersist()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the folder that spark.checkpoint.dir names; what reads it doesn't depend on what made it. Where the
-    setting is unset and all runs on this machine (tests), a new temporary folder takes its place."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path that isn't taken, in the folder that spark.checkpoint.dir names. Where the setting is unset and all runs on
+    this machine (tests), a new temporary folder takes its place."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table there; what reads it doesn't depend on what made it."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
