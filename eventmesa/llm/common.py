@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a task's word cache holds before it is emptied; bounds a Python worker's memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +118,19 @@ class MinHasher:
         return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def released(each: Callable) -> Callable:
+    """`each` for mapInArrow, after which the task's memory goes back to the machine: Python workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def utf8(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The texts of a batch as bytes; null is empty."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()]

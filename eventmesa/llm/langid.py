@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, crc_mod, sliced, utf8
+from .common import CACHE_WORDS, crc_mod, released, sliced, utf8
 
 #: About how many labelled rows training looks at, as equal shares of the languages. The only bound in this operator.
 SAMPLE_ROWS = 6000
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                 found.append((at.astype(np.int16), (n / max(1, n.sum())).astype(np.float32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x for x, _ in found], pa.list_(pa.int16())), pa.array([x for _, x in found], pa.list_(pa.float32()))], ["key", "lang", "at", "share"])
 
-    rows = labelled.where(draw < share[F.col("lang")]).select(F.xxhash64("doc_id", "text").alias("key"), "text", "lang").mapInArrow(count, "key long, lang string, at array<short>, share array<float>").toArrow()
+    rows = labelled.where(draw < share[F.col("lang")]).select(F.xxhash64("doc_id", "text").alias("key"), "text", "lang").mapInArrow(released(count), "key long, lang string, at array<short>, share array<float>").toArrow()
     order = np.argsort(rows["key"].to_numpy(), kind="stable")  # a sample reads alike however Spark cut it into tasks
     targets = np.array([languages.index(x) for x in rows["lang"].to_pylist()], np.int64)[order]
     sizes_of = rows["at"].combine_chunks().value_lengths().to_numpy() if rows.num_rows else np.zeros(0, np.int64)
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             score = np.where(known, score, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(~known | (score < model.reject_below))], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(each), schema)
 
 
 def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
@@ -233,7 +233,7 @@ def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
                 kept = (sizes > 0) & (model.probabilities(logits).max(axis=1) >= model.reject_below)
                 yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(released(each), docs.schema)
 
 
 def teaching(docs: DataFrame, *, id_col: str = "doc_id", folds: int = 4, held: int = 2) -> DataFrame:

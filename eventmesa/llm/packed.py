@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, sliced_bytes
+from .common import released, sliced, sliced_bytes
 
 #: Fixed values of the format: mark, ids in a block, lanes of a packed block, per cent of a block's ids that its width must fit.
 MAGIC, BLOCK, LANES, FIT = b"PFB1", 256, 8, 92
@@ -27,7 +27,7 @@ ROWS = BLOCK // LANES
 #: Ids after which a segment ends (at the end of a document).
 SEGMENT_IDS = 1 << 19
 #: Encoded pieces of text that a Python worker keeps, twice: the newer ones and those before.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 150_000
 #: Bytes of text that are encoded at once (at least one text).
 SLICE_BYTES = 6_000_000
 #: Of a text that is encoded whole: white space at an end or next to other, or what may be a special token.
@@ -242,7 +242,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
 
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(each, schema).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(released(each), schema).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
@@ -266,5 +266,5 @@ def read_tokens(spark, path: str) -> DataFrame:
             columns = [batch.column(0).flatten(), pa.array([batch.column(1)[0].as_py()] * n, pa.int32()), pa.array([batch.column(2)[0].as_py()] * n, pa.int32()), pa.array(starts), pa.array(segment.lengths), pa.array(sums, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shard", "part", "at", "n_tokens", "ids_crc32"])
 
-    docs = files.select("doc_ids", "shard", "part", "payload").mapInArrow(each, schema)
+    docs = files.select("doc_ids", "shard", "part", "payload").mapInArrow(released(each), schema)
     return docs.join(starts, ["shard", "part"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, utf8
+from .common import released, sliced, utf8
 
 
 @dataclass(frozen=True)
@@ -261,7 +261,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rul
             found = [[{"kind": kinds[r], "start": s, "end": e} for s, r, e in scan_one(t)] for t in utf8(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "found"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(each), schema)
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -282,5 +282,5 @@ def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[secret]", r
                 texts.append(text if text is None else b"".join([*out, data[last:]]).decode())
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(each, schema)
+    return docs.mapInArrow(released(each), schema)
 

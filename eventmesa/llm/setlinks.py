@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MinHasher, WordHash, dropped, saved, shingle_set, sliced, utf8
+from .common import MinHasher, WordHash, dropped, released, saved, shingle_set, sliced, utf8
 from .components import components
 
 #: Minima in a signature; nodes of a block, which are compared at once; anchors that a larger group's blocks share.
@@ -99,7 +99,7 @@ def nodes_of(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: st
                 screens.append(None if minima is None else COARSE.of(minima))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int32())), pa.array(screens, pa.binary())], ["doc_id", "key", "n_shingles", "node", "sig", "screen"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).mapInArrow(each, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).mapInArrow(released(each), schema)
 
 
 def may_link(percent: int, least: int, n1, s1, n2, s2) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ class Links:
                     a, b = [p[0] for p in found] + more, [p[1] for p in found] + [None] * len(more)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        return self.listed(every, ["path", "block"], "whole").select("path", "all").mapInArrow(each, "a long, b long")
+        return self.listed(every, ["path", "block"], "whole").select("path", "all").mapInArrow(released(each), "a long, b long")
 
     def across_small(self, members: DataFrame) -> DataFrame:
         """Of small groups (path, node, root), the pairs of different roots that can be links."""
@@ -222,7 +222,7 @@ class Links:
                     yield pair_batch(found)
 
         several = members.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("path")
-        return self.listed(members.join(several, "path"), ["path"], "root").select("all").mapInArrow(each, "a long, b long")
+        return self.listed(members.join(several, "path"), ["path"], "root").select("all").mapInArrow(released(each), "a long, b long")
 
     def gather(self, nodes: DataFrame) -> None:
         """Adds the full shingle sets of the nodes to `sets`."""
@@ -244,7 +244,7 @@ class Links:
         buckets = wanted.select(bucket).distinct()  # at most ID_BUCKETS numbers; the exact join follows
         texts = self.docs.withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi").select("text")
         # The digest tells which node a text is, so texts needn't be shuffled by id; equal sets count once, in the join's partitions.
-        fresh = self.saved(texts.mapInArrow(sets, "node long, items binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+        fresh = self.saved(texts.mapInArrow(released(sets), "node long, items binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
         self.sets = fresh if self.sets is None else self.sets.union(fresh)
 
     def confirm(self, pairs: DataFrame) -> None:
@@ -271,7 +271,7 @@ class Links:
                 yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
         side = lambda x: self.sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
-        links = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(check, "a long, b long")
+        links = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(released(check), "a long, b long")
         if self.roots is None:
             over = components(links)
             self.roots = self.saved(over, "roots")
@@ -303,7 +303,7 @@ class Links:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(items, pa.binary())], ["node", "n", "screen", "items"])
 
         rows = self.reps.select("node", "n", "screen").join(nodes, "node", "left_semi").join(self.sets, "node").select("node", "n", "screen", "items")
-        return self.saved(rows.mapInArrow(each, "node long, n long, screen binary, items binary"), "packs")
+        return self.saved(rows.mapInArrow(released(each), "node long, n long, screen binary, items binary"), "packs")
 
     def rest_with_all(self, members: DataFrame) -> DataFrame:
         """The links of the rest with all of its group that join parts: blocks of nodes are put together once, each block of
@@ -344,7 +344,7 @@ class Links:
                 if found:
                     yield pair_batch(found)
 
-        return every.join(rest, ["path", "x", "y"]).select("rest", "all").mapInArrow(each, "a long, b long")
+        return every.join(rest, ["path", "x", "y"]).select("rest", "all").mapInArrow(released(each), "a long, b long")
 
     def search(self, members: DataFrame, branch=None) -> None:
         """Finds the links inside the groups of `members` (path, node). `branch`: makes the members of smaller groups of

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, sliced
+from .common import released, saved, sliced
 
 #: Fixed values of the format: version line, line end, end of a record, alphabet of base32.
 VERSION, LINE, END, BASE32 = "WARC/1.1", "\r\n", "\r\n\r\n", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -117,7 +117,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, kind)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(each, RECORD)
+    return files.select("content").mapInArrow(released(each), RECORD)
 
 
 def transactions(records: DataFrame) -> DataFrame:

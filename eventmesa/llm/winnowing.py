@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, gram_hashes, saved, sliced, utf8
+from .common import WordHash, gram_hashes, released, saved, sliced, utf8
 
 #: Bytes of benchmark text up to which its fingerprints and words are sent to every executor; above, they are joined.
 BROADCAST_BYTES = 16_000_000
@@ -156,7 +156,7 @@ def _sent(docs: DataFrame, benchmark: DataFrame, id_type: T.DataType, window: in
             out = [(n, n_hit, len(seen), digest_of(seen), judged(n, n_hit)) for n, n_hit, seen in map(of, utf8(batch, "text"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*out, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return docs.mapInArrow(each, T.StructType([T.StructField("doc_id", id_type), *T._parse_datatype_string(RESULT).fields]))
+    return docs.mapInArrow(released(each), T.StructType([T.StructField("doc_id", id_type), *T._parse_datatype_string(RESULT).fields]))
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, id_type: T.DataType, window: int) -> DataFrame:
@@ -186,9 +186,9 @@ def _joined(docs: DataFrame, benchmark: DataFrame, id_type: T.DataType, window:
         for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([len(split_words(t)) for t in utf8(batch, "text")], pa.int64())], ["n"])
 
-    lengths = [r.n for r in items.select("text").mapInArrow(count, "n long").where(F.col("n").between(1, window - 1)).distinct().collect()]  # fewer than `window`
-    left = docs.select("row", "text").mapInArrow(prints("row", lengths), "row long, print long")
-    right = items.select("item", "text").mapInArrow(prints("item", None), "item long, print long")
+    lengths = [r.n for r in items.select("text").mapInArrow(released(count), "n long").where(F.col("n").between(1, window - 1)).distinct().collect()]  # fewer than `window`
+    left = docs.select("row", "text").mapInArrow(released(prints("row", lengths)), "row long, print long")
+    right = items.select("item", "text").mapInArrow(released(prints("item", None)), "item long, print long")
     pairs = left.join(right, "print").select("row", "item").distinct()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, id_type: T.DataType, window:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["row", "item_id", "a", "b"])
 
-    spans = pairs.join(items.withColumnRenamed("text", "item_text"), "item").join(docs.select("row", "text"), "row").select("row", "item_id", "text", "item_text").mapInArrow(extend, "row long, item_id string, a long, b long")
+    spans = pairs.join(items.withColumnRenamed("text", "item_text"), "item").join(docs.select("row", "text"), "row").select("row", "item_id", "text", "item_text").mapInArrow(released(extend), "row long, item_id string, a long, b long")
     spans = saved(spans, "decontaminate-spans")
     before = F.coalesce(F.max("b").over(Window.partitionBy("row").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hits = spans.select("row", "a", "b").distinct().withColumn("new", F.greatest(F.col("b") - F.greatest("a", before), F.lit(0))).groupBy("row").agg(F.sum("new").alias("n_hit"))
@@ -210,7 +210,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, id_type: T.DataType, window:
         for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(split_words(t)) for t in utf8(batch, "text")], pa.int64())], ["row", "doc_id", "n_words"])
 
-    counted = docs.select("row", "doc_id", "text").mapInArrow(number, T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType())]))
+    counted = docs.select("row", "doc_id", "text").mapInArrow(released(number), T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType())]))
     n_hit, ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("ids", F.array().cast("array<string>"))
     return counted.join(hits, "row", "left").join(named, "row", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated")
@@ -234,4 +234,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
             verdicts = [judged(*of(x or b"")[:2]) for x in batch.column(at).cast(pa.large_binary()).to_pylist()]
             yield batch.filter(pa.array([not x for x in verdicts], pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(released(each), docs.schema)
