@@ -1,8 +1,8 @@
 """Every registered query of the library with the SQL that checks it."""
 
-from . import equities, features, ingest, options, serving, validation
+from . import equities, features, ingest, models, options, serving, validation
 
-_PARTS = (equities, features, options, validation, serving, ingest)
+_PARTS = (equities, features, options, validation, serving, ingest, models)
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL = {k: s for part in _PARTS for k, s in part.ORACLE_SQL.items()}
 ORACLE_SQL["fama_macbeth"] = f"{features.FEATURES}, {validation.fama_sql()}"

@@ -1,4 +1,4 @@
-"""Tables that several steps of a study share: kept for the session, or written where lineage must end."""
+"""Tables that several steps of a study share: written once, so that plans stay small and a lost executor loses nothing."""
 
 from __future__ import annotations
 
@@ -13,17 +13,16 @@ _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """The table `name` of the study over `sf_dir`, computed once in a session however many queries read it. Spark spills it
-    to disk where memory is short and computes lost parts again. `forget` makes later queries build it anew."""
+    """The table `name` of the study over `sf_dir`, computed and written once in a session however many queries read it.
+    `forget` makes later queries build it anew, as they must when the inputs change."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _KEPT:
-        _KEPT[key] = build(spark, sf_dir).persist()
+        _KEPT[key] = written(build(spark, sf_dir), name)
     return _KEPT[key]
 
 
 def forget() -> None:
-    while _KEPT:
-        _KEPT.popitem()[1].unpersist()
+    _KEPT.clear()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
