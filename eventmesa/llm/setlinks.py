@@ -136,6 +136,11 @@ class Lists:
     def field(self, name: str) -> np.ndarray:
         return self.flat.field(name).to_numpy(zero_copy_only=False)
 
+    def bytes_of(self, name: str) -> tuple[int, list[bytes]]:
+        """The first place of the batch, and the values from there on."""
+        first, last = int(self.ends[0]), int(self.ends[-1])
+        return first, self.flat.field(name).slice(first, last - first).to_pylist()
+
     def __iter__(self) -> Iterator[tuple[int, int]]:
         return zip(self.ends[:-1].tolist(), self.ends[1:].tolist(), strict=True)
 
@@ -325,7 +330,7 @@ class Links:
             for batch in sliced(batches, 4):
                 rest, every, found = Lists(batch.column(0), screen), Lists(batch.column(1), screen), set()
                 rest_root, root = rest.field("root"), every.field("root")
-                rest_items, items = rest.flat.field("items").to_pylist(), every.flat.field("items").to_pylist()
+                (rest_at, rest_items), (at, items) = rest.bytes_of("items"), every.bytes_of("items")
                 for (a, b), (x, y) in zip(rest, every, strict=True):
                     front = np.ascontiguousarray(every.screen[x:y, : screen.first])
                     of, to, alike = [], [], []
@@ -334,7 +339,7 @@ class Links:
                         near = x + np.flatnonzero(likely & (root[x:y] != rest_root[i]))
                         near = near[may_link(percent, screen.least, rest.n[i], rest.screen[i], every.n[near], every.screen[near])[0]]
                         if len(near):
-                            share, ok = overlaps(percent, rest_items[i], [items[j] for j in near.tolist()])
+                            share, ok = overlaps(percent, rest_items[i - rest_at], [items[j - at] for j in near.tolist()])
                             of += [i - a] * int(ok.sum())
                             to += (near[ok] - x).tolist()
                             alike.append(share[ok])
