@@ -51,7 +51,7 @@ def drift_labels(spark, sf_dir) -> DataFrame:
     its z, its decile (where there are as many values) and its class: the top one is 1, the bottom one 0."""
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        raw = {h: F.round(F.sum("ar0").over(frame(1, h)), 9).alias(f"drift_raw_h{h}") for h in HORIZONS}
+        raw = {h: F.round(F.sum("ar0").over(frame(1, h)), 10).alias(f"drift_raw_h{h}") for h in HORIZONS}
         rows = at_events(spark, sf_dir, dense(spark, sf_dir).select("tic", "pos", *raw.values()), "cal_q", *(f"drift_raw_h{h}" for h in HORIZONS))
         stats = rows.groupBy("cal_q").agg(*(f(F.col(f"drift_raw_h{h}")).alias(f"{n}{h}") for h in HORIZONS for n, f in (("mean", F.avg), ("sd", F.stddev_pop), ("values", F.count_distinct))))
         rows = rows.join(F.broadcast(stats), "cal_q")  # one row a quarter
@@ -255,7 +255,7 @@ back = lambda e, a, b: frames(e, f"{a} PRECEDING", f"{b} PRECEDING")  # noqa: E7
 
 
 def _labels_sql() -> str:
-    raw = ", ".join(f"round({frames('sum(ar0)', '1 FOLLOWING', f'{h} FOLLOWING')}, 9) d{h}" for h in HORIZONS)
+    raw = ", ".join(f"round({frames('sum(ar0)', '1 FOLLOWING', f'{h} FOLLOWING')}, 10) d{h}" for h in HORIZONS)
     ranks = ", ".join(f"row_number() OVER (PARTITION BY cal_q ORDER BY d{h}, event_id) - 1 r{h}, count(d{h}) OVER q n{h}, count(DISTINCT d{h}) OVER q v{h}, round((d{h} - avg(d{h}) OVER q) / nullif(stddev_pop(d{h}) OVER q, 0), 6) z{h}" for h in HORIZONS)
     bins = ", ".join(f"CASE WHEN n{h} > 1 AND v{h} >= {DECILES} THEN greatest((r{h} * {DECILES} + n{h} - 2) // (n{h} - 1), 1) END b{h}" for h in HORIZONS)
     out = ", ".join(f"d{h} AS drift_raw_h{h}, z{h} AS drift_z_h{h}, b{h} AS drift_decile_h{h}, CASE b{h} WHEN {DECILES} THEN 1 WHEN 1 THEN 0 END AS drift_class_h{h}" for h in HORIZONS)

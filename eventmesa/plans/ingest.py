@@ -35,7 +35,7 @@ def consensus_csv(spark, sf_dir):
     """Announcements of the first region's firms in some years, from a file that lacks several columns."""
     wanted = A.table(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.lower("n_name").alias("ticker"))
     rows = files.announcements(files.consensus_scan(spark, consensus_file(spark, sf_dir)), years=YEARS, tickers=wanted)
-    return rows.select("oftic", "anndats_act", "statpers", F.round("actual", 6).alias("actual"), F.round("meanest", 6).alias("meanest"), F.col("numest").cast("long").alias("numest"), "medest")
+    return rows.select("oftic", "anndats_act", "statpers", "actual", "meanest", F.col("numest").cast("long").alias("numest"), "medest")
 
 
 def prices_csv(spark, sf_dir):
@@ -80,7 +80,7 @@ def valid_links(spark, sf_dir):
 
 
 def daily_source(spark, sf_dir):
-    wanted = links.ticker_to_permno(spark, sf_dir).where("ticker < 'J'").select("permno")
+    wanted = links.ticker_to_permno(spark, sf_dir).where("permno < 10010").select("permno")
     return files.daily_window(A.daily(spark, sf_dir), wanted, (1996, 1997))
 
 
@@ -122,7 +122,7 @@ def firm_list(spark, sf_dir):
 _ALIAS = "CASE key " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ALIASES.items()) + " ELSE key END"
 _KEY = "regexp_replace(upper({}), '[^A-Z0-9]', '', 'g')"
 SQL = {
-    "consensus_csv": f"""{E.CTE} SELECT oftic, anndats AS anndats_act, CASE WHEN event_id % 7 <> 0 THEN statpers END AS statpers, round(actual, 6) AS actual, round(meanest, 6) AS meanest, numest, CAST(NULL AS DOUBLE) AS medest FROM snaps JOIN nation ON upper(n_name) = oftic AND n_regionkey = 0
+    "consensus_csv": f"""{E.CTE} SELECT oftic, anndats AS anndats_act, CASE WHEN event_id % 7 <> 0 THEN statpers END AS statpers, actual, meanest, numest, CAST(NULL AS DOUBLE) AS medest FROM snaps JOIN nation ON upper(n_name) = oftic AND n_regionkey = 0
         WHERE event_id % 4 <> 0 AND event_id % 5 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0 AND year(anndats) BETWEEN {YEARS[0]} AND {YEARS[1]}""",
     "prices_csv": f"{E.CTE} SELECT tic, date, price FROM prices WHERE day(date) <> 13 AND (tic = 'SPY' OR tic IN (SELECT upper(n_name) FROM nation WHERE n_regionkey < 2))",
     "panel_by_year": f"{P.CTE} SELECT year, cp_flag, count(*) AS n, sum(volume) AS volume FROM quotes WHERE year IN (SELECT unnest(range(year(ann_date - {P.BEFORE}), year(ann_date + {P.AFTER}) + 1)) FROM oev WHERE year(ann_date) = 1994) GROUP BY ALL",
@@ -130,7 +130,7 @@ SQL = {
     "secid_events": f"{E.CTE} SELECT secid, oftic, count(*) AS n, max(event_id) AS last_event FROM ev JOIN (SELECT DISTINCT l_suppkey secid, tic FROM trades) ON tic = oftic GROUP BY ALL",
     "link_lookup": "SELECT upper(n_name) AS ticker, 10000 + n_nationkey AS permno, lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS gvkey, 10 + 5 * n_regionkey AS gsector, 100 + (n_nationkey * 397) % 8900 AS sic FROM nation",
     "valid_links": f"{E.CTE} SELECT event_id, CASE WHEN anndats <= DATE '1995-12-31' THEN 20000 ELSE 10000 END + n_nationkey AS permno FROM ev JOIN nation ON upper(n_name) = oftic",
-    "daily_source": f"{E.CTE}, {A.DAILY_SQL} SELECT d.* FROM daily d JOIN nation ON permno = 10000 + n_nationkey WHERE upper(n_name) < 'J' AND year(date) BETWEEN 1994 AND 1997",
+    "daily_source": f"{E.CTE}, {A.DAILY_SQL} SELECT * FROM daily WHERE permno < 10010 AND year(date) BETWEEN 1994 AND 1997",
     "fundamentals_source": f"WITH {A.FILINGS_SQL} SELECT gvkey, datadate, atq, CASE WHEN year(datadate) >= 1996 THEN emp END AS emp FROM fq JOIN nation ON gvkey = lpad(CAST(n_nationkey AS VARCHAR), 6, '0') WHERE n % 5 <> 0 AND n_regionkey > 0 AND year(datadate) BETWEEN 1994 AND 1997",
     "classify_spec": f"""WITH spec AS (SELECT name, {_KEY.format('name')} key FROM (SELECT n_name name FROM nation WHERE n_nationkey < 8 UNION ALL SELECT r_name FROM region UNION ALL SELECT unnest(['Asian', 'u.s.', 'No such name', 'M.E.N.A.']))),
         g AS (SELECT {_KEY.format('r_name')} grp, count(*) members FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1), t AS (SELECT {_KEY.format('n_name')} known FROM nation)

@@ -145,7 +145,7 @@ def reliability(spark, sf_dir):
     return decile_rows(spark, sf_dir, "prob_up").groupBy("bin").agg(F.round(F.avg("prob_up"), 8).alias("predicted"), F.round(F.avg((F.col("drift_raw") > 0).cast("int")), 6).alias("realised"), F.count("*").alias("n"))
 
 
-FACTORS, LAGS = ["sue_std", "analyst_disp", "revision_net"], 4
+FACTORS, LAGS = ["sue_std", "analyst_disp", "surprise_raw"], 4
 
 
 def slopes(rows: DataFrame, features: list[str], target: str, quarter: str) -> DataFrame:
