@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, classlm, langid, minhash, mixing, oracle, packed, pii, repair, secrets, warc, winnowing
+from . import chosen_path, classlm, langid, minhash, mixing, oracle, packed, pii, quality, repair, secrets, warc, winnowing
 from .common import crc_mod, new_path, saved, table
 
 
@@ -77,10 +77,16 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.score(docs, model, rare).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = saved(quality.statistics(table(spark, sf_dir, "documents")), "statistics")
+    model = quality.fit(stats, table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id"))))
+    return quality.score(stats, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.reports(repair.damaged(table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_mixing, op4_language_id, op5_token_output, op6_fingerprints, op7_pii, op8_warc, op9_decontamination, op10_lm_scoring, op13_conversation_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_mixing, op4_language_id, op5_token_output, op6_fingerprints, op7_pii, op8_warc, op9_decontamination, op10_lm_scoring, op11_quality, op13_conversation_repair)}
 
 ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
