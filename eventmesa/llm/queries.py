@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, classlm, langid, minhash, mixing, oracle, packed, pii, quality, repair, secrets, warc, winnowing
+from . import alignment, chosen_path, classlm, langid, minhash, mixing, oracle, packed, pii, quality, repair, secrets, warc, winnowing
 from .common import crc_mod, new_path, saved, table
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file is a parameter of the operators; the queries use the one on this machine's library path."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """The vocabulary file is a parameter of the operators; the queries use those on this machine's library path."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +83,14 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.reports(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.reports(repair.damaged(table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_mixing, op4_language_id, op5_token_output, op6_fingerprints, op7_pii, op8_warc, op9_decontamination, op10_lm_scoring, op11_quality, op13_conversation_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_near_dedup, op3_mixing, op4_language_id, op5_token_output, op6_fingerprints, op7_pii, op8_warc, op9_decontamination, op10_lm_scoring, op11_quality, op12_token_alignment, op13_conversation_repair)}
 
 ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
