@@ -9,19 +9,18 @@ are taken over all training texts, by Spark; each round passes over a written ta
 from __future__ import annotations
 
 import math
-from array import array
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, WordHash, crc_mod, released, saved, sliced, utf8
+from .common import crc_mod, released, saved, sliced, sliced_bytes
 
 #: Parameters of the model: fewest classes of exchanged words, and shapes of other words.
 CLASSES, SHAPES = 32, 16
@@ -30,16 +29,19 @@ STILL, ROUNDS = 0.002, 40
 #: Words whose counts every task holds; the counts of rarer ones are joined. A bound, not a cut: both give the same sums.
 COMMON = 1 << 18
 END = 0
-#: Distinct words, or bigrams, that a counting task holds before it passes them on.
-HELD, HELD_PAIRS = 300_000, 4_000_000
+#: Of each byte, whether it is ASCII but no letter or digit.
+IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: Word counts, or bigrams, that a task holds before it adds them up and passes them on; bytes of text that it takes at once.
+HELD, HELD_PAIRS, SLICE_BYTES = 2_000_000, 4_000_000, 4_000_000
 WORD_SHAPES = "word long, shape int, n long"
 
 
-def shape(word: bytes) -> int:
-    """A class for words that aren't exchanged: by length, a digit, a mark at the end."""
-    digit = any(48 <= b <= 57 for b in word)
-    mark = word[-1] < 128 and not chr(word[-1]).isalnum()
-    return min(3, len(word) // 4) + 4 * digit + 8 * mark
+def shapes_of(words: pa.LargeStringArray) -> np.ndarray:
+    """Classes for words that aren't exchanged: by length, a digit, a mark at the end. No word is empty."""
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    last = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[1:] - 1]
+    digit = pc.match_substring_regex(words, "[0-9]").to_numpy(zero_copy_only=False)
+    return np.minimum(3, np.diff(ends) // 4) + 4 * digit + 8 * IS_MARK[last]
 
 
 def least_count(tokens: int) -> int:
@@ -52,34 +54,58 @@ def classes_for(exchanged: int) -> int:
     return max(CLASSES, round(2 * exchanged ** (1 / 3)))
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+class Words:
+    """The words of a batch of texts, lower-cased (A-Z): the distinct ones with their hashes and shapes, and for each token
+    the place of its word; `sizes` has the tokens of each text."""
 
+    def __init__(self, texts: pa.Array):
+        lower = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+        split = pc.ascii_split_whitespace(lower)
+        tokens, sizes = split.flatten(), split.value_lengths().to_numpy().astype(np.int64)
+        there = pc.not_equal(tokens, "").to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
+        if not there.all():
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            tokens, sizes = tokens.filter(pa.array(there)), np.bincount(of[there], minlength=len(sizes))
+        coded = tokens.dictionary_encode()
+        self.codes, self.sizes = coded.indices.to_numpy().astype(np.int64), sizes
+        words = coded.dictionary.to_pylist()
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+        self.shapes = shapes_of(coded.dictionary) if words else np.zeros(0, np.int64)
+        self.text_of = np.repeat(np.arange(len(sizes)), sizes)
 
-def split_words(text: bytes) -> list[bytes]:
-    return text.lower().split()
+    def sequence(self, values: np.ndarray, end: int) -> np.ndarray:
+        """`values` of the tokens' words, with an end before, between and after the texts."""
+        out = np.full(len(self.codes) + len(self.sizes) + 1, end, np.int64)
+        out[np.arange(len(self.codes)) + 1 + self.text_of] = values[self.codes]
+        return out
+
+
+def batches_of_words(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    for batch in sliced_bytes(batches, column, SLICE_BYTES):
+        yield batch, Words(batch.column(column))
 
 
 def unigrams(texts: DataFrame) -> DataFrame:
     """word (64-bit hash; END for a text's end), shape, n over all texts; tasks add up what they read before it is dealt out."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, ends = Counter(), 0
+        held, size, ends = [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            cache = WordHash()
-            words = list(found)
-            columns = [pa.array(cache.of(words).view(np.int64)), pa.array([shape(w) for w in words], pa.int32()), pa.array(list(found.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["word", "shape", "n"])
-
-        for batch in sliced(batches):
-            for text in utf8(batch, "text"):
-                found.update(split_words(text))
+            word, shape, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(word, kind="stable")
+            starts = np.flatnonzero(np.diff(word[order], prepend=word[order[0]] - 1))
+            return pa.RecordBatch.from_arrays([pa.array(word[order][starts]), pa.array(shape[order][starts].astype(np.int32)), pa.array(np.add.reduceat(n[order], starts))], ["word", "shape", "n"])
+
+        for batch, words in batches_of_words(batches, 0):
+            if len(words.hashes):
+                held.append((words.hashes, words.shapes, np.bincount(words.codes, minlength=len(words.hashes))))
+                size += len(words.hashes)
             ends += batch.num_rows
-            if len(found) > HELD:
+            if size > HELD:
                 yield flush()
-                found.clear()
-        if found:
+                held, size = [], 0
+        if held:
             yield flush()
         if ends:
             yield pa.RecordBatch.from_arrays([pa.array([END], pa.int64()), pa.array([-1], pa.int32()), pa.array([ends], pa.int64())], ["word", "shape", "n"])
@@ -92,26 +118,14 @@ class Places:
 
     def __init__(self, words: np.ndarray):
         order = np.argsort(words)
-        self.words, self.order = array("q", words[order].astype(np.int64).tobytes()), array("i", order.astype(np.int32).tobytes())
-
-    def get(self, word: int) -> int | None:
-        at = bisect_left(self.words, word)
-        return self.order[at] if at < len(self.words) and self.words[at] == word else None
-
-
-class Ids(dict):
-    """word bytes -> id: its place among the exchanged words, or `exchanged` + its shape."""
+        self.words, self.order = words[order].astype(np.int64), order.astype(np.int32)
 
-    def __init__(self, places: Places, exchanged: int):
-        super().__init__()
-        self.places, self.exchanged, self.hash = places, exchanged, WordHash()
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self.places.get(signed(self.hash[word]))
-        value = self[word] = self.exchanged + shape(word) if value is None else value
-        return value
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """The places of many words; -1 of those that have none."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.order[at].astype(np.int64), -1)
 
 
 def bigrams(texts: DataFrame, places: Places, exchanged: int) -> DataFrame:
@@ -120,7 +134,7 @@ def bigrams(texts: DataFrame, places: Places, exchanged: int) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(places)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, codes, held = Ids(sent.value, exchanged), [], 0
+        codes, held = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             found, n = np.unique(np.concatenate(codes), return_counts=True)
@@ -128,13 +142,11 @@ def bigrams(texts: DataFrame, places: Places, exchanged: int) -> DataFrame:
                 some = found[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array((some // ids).astype(np.int32)), pa.array((some % ids).astype(np.int32)), pa.array(n[i : i + 100_000].astype(np.int64))], ["a", "b", "n"])
 
-        for batch in sliced(batches):
-            for text in utf8(batch, "text"):
-                words = split_words(text)
-                own = np.full(len(words) + 2, ids - 1, np.int64)
-                own[1:-1] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                codes.append(own[:-1] * ids + own[1:])
-                held += len(words) + 1
+        for _, words in batches_of_words(batches, 0):
+            place = sent.value.of(words.hashes)
+            own = words.sequence(np.where(place < 0, exchanged + words.shapes, place), ids - 1)
+            codes.append(own[:-1] * ids + own[1:])
+            held += len(own) - 1
             if held > HELD_PAIRS:
                 yield from flush()
                 codes, held = [], 0
@@ -144,9 +156,9 @@ def bigrams(texts: DataFrame, places: Places, exchanged: int) -> DataFrame:
     return texts.mapInArrow(released(each), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def neighbours(pairs: DataFrame, ids: int) -> DataFrame:
+def neighbours(pairs: DataFrame, ids: int, count: type = np.int64) -> DataFrame:
     """One row an id: word, at (ids that come after it; those before it plus `ids`) and n (how often each does), as bytes
-    of 32-bit and 64-bit integers, which pass between Spark and Python whole."""
+    of 32-bit integers and of `count`, which pass between Spark and Python whole."""
 
     def lists(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
@@ -157,7 +169,7 @@ def neighbours(pairs: DataFrame, ids: int) -> DataFrame:
             ends = (numbers.itemsize * np.append(starts, len(word))).astype(np.int32)
             return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(numbers.tobytes())])
 
-        return pa.RecordBatch.from_arrays([pa.array(word[starts]), packed(rows["at"].to_numpy().astype(np.int32)), packed(rows["n"].to_numpy().astype(np.int64))], ["word", "at", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(word[starts]), packed(rows["at"].to_numpy().astype(np.int32)), packed(rows["n"].to_numpy().astype(count))], ["word", "at", "n"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the rows of a word that may go on
@@ -192,8 +204,8 @@ def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ends = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1]
         return np.diff(ends) // np.dtype(kind).itemsize, np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)
 
-    (sizes, at), (_, n) = numbers(batch.column(1), np.int32), numbers(batch.column(2), np.int64)
-    return sizes, at, n
+    (sizes, at), (many, n) = numbers(batch.column(1), np.int32), numbers(batch.column(2), np.int32)
+    return sizes, at, n if many.sum() == len(at) else n.view(np.int64)
 
 
 def exchange_round(near: DataFrame, classes: np.ndarray, gain: np.ndarray, movers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -300,7 +312,7 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     order = ranked(n, word)
     word, n, shapes = word[order], n[order], shapes[order].astype(np.int64)
     exchanged = int((n >= least_count(tokens)).sum())
-    near = saved(neighbours(bigrams(texts, Places(word[:exchanged]), exchanged), exchanged + SHAPES + 1), "neighbours")
+    near = saved(neighbours(bigrams(texts, Places(word[:exchanged]), exchanged), exchanged + SHAPES + 1, np.int32 if tokens < 1 << 31 else np.int64), "neighbours")
     classes, table = exchange(near, exchanged)
     learnt = classes_for(exchanged)
     class_types = np.zeros(learnt + SHAPES + 1)
@@ -311,21 +323,6 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     return Model(word, n, shapes, exchanged, classes, table, tokens, types, ends, class_types), words.where(~is_common).select("word", F.col("n").alias("c"))
 
 
-class Known(dict):
-    """word bytes -> place among the common words, or -1 - shape."""
-
-    def __init__(self, place: Places):
-        super().__init__()
-        self.place, self.hash = place, WordHash()
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self.place.get(signed(self.hash[word]))
-        value = self[word] = -1 - shape(word) if value is None else value
-        return value
-
-
 def score(docs: DataFrame, model: Model, rare: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, n_tokens, n_known, base_score, score.
 
@@ -339,35 +336,26 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, *, id_col: str = "doc_
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
-        known, row = Known(m.place), TaskContext.get().partitionId() << 36
-        end_base = np.log10((m.ends + 1) / (m.tokens + m.types + 1))
-        for batch in sliced(batches):
-            sums, rows, words_of, shapes, ns = [], [], [], [], []
-            for text in utf8(batch, "text"):
-                words = split_words(text)
-                at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                common = at >= 0
-                classes = np.full(len(words) + 2, m.end_class)
-                classes[1:-1][common], classes[1:-1][~common] = m.class_of[at[common]], m.learnt - 1 - at[~common]
-                steps = m.step[classes[:-1], classes[1:]].sum()
-                there = at[common]
-                sums.append((row, len(words) + 1, len(there) + (m.ends > 0), m.base[there].sum() + end_base, m.emit[there].sum() + steps))
-                if len(there) < len(words):
-                    few = Counter(words[i] for i in np.flatnonzero(~common).tolist())
-                    rows.append(np.full(len(few), row))
-                    words_of.append(known.hash.of(list(few)).view(np.int64))
-                    shapes += [-1 - known[w] for w in few]
-                    ns += few.values()
-                row += 1
-            a, b, c, d, e = zip(*sums, strict=True)
-            count = len(sums)
+        row, end_base = TaskContext.get().partitionId() << 36, np.log10((m.ends + 1) / (m.tokens + m.types + 1))
+        for batch, words in batches_of_words(batches, 1):
+            count, place = batch.num_rows, m.place.of(words.hashes)
+            common = place >= 0
+            at = np.maximum(place, 0)
+            classes = words.sequence(np.where(common, m.class_of[at] if len(m.class_of) else 0, m.learnt + words.shapes), m.end_class)
+            own = lambda values: np.bincount(words.text_of, np.where(common, values[at] if len(values) else 0.0, 0.0)[words.codes], count)  # noqa: B023, E731
+            there = np.bincount(words.text_of, common[words.codes], count).astype(np.int64) + (m.ends > 0)
+            steps = np.add.reduceat(m.step[classes[:-1], classes[1:]], np.cumsum(words.sizes + 1) - words.sizes - 1) if count else np.zeros(0)
+            rows = row + np.arange(count)
             # A row of sums has a key that no word has to match; it keeps such rows from meeting in one place.
-            keys = (np.array(a, np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(keys), pa.nulls(count, pa.int32()), pa.nulls(count, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64()), pa.array(e, pa.float64())], schema.fieldNames())
-            if rows:
-                total = len(ns)
+            keys = (rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows), pa.array(keys), pa.nulls(count, pa.int32()), pa.nulls(count, pa.int64()), pa.array(words.sizes + 1), pa.array(there), pa.array(own(m.base) + end_base), pa.array(own(m.emit) + steps)], schema.fieldNames())
+            row += count
+            few, n = np.unique((words.text_of * max(1, len(common)) + words.codes)[~common[words.codes]], return_counts=True)
+            for i in range(0, len(few), 100_000):
+                of, word = np.divmod(few[i : i + 100_000], len(common))
+                total = len(of)
                 none = [pa.nulls(total, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.nulls(total, batch.schema.field(0).type), pa.array(np.concatenate(rows)), pa.array(np.concatenate(words_of)), pa.array(shapes, pa.int32()), pa.array(ns, pa.int64()), *none], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([pa.nulls(total, batch.schema.field(0).type), pa.array(rows[of]), pa.array(words.hashes[word]), pa.array(words.shapes[word].astype(np.int32)), pa.array(n[i : i + 100_000]), *none], schema.fieldNames())
 
     parts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(each), schema)
     joined = parts.join(rare, "word", "left")
