@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from functools import reduce
 
@@ -10,11 +11,11 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..sources.staging import fresh_path, kept
+from ..sources.staging import fresh_path, kept, remembered, written
 from . import features as X
 from . import validation as V
 
@@ -26,8 +27,10 @@ HORIZON = X.HORIZON
 RAW, Z, CLASS = f"drift_raw_h{HORIZON}", f"drift_z_h{HORIZON}", f"drift_class_h{HORIZON}"
 #: What a missing number is to a tree: below all others, so that a split can tell it apart.
 MISSING = -1e9
-#: Fewest rows of a fit and labels of a classifier; rounds without a holdout; folds that share a fit in the backtest.
-LEAST_ROWS, LEAST_LABELS, ROUNDS, REFIT = 50, 100, 20, 4
+#: Fewest rows of a fit and labels of a classifier; rounds without a holdout.
+LEAST_ROWS, LEAST_LABELS, ROUNDS = 50, 100, 20
+#: Fits that run at the same time in one session; rows of a part of the rows that a fit reads.
+AT_ONCE, PART_ROWS = 6, 50_000
 
 
 def feature_columns(rows: DataFrame) -> list[str]:
@@ -66,18 +69,34 @@ def aligned(rows: DataFrame, schema: Schema) -> DataFrame:
 
 
 def vectors(rows: DataFrame, schema: Schema) -> DataFrame:
-    """aligned() rows with a vector of their features: missing numbers are MISSING, categories are their level's place."""
+    """aligned() rows with a vector of their features: missing numbers are MISSING, categories are their level's place, from 1;
+    the vector's metadata says which are categories."""
     place = lambda c, known: F.coalesce(F.array_position(F.array(*map(F.lit, known)), F.col(c)), F.lit(0)) if known else F.lit(0)
     columns = {f"__x{i}": F.coalesce(F.col(c), F.lit(MISSING)) for i, c in enumerate(schema.numbers)}
     columns |= {f"__c{i}": place(c, known).cast("double") for i, (c, known) in enumerate(schema.levels.items())}
-    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows.withColumns(columns)).drop(*columns)
+    n = len(schema.numbers)
+    attrs = {"numeric": [{"idx": i, "name": c} for i, c in enumerate(schema.numbers)], "nominal": [{"idx": n + i, "name": c, "vals": ["", *known]} for i, (c, known) in enumerate(schema.levels.items())]}
+    out = VectorAssembler(inputCols=list(columns), outputCol="__v").transform(rows.withColumns(columns)).drop(*columns)
+    return out.withColumn("features", F.col("__v").alias("features", metadata={"ml_attr": {"attrs": {k: v for k, v in attrs.items() if v}, "num_attrs": n + len(schema.levels)}})).drop("__v")
 
 
-def boosted(train: DataFrame, label: str, rounds: int = ROUNDS) -> GBTRegressionModel:
+def bins_for(rows: DataFrame) -> int:
+    """Trees need a bin for each category."""
+    nominal = rows.schema["features"].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
+    return max([32, *(len(a["vals"]) for a in nominal)])
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """The rows as fits read them: parts by a hash of the event, as many as the rows need, each in order. Seeded sampling
+    follows parts and order, so equal rows give equal models on any cluster."""
+    return rows.repartition(max(1, -(-n // PART_ROWS)), "event_id").sortWithinPartitions("event_id")
+
+
+def boosted(train: DataFrame, label: str, rounds: int = ROUNDS, *, early: bool = True) -> GBTRegressionModel:
     """Early stopping on the latest quarter, then a fit on all rows with as many rounds; with one quarter, `rounds`."""
     rows = train.where(F.col(label).isNotNull())
-    make = lambda n: GBTRegressor(labelCol=label, maxIter=n, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=7)
-    last = rows.agg(F.max("cal_q"), F.count_distinct("cal_q")).first()
+    make = lambda n: GBTRegressor(labelCol=label, maxIter=n, maxDepth=3, maxBins=bins_for(rows), stepSize=0.1, subsamplingRate=0.8, seed=7)
+    last = rows.agg(F.max("cal_q"), F.count_distinct("cal_q")).first() if early else (None, 0)
     if last[1] > 1:
         trial = make(rounds).fit(rows.where(F.col("cal_q") < last[0]))
         losses = trial.evaluateEachIteration(rows.where(F.col("cal_q") == last[0]), "squared")
@@ -91,18 +110,22 @@ def classified(train: DataFrame, label: str, rounds: int = ROUNDS):
     counts = rows.agg(F.count("*"), F.count_distinct(label)).first()
     if counts[0] < LEAST_LABELS or counts[1] < 2:
         return None
-    return GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=3, stepSize=0.1, seed=7).fit(rows)
+    return GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=3, maxBins=bins_for(rows), stepSize=0.1, seed=7).fit(rows)
 
 
 def leaves_of(model: RandomForestRegressionModel, rows: DataFrame, *columns: str) -> DataFrame:
     return model.transform(rows).select(*columns, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
 
 
-def forest(train: DataFrame, label: str, trees: int = 20) -> tuple[RandomForestRegressionModel, DataFrame]:
+#: Parameters of the quantile forest, by their names in Spark.
+FOREST = {"numTrees": 20, "maxDepth": 5, "minInstancesPerNode": 20, "subsamplingRate": 0.7, "featureSubsetStrategy": "auto"}
+
+
+def forest(train: DataFrame, label: str, params: dict | None = None) -> tuple[RandomForestRegressionModel, DataFrame]:
     """A forest, and the quantiles of the labels in each of its leaves (some hundred rows). One fit serves all quantiles; a
     row's prediction is the mean of its leaves' quantiles."""
     rows = train.where(F.col(label).isNotNull())
-    model = RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=5, minInstancesPerNode=20, subsamplingRate=0.7, leafCol="leaf", seed=7).fit(rows)
+    model = RandomForestRegressor(labelCol=label, maxBins=bins_for(rows), leafCol="leaf", seed=7, **{**FOREST, **(params or {})}).fit(rows)
     quantiles = F.percentile_approx(label, F.array(*map(F.lit, QUANTILES)), F.lit(10_000))
     return model, leaves_of(model, rows, label).groupBy("tree", "leaf").agg(quantiles.alias("q"))
 
@@ -114,16 +137,15 @@ def quantiles_of(model: RandomForestRegressionModel, leaves: DataFrame, rows: Da
     return means.select("event_id", *S.non_crossing(*NAMES))
 
 
-def folds(spark: SparkSession, quarters: list[str], refit: int = REFIT) -> list[tuple[list[str], list[str]]]:
-    """(training quarters, tested quarters): purged and embargoed; `refit` folds share the fit of their first."""
+def folds(quarters: list[str]) -> list[tuple[int, list[str], list[str]]]:
+    """(place, training quarters, tested quarter): purged and embargoed; every fold has a fit of its own."""
     q = sorted(quarters)
-    first = V.LEAST_QUARTERS + V.GAP
-    return [(q[: k - V.GAP], q[k : k + refit]) for k in range(first, len(q), refit)]
+    return [(k, q[: k - V.GAP], [q[k]]) for k in range(V.LEAST_QUARTERS + V.GAP, len(q))]
 
 
 def fit(train: DataFrame) -> tuple[Schema, tuple, GBTRegressionModel, object]:
     schema = schema_of(train)
-    rows = vectors(aligned(train, schema), schema).cache()
+    rows = dealt(vectors(aligned(train, schema), schema), train.count()).cache()
     heads = schema, forest(rows, RAW), boosted(rows, Z), classified(rows, CLASS)
     rows.unpersist()
     return heads
@@ -140,23 +162,52 @@ def predicted(heads, rows: DataFrame) -> DataFrame:
     return out.join(up.transform(data).select("event_id", vector_to_array("probability")[1].alias("prob_up")), "event_id")
 
 
-def walk_forward(spark: SparkSession, table: DataFrame, quarters: list[str] | None = None) -> DataFrame:
-    """Predictions and outcomes of all tested quarters (of `quarters`, where given; none of them in a fold is an error)."""
+@dataclass(frozen=True)
+class Fold:
+    """A fold's place among the quarters, the heads fitted on its training quarters, and the rows that it tests."""
+
+    k: int
+    heads: tuple
+    tested: DataFrame
+
+
+def fitted_folds(table: DataFrame, quarters: list[str] | None = None) -> list[Fold]:
+    """All folds that test one of `quarters` (any, where not given) and have rows enough to fit, some at a time."""
     known = [r.cal_q for r in table.select("cal_q").distinct().collect()]  # one row a quarter
-    parts = []
-    for train_q, test_q in folds(spark, known):
-        wanted = [q for q in test_q if quarters is None or q in quarters]
+
+    def one(fold: tuple[int, list[str], list[str]]) -> Fold | None:
+        k, train_q, test_q = fold
         train = table.where(F.col("cal_q").isin(train_q) & F.col(RAW).isNotNull())
-        if wanted and train.count() >= LEAST_ROWS:
-            tested = table.where(F.col("cal_q").isin(wanted))
-            parts.append(predicted(fit(train), tested).join(tested.select("event_id", "oftic", "anndats", "cal_q", F.col(RAW).alias("drift_raw"), F.col(CLASS).alias("drift_class")), "event_id"))
+        return Fold(k, fit(train), table.where(F.col("cal_q").isin(test_q))) if train.count() >= LEAST_ROWS else None
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [x for x in pool.map(one, (f for f in folds(known) if quarters is None or f[2][0] in quarters)) if x]
+
+
+def tested_rows(fold: Fold) -> DataFrame:
+    """The fold's predictions beside the outcomes."""
+    outcomes = fold.tested.select("event_id", "oftic", "anndats", "cal_q", F.col(RAW).alias("drift_raw"), F.col(CLASS).alias("drift_class"))
+    return predicted(fold.heads, fold.tested).join(outcomes, "event_id")
+
+
+def walk_forward(table: DataFrame, quarters: list[str] | None = None) -> DataFrame:
+    """Predictions and outcomes of all tested quarters (of `quarters`, where given; none of them in a fold is an error)."""
+    parts = [tested_rows(fold) for fold in fitted_folds(table, quarters)]
     if not parts:
         raise ValueError("no fold tests any of the quarters")
     return reduce(DataFrame.unionByName, parts)
 
 
+def fold_fits(spark: SparkSession, sf_dir: str) -> list[Fold]:
+    return remembered(spark, sf_dir, "fold_fits", lambda spark, sf_dir: fitted_folds(X.event_features(spark, sf_dir)))
+
+
 def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, sf_dir, "model_backtest", lambda spark, sf_dir: walk_forward(spark, X.event_features(spark, sf_dir)))
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            return reduce(DataFrame.unionByName, pool.map(lambda fold: written(tested_rows(fold), "tested"), fold_fits(spark, sf_dir)))
+
+    return kept(spark, sf_dir, "model_backtest", build)
 
 
 @dataclass(frozen=True)
@@ -219,26 +270,6 @@ def scored(spark: SparkSession, root: str, requests: DataFrame, table: DataFrame
     return out.select("event_id", "version", *NAMES, F.col("pred_q50").alias("expected"), F.array("pred_q10", "pred_q90").alias("interval"), "drift_z_pred", "prob_up", "coverage", "realised", error.alias("error"))
 
 
-def permutation_importance(model: GBTRegressionModel, rows: DataFrame, schema: Schema, label: str, repeats: int = 5) -> DataFrame:
-    """feature, imp: by how much the mean squared error grows when a feature's values are dealt anew among the rows. Values
-    are dealt by a join on places in two hashed orders, so no row meets all others."""
-    from ..operators import core as O
-
-    rows = rows.where(F.col(label).isNotNull())
-    loss = lambda data: model.transform(vectors(data, schema)).agg(F.avg((F.col("prediction") - F.col(label)) ** 2)).first()[0]
-    base, out = loss(rows), []
-    own = O.global_rank(rows.withColumn("h", F.xxhash64("event_id")), "h", ["event_id"], "place").drop("h", "place_n")
-    for turn in range(repeats):
-        dealt = O.global_rank(rows.withColumn("h", F.xxhash64("event_id", F.lit(turn))), "h", ["event_id"], "place")
-        for c in schema.columns:
-            out.append((c, loss(own.drop(c).join(dealt.select("place", c), "place")) - base))
-    return rows.sparkSession.createDataFrame(out, "feature string, d double").groupBy("feature").agg(F.avg("d").alias("imp"))
-
-
-def gain_importance(model, schema: Schema) -> list[tuple[str, float]]:
-    return [(c, float(v)) for c, v in zip(schema.columns, model.featureImportances.toArray(), strict=True)]
-
-
 # Registered queries.
 
 
@@ -249,6 +280,11 @@ def backtest_rows(spark, sf_dir):
     return rows.select("event_id", "oftic", "cal_q", "drift_raw", F.round("coverage", 6).alias("coverage"), ordered.alias("ordered"), F.col("drift_z_pred").isNotNull().alias("scored"))
 
 
+def backtest_predictions(spark, sf_dir):
+    """Each tested event's outcome with what its fold's heads predict."""
+    return backtest(spark, sf_dir).select("event_id", "cal_q", "drift_raw", "drift_class", *(F.round(c, 8).alias(c) for c in (*NAMES, "drift_z_pred", "prob_up")))
+
+
 def model_metrics(spark, sf_dir):
     """One row of pooled out-of-sample metrics: rank correlation, R2, decile spread, AUC, interval coverage, pinball loss."""
     from ..operators import core as O
@@ -284,20 +320,6 @@ def feature_coverage(spark, sf_dir):
     return aligned(table, schema_of(table)).select("event_id", F.round("coverage", 6).alias("coverage"))
 
 
-def model_drivers(spark, sf_dir):
-    """The importance of each feature in fits of subgroups by the sign of the surprise, the first 15 of each."""
-    table = X.event_features(spark, sf_dir).where(F.col(Z).isNotNull())
-    out = []
-    for sign in (-1, 1):
-        rows = table.where(F.col("beat_flag") == sign)
-        if rows.count() >= 200:
-            schema = schema_of(rows)
-            out += [(sign, c, v) for c, v in gain_importance(boosted(vectors(aligned(rows, schema), schema), Z), schema)]
-    found = spark.createDataFrame(out, "beat_flag int, feature string, imp double")
-    w = Window.partitionBy("beat_flag").orderBy(F.col("imp").desc(), "feature")
-    return found.withColumn("rank", F.row_number().over(w)).where("rank <= 15").select("beat_flag", "rank", "feature", F.round("imp", 6).alias("imp"))
-
-
 def _coverage_sql(source: str) -> str:
     names = [c for c in COVERED]
     return f"SELECT event_id, round(({' + '.join(f'({c} IS NOT NULL)::INT' for c in names)}) / {len(names)}, 6) AS coverage FROM {source}"
@@ -313,4 +335,4 @@ ORACLE_SQL = {
     "latest_scores": f"""{X.FEATURES}, cov AS ({_coverage_sql('ef')}) SELECT ev.event_id, year(c) || 'q' || quarter(c) || '_{HORIZON}' AS version, coverage, CASE WHEN coverage IS NULL THEN 'the event can''t be located' END AS error
         FROM ev, {_CUT} LEFT JOIN cov ON cov.event_id = ev.event_id WHERE ev.anndats > c""",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "model_metrics", "model_drivers"]}
+QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "backtest_predictions", "model_metrics"]}

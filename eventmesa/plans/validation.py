@@ -151,27 +151,41 @@ FACTORS, LAGS = ["sue_std", "analyst_disp", "surprise_raw"], 4
 def slopes(rows: DataFrame, features: list[str], target: str, quarter: str) -> DataFrame:
     """quarter, feature, b: least squares of the target on all features, in each quarter with max(10, k + 2) rows or more.
 
-    Features are standardised within the quarter; those that don't vary are left out of it, missing values become 0. Spark
-    adds up the products of each quarter; only its k by k table is solved in Python."""
-    rows = rows.where(F.col(target).isNotNull()).select(quarter, F.col(target).cast("double").alias("y"), *features)
-    stats = rows.groupBy(quarter).agg(F.count("*").alias("n"), *(f(c).alias(f"{n}_{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).where(F.col("n") >= max(10, len(features) + 2))
-    z = [F.coalesce((F.col(c) - F.col(f"m_{i}")) / F.when(F.col(f"s_{i}") > 0, F.col(f"s_{i}")), F.lit(0.0)).alias(f"z{i}") for i, c in enumerate(features)]
-    scaled = rows.join(F.broadcast(stats), quarter).select(quarter, "y", *z)  # one row a quarter
+    Features are standardised within the quarter; those that don't vary are left out of it, missing values and NaN become 0.
+    Each task adds up the products of its rows by quarter, Spark adds up tasks by (quarter, place in the upper triangle), and
+    only a quarter's k by k table is solved in Python, so any number of features will do."""
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    rows = rows.where(F.col(target).isNotNull()).select(F.col(quarter).alias("quarter"), F.col(target).cast("double").alias("y"), *(number(c).alias(f"x{i}") for i, c in enumerate(features)))
     k = len(features)
-    products = [F.sum(F.col(f"z{i}") * F.col(f"z{j}")) for i in range(k) for j in range(k)]
-    sums = scaled.groupBy(quarter).agg(F.array(*products).alias("xx"), F.array(*(F.sum(F.col(f"z{i}") * F.col("y")) for i in range(k))).alias("xy"))
+    stats = rows.groupBy("quarter").agg(F.count("*").alias("n"), *(f(f"x{i}").alias(f"{n}{i}") for i in range(k) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).where(F.col("n") >= max(10, k + 2))
+    z = F.array(*(F.coalesce((F.col(f"x{i}") - F.col(f"m{i}")) / F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")), F.lit(0.0)) for i in range(k)), F.col("y"))
+    scaled = rows.join(F.broadcast(stats), "quarter").select("quarter", z.alias("z"))  # one row a quarter
+    upper = np.triu_indices(k + 1)
+
+    def products(batches):
+        sums = {}
+        for batch in batches:
+            for q, some in batch.groupby("quarter"):
+                x = np.stack(some["z"].to_numpy())
+                sums[q] = sums.get(q, 0) + (x.T @ x)[upper]
+        yield pd.concat([pd.DataFrame({"quarter": q, "place": np.arange(len(v)), "v": v}) for q, v in sums.items()] or [pd.DataFrame({"quarter": [], "place": [], "v": []})])
+
+    tables = scaled.mapInPandas(products, "quarter string, place int, v double").groupBy("quarter", "place").agg(F.sum("v").alias("v"))
+    tables = tables.groupBy("quarter").agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("cells")).select("quarter", F.col("cells.v").alias("v"))
 
     def solve(batches):
         for batch in batches:
             out = []
-            for q, xx, xy in zip(batch[quarter], batch["xx"], batch["xy"], strict=True):
-                table, right = np.array(xx).reshape(k, k), np.array(xy)
-                alive = np.flatnonzero(table.diagonal() > 0)
-                b = np.linalg.lstsq(table[np.ix_(alive, alive)], right[alive], rcond=None)[0]
+            for q, v in zip(batch["quarter"], batch["v"], strict=True):
+                table = np.zeros((k + 1, k + 1))
+                table[upper] = v
+                table = table + np.triu(table, 1).T
+                alive = np.flatnonzero(table.diagonal()[:k] > 0)
+                b = np.linalg.lstsq(table[np.ix_(alive, alive)], table[alive, k], rcond=None)[0]
                 out += [(q, features[i], float(x)) for i, x in zip(alive, b, strict=True)]
             yield pd.DataFrame(out, columns=["quarter", "feature", "b"])
 
-    return sums.mapInPandas(solve, "quarter string, feature string, b double")
+    return tables.mapInPandas(solve, "quarter string, feature string, b double")
 
 
 def mean_with_t(series: DataFrame, by: list[str], order: str, value: str, lags: int = LAGS) -> DataFrame:
@@ -195,6 +209,27 @@ def fama_macbeth(spark, sf_dir):
     return mean_with_t(per, ["feature"], "quarter", "b").select("feature", F.round("mean", 6).alias("coef"), F.round("t", 3).alias("t"), F.col("n").alias("n_quarters"), F.round("frac_positive", 6).alias("frac_positive"))
 
 
+def slopes_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fama-MacBeth over all numeric features: feature, coef, t, n_quarters, frac_positive. A feature that varies in no
+    quarter has a row of nulls."""
+    from . import features as X
+    from . import models as M
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table = X.event_features(spark, sf_dir)
+        numbers = [c for c in M.feature_columns(table) if table.schema[c].dataType.typeName() != "string"]
+        found = mean_with_t(slopes(table, numbers, f"drift_z_h{HORIZON}", "cal_q"), ["feature"], "quarter", "b")
+        names = F.broadcast(spark.createDataFrame([(c,) for c in numbers], "feature string"))  # one row a feature
+        return names.join(found, "feature", "left").select("feature", F.col("mean").alias("coef"), "t", F.coalesce("n", F.lit(0)).alias("n_quarters"), "frac_positive")
+
+    return kept(spark, sf_dir, "slopes_of_all", build)
+
+
+def fama_macbeth_all(spark, sf_dir):
+    """The slopes of all numeric features together."""
+    return slopes_of_all(spark, sf_dir).select("feature", F.round("coef", 6).alias("coef"), F.round("t", 3).alias("t"), "n_quarters", F.round("frac_positive", 6).alias("frac_positive"))
+
+
 def newey_west(spark, sf_dir):
     """t of the mean of a quarterly series; the series has one row a quarter."""
     series = A.backtest(spark, sf_dir).groupBy("cal_q").agg(F.avg("pred_q50").alias("b")).withColumn("one", F.lit(1))
@@ -304,5 +339,5 @@ SQL = {
     "feature_summary": "SELECT feature, count(x) AS n_present, round(100 * count(x) / count(*), 1) AS pct, round(avg(x), 7) AS mean, round(stddev_samp(x), 7) AS std, round(min(x), 7) AS min, round(median(x), 7) AS median, round(max(x), 7) AS max FROM (SELECT unnest(['drift_raw', 'pred_q50', 'prob_up']) feature, unnest([drift_raw, pred_q50, prob_up]) x FROM bt) GROUP BY feature",
     "closed_window_cutoff": "SELECT event_id, CAST(o_orderdate AS DATE) AS anndats FROM bt, (SELECT max(CAST(o_orderdate AS DATE)) - 365 c FROM bt) WHERE CAST(o_orderdate AS DATE) <= c AND CAST(o_orderdate AS DATE) + 84 <= c",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "fama_macbeth"]}
+QUERIES = {name: globals()[name] for name in [*SQL, "fama_macbeth", "fama_macbeth_all"]}
 ORACLE_SQL = {name: CTE + sql for name, sql in SQL.items()}

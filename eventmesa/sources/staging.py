@@ -6,10 +6,11 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple[str, str, str], Any] = {}
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
@@ -21,6 +22,14 @@ def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSess
     return _KEPT[key]
 
 
+def remembered(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], Any]) -> Any:
+    """What `build` gives (fitted models), made once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = build(spark, sf_dir)
+    return _KEPT[key]
+
+
 def forget() -> None:
     _KEPT.clear()
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventmesa.operators import core as O
-from eventmesa.plans import models, validation
+from eventmesa.plans import attribution, models, validation
 from eventmesa.sources import files, links
 from eventmesa.sources.staging import fresh_path
 
@@ -95,5 +95,6 @@ def test_models_are_saved_scored_and_aligned(spark):
     assert got[999].error and got[999].expected is None and got[3].version == "2021q2_60" and got[3].coverage == pytest.approx(1 / 3)
     assert got[3].pred_q10 <= got[3].pred_q50 <= got[3].pred_q90 and got[3].expected == got[3].pred_q50 and abs(got[3].expected - 0.03) < 0.02 and got[3].realised == 0.03
     heads, _ = models.load(spark, root, "2020q4_60")
-    losses = {r.feature: r.imp for r in models.permutation_importance(heads[2], models.aligned(table, heads[0]), heads[0], models.Z, repeats=1).collect()}
-    assert max(losses, key=losses.get) == "f1"
+    ready = models.vectors(models.aligned(table, heads[0]), heads[0])
+    losses = {r.feature: r.perm for r in attribution.permutation_importance(heads[2], ready, heads[0].columns, models.Z, repeats=1).collect()}
+    assert max(losses, key=losses.get) == "f1" and set(losses) == {"f1", "f2", "kind"}
