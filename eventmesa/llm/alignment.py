@@ -24,10 +24,11 @@ from pyspark.sql import types as T
 
 from .common import released, saved, sliced, sliced_bytes
 
-#: Bytes of text in a batch (at least one text); encoded chunks that a worker keeps, twice; characters of a chunk that is kept.
-BATCH_BYTES, CACHE_CHUNKS, LONGEST = 1 << 20, 100_000, 64
+#: Bytes of text in a batch (at least one text); chunks, and ids, that a worker keeps before it forgets all; chunks that are encoded as one text.
+BATCH_BYTES, CACHE_CHUNKS, CACHE_IDS, TOGETHER = 1 << 20, 200_000, 4_000_000, 2048
 #: What isn't white space, before a space: no token of either tokenizer reaches over such a place.
-CUT = r"([^\t-\r\x1c-\x20\x{85}\p{Z}])( )"
+SOLID = r"[^\t-\r\x1c-\x20\x{85}\p{Z}]"
+CUT, ENDS = rf"({SOLID})( )", rf"{SOLID}$"
 #: A pair's key is the A id times this plus the B id.
 SIDE = 1 << 32
 
@@ -45,76 +46,116 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace("\u2581", " ").encode()
 
 
+class Side:
+    """One tokenizer's tokens, and the ids of known chunks one after another: chunk i has those from starts[i] on, sizes[i] of
+    them."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.tokens, self.width, self.name = tokens, np.array([*map(len, tokens)], np.int64), np.array([*map(str, range(len(tokens)))], object)
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.used, self.starts, self.sizes = np.zeros(1 << 16, np.int32), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        more, own = np.concatenate(ids), np.concatenate(sizes)
+        if self.used + len(more) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(more), np.int32)])
+        self.ids[self.used : self.used + len(more)] = more
+        self.starts, self.sizes = np.append(self.starts, self.used + np.cumsum(own) - own), np.append(self.sizes, own)
+        self.used += len(more)
+
+    def of(self, codes: np.ndarray, counts: np.ndarray, texts: int, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these chunks, and how many each text has; `used` are the texts with chunks, `counts` of them each."""
+        own, n = self.sizes[codes], np.zeros(texts, np.int64)
+        if len(codes):
+            n[used] = np.add.reduceat(own, np.cumsum(counts) - counts)
+        return self.ids[np.repeat(self.starts[codes] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))], n
+
+
 class Chunks:
     """Encodes texts on both sides by chunks that begin at a space, keeping the ids of chunks met before.
 
-    Neither side has a token that goes on from other characters into a space, so chunks can be encoded one by one: A a
-    chunk as it is, B without its first space, which it adds. A text with a null character is one chunk."""
+    Neither side has a token that goes on from other characters into a space, so chunks can be encoded apart, or new ones
+    one after another as one text and cut where each begins: A as they are, B without the first space, which it adds. A
+    text with a null character is one chunk."""
 
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True  # their strings are plain text
-        alphabet, tokens = byte_alphabet(), self.a.get_vocab()
-        self.bytes_a, self.bytes_b = [b""] * (max(tokens.values()) + 1), [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
+        self.of_a, self.of_b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
+        self.of_a.encode_special_tokens = True  # their strings are plain text
+        alphabet, tokens = byte_alphabet(), self.of_a.get_vocab()
+        bytes_a = [b""] * (max(tokens.values()) + 1)
         for token, i in tokens.items():
-            self.bytes_a[i] = bytes(map(alphabet.__getitem__, token)) if all(c in alphabet for c in token) else token.encode()
-        if any("\u2581" in self.b.id_to_piece(i).lstrip("\u2581") for i in range(self.b.get_piece_size())):
+            bytes_a[i] = bytes(map(alphabet.__getitem__, token)) if all(c in alphabet for c in token) else token.encode()
+        pieces = [self.of_b.id_to_piece(i) for i in range(self.of_b.get_piece_size())]
+        if any("\u2581" in p.lstrip("\u2581") for p in pieces):
             raise ValueError("a piece goes on into a space")
-        self.size_a, self.size_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.name_a, self.name_b = (np.array([*map(str, range(len(x)))], object) for x in (self.bytes_a, self.bytes_b))
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
-
-    def encoded(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
-        """The ids of chunks on both sides as 32-bit integers; of one whose bytes aren't the tokens', nothing on one side."""
-        out = []
-        for chunk, a, b in zip(chunks, self.a.encode_batch_fast(chunks, add_special_tokens=False), self.b.encode([c[1:] for c in chunks], num_threads=1), strict=True):
-            raw, ids, b = chunk.encode(), a.ids, b or [self.b.piece_to_id("\u2581")]  # it adds no space to an empty text
-            same = b"".join(map(self.bytes_a.__getitem__, ids)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            out.append((np.array(ids, "<i4").tobytes(), np.array(b, "<i4").tobytes()) if same else (b"", b"?"))
-        return out
-
-    def look_up(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
-        if len(self.known) > CACHE_CHUNKS:
-            self.older, self.known = self.known, {}
-        fresh = [c for c in chunks if c not in self.known and c not in self.older]
-        now = dict(zip(fresh, self.encoded(fresh), strict=True))
-        found = [x if (x := self.known.get(c)) is not None else self.older[c] if c in self.older else now[c] for c in chunks]
-        self.known.update((c, x) for c, x in zip(chunks, found, strict=True) if len(c) <= LONGEST)
-        return found
+        self.a, self.b = Side(bytes_a), Side([*map(piece_bytes, pieces)])
+        self.place: dict[str, int] = {}
+        self.bad: set[int] = set()  # chunks whose bytes aren't those of their tokens
+
+    def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of a text that begins with a space, on both sides; None where bytes differ."""
+        raw, (a,) = text.encode(), self.of_a.encode_batch_fast([text], add_special_tokens=False)
+        ids = a.ids, self.of_b.encode(text[1:]) or [self.of_b.piece_to_id("\u2581")]  # it adds no space to an empty text
+        same = all(b"".join(map(side.tokens.__getitem__, x)) == raw for side, x in zip((self.a, self.b), ids, strict=True))
+        return (np.array(ids[0], np.int64), np.array(ids[1], np.int64)) if same else None
+
+    def learn(self, chunks: list[str], plain: list[bool]) -> None:
+        """Plain chunks, which don't end in white space, can follow one another in one text."""
+        queue = [[c for c, p in zip(chunks, plain, strict=True) if p][i : i + TOGETHER] for i in range(0, sum(plain), TOGETHER)] + [[c] for c, p in zip(chunks, plain, strict=True) if not p]
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = []
+        while queue:
+            some = queue.pop()
+            got = self.encoded("".join(some))
+            if got is None and len(some) > 1:
+                queue += [[c] for c in some]
+                continue
+            first = len(self.place)
+            self.place.update(zip(some, range(first, first + len(some)), strict=True))
+            if got is None:
+                self.bad.add(first)
+                found.append([(np.zeros(0, np.int64), np.zeros(1, np.int64))] * 2)
+                continue
+            ends = np.cumsum([len(c.encode()) for c in some])
+            found.append([(ids, np.diff(np.searchsorted(np.cumsum(side.width[ids]), ends, "right"), prepend=0)) for side, ids in zip((self.a, self.b), got, strict=True)])
+        for k, side in enumerate((self.a, self.b)):
+            if found:
+                side.learn(*zip(*(x[k] for x in found), strict=True))
+
+    def look_up(self, chunks: pa.Array) -> np.ndarray:
+        """The places of distinct chunks."""
+        if len(self.place) > CACHE_CHUNKS or max(self.a.used, self.b.used) > CACHE_IDS:
+            self.place, self.bad = {}, set()
+            self.a.clear()
+            self.b.clear()
+        names = chunks.to_pylist()
+        fresh = [i for i, c in enumerate(names) if c not in self.place]
+        if fresh:
+            plain = pc.match_substring_regex(chunks.take(pa.array(fresh)), ENDS).to_pylist()
+            self.learn([names[i] for i in fresh], plain)
+        return np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
 
     def of(self, texts: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """Of both sides the ids of all texts one after another, and how many each text has; none where its bytes differ."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))
         whole = np.asarray(pc.match_substring(texts, "\0"))
-        cut = pc.replace_substring_regex(pc.if_else(pa.array(whole), "", spaced), CUT, "\\1\0\\2")
-        split = pc.split_pattern(cut, "\0")
-        coded = split.flatten().dictionary_encode()
-        found = self.look_up(coded.dictionary.to_pylist()) + self.encoded(spaced.filter(pa.array(whole)).to_pylist())
-        counts, codes = split.value_lengths().to_numpy(), coded.indices.to_numpy().astype(np.int64)
-        starts = np.cumsum(counts) - counts  # each text has one chunk at least
-        codes[starts[whole]] = len(coded.dictionary) + np.arange(int(whole.sum()))
-        bad = np.fromiter((len(b) == 1 for _, b in found), bool, len(found))
-        empty = np.asarray(pc.equal(texts, ""))
-        left_out = np.logical_or.reduceat(bad[codes], starts) | empty if len(starts) else empty
-        used = ~np.repeat(left_out, counts)
-        codes, counts = codes[used], counts[~left_out]
-
-        def side(k: int) -> tuple[np.ndarray, np.ndarray]:
-            sizes = np.fromiter((len(x[k]) // 4 for x in found), np.int64, len(found))
-            raw = np.frombuffer(b"".join(x[k] for x in found if len(x[k]) != 1), "<i4")
-            own = sizes[codes]
-            ids = raw[np.repeat((np.cumsum(sizes) - sizes)[codes] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))]
-            of = np.zeros(len(texts), np.int64)
-            if len(codes):
-                of[~left_out] = np.add.reduceat(own, np.cumsum(counts) - counts)
-            return ids, of
-
-        return side(0), side(1)
+        split = pc.split_pattern(pc.replace_substring_regex(pc.if_else(pa.array(whole), "", spaced), CUT, "\\1\0\\2"), "\0")
+        flat, counts = split.flatten(), split.value_lengths().to_numpy().astype(np.int64)  # each text has one chunk at least
+        starts = np.cumsum(counts) - counts
+        if whole.any():
+            flat = pc.replace_with_mask(flat, pa.array(np.isin(np.arange(len(flat)), starts[whole])), spaced.filter(pa.array(whole)))
+        coded = flat.dictionary_encode()
+        codes = self.look_up(coded.dictionary)[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+        left_out = np.asarray(pc.equal(texts, ""))
+        if self.bad:
+            left_out = left_out | np.logical_or.reduceat(np.isin(codes, list(self.bad)), starts)
+        codes, counts, used = codes[~np.repeat(left_out, counts)], counts[~left_out], np.flatnonzero(~left_out)
+        return self.a.of(codes, counts, len(texts), used), self.b.of(codes, counts, len(texts), used)
 
 
 @once
@@ -150,12 +191,14 @@ def aligned(chunks: Chunks, texts: pa.Array) -> Alignment:
         own = sizes[ids]  # both sides tile the same bytes, so places run on from document to document
         return pd.DataFrame({"doc": np.repeat(rows, n), "at": np.cumsum(own) - own, "token": np.arange(len(ids))})
 
-    left, right = tokens(a, n_a, chunks.size_a), tokens(b, n_b, chunks.size_b)
+    left, right = tokens(a, n_a, chunks.a.width), tokens(b, n_b, chunks.b.width)
 
     def covering(x: pd.DataFrame, y: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Of each token of x the token of y that covers its start, and whether that starts there too."""
-        found = pd.merge_asof(x[["doc", "at"]], y.rename(columns={"at": "other"}).assign(at=y["at"]), on="at", by="doc") if len(x) else y.assign(other=y["at"])
-        return found["token"].to_numpy(np.int64), (found["other"] == found["at"]).to_numpy()
+        if not len(x):
+            return np.zeros(0, np.int64), np.zeros(0, bool)
+        found = pd.merge_asof(x[["doc", "at"]], y, on="at", by="doc")["token"].to_numpy(np.int64)
+        return found, y["at"].to_numpy()[found] == x["at"].to_numpy()
 
     of_b, opens_a = covering(left, right)
     of_a, opens_b = covering(right, left)
@@ -172,7 +215,7 @@ def digests(chunks: Chunks, found: Alignment) -> list[str]:
     # A token's place: the A tokens before it, and the B tokens of the groups before it (A) or up to it (B).
     place_a = np.arange(len(group_a)) + (np.cumsum(many_b) - many_b)[group_a]
     place_b = np.arange(len(group_b)) + np.cumsum(many_a)[group_b]
-    out[2 * place_a], out[2 * place_b] = chunks.name_a[found.a], chunks.name_b[found.b]
+    out[2 * place_a], out[2 * place_b] = chunks.a.name[found.a], chunks.b.name[found.b]
     out[2 * place_a + 1] = np.where(np.append(found.opens_a[1:], True), "|", ",")
     out[2 * place_b + 1] = np.where(np.append(found.opens_b[1:], True), ";", ",")
     ends, parts = 2 * np.cumsum(found.n_a + found.n_b), out.tolist()

@@ -77,6 +77,7 @@ def test_alignment_matches_plain_comparison(spark, monkeypatch, small):
     if small:  # many batches, and a cache that is often emptied
         monkeypatch.setattr(alignment, "BATCH_BYTES", 500)
         monkeypatch.setattr(alignment, "CACHE_CHUNKS", 5)
+        monkeypatch.setattr(alignment, "TOGETHER", 3)
         alignment.chunks_for.cache_clear()
     rows = list(enumerate(texts()))
     given = spark.createDataFrame([(*x, 1, "y") for x in rows], "doc_id long, text string, batch int, counts string").repartition(3)
