@@ -59,7 +59,8 @@ class Words:
     the place of its word; `sizes` has the tokens of each text."""
 
     def __init__(self, texts: pa.Array):
-        lower = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+        whole = pa.concat_arrays([texts]).cast(pa.large_string())  # a copy: lower-casing a slice reads past it
+        lower = pc.ascii_lower(pc.fill_null(whole, ""))
         split = pc.ascii_split_whitespace(lower)
         tokens, sizes = split.flatten(), split.value_lengths().to_numpy().astype(np.int64)
         there = pc.not_equal(tokens, "").to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word

@@ -28,6 +28,9 @@ def test_words_of_a_batch():
     ends = np.flatnonzero(words.sequence(np.ones(len(words.hashes), np.int64), 9) == 9)
     assert np.diff(ends).tolist() == [len(x) + 1 for x in tokens]
     assert len(classlm.Words(pa.array([], pa.string())).codes) == 0
+    for i in range(60):  # slices read no other texts
+        some = classlm.Words(pa.array((ODD[:6] * 12)).slice(i, 6))
+        assert some.sizes.tolist() == [len(tokens[k % 6]) for k in range(i, i + 6)] and set(some.hashes.tolist()) == set(words.hashes[np.unique(words.codes[: sum(map(len, tokens[:6]))])].tolist())
 
 
 def sentences(n, seed):
