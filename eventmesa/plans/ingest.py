@@ -47,11 +47,15 @@ def prices_csv(spark, sf_dir):
     return files.price_scan(spark, path, needed, A.BENCHMARK)
 
 
+#: The year of announcements whose windows `panel_by_year` reads.
+YEAR = 1996
+
+
 def panel_by_year(spark, sf_dir):
     """Quotes in a folder by year, read only where event windows need them."""
     path = fresh_path(spark, "quotes")
     files.write_by_year(A.option_quotes(spark, sf_dir).drop("year"), path, F.year("date"))
-    windows = A.option_events(spark, sf_dir).where(F.year("ann_date") == 1994).select(F.date_sub("ann_date", P.BEFORE).alias("low"), F.date_add("ann_date", P.AFTER).alias("high"))
+    windows = A.option_events(spark, sf_dir).where(F.year("ann_date") == YEAR).select(F.date_sub("ann_date", P.BEFORE).alias("low"), F.date_add("ann_date", P.AFTER).alias("high"))
     return files.read_years(spark, path, windows, ["year", "cp_flag", "volume"]).groupBy("year", "cp_flag").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
 
 
@@ -125,7 +129,7 @@ SQL = {
     "consensus_csv": f"""{E.CTE} SELECT oftic, anndats AS anndats_act, CASE WHEN event_id % 7 <> 0 THEN statpers END AS statpers, actual, meanest, numest, CAST(NULL AS DOUBLE) AS medest FROM snaps JOIN nation ON upper(n_name) = oftic AND n_regionkey = 0
         WHERE event_id % 4 <> 0 AND event_id % 5 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0 AND year(anndats) BETWEEN {YEARS[0]} AND {YEARS[1]}""",
     "prices_csv": f"{E.CTE} SELECT tic, date, price FROM prices WHERE day(date) <> 13 AND (tic = 'SPY' OR tic IN (SELECT upper(n_name) FROM nation WHERE n_regionkey < 2))",
-    "panel_by_year": f"{P.CTE} SELECT year, cp_flag, count(*) AS n, sum(volume) AS volume FROM quotes WHERE year IN (SELECT unnest(range(year(ann_date - {P.BEFORE}), year(ann_date + {P.AFTER}) + 1)) FROM oev WHERE year(ann_date) = 1994) GROUP BY ALL",
+    "panel_by_year": f"{P.CTE} SELECT year, cp_flag, count(*) AS n, sum(volume) AS volume FROM quotes WHERE year IN (SELECT unnest(range(year(ann_date - {P.BEFORE}), year(ann_date + {P.AFTER}) + 1)) FROM oev WHERE year(ann_date) = {YEAR}) GROUP BY ALL",
     "constituent_list": "SELECT upper(n_name) AS ticker FROM nation",
     "secid_events": f"{E.CTE} SELECT secid, oftic, count(*) AS n, max(event_id) AS last_event FROM ev JOIN (SELECT DISTINCT l_suppkey secid, tic FROM trades) ON tic = oftic GROUP BY ALL",
     "link_lookup": "SELECT upper(n_name) AS ticker, 10000 + n_nationkey AS permno, lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS gvkey, 10 + 5 * n_regionkey AS gsector, 100 + (n_nationkey * 397) % 8900 AS sic FROM nation",

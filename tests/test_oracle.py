@@ -8,6 +8,8 @@ import pytest
 from eventmesa.plans import registry
 
 SF = "/root/testdata/sf0.001"
+#: Queries that find nothing on the smallest tables, though they do on larger ones.
+EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -33,4 +35,6 @@ def test_query(spark, con, name):
     theirs = con.sql(registry.ORACLE_SQL[name])
     columns = sorted(ours.columns)
     assert columns == sorted(theirs.columns)
-    assert plain(tuple(r) for r in ours.select(*columns).collect()) == plain(theirs.select(*(f'"{c}"' for c in columns)).fetchall())
+    expected = plain(theirs.select(*(f'"{c}"' for c in columns)).fetchall())
+    assert expected or name in EMPTY, "the query is checked against no row"
+    assert plain(tuple(r) for r in ours.select(*columns).collect()) == expected
