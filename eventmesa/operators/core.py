@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,15 +68,19 @@ def binned_within(df: DataFrame, by: list[str], value: str, ties: list[str], bin
 
 
 def quantiles_within(df: DataFrame, by: list[str], value: str, shares: list[float], names: list[str]) -> DataFrame:
-    """One row a group with exact linear quantiles of a value: of ranked rows, only the two around each quantile are kept."""
-    rows = rank_within(df.select(*by, value), by, value, [], "at")
+    """One row a group with exact linear quantiles of a value. Equal values are counted first, so one that most rows have is
+    one row; of the distinct values, those whose places hold a quantile's neighbours give it."""
+    values = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    placed = prefix_sums(values, [*by, value], {"rows": F.col("__n")})
+    groups = placed.groupBy(*by).agg(F.min("rows_before").alias("__first"), F.sum("__n").alias("__all_n")).withColumnsRenamed({b: f"__g{b}" for b in by})
+    rows = placed.join(groups, [F.col(b).eqNullSafe(F.col(f"__g{b}")) for b in by]).withColumn("__low", F.col("rows_before") - F.col("__first"))
     ends = []
     for share, name in zip(shares, names, strict=True):
-        place = F.lit(share) * (F.col("at_n") - 1)
-        low, high = F.max(F.when(F.col("at") == F.floor(place), F.col(value))), F.max(F.when(F.col("at") == F.ceil(place), F.col(value)))
+        place = F.lit(share) * (F.col("__all_n") - 1)
+        at = lambda i: F.max(F.when((F.col("__low") <= i) & (i < F.col("__low") + F.col("__n")), F.col(value)))
+        low, high = at(F.floor(place)), at(F.ceil(place))
         ends.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
-    near = reduce(or_, (F.col("at") == f(F.lit(s) * (F.col("at_n") - 1)) for s in shares for f in (F.floor, F.ceil)))
-    return rows.where(near).groupBy(*by).agg(*ends)
+    return rows.groupBy(*by).agg(*ends)
 
 
 def winsorised(df: DataFrame, value: str, share: float, name: str) -> DataFrame:

@@ -87,7 +87,15 @@ def feat_price_risk(spark, sf_dir):
 
 
 def industries(spark, sf_dir) -> DataFrame:
-    return A.companies(spark, sf_dir).join(L.ticker_to_company(spark, sf_dir), "gvkey").select(F.col("ticker").alias("tic"), "gsector", S.ff12(F.col("sic")).alias("ff12"))
+    rows = S.with_industry(A.companies(spark, sf_dir), "sic", "ff48")
+    return rows.join(L.ticker_to_company(spark, sf_dir), "gvkey").select(F.col("ticker").alias("tic"), "gsector", S.ff12(F.col("sic")).alias("ff12"), "ff48")
+
+
+def industry_codes(spark, sf_dir):
+    """Both classifications of the codes that orders' keys give, some of them no number."""
+    code = F.when(F.col("o_orderkey") % 101 == 0, "n/a").otherwise((F.col("o_orderkey") * 7919 % 10000).cast("string"))
+    rows = A.table(spark, sf_dir, "orders").select(code.alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    return S.with_industry(S.with_industry(rows, "code", "ff48"), "code", "ff12", S.FF12)
 
 
 def ff12_industry(spark, sf_dir):
@@ -97,7 +105,7 @@ def ff12_industry(spark, sf_dir):
 def feat_sector(spark, sf_dir):
     """Sector and industry of the firm that the last link names, and whether it belongs to a group (here: the first region)."""
     members = A.table(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.upper("n_name").alias("member"))
-    rows = industries(spark, sf_dir).join(members, F.col("tic") == F.col("member"), "left").select(F.col("tic").alias("oftic"), F.col("gsector").cast("string").alias("gics_sector"), "ff12", F.col("member").isNotNull().cast("int").alias("idx_member"))
+    rows = industries(spark, sf_dir).join(members, F.col("tic") == F.col("member"), "left").select(F.col("tic").alias("oftic"), F.col("gsector").cast("string").alias("gics_sector"), "ff12", "ff48", F.col("member").isNotNull().cast("int").alias("idx_member"))
     return E.fitting(spark, sf_dir).select("event_id", "oftic").join(rows, "oftic", "left").drop("oftic")
 
 
@@ -249,7 +257,8 @@ def expand_universe(spark, sf_dir):
 PANEL = E.CTE + """,
 dense AS (SELECT t.tic, d.pos, p.price, p.ret, p.bench_ret, p.ar, coalesce(p.ar, 0) ar0, coalesce(p.ret, 0) ret0 FROM (SELECT DISTINCT tic FROM panel) t CROSS JOIN (SELECT DISTINCT pos FROM panel) d LEFT JOIN panel p ON p.tic = t.tic AND p.pos = d.pos),
 sic AS (SELECT upper(n_name) tic, 100 + (n_nationkey * 397) % 8900 sic FROM nation)"""
-FF = "CASE " + " ".join(f"WHEN {' OR '.join(f'sic BETWEEN {a} AND {b}' for a, b in ranges)} THEN '{label}'" for label, ranges in S.FF12) + " ELSE 'Other' END"
+industry_sql = lambda classes: "CASE " + " ".join(f"WHEN {' OR '.join(f'sic BETWEEN {a} AND {b}' for a, b in ranges)} THEN '{label}'" for label, ranges in classes) + " ELSE 'Other' END"
+FF, FF48 = industry_sql(S.FF12), industry_sql(S.FF48)
 frames = lambda e, a, b: f"{e} OVER (PARTITION BY tic ORDER BY pos ROWS BETWEEN {a} AND {b})"
 back = lambda e, a, b: frames(e, f"{a} PRECEDING", f"{b} PRECEDING")
 
@@ -281,7 +290,7 @@ PRICE_RISK = f"""SELECT event_id, mom_1m, reversal_1w, mom_12_1, rvol_60, beta_2
 INDUSTRY_MOM = f"SELECT event_id, industry_mom FROM fit JOIN (SELECT tic, pos, round((sum(leg) OVER g - leg) / nullif(count(leg) OVER g - 1, 0), 6) + 0.0 AS industry_mom FROM (SELECT d.*, {FF} ff FROM (SELECT tic, pos, CASE WHEN pos >= 21 THEN exp({back('sum(ln(1 + ret0))', 21, 1)}) - 1 END leg FROM dense) d JOIN sic USING (tic)) WINDOW g AS (PARTITION BY ff, pos)) x ON x.tic = oftic AND x.pos = pos0"
 IEV = f"iev AS (SELECT la.*, {FF} ff FROM la JOIN sic ON sic.tic = oftic)"
 INDUSTRY_DRIFT = f"SELECT a.event_id, round(avg(b.d{HORIZON}), 8) AS industry_drift_base FROM iev a LEFT JOIN iev b ON a.ff = b.ff AND b.pos0 + {HORIZON} <= a.pos0 GROUP BY a.event_id"
-SECTOR = f"SELECT event_id, CAST(10 + 5 * n_regionkey AS VARCHAR) AS gics_sector, {FF} AS ff12, CAST(n_regionkey = 0 AS INT) AS idx_member FROM fit JOIN sic ON tic = oftic JOIN nation ON upper(n_name) = oftic"
+SECTOR = f"SELECT event_id, CAST(10 + 5 * n_regionkey AS VARCHAR) AS gics_sector, {FF} AS ff12, {FF48} AS ff48, CAST(n_regionkey = 0 AS INT) AS idx_member FROM fit JOIN sic ON tic = oftic JOIN nation ON upper(n_name) = oftic"
 LIQUID = "SELECT event_id, mktcap, dollar_vol, turnover, amihud FROM fit ASOF LEFT JOIN liq ON tic = oftic AND anndats >= date"
 FUNDAMENTALS = f"""SELECT event_id, {', '.join(RATIOS)}, round(CASE WHEN prc * shrout > 0 THEN ceqq / (prc * shrout) END, 6) AS book_to_market FROM (SELECT x.*, {', '.join(f'rep.{c}' for c in ['ceqq', *RATIOS])} FROM (SELECT f.*, lpad(CAST(n_nationkey AS VARCHAR), 6, '0') gv FROM fit f JOIN nation ON upper(n_name) = oftic) x ASOF LEFT JOIN rep ON rep.gvkey = x.gv AND x.anndats > rep.rdq)
         ASOF LEFT JOIN (SELECT tic, date, prc, shrout FROM liq) l ON l.tic = oftic AND anndats >= l.date"""
@@ -291,6 +300,7 @@ PARTS_SQL = {"f1": PRICE_RISK, "f2": LIQUID, "f3": SECTOR, "f4": INDUSTRY_MOM, "
 FEATURES = f"{PANEL}, {DRIFTS}, {IEV}, {LIQ}, {REP}, " + ", ".join(f"{n} AS ({sql})" for n, sql in PARTS_SQL.items())
 FEATURES += ", ef AS (SELECT s.event_id, s.oftic, s.anndats, s.pos0, s.sue_std, s.sue_price, s.surprise_raw, " + ", ".join(f"{n}.* EXCLUDE (event_id)" for n in PARTS_SQL) + " FROM sue s " + " ".join(f"LEFT JOIN {n} ON {n}.event_id = s.event_id" for n in PARTS_SQL) + ")"
 ORACLE_SQL = {
+    "industry_codes": f"SELECT code, count(*) AS n, CASE WHEN max(sic) IS NOT NULL THEN max({FF48}) END AS ff48, CASE WHEN max(sic) IS NOT NULL THEN max({FF}) END AS ff12 FROM (SELECT CASE WHEN o_orderkey % 101 = 0 THEN 'n/a' ELSE CAST(o_orderkey * 7919 % 10000 AS VARCHAR) END AS code, TRY_CAST(code AS INT) AS sic FROM orders) GROUP BY code",
     "labels": f"{PANEL}, {DRIFTS} SELECT * FROM lb",
     "feat_price_risk": PANEL + " " + PRICE_RISK,
     "ff12_industry": f"SELECT tic, {FF} AS ff12 FROM (SELECT upper(n_name) tic, 100 + (n_nationkey * 397) % 8900 sic FROM nation)",

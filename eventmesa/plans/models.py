@@ -326,7 +326,7 @@ def _coverage_sql(source: str) -> str:
 
 
 #: The features of the table in the schema's order does not matter for how many there are.
-COVERED = ["sue_std", "sue_price", "surprise_raw", "mom_1m", "reversal_1w", "mom_12_1", "rvol_60", "beta_252", "ivol", "high52_prox", "pre_run", "ear", "price_level", "mktcap", "dollar_vol", "turnover", "amihud", "gics_sector", "ff12", "idx_member", "industry_mom", "industry_drift_base", *X.RATIOS, "book_to_market", "analyst_disp", "n_analysts", "revision_net", "staleness", "beat_flag", "fiscal_q", "report_time", "mkt_ret_pre", "vix_level"]
+COVERED = ["sue_std", "sue_price", "surprise_raw", "mom_1m", "reversal_1w", "mom_12_1", "rvol_60", "beta_252", "ivol", "high52_prox", "pre_run", "ear", "price_level", "mktcap", "dollar_vol", "turnover", "amihud", "gics_sector", "ff12", "ff48", "idx_member", "industry_mom", "industry_drift_base", *X.RATIOS, "book_to_market", "analyst_disp", "n_analysts", "revision_net", "staleness", "beat_flag", "fiscal_q", "report_time", "mkt_ret_pre", "vix_level"]
 _FOLDED = f"(SELECT cal_q FROM (SELECT cal_q, row_number() OVER (ORDER BY cal_q) - 1 k FROM (SELECT DISTINCT cal_q FROM ef)) WHERE k >= {V.LEAST_QUARTERS + V.GAP})"
 _CUT = "(SELECT max(anndats) - 365 c FROM ef)"
 ORACLE_SQL = {

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 
 from eventmesa.functions import scalars as S
@@ -50,3 +51,22 @@ def test_incremental(spark):
     want = spark.createDataFrame([(2,), (3,), (None,)], "k int")
     assert [r.k for r in I.missing_keys(want, old, "k").collect()] == [3]
     assert {r.k for r in I.pulled(want, old, new, "k").collect()} == {2, 3}
+
+
+def test_industry_pieces_are_disjoint_and_first_match_wins(spark):
+    pieces = S.intervals(S.FF48)
+    assert all(a[1] < b[0] for a, b in zip(pieces, pieces[1:]))
+    first = lambda code, classes: next((label for label, ranges in classes if any(a <= code <= b for a, b in ranges)), "Other")
+    rows = spark.range(10_000).selectExpr("cast(id as string) sic").union(spark.createDataFrame([(None,), ("x",), ("2840.0",)], "sic string"))
+    got = {r.sic: (r.ff48, r.ff12) for r in S.with_industry(S.with_industry(rows, "sic", "ff48"), "sic", "ff12", S.FF12).collect()}
+    assert all(got[str(c)] == (first(c, S.FF48), first(c, S.FF12)) for c in range(10_000))
+    assert got[None] == got["x"] == (None, None) and got["2840.0"] == got["2840"]
+
+
+def test_quantiles_of_one_hot_value_come_from_its_count(spark):
+    rows = [("a", 5.0)] * 900 + [("a", float(i)) for i in range(100)] + [("b", 1.0), ("b", 2.0), ("b", None), (None, 7.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {r.g: (r.q1, r.q5, r.q9) for r in O.quantiles_within(df, ["g"], "x", [0.01, 0.5, 0.97], ["q1", "q5", "q9"]).collect()}
+    for g in ("a", "b", None):
+        own = np.array([x for k, x in rows if k == g and x is not None])
+        assert got[g] == pytest.approx(tuple(np.quantile(own, [0.01, 0.5, 0.97])))
