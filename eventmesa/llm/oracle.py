@@ -41,4 +41,46 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_near_dedup": NEAR_DEDUP, "op8_warc": WARC, "op9_decontamination": DECONTAMINATION}
+
+def _plus(x: str, cost: int | str, letter: str) -> str:
+    """A way is its cost in eight digits and its letters, so the cheapest, ASCII-least way is the least text."""
+    return f"printf('%08d', substr({x}, 1, 8)::INT + ({cost})) || substr({x}, 9) || '{letter}'"
+
+
+#: The ways before a row, by state: nothing yet, after system, user, assistant; inserts come before it.
+_P2 = f"least(s2, {_plus('s0', 2, 'I')}, {_plus('s1', 2, 'I')}, {_plus('s3', 2, 'I')})"
+_CLOSED = f"s0 AS p0, s1 AS p1, {_P2} AS p2, least(s3, {_plus(_P2, 2, 'I')}) AS p3"
+_ROW = ", ".join(
+    f"least({_plus(f'p{to}', 3, 'D')}, {', '.join(more) or 'NULL'}) AS s{to}"
+    for to, more in enumerate(
+        [
+            [],
+            [f"CASE WHEN NOT gone AND initial = 's' THEN {_plus('p0', 'cut', 'K')} END"],
+            [x for p in ("p0", "p1", "p3") for x in (f"CASE WHEN NOT gone AND initial = 'u' THEN {_plus(p, 'cut', 'K')} END", f"CASE WHEN NOT gone THEN {_plus(p, '2 + cut', 'R')} END")],
+            [f"CASE WHEN NOT gone AND initial = 'a' THEN {_plus('p2', 'cut', 'K')} END", f"CASE WHEN NOT gone THEN {_plus('p2', '2 + cut', 'R')} END"],
+        ]
+    )
+)
+#: crc32 by a table of 256 remainders, the cheapest ways row by row, and the edits replayed.
+REPAIR = rf"""
+WITH RECURSIVE table256 AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+drawn AS (SELECT *, xor(list_reduce([4294967295] || list_transform(string_split(k, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM keyed, table256),
+changed AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM drawn),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, substr(role, 1, 1) AS initial FROM changed),
+judged AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') AS open, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+r AS (SELECT *, blank OR again AS gone, (open AND NOT blank AND NOT again)::INT AS cut FROM judged),
+walk AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, '00000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM conversations
+  UNION ALL SELECT conv_id, i, {_ROW} FROM (SELECT r.conv_id, r.i, initial, gone, cut, {_CLOSED} FROM walk JOIN r ON r.conv_id IS NOT DISTINCT FROM walk.conv_id AND r.i = walk.i + 1)),
+ended AS (SELECT conv_id, least(p0, p3) AS way FROM (SELECT conv_id, {_CLOSED} FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)),
+letters AS (SELECT conv_id, j, way[8 + j] AS letter, len(regexp_replace(way[9:8 + j], 'I', '', 'g')) AS i FROM (SELECT conv_id, way, unnest(range(1, len(way) - 7)) AS j FROM ended)),
+kept AS (SELECT l.conv_id, j, letter, role, text, initial, row_number() OVER (PARTITION BY l.conv_id ORDER BY j) AS e FROM letters l LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i WHERE letter <> 'D'),
+named AS (SELECT conv_id, j, CASE letter WHEN 'K' THEN role ELSE CASE WHEN (e - max((e = 1 AND letter = 'K' AND initial = 's')::INT) OVER (PARTITION BY conv_id)) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END AS line FROM kept),
+fixed AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY j) AS body FROM named GROUP BY conv_id),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, sum(cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  substr(way, 1, 8)::BIGINT AS cost, substr(way, 9) AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM ended e LEFT JOIN fixed f ON f.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+ORACLE_SQL = {"op2_near_dedup": NEAR_DEDUP, "op8_warc": WARC, "op9_decontamination": DECONTAMINATION, "op13_conversation_repair": REPAIR}
