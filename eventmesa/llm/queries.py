@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets as system_secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,8 +52,18 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The setting spark.eventmesa.pii.key. Without it a secret one is drawn and set, so that pseudonyms agree in this session
+    and nobody can undo them."""
+    key = spark.conf.get("spark.eventmesa.pii.key", None)
+    if not key:
+        key = system_secrets.token_hex(32)
+        spark.conf.set("spark.eventmesa.pii.key", key)
+    return key
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.eventmesa.pii.key", "unset")
+    key = pii_key(spark)
     return pii.pseudonymised(table(spark, sf_dir, "documents"), key=key).select("doc_id", *(f"n_{k}" for k in pii.KINDS), "text")
 
 
