@@ -12,7 +12,7 @@ from ..operators import core as O
 from ..sources import adapters as A
 from ..sources import incremental as I
 from ..sources import links as L
-from ..sources.staging import kept
+from ..sources.staging import kept, written
 from . import equities as E
 
 #: Sessions over which drift is labelled, the first being the study's own, and classes of a label.
@@ -52,16 +52,18 @@ def drift_labels(spark, sf_dir) -> DataFrame:
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw = {h: F.round(F.sum("ar0").over(frame(1, h)), 10).alias(f"drift_raw_h{h}") for h in HORIZONS}
-        rows = at_events(spark, sf_dir, dense(spark, sf_dir).select("tic", "pos", *raw.values()), "cal_q", *(f"drift_raw_h{h}" for h in HORIZONS))
+        names = [f"drift_raw_h{h}" for h in HORIZONS]
+        rows = written(at_events(spark, sf_dir, dense(spark, sf_dir).select("tic", "pos", *raw.values()), "cal_q", *names), "drifts")
         stats = rows.groupBy("cal_q").agg(*(f(F.col(f"drift_raw_h{h}")).alias(f"{n}{h}") for h in HORIZONS for n, f in (("mean", F.avg), ("sd", F.stddev_pop), ("values", F.count_distinct))))
-        rows = rows.join(F.broadcast(stats), "cal_q")  # one row a quarter
+        # All horizons are ranked in one pass of ranges, each within its quarters.
+        cells = rows.select("event_id", "cal_q", F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(c).alias("raw")) for h, c in zip(HORIZONS, names, strict=True)))).alias("cell")).select("event_id", "cal_q", "cell.*")
+        bins = O.binned_within(cells.where("raw is not null"), ["h", "cal_q"], "raw", ["event_id"], DECILES, "bin").groupBy("event_id").agg(*(F.max(F.when(F.col("h") == h, F.col("bin"))).alias(f"bin{h}") for h in HORIZONS))
+        rows = rows.join(bins, "event_id", "left").join(F.broadcast(stats), "cal_q")  # one row a quarter
         for h in HORIZONS:
-            raw_h = F.col(f"drift_raw_h{h}")
-            rows = rows.withColumn(f"drift_z_h{h}", F.round((raw_h - F.col(f"mean{h}")) / F.nullif(F.col(f"sd{h}"), F.lit(0.0)), 6))
-            rows = O.binned_within(rows, ["cal_q"], f"drift_raw_h{h}", ["event_id"], DECILES, "bin")
-            rows = rows.withColumn(f"drift_decile_h{h}", F.when(F.col(f"values{h}") >= DECILES, F.col("bin"))).drop("bin", f"mean{h}", f"sd{h}", f"values{h}")
-            rows = rows.withColumn(f"drift_class_h{h}", F.when(F.col(f"drift_decile_h{h}") == DECILES, 1).when(F.col(f"drift_decile_h{h}") == 1, 0))
-        return rows
+            decile = F.when(F.col(f"values{h}") >= DECILES, F.col(f"bin{h}"))
+            rows = rows.withColumn(f"drift_z_h{h}", F.round((F.col(f"drift_raw_h{h}") - F.col(f"mean{h}")) / F.nullif(F.col(f"sd{h}"), F.lit(0.0)), 6))
+            rows = rows.withColumn(f"drift_decile_h{h}", decile).withColumn(f"drift_class_h{h}", F.when(decile == DECILES, 1).when(decile == 1, 0))
+        return rows.drop(*(f"{n}{h}" for h in HORIZONS for n in ("bin", "mean", "sd", "values")))
 
     return kept(spark, sf_dir, "labels", build)
 

@@ -69,7 +69,8 @@ def constituent_list(spark, sf_dir):
 def secid_events(spark, sf_dir):
     """Announcements of each security: a ticker's events belong to all of its securities."""
     securities = A.trades(spark, sf_dir).select(F.col("l_suppkey").alias("secid"), F.upper("tic").alias("oftic")).where("oftic is not null").distinct()
-    return E.consensus(spark, sf_dir).select("event_id", "oftic").join(securities, "oftic").groupBy("secid", "oftic").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
+    events = E.consensus(spark, sf_dir).groupBy("oftic").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
+    return securities.join(events, "oftic").select("secid", "oftic", "n", "last_event")
 
 
 def link_lookup(spark, sf_dir):
