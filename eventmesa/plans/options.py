@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import core as O
 from ..sources import adapters as A
 from ..sources.staging import kept
+from . import equities as E
 
 BEFORE, AFTER, BUCKETS = 5, 60, 10
 
@@ -85,6 +86,35 @@ def freshness(spark, sf_dir):
     return last.join(F.broadcast(newest)).select("tic", F.date_diff("newest", "last").alias("days"), (F.date_diff("newest", "last") > 4).alias("stale"))
 
 
+def announcements_of(snapshots: DataFrame, *, years: tuple[int, int], least: int = 1) -> DataFrame:
+    """The options track's announcements: snapshots of the years with an actual and, where more than one estimate is asked
+    for, as many (before the last snapshot is taken); sue_std is null where the deviation is 0; one row a firm and day, its
+    last snapshot."""
+    rows = snapshots.na.drop(subset=["oftic", "anndats", "actual"]).where(F.year("anndats").between(*years))
+    if least > 1:
+        rows = rows.where(F.coalesce("numest", F.lit(0)) >= least)
+    rows = rows.withColumn("sue_std", F.when(F.col("stdev") != 0, (F.col("actual") - F.col("meanest")) / F.col("stdev")))
+    return O.keep_last(rows, ["oftic", "anndats"], "statpers", "event_id")
+
+
+def option_announcements(spark, sf_dir):
+    rows = announcements_of(A.snapshots(spark, sf_dir), years=(1996, 1997), least=2)
+    return rows.select("event_id", "oftic", "anndats", "statpers", "numest", F.round("sue_std", 6).alias("sue_std"))
+
+
+def fresh(prices: DataFrame, as_of, days: int = 4) -> DataFrame:
+    """tic, last, days and stale by a given day: whether a firm's last price is more than `days` before it."""
+    last = prices.where(F.col("date") <= as_of).groupBy("tic").agg(F.max("date").alias("last"))
+    return last.select("tic", "last", F.date_diff(as_of, "last").alias("days"), (F.date_diff(as_of, "last") > days).alias("stale"))
+
+
+def freshness_as_of(spark, sf_dir):
+    """Freshness by a day on which prices still came."""
+    return fresh(A.prices(spark, sf_dir), F.lit(AS_OF).cast("date"))
+
+
+#: The day of `freshness_as_of`.
+AS_OF = "1998-11-30"
 PRICES = " prices AS (SELECT upper(n_name) tic, CAST(l_shipdate AS DATE) date FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'SPY', CAST(l_shipdate AS DATE) FROM lineitem) "
 ORACLE_SQL = {
     "option_panel": CTE + "SELECT event_id, secid, date, cp_flag, delta, impl_volatility, volume, strike, rel_day FROM opanel",
@@ -92,6 +122,8 @@ ORACLE_SQL = {
     "iv_drift_buckets": CTE + "SELECT * FROM osum",
     "iv_long_short": CTE + "SELECT round(max_by(mean_drift, bucket) - min_by(mean_drift, bucket), 6) AS spread FROM osum",
     "missing_partitions": CTE + "SELECT DISTINCT y AS year FROM (SELECT unnest(range(year(ann_date - 5), year(ann_date + 60) + 1)) y FROM oev) WHERE y NOT IN (SELECT year FROM quotes)",
+    "freshness_as_of": f"WITH {PRICES} SELECT tic, max(date) AS last, DATE '{AS_OF}' - max(date) AS days, DATE '{AS_OF}' - max(date) > 4 AS stale FROM prices WHERE date <= DATE '{AS_OF}' GROUP BY tic",
+    "option_announcements": E.CTE + "SELECT event_id, oftic, anndats, statpers, numest, round(CASE WHEN stdev <> 0 THEN (actual - meanest) / stdev END, 6) AS sue_std FROM snaps WHERE year(anndats) BETWEEN 1996 AND 1997 AND numest >= 2 QUALIFY row_number() OVER (PARTITION BY oftic, anndats ORDER BY statpers DESC, event_id DESC) = 1",
     "freshness": "WITH" + PRICES + "SELECT tic, newest - last AS days, newest - last > 4 AS stale FROM (SELECT tic, max(date) last FROM prices GROUP BY 1), (SELECT max(date) newest FROM prices)",
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}

@@ -57,6 +57,18 @@ def holdout(spark, sf_dir):
     return last.where("n > 1").select("fold", "holdout_q")
 
 
+def holdouts(folds: DataFrame, n: int) -> DataFrame:
+    """The latest n quarters of each fold's training window, for early stopping; none of a window without more than n."""
+    w = Window.partitionBy("fold")
+    rows = folds.withColumn("r", F.row_number().over(w.orderBy(F.col("train_q").desc()))).withColumn("every", F.count("*").over(w))  # quarters of a fold
+    return rows.where((F.col("r") <= n) & (F.col("every") > n)).select("fold", F.col("train_q").alias("holdout_q"))
+
+
+def holdout_of_ten(spark, sf_dir):
+    """The latest ten quarters of each fold's training window; early folds have too few."""
+    return holdouts(folds(spark, sf_dir), 10)
+
+
 def train_standardize(spark, sf_dir):
     """Each fold's test rows in units of its training rows. Quarters' counts, means and squared deviations are merged, so
     large means don't cancel."""
@@ -319,6 +331,7 @@ SQL = {
     "walk_forward_folds": f"SELECT * FROM {FOLDS}",
     "tuning_test_split": "SELECT cal_q, CASE WHEN k >= n - least(greatest(CAST(round_even(n * 0.25, 0) AS INT), 1), n - 1) THEN 'test' ELSE 'tune' END AS part FROM qs, (SELECT count(*) n FROM qs)",
     "holdout": f"SELECT fold, max(train_q) AS holdout_q FROM {FOLDS} GROUP BY fold HAVING count(*) > 1",
+    "holdout_of_ten": f"SELECT fold, train_q AS holdout_q FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY train_q DESC) r, count(*) OVER (PARTITION BY fold) n FROM {FOLDS}) WHERE r <= 10 AND n > 10",
     "train_standardize": f"SELECT fold, event_id, round((pred_q50 - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 6) AS z FROM (SELECT fold, test_q, avg(pred_q50) m, stddev_pop(pred_q50) s FROM {FOLDS} JOIN bt ON train_q = cal_q GROUP BY ALL) JOIN bt ON test_q = cal_q",
     "ic_by_quarter": "SELECT cal_q, count(*) AS n, round(corr(ry, rp), 6) AS ic FROM ranks GROUP BY cal_q",
     "spearman_ic": "SELECT count(*) AS n, round(corr(ry, rp), 6) AS ic FROM (SELECT rank() OVER (ORDER BY drift_raw) + (count(*) OVER (PARTITION BY drift_raw) - 1) / 2 ry, rank() OVER (ORDER BY pred_q50) + (count(*) OVER (PARTITION BY pred_q50) - 1) / 2 rp FROM bt)",
