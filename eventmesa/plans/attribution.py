@@ -83,21 +83,22 @@ def permutation_importance(model, rows: DataFrame, columns: list[str], label: st
     return sums.where("n > 0").join(_places(spark, columns), "place").select("feature", (F.col("loss") / F.col("n")).alias("perm"))
 
 
-def fold_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fold, feature, importance, direction, perm: of each fold's model of the standardised drift, over all events that the
-    fold tests and whose drift is known."""
+def attributed(fold: M.Fold) -> DataFrame:
+    """fold, feature, importance, direction, perm of the fold's model of the standardised drift, over all events that it tests
+    and whose drift is known; a written table."""
+    schema, _, z, _ = fold.heads
+    rows = written(M.vectors(M.aligned(fold.tested.where(F.col(M.Z).isNotNull()), schema), schema).select("event_id", M.Z, "features"), "tested")
+    found = shapley_importance(z, rows, schema.columns).join(permutation_importance(z, rows, schema.columns, M.Z), "feature")
+    return written(found.select(F.lit(fold.k).alias("fold"), "feature", "importance", "direction", "perm"), "fold-attribution")
+
 
-    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        def one(fold: M.Fold) -> DataFrame:
-            schema, _, z, _ = fold.heads
-            rows = written(M.vectors(M.aligned(fold.tested.where(F.col(M.Z).isNotNull()), schema), schema).select("event_id", M.Z, "features"), "tested")
-            found = shapley_importance(z, rows, schema.columns).join(permutation_importance(z, rows, schema.columns, M.Z), "feature")
-            return written(found.select(F.lit(fold.k).alias("fold"), "feature", "importance", "direction", "perm"), "fold-attribution")
+def of_folds(folds: list[M.Fold]) -> DataFrame:
+    with ThreadPoolExecutor(M.AT_ONCE) as pool:
+        return reduce(DataFrame.unionByName, pool.map(attributed, folds))
 
-        with ThreadPoolExecutor(M.AT_ONCE) as pool:
-            return reduce(DataFrame.unionByName, pool.map(one, M.fold_fits(spark, sf_dir)))
 
-    return kept(spark, sf_dir, "fold_attribution", build)
+def fold_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "fold_attribution", lambda spark, sf_dir: of_folds(M.fold_fits(spark, sf_dir)))
 
 
 def pooled(folds: DataFrame) -> DataFrame:

@@ -218,21 +218,33 @@ class Metadata:
     n: int
     numbers: list[str]
     levels: dict[str, list[str]]
+    #: Firms of the universe (0: all), quantiles, first and last training quarter, embargo, out-of-sample metrics where known.
+    universe: int = 0
+    quantiles: tuple[float, ...] = QUANTILES
+    quarters: tuple[str, str] | None = None
+    embargo_months: int = V.EMBARGO_MONTHS
+    metrics: dict[str, float | None] | None = None
 
 
-def save(spark: SparkSession, heads, root: str, cutoff: str, n: int) -> Metadata:
-    """A version of the heads under `root`, and one row about it; saving a version again replaces it."""
+def save(spark: SparkSession, heads, root: str, cutoff: str, n: int, **more) -> Metadata:
+    """A version of the heads under `root`, and one row about it; saving a version again replaces it. `more` goes into the
+    row: universe, quarters, metrics."""
     schema, (model, leaves), z, up = heads
     version = f"{cutoff[:4]}q{(int(cutoff[5:7]) + 2) // 3}_{HORIZON}"
     for name, head in (("forest", model), ("z", z), ("class", up)):
         if head is not None:
             head.write().overwrite().save(f"{root}/{version}/{name}")
     leaves.write.mode("overwrite").parquet(f"{root}/{version}/leaves")
-    about = Metadata(version, cutoff, HORIZON, n, schema.numbers, schema.levels)
+    about = Metadata(version, cutoff, HORIZON, n, schema.numbers, schema.levels, **more)
     spark.createDataFrame([(version, cutoff, up is not None, json.dumps(asdict(about)))], "version string, cutoff string, classifier boolean, about string").write.mode("overwrite").parquet(f"{root}/{version}/about")
     return about
 
 
+def metadata_of(about: str) -> Metadata:
+    fields = json.loads(about)
+    return Metadata(**fields | {k: tuple(fields[k]) for k in ("quantiles", "quarters") if fields.get(k)})
+
+
 def load(spark: SparkSession, root: str, version: str | None = None):
     """The heads of a version, or of that with the latest cutoff, with its metadata."""
     from pyspark.ml.classification import GBTClassificationModel
@@ -241,7 +253,7 @@ def load(spark: SparkSession, root: str, version: str | None = None):
     row = (rows.where(F.col("version") == version) if version else rows).orderBy(F.col("cutoff").desc(), F.col("version").desc()).first()
     if row is None:
         raise ValueError(f"no version {version or ''} under {root}")
-    about, path = Metadata(**json.loads(row.about)), f"{root}/{row.version}"
+    about, path = metadata_of(row.about), f"{root}/{row.version}"
     up = GBTClassificationModel.load(f"{path}/class") if row.classifier else None
     return (Schema(about.numbers, about.levels), (RandomForestRegressionModel.load(f"{path}/forest"), spark.read.parquet(f"{path}/leaves")), GBTRegressionModel.load(f"{path}/z"), up), about
 
@@ -251,12 +263,14 @@ def closed(table: DataFrame, cutoff) -> DataFrame:
     return table.where((F.col("anndats") <= cutoff) & (S.approx_close(F.col("anndats"), HORIZON) <= cutoff))
 
 
-def train_final(spark: SparkSession, table: DataFrame, root: str, cutoff: str, universe: DataFrame | None = None) -> Metadata:
-    """Heads fitted on the closed events of the universe (all, where it names nobody), saved."""
-    rows = closed(table, F.lit(cutoff).cast("date")).where(F.col(RAW).isNotNull())
+def train_final(spark: SparkSession, table: DataFrame, root: str, cutoff: str, universe: DataFrame | None = None, metrics: DataFrame | None = None) -> Metadata:
+    """Heads fitted on the closed events of the universe (all, where it names nobody), saved, with the one row of `metrics`."""
+    rows, firms = closed(table, F.lit(cutoff).cast("date")).where(F.col(RAW).isNotNull()), 0
     if universe is not None and not universe.isEmpty():
-        rows = rows.join(universe.select(F.upper("ticker").alias("oftic")).distinct(), "oftic", "left_semi")
-    return save(spark, fit(rows), root, cutoff, rows.count())
+        named = universe.select(F.upper("ticker").alias("oftic")).distinct()
+        rows, firms = rows.join(named, "oftic", "left_semi"), named.count()
+    n, first, last = rows.agg(F.count("*"), F.min("cal_q"), F.max("cal_q")).first()
+    return save(spark, fit(rows), root, cutoff, n, universe=firms, quarters=(first, last), metrics=metrics.first().asDict() if metrics is not None else None)
 
 
 def scored(spark: SparkSession, root: str, requests: DataFrame, table: DataFrame) -> DataFrame:

@@ -221,20 +221,21 @@ def fama_macbeth(spark, sf_dir):
     return mean_with_t(per, ["feature"], "quarter", "b").select("feature", F.round("mean", 6).alias("coef"), F.round("t", 3).alias("t"), F.col("n").alias("n_quarters"), F.round("frac_positive", 6).alias("frac_positive"))
 
 
-def slopes_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_slopes(table: DataFrame, target: str) -> DataFrame:
     """Fama-MacBeth over all numeric features: feature, coef, t, n_quarters, frac_positive. A feature that varies in no
     quarter has a row of nulls."""
-    from . import features as X
     from . import models as M
 
-    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        table = X.event_features(spark, sf_dir)
-        numbers = [c for c in M.feature_columns(table) if table.schema[c].dataType.typeName() != "string"]
-        found = mean_with_t(slopes(table, numbers, f"drift_z_h{HORIZON}", "cal_q"), ["feature"], "quarter", "b")
-        names = F.broadcast(spark.createDataFrame([(c,) for c in numbers], "feature string"))  # one row a feature
-        return names.join(found, "feature", "left").select("feature", F.col("mean").alias("coef"), "t", F.coalesce("n", F.lit(0)).alias("n_quarters"), "frac_positive")
+    numbers = [c for c in M.feature_columns(table) if table.schema[c].dataType.typeName() != "string"]
+    found = mean_with_t(slopes(table, numbers, target, "cal_q"), ["feature"], "quarter", "b")
+    names = F.broadcast(table.sparkSession.createDataFrame([(c,) for c in numbers], "feature string"))  # one row a feature
+    return names.join(found, "feature", "left").select("feature", F.col("mean").alias("coef"), "t", F.coalesce("n", F.lit(0)).alias("n_quarters"), "frac_positive")
+
+
+def slopes_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import features as X
 
-    return kept(spark, sf_dir, "slopes_of_all", build)
+    return kept(spark, sf_dir, "slopes_of_all", lambda spark, sf_dir: all_slopes(X.event_features(spark, sf_dir), f"drift_z_h{HORIZON}"))
 
 
 def fama_macbeth_all(spark, sf_dir):

@@ -90,6 +90,7 @@ def test_models_are_saved_scored_and_aligned(spark):
     root = fresh_path(spark, "models")
     about = models.train_final(spark, table, root, "2021-06-30", spark.createDataFrame([("a",), ("B",)], "ticker string"))
     assert about.version == "2021q2_60" and 300 < about.n < 480 and about.levels == {"kind": ["x", "y"]}
+    assert about.universe == 2 and about.quarters == ("2018Q1", "2021Q2") and about.quantiles == models.QUANTILES and models.load(spark, root)[1] == about
     models.train_final(spark, table, root, "2020-12-31")
     got = {r.event_id: r for r in models.scored(spark, root, spark.createDataFrame([(3,), (470,), (999,)], "event_id int"), table.drop("f2").withColumn("kind", F.lit("new"))).collect()}
     assert got[999].error and got[999].expected is None and got[3].version == "2021q2_60" and got[3].coverage == pytest.approx(1 / 3)
