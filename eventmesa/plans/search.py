@@ -2,7 +2,7 @@
 
 A trial's parameters follow from its number, so a search that goes on after a stop draws the same trials. All trials of a
 rung are scored on the same folds, more of them in each rung; the better half goes on. A trial's value is its mean pinball
-loss over quantiles and folds. Every score is written when it is known, and a later call with the same folder uses it.
+loss over quantiles and folds. The scores of a rung are written when it ends, and a later call with the same folder uses them.
 """
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ def param_search(table: DataFrame, *, trials: int, root: str | None = None, seed
 
     `trials` of the result has trial, params, folds, value (mean over its folds), finished (scored on all folds), best. The
     parameters without a search are trial BASELINE, scored on all folds as well; they don't compete. With `every` and
-    `report`, the trials so far are reported after each so many finished draws."""
+    `report`, the trials so far are reported after a rung, once so many more draws were scored."""
     spark: SparkSession = table.sparkSession
     root = root or fresh_path(spark, "search")
     folds = prepared(table)
@@ -142,15 +142,14 @@ def param_search(table: DataFrame, *, trials: int, root: str | None = None, seed
         alive, sizes = [BASELINE, *range(trials)], rungs_of(len(folds), trials)
         for rung, n in enumerate(sizes):
             some = spread_out(folds, n if rung < len(sizes) - 1 else len(folds))
-            for trial in alive:
-                these = folds if trial == BASELINE else some
-                rows = list(pool.map(lambda fold, trial=trial: score(trial, fold), (f for f in these if (trial, f.k) not in done)))
-                if rows:
-                    spark.createDataFrame(rows, SCORES).coalesce(1).write.mode("append").parquet(f"{root}/scores")
-                    done |= {(r[0], r[2]): r[3] for r in rows}
-                seen += trial != BASELINE and bool(rows)
-                if every and report and rows and trial != BASELINE and seen % every == 0:
-                    report(summary(spark, root, len(folds)))
+            jobs = [(trial, fold) for trial in alive for fold in (folds if trial == BASELINE else some) if (trial, fold.k) not in done]
+            rows = list(pool.map(lambda job: score(*job), jobs))  # all trials of the rung at once
+            if rows:
+                spark.createDataFrame(rows, SCORES).coalesce(1).write.mode("append").parquet(f"{root}/scores")
+                done |= {(r[0], r[2]): r[3] for r in rows}
+            before, seen = seen, seen + len({r[0] for r in rows} - {BASELINE})
+            if every and report and seen // every > before // every:
+                report(summary(spark, root, len(folds)))
             if value(BASELINE, folds) == float("inf"):
                 raise ValueError("no fold has a loss")
             drawn_alive = sorted((t for t in alive if t != BASELINE), key=lambda t: (value(t, some), t))

@@ -33,15 +33,23 @@ def merged(stream: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQu
 
 def scored(stream: DataFrame, score, path: str, checkpoint: str) -> StreamingQuery:
     """`score` takes a batch's rows and gives a result; each batch's stands in a partition of its own, which a batch that
-    comes again replaces."""
+    comes again replaces. A batch is written first and read by the session that started the stream, which plans the scoring
+    like any other query."""
+    spark = stream.sparkSession
 
     def put(batch: DataFrame, number: int) -> None:
-        out = score(batch).withColumn("batch", F.lit(number))
+        rows = spark.read.schema(batch.schema).parquet(_written(batch, f"{path}-batches/{number}"))
+        out = score(rows).withColumn("batch", F.lit(number))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return _started(stream.writeStream.foreachBatch(put), checkpoint)
 
 
+def _written(batch: DataFrame, path: str) -> str:
+    batch.write.mode("overwrite").parquet(path)
+    return path
+
+
 def _started(writer, checkpoint: str) -> StreamingQuery:
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
