@@ -191,7 +191,7 @@ def tuning_rows(table: DataFrame) -> DataFrame:
 
 
 #: Draws of the registered query.
-TRIALS = 6
+TRIALS = 4
 
 
 def param_trials(spark, sf_dir):
