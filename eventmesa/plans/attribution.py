@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import core as O
 from ..sources.staging import kept, written
 from . import features as X
+from . import grouped as G
 from . import models as M
 from . import validation as V
 from .trees import ensemble_of
@@ -136,32 +137,35 @@ def subgroups(rows: DataFrame) -> DataFrame:
 
 def subgroup_drivers(table: DataFrame, label: str = M.Z) -> DataFrame:
     """grouping, subgroup, feature, importance, rank: the LISTED leading features of the walk-forward models of each subgroup
-    with LEAST_GROUP labelled rows and V.LEAST_QUARTERS quarters or more."""
+    with LEAST_GROUP labelled rows and V.LEAST_QUARTERS quarters or more. All models are fitted together, over the categories'
+    levels of all rows; a level that a model's training rows lack goes right at its splits."""
     spark = table.sparkSession
     rows = written(subgroups(table.where(F.col(label).isNotNull())), "subgroups")
-    sizes = rows.groupBy("grouping", "subgroup").agg(F.count("*").alias("n"), F.count_distinct("cal_q").alias("quarters"))
-    groups = sizes.where((F.col("n") >= LEAST_GROUP) & (F.col("quarters") >= V.LEAST_QUARTERS)).orderBy("grouping", "subgroup").collect()  # sectors, sizes, signs
-
-    def one(group) -> list[DataFrame]:
-        own = rows.where((F.col("grouping") == group.grouping) & (F.col("subgroup") == group.subgroup)).drop("grouping", "subgroup")
-        out = []
-        for k, train_q, test_q in M.folds([r.cal_q for r in own.select("cal_q").distinct().collect()]):
-            train, tested = own.where(F.col("cal_q").isin(train_q)), own.where(F.col("cal_q").isin(test_q))
-            n = train.count()
-            if n >= M.LEAST_ROWS:
-                schema = M.schema_of(train)
-                model = M.boosted(M.dealt(M.vectors(M.aligned(train, schema), schema), n), label, early=False)
-                found = shapley_importance(model, M.vectors(M.aligned(tested, schema), schema), schema.columns)
-                out.append(written(found.select(F.lit(group.grouping).alias("grouping"), F.lit(group.subgroup).alias("subgroup"), F.lit(k).alias("fold"), "feature", "importance"), "subgroup-fold"))
-        return out
-
-    with ThreadPoolExecutor(M.AT_ONCE) as pool:
-        parts = [x for found in pool.map(one, groups) for x in found]
-    if not parts:
+    counts = rows.groupBy("grouping", "subgroup", "cal_q").count().orderBy("grouping", "subgroup", "cal_q").collect()  # sectors, sizes, signs by quarters
+    by: dict[tuple[str, str], dict[str, int]] = {}
+    for r in counts:
+        by.setdefault((r.grouping, r.subgroup), {})[r.cal_q] = r["count"]
+    models, trains, tests = [], {}, {}
+    for name, quarters in by.items():
+        if sum(quarters.values()) >= LEAST_GROUP and len(quarters) >= V.LEAST_QUARTERS:
+            for _, train_q, test_q in M.folds(list(quarters)):
+                if sum(quarters[q] for q in train_q) >= M.LEAST_ROWS:
+                    for q in train_q:
+                        trains.setdefault((*name, q), []).append(len(models))
+                    tests[*name, test_q[0]] = len(models)
+                    models.append(name)
+    if not models:
         return spark.createDataFrame([], "grouping string, subgroup string, feature string, importance double, rank int")
-    means = reduce(DataFrame.unionByName, parts).groupBy("grouping", "subgroup", "feature").agg(F.avg("importance").alias("importance"))
+    roles = spark.createDataFrame([(*k, trains.get(k, []), tests.get(k)) for k in sorted(trains.keys() | tests.keys())], "grouping string, subgroup string, cal_q string, trains array<int>, tests int")
+    schema = M.schema_of(rows.drop("grouping", "subgroup"))
+    data = M.vectors(M.aligned(rows.join(F.broadcast(roles), ["grouping", "subgroup", "cal_q"]).withColumns({f"{M.LABELS}trains": F.col("trains"), f"{M.LABELS}tests": F.col("tests")}), schema), schema)  # roles: one row a subgroup and quarter
+    levels = {len(schema.numbers) + i: 1 + len(known) for i, known in enumerate(schema.levels.values())}
+    ready = G.binned(data.select(F.xxhash64("event_id").alias("key"), F.col(label).alias("y"), "features", F.col(f"{M.LABELS}trains").alias("trains"), F.col(f"{M.LABELS}tests").alias("tests")), levels)
+    named = F.broadcast(spark.createDataFrame([(i, *name) for i, name in enumerate(models)], "model int, grouping string, subgroup string"))  # one row a model
+    found = G.importance(ready, G.fit(ready, len(models), M.ROUNDS)).join(named, "model").join(_places(spark, schema.columns), "place")
+    means = found.groupBy("grouping", "subgroup", "feature").agg(F.avg("importance").alias("importance"))
     w = Window.partitionBy("grouping", "subgroup").orderBy(F.col("importance").desc(), "feature")
-    return means.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= LISTED)
+    return written(means.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= LISTED), "subgroup-drivers")
 
 
 # Registered queries.
