@@ -21,8 +21,8 @@ from .trees import Ensemble, Tree
 
 #: Cuts of a number; levels of splits; what later trees weigh; share of the rows that a round reads; fewest rows of a leaf.
 CUTS, DEPTH, STEP, SHARE, LEAST_LEAF = 31, 3, 0.2, 0.8, 1
-#: Residuals are added in units of 1 / UNIT; rows that a task takes at a time; pairs of row and model of a part.
-UNIT, AT_A_TIME, PART_PAIRS = 2**24, 2048, 250_000
+#: Residuals are added in units of 1 / UNIT; rows that a task takes at a time; fewest and most pairs of row and model of a part.
+UNIT, AT_A_TIME, PART_PAIRS = 2**24, 4096, (50_000, 2_000_000)
 INNER, LEAVES = 2**DEPTH - 1, 2**DEPTH
 #: Below all known numbers: what stands for a missing one lies under it.
 MISSING_BELOW = -1e8
@@ -64,8 +64,9 @@ def binned(rows: DataFrame, levels: dict[int, int]) -> Binned:
                 yield batch.drop(columns="x").assign(bins=[r.tobytes() for r in out])
 
     pairs = rows.agg(F.sum(F.size("trains") + 1)).first()[0] or 0
-    parts = x.repartition(max(1, -(-pairs // PART_PAIRS)), "key")
-    return Binned(written(parts.mapInPandas(each, "key long, y double, trains array<int>, tests int, bins binary"), "binned"), sizes, nominal)
+    fewest, most = (-(-pairs // n) for n in reversed(PART_PAIRS))
+    parts = max(1, fewest, min(most, rows.sparkSession.sparkContext.defaultParallelism))  # a part's histograms have a fixed size
+    return Binned(written(x.repartition(parts, "key").mapInPandas(each, "key long, y double, trains array<int>, tests int, bins binary"), "binned"), sizes, nominal)
 
 
 @dataclass
