@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eventmesa.llm import chosen_path, langid, mixing, packed, queries, winnowing
-from eventmesa.llm.common import new_path, saved, table
+from eventmesa.llm.common import new_path, saved, table, tidied
 
 #: SQL can't express the language model or the tokenizer.
 ORACLE_SQL = None
@@ -53,4 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
+        tidied(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

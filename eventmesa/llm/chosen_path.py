@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import dropped, saved
 from .setlinks import MINIMA, Links, nodes_of
 
 SEED = 20_17
@@ -49,7 +49,10 @@ def children(path):
 def linked(docs: DataFrame, *, shingle: int = 5, percent: int = 80, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> Links:
     """The confirmed links between the distinct shingle sets of the documents."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = Links(docs, saved(nodes_of(docs, shingle, SEED, "doc_id", "text"), "rows"), shingle, percent)
+    wide = saved(nodes_of(docs, shingle, SEED, "doc_id", "text"), "rows")
+    found = Links(docs, wide, shingle, percent)
+    found.rows = saved(wide.select("doc_id", "key", "n_shingles", "node"), "rows")  # the nodes hold the signatures
+    dropped(wide)
     trees = trees_for(percent / 100, recall)
     # At the roots the trees pick different positions, so none repeats another's first step.
     positions = [(t, t) for t in range(trees)] + [(t, trees + t // 4) for t in range(3, trees, 4)]

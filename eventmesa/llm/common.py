@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -56,6 +57,22 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Frees what finished steps left: unreachable shuffle files and broadcasts go when the driver collects its garbage, and
+    the driver's Python gives its free memory back."""
+    gc.collect()
+    spark._jvm.System.gc()
+    trimmed()
+
+
+def trimmed() -> None:
+    """This process's free memory goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n."""
     return F.crc32(column.cast("string").cast("binary")) % n
@@ -123,10 +140,7 @@ def released(each: Callable) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from each(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim:
-            trim(0)
+        trimmed()
 
     return run
 

@@ -4,7 +4,7 @@ Texts with equal shingle sets form one node. A group (`path`) holds nodes that a
 groups are compared exhaustively. A larger one is cut into blocks that are compared exhaustively, and share a few anchors
 that tie the blocks together. Groups that those links don't connect branch on while the rest, outside their largest part,
 is wide; a rest that isn't, or that branching doesn't narrow, is compared on full sets with its whole group, block by
-block. So no group is gathered and no link is lost.
+block: first in its largest groups, then, where it is still apart, in all others. So no group is gathered and no link is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MinHasher, WordHash, dropped, released, saved, shingle_set, sliced, utf8
+from .common import MinHasher, WordHash, dropped, released, saved, shingle_set, sliced, tidied, utf8
 from .components import components
 
 #: Minima in a signature; nodes of a block, which are compared at once; anchors that a larger group's blocks share.
@@ -28,8 +28,7 @@ MINIMA, BLOCK, ANCHORS = 64, 128, 8
 #: Nodes outside a group's largest part up to which the group doesn't branch on: each of its nodes is then compared with so
 #: many at most, so the work grows with the group's size. Blocks hold FEW nodes or BLOCK_ITEMS shingles at most, or one node.
 WIDE, FEW, BLOCK_ITEMS = 1024, 512, 1 << 18
-#: Roots in which a rest's node is compared with all: each has a pair of similarity 0.8 together with chance 0.8, so of
-#: 3,000 such pairs one is in none of them.
+#: Largest groups in which a rest's node is compared with all first. What that leaves apart is compared in all its other groups.
 TURNS = 5
 
 
@@ -284,6 +283,7 @@ class Links:
             over = components(self.rooted(self.rooted(links, "a"), "b"))
             self.roots = self.saved(self.rooted(over.select("node").union(self.roots.select("node")).distinct().withColumn("at", F.col("node")), "at").join(over.select(F.col("node").alias("at"), "root"), "at", "left").select("node", F.coalesce("root", "at").alias("root")), "roots")
         dropped(over)
+        tidied(self.docs.sparkSession)
 
     def rooted(self, rows: DataFrame, column: str) -> DataFrame:
         """The rows with a node column replaced by its component's root."""
@@ -355,8 +355,9 @@ class Links:
         """Finds the links inside the groups of `members` (path, node). `branch`: makes the members of smaller groups of
         those that are neither small nor nearly resolved; without it these are compared whole.
 
-        Three rounds are confirmed, however deep groups branch: the likeliest pairs, which join most texts that belong
-        together; what narrow rests and the small groups below wide ones have; and what stays apart in small groups."""
+        Four rounds are confirmed, however deep groups branch: the likeliest pairs, which join most texts that belong
+        together; what narrow rests have in their largest groups, and the small groups below wide ones; what the rests that
+        are still apart have in all their other groups; and what stays apart in small groups."""
         grouped = self.saved(self.grouped(members), "groups")
         pairs = self.saved(self.in_blocks(grouped), "blocks")
         self.confirm(pairs.where("b is not null"))
@@ -365,7 +366,7 @@ class Links:
         left = self.saved(self.unresolved(grouped.where(F.col("size") > BLOCK)), "unresolved")
         while not left.isEmpty():
             near = left.where(F.col("n_rest") <= WIDE) if branch else left
-            narrow.append(self.turns(near) if branch and not narrow else near)
+            narrow.append(near)
             if not branch or (wide := left.where(F.col("n_rest") > WIDE)).isEmpty():
                 break
             members, branch = branch(wide)
@@ -374,7 +375,9 @@ class Links:
             left = self.saved(self.unresolved(grouped.where(F.col("size") > BLOCK)), "unresolved")
         second = []
         if narrow:
-            second.append(self.rest_with_all(self.saved(self.turns(reduce(DataFrame.union, narrow)), "narrow")))
+            groups = self.saved(reduce(DataFrame.union, narrow).select("path", "node", "root", "size", "rest"), "narrow")
+            first = self.saved(self.turns(groups), "turns")
+            second.append(self.rest_with_all(first))
         if below:
             grouped = reduce(DataFrame.union, below)
             pairs = self.saved(self.in_blocks(grouped), "blocks")
@@ -382,6 +385,10 @@ class Links:
             small.append(marked(grouped, pairs))
         if second:
             self.confirm(reduce(DataFrame.union, second))
+        if narrow:
+            left = self.saved(self.after_turns(groups, first), "later")
+            if not left.isEmpty():
+                self.confirm(self.rest_with_all(left))
         self.confirm(self.across_small(self.rooted(reduce(DataFrame.union, small).withColumn("root", F.col("node")), "root")))
         kept = self.roots
         for old in self.scratch:
@@ -389,12 +396,23 @@ class Links:
                 dropped(old)
 
     def turns(self, members: DataFrame) -> DataFrame:
-        """unresolved() rows of roots in which each node of a rest has the TURNS largest groups at most; the groups that no
-        rest is left in go."""
+        """unresolved() rows in which each node of a rest has the TURNS largest groups at most; the groups that no rest is
+        left in go. after_turns() has the rest of them."""
         w = Window.partitionBy("node").orderBy(F.col("size").desc(), "path")
-        turn = members.where("rest").withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= TURNS).select("path", "node", F.lit(True).alias("own"))
-        still = turn.select("path").distinct()
-        return members.join(still, "path", "left_semi").join(turn, ["path", "node"], "left").withColumn("rest", F.coalesce("own", F.lit(False))).drop("own")
+        turn = members.where("rest").withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= TURNS).select("path", "node")
+        return self.with_rest(members, turn)
+
+    def with_rest(self, members: DataFrame, rest: DataFrame) -> DataFrame:
+        """The groups of the rows of `rest` (path, node), in which just these are the rest."""
+        own = rest.withColumn("own", F.lit(True))
+        return members.join(rest.select("path").distinct(), "path", "left_semi").join(own, ["path", "node"], "left").withColumn("rest", F.coalesce("own", F.lit(False))).drop("own")
+
+    def after_turns(self, groups: DataFrame, first: DataFrame) -> DataFrame:
+        """What is still to be compared of `groups` when the links that turns() gave, `first`, are confirmed. Of a pair with
+        different roots one node at least is outside the group's largest part as it is now, and it is compared here unless it
+        was then, so no pair of a group is left out."""
+        left = self.unresolved(groups.select("path", "node")).drop("n_rest")
+        return self.with_rest(left, left.where("rest").select("path", "node").join(first.where("rest").select("path", "node"), ["path", "node"], "left_anti"))
 
     def labelled(self, *more: str) -> DataFrame:
         """Each document row: doc_id, n_shingles, component_id (least id of its component), kept, and `more` columns of `rows`."""

@@ -137,6 +137,20 @@ def test_near_duplicates_in_large_groups(spark):
     assert all(got[i] == i for i in range(1500, 2700)) and sum(got[i] != top(i) for i in range(len(texts))) <= 3
 
 
+@pytest.mark.parametrize("search", [lambda d: chosen_path.near_duplicates(d, shingle=4), lambda d: minhash.near_copies(d, shingle=4)])
+def test_no_number_of_first_turns_drops_a_link(spark, monkeypatch, search):
+    """Pairs that only meet in a later group of either are linked as well: the result doesn't hang on the number of turns."""
+    monkeypatch.setattr(setlinks, "BLOCK", 16)
+    monkeypatch.setattr(setlinks, "TURNS", 0)
+    texts = variants(120, 4, words=220, seed=9) + variants(60, 4, words=220, seed=10)
+    part = list(range(len(texts)))
+    for i, j, _ in sorted(links_of(texts)):
+        a, b = part[i], part[j]
+        part = [min(a, b) if p in (a, b) else p for p in part]
+    got = {r.doc_id: r.component_id for r in search(frame(spark, list(enumerate(texts)))).collect()}
+    assert len(set(part)) == 29 and [got[i] for i in range(len(texts))] == part
+
+
 def test_wide_groups_branch_on_and_lists_follow_the_size(spark, monkeypatch):
     """Groups of near misses: with small limits they branch, and the rows listed grow as the texts do."""
     monkeypatch.setattr(setlinks, "WIDE", 64)
