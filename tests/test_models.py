@@ -179,3 +179,31 @@ def test_slopes_at_full_width_equal_least_squares(spark):
         b = np.linalg.lstsq(z, own["y"].to_numpy(), rcond=None)[0]
         assert np.allclose([got[q, f"f{i}"] for i in range(k)], b, atol=1e-8)
     assert {q for q, _ in got} == {"A", "B"}  # C has fewer rows than features
+
+
+def test_folds_share_their_rows_and_keep_nothing_cached(spark, table, monkeypatch):
+    """The rows are dealt out once, however many folds there are, with the columns that fits read; a fold whose training rows
+    lack a level has rows of its own."""
+    spark.catalog.clearCache()
+    dealt, seen = M.dealt, []
+
+    def noted(rows, n):
+        seen.append((rows.columns, n))
+        return dealt(rows, n)
+
+    monkeypatch.setattr(M, "dealt", noted)
+    assert [f.k for f in M.fitted_folds(table)] == [10, 11]
+    assert seen == [(["event_id", "cal_q", M.RAW, M.Z, M.CLASS, "features"], 9 * 70)]
+    late = table.withColumn("kind", F.when((F.col("cal_q") == QUARTERS[8]) & (F.col("event_id") % 2 == 0), "d").otherwise(F.col("kind")))
+    assert [f.heads[0].levels["kind"] for f in M.fitted_folds(late)] == [["a", "b", "c"], ["a", "b", "c", "d"]] and [n for _, n in seen[1:]] == [8 * 70, 9 * 70]
+
+
+def test_changed_predictions_are_those_of_changed_rows(spark, folds):
+    model, x = ensemble_of(spark, folds[0].heads[2]), matrix(ready(folds[0]))
+    other = x[::-1].copy()
+    split, got = {int(f) for t in model.trees for f in t.feature[t.left >= 0]}, dict(model.changed(x, other))
+    assert set(got) == split
+    for j in range(x.shape[1]):
+        own = x.copy()
+        own[:, j] = other[:, j]
+        assert np.allclose(got.get(j, model.predict(x)), model.predict(own))
