@@ -26,3 +26,18 @@ def test_study_writes_all_tables_of_every_horizon(spark):
         assert {r.feature for r in spark.read.parquet(f"{root}/h{h}/summary").collect()} == {"lead", "noise", "gap", "kind"} == set(drivers)
         assert spark.read.parquet(f"{root}/h{h}/calibration").count() == 10
     assert signs[M.HORIZON] > 0 > signs[5]
+
+
+def test_announcements_and_their_consensus_are_made_once(spark, monkeypatch):
+    """However many tables and requests read them: orders meet their customers once in a session."""
+    from eventmesa.plans import equities, scoring
+    from eventmesa.sources import adapters, staging
+
+    staging.forget()
+    made, build = [], adapters._announcements
+    monkeypatch.setattr(adapters, "_announcements", lambda *a: made.append(a) or build(*a))
+    sf = "/root/testdata/sf0.001"
+    equities.fitting(spark, sf)
+    first, again = equities.consensus(spark, sf), equities.consensus(spark, sf)
+    assert scoring.requests_of(spark, sf).count() == adapters.announcements(spark, sf).count() > 0
+    assert len(made) == 1 and first.inputFiles() == again.inputFiles() != []
