@@ -5,7 +5,9 @@ import pytest
 
 from eventmesa.functions import scalars as S
 from eventmesa.operators import core as O
+from eventmesa.plans import equities as E
 from eventmesa.sources import incremental as I
+from eventmesa.sources.staging import written
 
 D = dt.date.fromisoformat
 
@@ -70,3 +72,28 @@ def test_quantiles_of_one_hot_value_come_from_its_count(spark):
     for g in ("a", "b", None):
         own = np.array([x for k, x in rows if k == g and x is not None])
         assert got[g] == pytest.approx(tuple(np.quantile(own, [0.01, 0.5, 0.97])))
+
+
+def test_bins_write_values_and_split_rows_only(spark, monkeypatch):
+    """What is put in order is a value and its count, not the rows; of rows, those whose value falls into several bins."""
+    rows = [(i, "q", float(i // 10) if i < 60 else 6.0, f"payload {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, q string, v double, payload string")
+    tables = []
+    monkeypatch.setattr(O, "written", lambda df, name: tables.append((df.columns, df.count())) or written(df, name))
+    got = {r.id: r.b for r in O.binned_within(df, ["q"], "v", ["id"], 4, "b").collect()}
+    assert got == {i: max(-(-(i * 4) // 199), 1) for i in range(200)}
+    assert all("payload" not in columns or n <= 140 for columns, n in tables)
+    assert sum(n for columns, n in tables if "payload" in columns) == 140  # of 6.0, the one value that falls into several bins
+
+
+def test_latest_snapshot_is_picked_in_place(spark, tmp_path):
+    """Announcements of a key of their own aren't brought together; those that share one leave one."""
+    from pyspark.sql import functions as F
+
+    for name in ("nation", "customer"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    orders.unionByName(orders.orderBy("o_orderkey").limit(5)).write.parquet(f"{tmp_path}/orders.parquet")
+    once, again = E.consensus(spark, "/root/testdata/sf0.001"), E.consensus(spark, str(tmp_path), least=0)
+    assert "Window" not in once._jdf.queryExecution().executedPlan().toString()
+    assert again.count() == orders.count() == again.select(F.count_distinct("event_id")).first()[0]
