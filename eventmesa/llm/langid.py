@@ -21,6 +21,8 @@ from .common import CACHE_WORDS, crc_mod, released, sliced, utf8
 #: About how many labelled rows training looks at, as equal shares of the languages. The only bound in this operator.
 SAMPLE_ROWS = 6000
 BUCKETS, WIDTH, LONGEST = 1 << 14, 16, 4
+#: Words that a task keeps the scores of (a row of languages each), and of whose letters it makes n-grams at a time.
+KNOWN_WORDS, LEARNT_AT_ONCE = CACHE_WORDS // 4, 4096
 #: Texts without any letter.
 UNKNOWN = "und"
 
@@ -70,26 +72,27 @@ class WordScores(dict):
         self.table = np.zeros((1024, self.width))
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > CACHE_WORDS and self:
-            self.clear()
         first, forms = len(self), [letters(w) for w in words]
         self.update(zip(words, range(first, first + len(forms)), strict=True))
         if len(self) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(self) - len(self.table)), self.width))])
-        buckets, owners = subwords(forms)
-        for i in range(self.width - 1):
-            self.table[first : first + len(forms), i] = np.bincount(owners, self.model.scores[buckets, i], len(forms))
-        self.table[first : first + len(forms), -1] = np.bincount(owners, minlength=len(forms))
-        bare = np.array([not f for f in forms])
-        self.table[first : first + len(forms)][bare] = 0
+        for at in range(0, len(forms), LEARNT_AT_ONCE):
+            some = forms[at : at + LEARNT_AT_ONCE]
+            rows, (buckets, owners) = self.table[first + at : first + at + len(some)], subwords(some)
+            for i in range(self.width - 1):
+                rows[:, i] = np.bincount(owners, self.model.scores[buckets, i], len(some))
+            rows[:, -1] = np.bincount(owners, minlength=len(some))
+            rows[np.array([not f for f in some])] = 0
 
     def logits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Of each text, and its number of subwords."""
         split = [t.split() for t in texts]
-        if fresh := set().union(*split) - self.keys():
+        words = set().union(*split)
+        if fresh := words - self.keys():
+            if self and len(self) + len(fresh) > KNOWN_WORDS:
+                self.clear()
+                fresh = words  # those that were known are needed too
             self.learn(fresh)
-            if missing := set().union(*split) - self.keys():  # the cache was emptied
-                self.learn(missing)
         sums = np.array([self.table[np.fromiter(map(self.__getitem__, w), np.int64, len(w))].sum(axis=0) if w else np.zeros(self.width) for w in split]).reshape(-1, self.width)
         return sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.model.bias, sums[:, -1]
 

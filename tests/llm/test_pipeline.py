@@ -107,3 +107,15 @@ def test_run_is_the_stages_one_after_another(spark, tables):
 def test_stages_take_an_empty_table(spark, tables):
     for stage in STAGES:
         assert ran(spark, stage, tables[0], []) == []
+
+
+def test_word_scores_do_not_depend_on_how_many_are_learnt_at_once(monkeypatch):
+    r = np.random.default_rng(5)
+    model = langid.Model(["a", "b"], r.normal(size=(langid.BUCKETS, 2)), np.zeros(2), 1.0, 0.0)
+    texts = [" ".join("".join(r.choice(list("abcdeé1"), r.integers(1, 9))) for _ in range(300)).encode() for _ in range(4)]
+    whole = langid.WordScores(model).logits(texts)
+    monkeypatch.setattr(langid, "LEARNT_AT_ONCE", 7)
+    monkeypatch.setattr(langid, "KNOWN_WORDS", 100)
+    scores = langid.WordScores(model)
+    parts = [scores.logits([texts[0], t]) for t in texts]  # the cache is emptied between batches that share words
+    assert all(np.allclose(whole[0][[0, i]], z) and (whole[1][[0, i]] == n).all() for i, (z, n) in enumerate(parts))
