@@ -99,3 +99,15 @@ def test_models_are_saved_scored_and_aligned(spark):
     ready = models.vectors(models.aligned(table, heads[0]), heads[0])
     losses = {r.feature: r.perm for r in attribution.permutation_importance(heads[2], ready, heads[0].columns, models.Z, repeats=1).collect()}
     assert max(losses, key=losses.get) == "f1" and set(losses) == {"f1", "f2", "kind"}
+
+
+def test_a_large_year_is_written_by_several_tasks(spark, tmp_path):
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(0, 200_000, 1, 8).selectExpr("id", "hash(id) AS v", "DATE'1996-05-05' AS date")
+        files.write_by_year(rows, f"{tmp_path}/years", F.year("date"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert len(list((tmp_path / "years" / "year=1996").glob("*.parquet"))) > 1
+    assert spark.read.parquet(f"{tmp_path}/years").agg(F.sum("id")).first()[0] == 200_000 * 199_999 // 2
