@@ -207,3 +207,15 @@ def test_changed_predictions_are_those_of_changed_rows(spark, folds):
         own = x.copy()
         own[:, j] = other[:, j]
         assert np.allclose(got.get(j, model.predict(x)), model.predict(own))
+
+
+def test_quantiles_are_looked_up_where_a_row_is(spark, folds):
+    model, leaves = folds[0].heads[1]
+    rows = ready(folds[0])
+    got = M.quantiles_of(model, leaves, rows)
+    assert "Exchange" not in got._jdf.queryExecution().sparkPlan().toString() + got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    known = {(r.tree, r.leaf): r.q for r in leaves.collect()}
+    own = {r.event_id: np.mean([known[t, leaf] for t, leaf in enumerate(r.leaf)], axis=0) for r in model.transform(rows).select("event_id", vector_to_array("leaf").alias("leaf")).collect()}
+    for r in got.collect():
+        assert np.allclose([r[name] for name in M.NAMES], np.sort(own[r.event_id]))
