@@ -88,3 +88,37 @@ def test_rounds_read_their_share_by_key(rows):
     keys = rows["key"].to_numpy()
     took = np.stack([G.drawn(keys, k) for k in range(20)])
     assert abs(took.mean() - G.SHARE) < 0.02 and (took.std(axis=0) > 0).mean() > 0.9
+
+
+def test_splits_of_many_nodes_are_those_of_each():
+    """Every split of every node one at a time, on whole residuals; the last nodes have equal residuals, which nothing parts."""
+    r, sizes, nominal = np.random.default_rng(3), np.array([5, 1, 4]), np.array([False, False, True])
+    nodes = 60
+    counts = np.concatenate([r.multinomial(40, np.ones(k) / k, nodes) for k in sizes], axis=1)
+    sums = np.concatenate([counts[:, a:b] * r.integers(-9, 9, (nodes, b - a)) for a, b in ((0, 5), (5, 6), (6, 10))], axis=1)
+    sums[:, 5] = sums[:, :5].sum(axis=1)
+    sums[:, 9] += sums[:, 5] - sums[:, 6:].sum(axis=1)
+    sums[-5:] = 4 * counts[-5:]
+    feature, goes = G.best_splits(sums, counts, sizes, nominal)
+    for p in range(nodes):
+        best, found = 1e-5, None
+        for j, (a, b) in enumerate(((0, 5), (5, 6), (6, 10))):
+            s, n = sums[p, a:b], counts[p, a:b]
+            order = sorted(np.flatnonzero(n), key=lambda i: s[i] / n[i]) if nominal[j] else list(range(b - a))
+            for i in range(1, len(order)):
+                left = order[:i]
+                ln, ls = n[left].sum(), s[left].sum()
+                if 0 < ln < n.sum():
+                    gain = ls**2 / ln + (s.sum() - ls) ** 2 / (n.sum() - ln) - s.sum() ** 2 / n.sum()
+                    if gain > best + 1e-5:
+                        best, found = gain, (j, set(left))
+        if found is None:
+            assert feature[p] == 0 and goes[p].all()
+        else:
+            assert (feature[p], set(np.flatnonzero(goes[p]))) == found
+
+
+def test_batches_are_gathered_and_none_is_lost():
+    batches = [pd.DataFrame({"x": range(i)}) for i in (3, 0, 4, 9, 1, 2)]
+    got = list(G.gathered(iter(batches), 7))
+    assert [len(x) for x in got] == [7, 9, 3] and list(pd.concat(got)["x"]) == list(pd.concat(batches)["x"])
