@@ -41,3 +41,18 @@ def test_announcements_and_their_consensus_are_made_once(spark, monkeypatch):
     first, again = equities.consensus(spark, sf), equities.consensus(spark, sf)
     assert scoring.requests_of(spark, sf).count() == adapters.announcements(spark, sf).count() > 0
     assert len(made) == 1 and first.inputFiles() == again.inputFiles() != []
+
+
+def test_slopes_of_own_features_need_no_other_feature(spark, monkeypatch):
+    """The rows are those of the feature table, and slope_order and fama_macbeth make neither it nor what it looks up."""
+    from eventmesa.plans import features, reports, validation
+    from eventmesa.sources import staging
+
+    sf = "/root/testdata/sf0.001"
+    columns = ["event_id", "cal_q", *validation.FACTORS, f"drift_z_h{features.HORIZON}"]
+    want = sorted(map(tuple, features.event_features(spark, sf).select(*columns).collect()))
+    staging.forget()
+    for name in ("event_features", "price_risk", "liquidity", "fundamentals", "industry_moms", "industry_drifts", "drift_labels"):
+        monkeypatch.setattr(features, name, None)
+    assert sorted(map(tuple, features.own_features(spark, sf).select(*columns).collect())) == want != []
+    assert reports.slope_order(spark, sf).count() == validation.fama_macbeth(spark, sf).count() == len(validation.FACTORS)
