@@ -54,7 +54,8 @@ class Screen:
 #: At similarity 0.8 about 14 in a million pairs agree in fewer minima.
 COARSE = Screen(256, "u1", 177, 64, 36)
 
-#: Hash values of ids by which texts are told apart before they are joined; this many numbers are broadcast at most.
+#: Hash values of ids by which texts, and of nodes by which sets and screens, are told apart before they are joined; this many
+#: numbers are broadcast at most.
 ID_BUCKETS = 1 << 20
 
 
@@ -169,6 +170,13 @@ class Links:
         self.scratch.append(saved(df, name))
         return self.scratch[-1]
 
+    def only(self, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The rows whose node may be one of `nodes`, told where they are, so that few others are shuffled by the join on the
+        node that follows. Sets and screens are wide, and a round needs those of a few nodes."""
+        bucket = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
+        wanted = nodes.select(bucket).distinct()  # at most ID_BUCKETS numbers
+        return rows.withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
+
     def grouped(self, members: DataFrame) -> DataFrame:
         """members: path, node. Adds the group's size and drops groups of one."""
         sizes = members.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
@@ -226,7 +234,9 @@ class Links:
                     yield pair_batch(found)
 
         several = members.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("path")
-        return self.listed(members.join(several, "path"), ["path"], "root").select("all").mapInArrow(released(each), "a long, b long")
+        members = self.saved(members.join(several, "path"), "several")
+        screens = self.only(self.reps.select("node", "n", "screen"), members)
+        return self.listed(members, ["path"], "root", screens=screens).select("all").mapInArrow(released(each), "a long, b long")
 
     def gather(self, nodes: DataFrame) -> None:
         """Adds the full shingle sets of the nodes to `sets`."""
@@ -274,7 +284,7 @@ class Links:
                     kept.append(100 * both >= percent * ((len(x) + len(y)) // 8 - both))
                 yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-        side = lambda x: self.sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
+        side = lambda x: self.only(self.sets, pairs.select(F.col(x).alias("node"))).select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
         links = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(released(check), "a long, b long")
         if self.roots is None:
             over = components(links)
@@ -307,7 +317,8 @@ class Links:
                 items = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for x in batch.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(items, pa.binary())], ["node", "n", "screen", "items"])
 
-        rows = self.reps.select("node", "n", "screen").join(nodes, "node", "left_semi").join(self.sets, "node").select("node", "n", "screen", "items")
+        screens = self.only(self.reps.select("node", "n", "screen"), nodes).join(nodes, "node", "left_semi")
+        rows = screens.join(self.only(self.sets, nodes), "node").select("node", "n", "screen", "items")
         return self.saved(rows.mapInArrow(released(each), "node long, n long, screen binary, items binary"), "packs")
 
     def rest_with_all(self, members: DataFrame) -> DataFrame:

@@ -485,3 +485,17 @@ def test_language_id_rejects_a_language_that_it_did_not_learn(spark):
     assert langid.keep_known(frame(spark, []), model).count() == 0
     flat = langid.Counts(np.array([0, 2, 2, 3]), np.array([4, 5, 6], np.int16), np.array([0.5, 0.5, 1], np.float32))
     assert [x.tolist() for x in flat.some(np.array([2, 0]))] == [[0, 1, 1], [6, 4, 5], [1, 0.5, 0.5]] and len(flat) == 3
+
+
+def test_a_join_on_nodes_is_given_few_rows_of_others(spark):
+    """Sets and screens of nodes that a round doesn't need are left out where they are; no needed one is, repeated or not."""
+    from pyspark.sql import functions as F
+
+    from eventmesa.llm import setlinks
+
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("node"), F.col("id").alias("items"))
+    wanted = rows.where("items % 1000 = 7").select("node").union(rows.where("items = 7").select("node"))
+    links = object.__new__(setlinks.Links)
+    got = [r["items"] for r in links.only(rows, wanted).collect()]
+    assert {i for i in got if i % 1000 == 7} == set(range(7, 20_000, 1000)) and len(got) == len(set(got)) < 40
+    assert links.only(rows, wanted).columns == rows.columns and links.only(rows, wanted.limit(0)).isEmpty()
