@@ -489,10 +489,6 @@ def test_language_id_rejects_a_language_that_it_did_not_learn(spark):
 
 def test_a_join_on_nodes_is_given_few_rows_of_others(spark):
     """Sets and screens of nodes that a round doesn't need are left out where they are; no needed one is, repeated or not."""
-    from pyspark.sql import functions as F
-
-    from eventmesa.llm import setlinks
-
     rows = spark.range(20_000).select(F.xxhash64("id").alias("node"), F.col("id").alias("items"))
     wanted = rows.where("items % 1000 = 7").select("node").union(rows.where("items = 7").select("node"))
     links = object.__new__(setlinks.Links)
