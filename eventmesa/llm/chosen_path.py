@@ -60,12 +60,13 @@ def linked(docs: DataFrame, *, shingle: int = 5, percent: int = 80, recall: floa
 
     def deeper(level: int):  # of a wide group all nodes go on, since the rest may belong to any of them
         def branch(left: DataFrame):
-            after = left.join(found.reps.select("node", "sig"), "node").select("node", F.explode(children(F.col("path"))).alias("path")).distinct()
+            # A path names the group that it comes from, so a node comes to no group twice.
+            after = left.join(found.reps.select("node", "sig"), "node").select("node", "n", "root", F.explode(children(F.col("path"))).alias("path"))
             return after, deeper(level + 1) if level + 1 < DEPTH else None
 
         return branch
 
-    found.search(found.reps.select("node", F.explode(first).alias("path")), deeper(1))
+    found.search(found.reps.select("node", "n", F.explode(first).alias("path")), deeper(1))
     return found
 
 

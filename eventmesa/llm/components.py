@@ -11,20 +11,30 @@ from .common import dropped, saved
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. One row (node, root) per linked node; the root is the component's least node and has a row itself.
 
-    Every round joins links with per-node minima only, so a hub's links are never gathered, and ends in a written table.
     Links to oneself or with a null end are dropped; no links give no rows.
     """
+    now = contracted(links)
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out.saved_at = now.saved_at
+    return out
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """As components(), but one row (a, b) per linked node `a` that isn't its component's root `b`; saved.
+
+    Every round joins links with per-node minima only, so a hub's links are never held at once, and ends in a written table.
+    """
     now = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while not stars(now):
         least = now.union(now.select("b", "a")).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
-        large = now.join(least, "b").select("a", F.col("m").alias("b"))  # every greater neighbour of a node moves to the node's least one
+        # Every greater neighbour of a node moves to the node's least one; dealt out once for the minima and their join.
+        large = now.join(least, "b").select("a", F.col("m").alias("b")).repartition("a")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
+        to = lambda x: F.struct(F.col(x).alias("a"), F.col("m").alias("b"))
+        small = large.join(least, "a").select(F.explode(F.array_compact(F.array(to("a"), F.when(F.col("b") != F.col("m"), to("b"))))).alias("link")).select("link.*")
         last, now = now, saved(small.distinct(), "links")
         dropped(last)
-    out = now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-    out.saved_at = now.saved_at
-    return out
+    return now
 
 
 def stars(links: DataFrame) -> bool:

@@ -162,7 +162,7 @@ def banded(docs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> Link
     """The verified links between rows that have a band in common."""
     found = Links(docs, rows, shingle, percent, PRINT)
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("screen", 2 * i + 1, 2 * BAND)) for i in range(0, MINIMA, BAND)))
-    found.search(found.reps.select("node", F.explode(bands).alias("path")))
+    found.search(found.reps.select("node", "n", F.explode(bands).alias("path")))
     return found
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import MinHasher, WordHash, dropped, released, saved, shingle_set, sliced, tidied, utf8
-from .components import components
+from .components import contracted
 
 #: Minima in a signature; nodes of a block, which are compared at once; anchors that a larger group's blocks share.
 MINIMA, BLOCK, ANCHORS = 64, 128, 8
@@ -59,6 +59,15 @@ COARSE = Screen(256, "u1", 177, 64, 36)
 ID_BUCKETS = 1 << 20
 
 
+def buckets(rows: DataFrame, *of) -> DataFrame:
+    """The distinct buckets (`bucket`) of the values of columns; at most ID_BUCKETS numbers, so they meet in one short task."""
+    return rows.agg(F.collect_set(bucket_of(*of)).alias("all")).select(F.explode("all").alias("bucket"))
+
+
+def bucket_of(*of):
+    return F.pmod(F.xxhash64(*of), F.lit(ID_BUCKETS)).cast("int")
+
+
 def digest(items: np.ndarray) -> int:
     """A set's 64-bit name, signed."""
     return xxhash.xxh3_64_intdigest(items.tobytes()) - (1 << 63)
@@ -150,7 +159,8 @@ class Links:
     """docs: doc_id, text. rows: doc_id, n_shingles, node, screen (and sig), saved. Links mean 100 * intersection >=
     percent * union.
 
-    checked: the pairs that were confirmed or refused, so that none is looked at twice."""
+    checked: the pairs that were confirmed or refused, so that none is looked at twice. roots: node and root, the least node
+    that links reach, of each linked node but the roots."""
 
     docs: DataFrame
     rows: DataFrame
@@ -173,32 +183,34 @@ class Links:
     def only(self, rows: DataFrame, nodes: DataFrame) -> DataFrame:
         """The rows whose node may be one of `nodes`, told where they are, so that few others are shuffled by the join on the
         node that follows. Sets and screens are wide, and a round needs those of a few nodes."""
-        bucket = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
-        wanted = nodes.select(bucket).distinct()  # at most ID_BUCKETS numbers
-        return rows.withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
+        of = ("node", F.lit(3))
+        return rows.withColumn("bucket", bucket_of(*of)).join(F.broadcast(buckets(nodes, *of)), "bucket", "left_semi").drop("bucket")
 
     def grouped(self, members: DataFrame) -> DataFrame:
-        """members: path, node. Adds the group's size and drops groups of one."""
+        """members: path, node and more. Adds the group's size and drops groups of one."""
         sizes = members.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         return members.join(sizes, "path")
 
     def listed(self, members: DataFrame, by: list[str], *more: str, screens: DataFrame | None = None) -> DataFrame:
         return members.join((self.reps if screens is None else screens).select("node", "n", "screen"), "node").groupBy(*by).agg(F.collect_list(F.struct("node", "n", "screen", *more)).alias("all"))
 
-    def in_blocks(self, grouped: DataFrame) -> DataFrame:
+    def in_blocks(self, grouped: DataFrame, any_large: bool = True) -> DataFrame:
         """Of the blocks of all groups, compared exhaustively: the pairs (a, b) of a forest over those that can be links;
         with b null, a is the path of a small group that has further such pairs.
 
         A group of at most BLOCK nodes is one block. A larger one has a power of two of them, by a hash of the node, so
-        groups that share most of their nodes share their blocks; each anchor, the least node of its hash, is in all."""
+        groups that share most of their nodes share their blocks; each anchor, the least node of its hash, is in all.
+        Without `any_large` no group is larger than a block."""
         percent, screen = self.percent, self.screen
         blocks = F.pow(F.lit(2), F.greatest(F.ceil(F.log2(F.col("size") / BLOCK)), F.lit(0))).cast("int")
         own = grouped.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-        large = own.where(F.col("size") > BLOCK)
-        least = [F.min(F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(ANCHORS)) == i, F.struct("node", "block"))) for i in range(ANCHORS)]
-        anchors = large.groupBy("path", "blocks").agg(F.array_compact(F.array(*least)).alias("anchors")).select("path", "blocks", F.explode("anchors").alias("anchor"))
-        shared = anchors.select("path", "anchor", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("block <> anchor.block")
-        every = own.select("path", "block", "node", (F.col("blocks") == 1).alias("whole")).union(shared.select("path", F.col("block").cast("int"), "anchor.node", F.lit(False)))
+        every = own.select("path", "block", "node", (F.col("blocks") == 1).alias("whole"))
+        if any_large:
+            large = own.where(F.col("size") > BLOCK)
+            least = [F.min(F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(ANCHORS)) == i, F.struct("node", "block"))) for i in range(ANCHORS)]
+            anchors = large.groupBy("path", "blocks").agg(F.array_compact(F.array(*least)).alias("anchors")).select("path", "blocks", F.explode("anchors").alias("anchor"))
+            shared = anchors.select("path", "anchor", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("block <> anchor.block")
+            every = every.union(shared.select("path", F.col("block").cast("int"), "anchor.node", F.lit(False)))
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, 64):
@@ -233,8 +245,9 @@ class Links:
                 if found:
                     yield pair_batch(found)
 
-        several = members.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("path")
-        members = self.saved(members.join(several, "path"), "several")
+        # At most BLOCK nodes a group.
+        several = members.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.collect_list(F.struct("node", "root")).alias("all")).where("low <> high")
+        members = self.saved(several.select("path", F.explode("all").alias("one")).select("path", "one.*"), "several")
         screens = self.only(self.reps.select("node", "n", "screen"), members)
         return self.listed(members, ["path"], "root", screens=screens).select("all").mapInArrow(released(each), "a long, b long")
 
@@ -254,9 +267,8 @@ class Links:
                 own = [shingle_set(cache.of(t.lower().split()), shingle) for t in utf8(batch, "text")]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "items"])
 
-        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
-        buckets = wanted.select(bucket).distinct()  # at most ID_BUCKETS numbers; the exact join follows
-        texts = self.docs.withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi").select("text")
+        # The exact join follows.
+        texts = self.docs.withColumn("bucket", bucket_of("doc_id")).join(F.broadcast(buckets(wanted, "doc_id")), "bucket", "left_semi").select("text")
         # The digest tells which node a text is, so texts needn't be shuffled by id; equal sets count once, in the join's partitions.
         fresh = self.saved(texts.mapInArrow(released(sets), "node long, items binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
         self.sets = fresh if self.sets is None else self.sets.union(fresh)
@@ -272,7 +284,7 @@ class Links:
         self.checked = pairs if self.checked is None else self.checked.union(pairs)
         self.gather(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         if self.sets is None:
-            self.roots = components(pairs)
+            self.rename(contracted(pairs))
             return
         percent = self.percent
 
@@ -287,29 +299,41 @@ class Links:
         side = lambda x: self.only(self.sets, pairs.select(F.col(x).alias("node"))).select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
         links = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(released(check), "a long, b long")
         if self.roots is None:
-            over = components(links)
-            self.roots = self.saved(over, "roots")
-        else:  # earlier components count as one node each
-            over = components(self.rooted(self.rooted(links, "a"), "b"))
-            self.roots = self.saved(self.rooted(over.select("node").union(self.roots.select("node")).distinct().withColumn("at", F.col("node")), "at").join(over.select(F.col("node").alias("at"), "root"), "at", "left").select("node", F.coalesce("root", "at").alias("root")), "roots")
-        dropped(over)
+            self.rename(contracted(links))
+        else:  # earlier components count as one node each, so what is joined now was a root or not linked, and has no row yet
+            over = contracted(self.rooted(self.rooted(links, "a"), "b"))
+            if not over.isEmpty():
+                moved = self.roots.join(over.select(F.col("a").alias("root"), "b"), "root", "left").select("node", F.coalesce("b", "root").alias("root"))
+                self.roots = self.saved(moved.union(over), "roots")
+            dropped(over)
         tidied(self.docs.sparkSession)
 
+    def rename(self, over: DataFrame) -> None:
+        """Takes contracted links as the first roots."""
+        self.roots = over.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        self.roots.saved_at = over.saved_at
+        self.scratch.append(self.roots)
+
     def rooted(self, rows: DataFrame, column: str) -> DataFrame:
         """The rows with a node column replaced by its component's root."""
         roots = self.roots.select(F.col("node").alias(column), F.col("root").alias("root_of"))
         return rows.join(roots, column, "left").withColumn(column, F.coalesce("root_of", column)).drop("root_of")
 
+    def parted(self, members: DataFrame) -> DataFrame:
+        """members: path, node, n, root, done. Adds the group's size, rest (whether the node is outside the group's largest part
+        and not done) and n_rest, and drops groups of one."""
+        parts = members.groupBy("path", "root").agg(F.count("*").alias("part"), F.count_if(~F.col("done")).alias("due"))
+        best = parts.groupBy("path").agg(F.max(F.struct("part", "root", "due")).alias("best"), F.sum("part").alias("size"), F.sum("due").alias("due")).where("size > 1")
+        rest = (F.col("root") != F.col("best.root")) & ~F.col("done")
+        return members.join(best, "path").select("path", "node", "n", "root", "size", rest.alias("rest"), (F.col("due") - F.col("best.due")).alias("n_rest"))
+
     def unresolved(self, large: DataFrame) -> DataFrame:
-        """Members of larger groups whose nodes have several roots: path, node, root, size, rest (whether it is outside
-        the group's largest part), n_rest."""
-        named = self.rooted(large.withColumn("root", F.col("node")), "root")
-        parts = named.groupBy("path", "root").agg(F.count("*").alias("part"))
-        best = parts.groupBy("path").agg(F.max(F.struct("part", "root")).alias("best"), F.sum("part").alias("size")).where("best.part < size")
-        return named.drop("size").join(best, "path").select("path", "node", "root", "size", (F.col("root") != F.col("best.root")).alias("rest"), (F.col("size") - F.col("best.part")).alias("n_rest"))
-
-    def packs(self, nodes: DataFrame) -> DataFrame:
-        """node, n, screen and items (upper halves of the shingles' hashes, in order) of the nodes."""
+        """parted() of groups (path, node, n, done) in which a rest is left."""
+        return self.parted(self.rooted(large.select("path", "node", "n", "done", F.col("node").alias("root")), "root")).where("n_rest > 0")
+
+    def packs(self, members: DataFrame) -> DataFrame:
+        """node, n, screen and items (upper halves of the shingles' hashes, in order) of the members' nodes."""
+        nodes = members.select("node")
         self.gather(nodes)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +341,7 @@ class Links:
                 items = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for x in batch.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(items, pa.binary())], ["node", "n", "screen", "items"])
 
-        screens = self.only(self.reps.select("node", "n", "screen"), nodes).join(nodes, "node", "left_semi")
+        screens = self.only(self.reps.select("node", "n", "screen"), nodes).join(nodes.distinct(), "node", "left_semi")
         rows = screens.join(self.only(self.sets, nodes), "node").select("node", "n", "screen", "items")
         return self.saved(rows.mapInArrow(released(each), "node long, n long, screen binary, items binary"), "packs")
 
@@ -326,12 +350,11 @@ class Links:
         the rest meets each of the group, and screened pairs are compared on their items. Of a pair of blocks a forest of
         such links is kept; confirm() checks it on full hashes."""
         percent, screen = self.percent, self.screen
-        packs = self.packs(members.select("node").distinct())
-        members = members.join(packs.select("node", F.col("n").alias("items_n")), "node")
+        packs = self.packs(members)
         cut = lambda n, items: F.greatest(F.ceil(n / FEW), F.ceil(items / BLOCK_ITEMS), F.lit(1)).cast("int")
-        own = F.when(F.col("rest"), F.col("items_n")).otherwise(0)
-        sizes = members.groupBy("path").agg(cut(F.count("*"), F.sum("items_n")).alias("ys"), cut(F.sum(F.col("rest").cast("int")), F.sum(own)).alias("xs"))
-        members = members.join(sizes, "path")
+        own = F.when(F.col("rest"), F.col("n")).otherwise(0)
+        sizes = members.groupBy("path").agg(cut(F.count("*"), F.sum("n")).alias("ys"), cut(F.sum(F.col("rest").cast("int")), F.sum(own)).alias("xs"))
+        members = members.drop("n").join(sizes, "path")
         fields = F.struct("node", "n", "screen", "items", "root")
         put = lambda rows, name, n, seed: rows.join(packs, "node").withColumn(name, F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")).groupBy("path", name, "xs", "ys").agg(F.collect_list(fields).alias("all"))
         every = put(members, "y", "ys", 1).select("path", "y", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), "all")
@@ -363,67 +386,58 @@ class Links:
         return every.join(rest, ["path", "x", "y"]).select("rest", "all").mapInArrow(released(each), "a long, b long")
 
     def search(self, members: DataFrame, branch=None) -> None:
-        """Finds the links inside the groups of `members` (path, node). `branch`: makes the members of smaller groups of
-        those that are neither small nor nearly resolved; without it these are compared whole.
+        """Finds the links inside the groups of `members` (path, node, n; each node once a group). `branch`: makes the members
+        (with their roots) of smaller groups of those that are neither small nor nearly resolved; without it these are
+        compared whole.
 
-        Four rounds are confirmed, however deep groups branch: the likeliest pairs, which join most texts that belong
-        together; what narrow rests have in their largest groups, and the small groups below wide ones; what the rests that
-        are still apart have in all their other groups; and what stays apart in small groups."""
+        Three rounds are confirmed, however deep groups branch: the likeliest pairs, which join most texts that belong
+        together; what narrow rests have in their largest groups, and the small groups below wide ones; and what is still
+        apart in small groups, and of the rests in all their other groups."""
         grouped = self.saved(self.grouped(members), "groups")
         pairs = self.saved(self.in_blocks(grouped), "blocks")
         self.confirm(pairs.where("b is not null"))
         marked = lambda groups, pairs: groups.join(pairs.where("b is null").select(F.col("a").alias("path")), "path", "left_semi").select("path", "node")
         small, narrow, below = [marked(grouped, pairs)], [], []
-        left = self.saved(self.unresolved(grouped.where(F.col("size") > BLOCK)), "unresolved")
+        left = self.saved(self.unresolved(grouped.where(F.col("size") > BLOCK).withColumn("done", F.lit(False))), "unresolved")
         while not left.isEmpty():
             near = left.where(F.col("n_rest") <= WIDE) if branch else left
             narrow.append(near)
             if not branch or (wide := left.where(F.col("n_rest") > WIDE)).isEmpty():
                 break
             members, branch = branch(wide)
-            grouped = self.saved(self.grouped(members), "groups")
-            below.append(grouped.where(F.col("size") <= BLOCK))
-            left = self.saved(self.unresolved(grouped.where(F.col("size") > BLOCK)), "unresolved")
+            grouped = self.saved(self.parted(members.withColumn("done", F.lit(False))), "groups")
+            below.append(grouped.where(F.col("size") <= BLOCK).select("path", "node", "size"))
+            left = grouped.where((F.col("size") > BLOCK) & (F.col("n_rest") > 0))
         second = []
         if narrow:
-            groups = self.saved(reduce(DataFrame.union, narrow).select("path", "node", "root", "size", "rest"), "narrow")
-            first = self.saved(self.turns(groups), "turns")
-            second.append(self.rest_with_all(first))
+            groups = self.saved(self.turns(reduce(DataFrame.union, narrow).drop("n_rest")), "narrow")
+            first = groups.join(groups.where("done").select("path").distinct(), "path", "left_semi")
+            second.append(self.rest_with_all(self.saved(first.drop("rest").withColumnRenamed("done", "rest"), "turns")))
         if below:
             grouped = reduce(DataFrame.union, below)
-            pairs = self.saved(self.in_blocks(grouped), "blocks")
+            pairs = self.saved(self.in_blocks(grouped, any_large=False), "blocks")
             second.append(pairs.where("b is not null"))
             small.append(marked(grouped, pairs))
         if second:
             self.confirm(reduce(DataFrame.union, second))
+        third = [self.across_small(self.rooted(reduce(DataFrame.union, small).withColumn("root", F.col("node")), "root"))]
         if narrow:
-            left = self.saved(self.after_turns(groups, first), "later")
+            # Of a pair with different roots one node at least is outside its group's largest part as it is now, and it is
+            # compared here unless it was then, so no pair of a group is left out.
+            left = self.saved(self.unresolved(groups).drop("n_rest"), "later")
             if not left.isEmpty():
-                self.confirm(self.rest_with_all(left))
-        self.confirm(self.across_small(self.rooted(reduce(DataFrame.union, small).withColumn("root", F.col("node")), "root")))
+                third.append(self.rest_with_all(left))
+        self.confirm(reduce(DataFrame.union, third))
         kept = self.roots
         for old in self.scratch:
             if old is not kept:
                 dropped(old)
 
     def turns(self, members: DataFrame) -> DataFrame:
-        """unresolved() rows in which each node of a rest has the TURNS largest groups at most; the groups that no rest is
-        left in go. after_turns() has the rest of them."""
-        w = Window.partitionBy("node").orderBy(F.col("size").desc(), "path")
-        turn = members.where("rest").withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= TURNS).select("path", "node")
-        return self.with_rest(members, turn)
-
-    def with_rest(self, members: DataFrame, rest: DataFrame) -> DataFrame:
-        """The groups of the rows of `rest` (path, node), in which just these are the rest."""
-        own = rest.withColumn("own", F.lit(True))
-        return members.join(rest.select("path").distinct(), "path", "left_semi").join(own, ["path", "node"], "left").withColumn("rest", F.coalesce("own", F.lit(False))).drop("own")
-
-    def after_turns(self, groups: DataFrame, first: DataFrame) -> DataFrame:
-        """What is still to be compared of `groups` when the links that turns() gave, `first`, are confirmed. Of a pair with
-        different roots one node at least is outside the group's largest part as it is now, and it is compared here unless it
-        was then, so no pair of a group is left out."""
-        left = self.unresolved(groups.select("path", "node")).drop("n_rest")
-        return self.with_rest(left, left.where("rest").select("path", "node").join(first.where("rest").select("path", "node"), ["path", "node"], "left_anti"))
+        """Adds done: whether the node is in the group's rest and is compared with it first, as it is with its TURNS largest
+        groups at most."""
+        w = Window.partitionBy("node").orderBy(F.col("rest").desc(), F.col("size").desc(), "path")
+        return members.withColumn("done", F.col("rest") & (F.row_number().over(w) <= TURNS))
 
     def labelled(self, *more: str) -> DataFrame:
         """Each document row: doc_id, n_shingles, component_id (least id of its component), kept, and `more` columns of `rows`."""

@@ -151,6 +151,16 @@ def test_no_number_of_first_turns_drops_a_link(spark, monkeypatch, search):
     assert len(set(part)) == 29 and [got[i] for i in range(len(texts))] == part
 
 
+def test_three_rounds_are_confirmed(spark, monkeypatch):
+    """What rests have in later groups and what small groups leave apart is one round: each costs shuffles, however small."""
+    monkeypatch.setattr(setlinks, "BLOCK", 16)
+    monkeypatch.setattr(setlinks, "TURNS", 0)
+    confirm, calls = setlinks.Links.confirm, []
+    monkeypatch.setattr(setlinks.Links, "confirm", lambda self, pairs: (calls.append(1), confirm(self, pairs))[1])
+    minhash.near_copies(frame(spark, list(enumerate(variants(120, 4, words=220, seed=9)))), shingle=4)
+    assert len(calls) == 3
+
+
 def test_wide_groups_branch_on_and_lists_follow_the_size(spark, monkeypatch):
     """Groups of near misses: with small limits they branch, and the rows listed grow as the texts do."""
     monkeypatch.setattr(setlinks, "WIDE", 64)
