@@ -5,8 +5,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from eventmesa.plans import attribution as T
+from eventmesa.plans import grouped
 from eventmesa.plans import grove as G
 from eventmesa.plans import models as M
+from eventmesa.plans import search
+from eventmesa.sources.staging import fresh_path
 
 from .test_models import QUARTERS, events
 
@@ -82,3 +86,39 @@ def test_all_folds_grow_in_the_passes_of_one(spark, monkeypatch):
     assert [f.k for f in M.fitted_folds(table, [QUARTERS[11]])] == [11]
     one, passes[:] = len(passes), []
     assert len(M.fitted_folds(table)) == 2 and len(passes) == one and max(passes) == 4
+
+
+def test_folds_are_attributed_together_as_each_alone(spark, monkeypatch):
+    """The tested rows are written and gone through once, however many folds there are."""
+    monkeypatch.setattr(M, "ROUNDS", 2)
+    monkeypatch.setattr(M, "boosted_spec", lambda rounds=2: G.Spec(1, G.SQUARE, 2, 2, 0.2, 0.8))
+    monkeypatch.setattr(M, "classes_spec", lambda rounds=2: G.Spec(2, G.LOGIT, 1, 1, 0.1))
+    folds, names, written = M.fitted_folds(events(spark, 30)), [], T.written
+    monkeypatch.setattr(T, "written", lambda df, name: names.append(name) or written(df, name))
+    got = {(r.fold, r.feature): r for r in T.of_folds(folds).collect()}
+    assert names == ["tested", "fold-attribution"] and {k for k, _ in got} == {f.k for f in folds}
+    schema = folds[1].heads[0]
+    rows = M.vectors(M.aligned(folds[1].tested, schema), schema)
+    for r in T.shapley_importance(folds[1].heads[2], rows, schema.columns).collect():
+        assert got[folds[1].k, r.feature].importance == pytest.approx(r.importance) and got[folds[1].k, r.feature].direction == pytest.approx(r.direction)
+    for r in T.permutation_importance(folds[1].heads[2], rows, schema.columns, M.Z).collect():
+        assert got[folds[1].k, r.feature].perm == pytest.approx(r.perm)
+
+
+def test_trials_of_a_rung_grow_together_over_one_table(spark, monkeypatch):
+    """Tables are binned once for all folds and trials, and forests grow once a rung."""
+    table, calls, grown, packed = events(spark, 30), [], G.grown, G.packed
+    monkeypatch.setattr(G, "grown", lambda *a: calls.append(len(a[1])) or grown(*a))
+    monkeypatch.setattr(G, "packed", lambda *a: calls.append("packed") or packed(*a))
+    monkeypatch.setattr(search, "drawn", lambda trial, seed=7: {"numTrees": 2 + trial, "maxDepth": 2, "minInstancesPerNode": 20, "subsamplingRate": 0.5, "featureSubsetStrategy": "0.9"})
+    found = search.param_search(table, trials=2, root=fresh_path(spark, "search"))
+    assert calls == ["packed", 4, 1] and found.trials.count() == 3
+
+
+def test_subgroups_grow_in_a_pass_a_level(spark, local, monkeypatch):
+    passes, level = [], G.grow_level
+    monkeypatch.setattr(G, "grow_level", lambda *a: passes.append(len(a[3])) or level(*a))
+    own = local.assign(trains=[[0, 1] if r else [1] for r in local["role"]], bins=[np.array(b, np.uint16).tobytes() for b in local["bins"]])
+    rows = spark.createDataFrame(own.drop(columns="role"), "key long, y double, bins binary, trains array<int>")
+    forests = grouped.fit(grouped.Binned(rows, SIZES, NOMINAL), 2, 2)
+    assert passes == [2] * (2 * grouped.DEPTH) and forests.split[:, :, 0].all()
