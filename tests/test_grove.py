@@ -85,7 +85,7 @@ def test_all_folds_grow_in_the_passes_of_one(spark, monkeypatch):
     monkeypatch.setattr(M, "classes_spec", lambda rounds=2: G.Spec(2, G.LOGIT, 2, 3, 0.1))
     assert [f.k for f in M.fitted_folds(table, [QUARTERS[11]])] == [11]
     one, passes[:] = len(passes), []
-    assert len(M.fitted_folds(table)) == 2 and len(passes) == one and max(passes) == 4
+    assert len(M.fitted_folds(table)) == 2 and len(passes) == one and max(passes) == 6
 
 
 def test_folds_are_attributed_together_as_each_alone(spark, monkeypatch):
